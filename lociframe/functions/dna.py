@@ -140,14 +140,47 @@ def expand_n(df: DataFrame, col: str, out: str = "expanded") -> DataFrame:
     return rows.withColumn(out, F.array_join(pieces, "")).drop("_seq")
 
 
+CHUNKS = (1 << 14, 1 << 9)
+
+
+def as_bytes(col) -> Column:
+    """A sequence as binary, one byte per base: substring then costs its own length only, while that
+    of a string walks from the start. Letters outside ASCII become N."""
+    col = _c(col)
+    return F.when(F.octet_length(col) == F.length(col), col).otherwise(
+        F.regexp_replace(col, r"[^\x00-\x7F]", "N")).cast("binary")
+
+
+def cut(data, start, length) -> Column:
+    """Bases out of a binary sequence, start 0-based."""
+    length = F.lit(length) if isinstance(length, int) else length
+    return F.substring(_c(data), (start + 1).cast("int"), length).cast("string")
+
+
 def tile(df: DataFrame, col: str, width: int, step: int = 1, skip_n: bool = True,
          start: str = "win_start", out: str = "win") -> DataFrame:
-    """One row per window of a sequence column; windows with another letter than A, C, G, T dropped."""
-    last = F.length(F.col(col)) - width
-    df = (df.where(last >= 0)
-          .withColumn(start, F.explode(F.sequence(F.lit(0), last, F.lit(step))))
-          .withColumn(out, F.substring(F.col(col), F.col(start) + 1, F.lit(width))))
-    return df.where(has_only_acgt(out)) if skip_n else df
+    """One row per window of a sequence column; windows with another letter than A, C, G, T dropped.
+
+    A long sequence is first cut into overlapping chunks and the windows are cut from those, so the
+    cost grows with the length and not with its square. The sequence column itself is dropped
+    from the rows.
+    """
+    rows = (df.where(F.length(F.col(col)) >= width).withColumn("_at", F.lit(0))
+            .withColumn("_text", as_bytes(col)).drop(col))
+    for size in CHUNKS:
+        size = max(size, width)
+        last = F.octet_length("_text") - width
+        rows = (rows.withColumn("_off", F.explode(F.sequence(F.lit(0), last, F.lit(size))))
+                .withColumn("_text", F.substring(F.col("_text"), F.col("_off") + 1, F.lit(size + width - 1)))
+                .withColumn("_at", F.col("_at") + F.col("_off")))
+    first = F.pmod(-F.col("_at"), F.lit(step))
+    last = F.octet_length("_text") - width
+    rows = (rows.where(first <= last)
+            .withColumn("_off", F.explode(F.sequence(first, last, F.lit(step))))
+            .withColumn(start, F.col("_at") + F.col("_off"))
+            .withColumn(out, cut("_text", F.col("_off"), width))
+            .drop("_at", "_text", "_off"))
+    return rows.where(has_only_acgt(out)) if skip_n else rows
 
 
 def kmer_counts(df: DataFrame, key: str, col: str, k: int, skip_n: bool = True) -> DataFrame:

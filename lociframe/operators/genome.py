@@ -17,38 +17,39 @@ def contig_lengths(genome: DataFrame, bin_width: int) -> DataFrame:
 
 
 def with_halo(genome: DataFrame, halo: int, bin_width: int) -> DataFrame:
-    """Each bin followed by the first halo bases of the next one, so that a window of up to
-    halo + 1 bases can be cut from the bin it starts in."""
+    """Each bin, as binary, followed by the first halo bases of the next one, so that a window of up
+    to halo + 1 bases can be cut from the bin it starts in."""
     if halo > bin_width:
         raise ValueError(f"a halo of {halo} does not fit bins of {bin_width}")
-    upper = genome.select("chrom", "bin", F.upper("seq").alias("seq"))
+    upper = genome.select("chrom", "bin", dna.as_bytes(F.upper("seq")).alias("bases"))
     if halo <= 0:
         return upper
     heads = upper.select("chrom", (F.col("bin") - 1).alias("bin"),
-                         F.substring("seq", 1, halo).alias("_head"))
+                         F.substring("bases", 1, halo).alias("_head"))
     return (upper.join(heads, ["chrom", "bin"], "left")
-            .select("chrom", "bin", F.concat("seq", F.coalesce("_head", F.lit(""))).alias("seq")))
+            .select("chrom", "bin", F.concat("bases", F.coalesce("_head", F.lit(b""))).alias("bases")))
 
 
 def extract_windows(df: DataFrame, genome: DataFrame, width: int, bin_width: int,
                     start: str = "ws", out: str = "seq", row_key: Column | None = None,
-                    hot_rows: int = HOT_ROWS) -> DataFrame:
+                    hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """Adds the width bases from start; NULL for an unknown contig or a window that leaves it.
 
     One join on (chrom, bin): each window is cut from the bin it starts in, extended by width - 1
     bases. Width is at most bin_width + 1. Bins with many windows are salted.
     """
-    lookup = with_halo(genome, width - 1, bin_width).withColumnRenamed("seq", "_bases")
+    lookup = with_halo(genome, width - 1, bin_width).withColumnRenamed("bases", "_bases")
     at = F.col(start)
     binned = df.withColumn("bin", F.when(at >= 0, F.expr(f"{start} div {bin_width}")))
-    cut = F.substring(F.col("_bases"), (F.pmod(at, F.lit(bin_width)) + 1).cast("int"), F.lit(width))
+    off = F.pmod(at, F.lit(bin_width))
+    whole = off + width <= F.octet_length("_bases")
     return (spread_join(binned, lookup, ["chrom", "bin"], "left", row_key=row_key, hot_rows=hot_rows)
-            .withColumn(out, F.when(F.length(cut) == width, cut)).drop("bin", "_bases"))
+            .withColumn(out, F.when(whole, dna.cut("_bases", off, width))).drop("bin", "_bases"))
 
 
 def extract_regions(df: DataFrame, genome: DataFrame, bin_width: int, key: str,
                     start: str = "start", end: str = "end", out: str = "seq",
-                    hot_rows: int = HOT_ROWS) -> DataFrame:
+                    hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """Adds the bases of [start, end) of any length; NULL when some are missing.
 
     Regions are repeated for the bins they touch, each piece is cut where its bin is, and the
@@ -59,10 +60,10 @@ def extract_regions(df: DataFrame, genome: DataFrame, bin_width: int, key: str,
     pieces = (df.withColumn("bin", F.explode(F.when(
         (s >= 0) & (e > s), F.expr(f"sequence({start} div {bin_width}, ({end} - 1) div {bin_width})"))
         .otherwise(F.array(F.lit(-1).cast("long"))))))
-    bases = genome.select("chrom", "bin", F.upper("seq").alias("_bases"))
+    bases = genome.select("chrom", "bin", dna.as_bytes(F.upper("seq")).alias("_bases"))
     lo = F.greatest(s - F.col("bin") * bin_width, F.lit(0))
     hi = F.least(e - F.col("bin") * bin_width, F.lit(bin_width))
-    piece = F.substring(F.col("_bases"), (lo + 1).cast("int"), (hi - lo).cast("int"))
+    piece = dna.cut("_bases", lo, (hi - lo).cast("int"))
     joined = (spread_join(pieces, bases, ["chrom", "bin"], "left", row_key=F.col(key),
                           hot_rows=hot_rows)
               .withColumn("_piece", F.struct("bin", piece.alias("p"))).drop("_bases"))
@@ -79,7 +80,7 @@ def grid_windows(genome: DataFrame, width: int, bin_width: int, seed,
     offset = F.pmod(F.conv(digits, 16, 10).cast("long"), F.lit(width))
     base = F.col("bin") * bin_width
     first = F.pmod(F.col("_offset") - base, F.lit(width))
-    limit = F.least(F.lit(bin_width - 1), F.length("seq") - width)
+    limit = F.least(F.lit(bin_width - 1), F.octet_length("bases") - width)
     return (with_halo(genome, width - 1, bin_width)
             .withColumn("_offset", offset)
             .withColumn("_first", first)
@@ -87,8 +88,7 @@ def grid_windows(genome: DataFrame, width: int, bin_width: int, seed,
             .withColumn("_rel", F.explode(F.sequence(F.col("_first"), limit.cast("long"),
                                                      F.lit(width).cast("long"))))
             .select("chrom", (base + F.col("_rel")).alias("start"),
-                    F.substring(F.col("seq"), (F.col("_rel") + 1).cast("int"), F.lit(width))
-                    .alias("seq")))
+                    dna.cut("bases", F.col("_rel"), width).alias("seq")))
 
 
 def parse_variants(df: DataFrame, col: str = "variant") -> DataFrame:

@@ -90,7 +90,7 @@ def exclusion_set(df: DataFrame, pad: int, clip: bool = True) -> DataFrame:
 
 def overlap_join(left: DataFrame, right: DataFrame, on: Sequence[str] = ("chrom",),
                  suffix: str = "_right", bits: int = JOIN_BITS,
-                 row_key: Column | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
+                 row_key: Column | None = None, hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """All pairs of overlapping rows of two interval tables.
 
     Both sides are repeated for the bins they touch and joined on (keys, bin); a pair is kept only
@@ -126,13 +126,15 @@ def interval_index(merged: DataFrame, reach: int, bits: int = JOIN_BITS) -> Data
             .agg(F.collect_list(F.struct("start", "end")).alias("_near")))
 
 
-def exclude_overlaps(df: DataFrame, excluded: DataFrame, reach: int = 1 << JOIN_BITS,
-                     bits: int = JOIN_BITS, hot_rows: int = HOT_ROWS) -> DataFrame:
+def exclude_overlaps(df: DataFrame, excluded: DataFrame, longest: int | None = None,
+                     bits: int = JOIN_BITS, hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """Rows of df that touch none of the excluded intervals (disjoint, as exclusion_set returns).
 
-    Each row looks up one list, that of its start's bin, so no pairs are produced. Rows longer than
-    reach are checked piece by piece.
+    Each row looks up one list, that of its start's bin, so no pairs are produced. longest is the
+    length no row exceeds, where the caller knows it; without it, rows longer than a bin are
+    checked piece by piece.
     """
+    reach = longest or 1 << bits
     index = interval_index(excluded, reach, bits)
     cols = df.columns
     width = F.col("end") - F.col("start")
@@ -144,6 +146,8 @@ def exclude_overlaps(df: DataFrame, excluded: DataFrame, reach: int = 1 << JOIN_
                                    (x["end"] > F.col(start))), F.lit(False))
         return looked.withColumn("_hit", near).drop("_near", "_bin")
 
+    if longest:
+        return hits(df, "start", "end").where(~F.col("_hit")).select(*cols)
     narrow = hits(df.where(width <= reach), "start", "end").where(~F.col("_hit")).select(*cols)
     pieces = F.ceil(width / reach).cast("long")
     wide = (df.where(width > reach).withColumn("_n", pieces)

@@ -9,7 +9,7 @@ HOT_ROWS = 1_000_000
 
 
 def spread_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner",
-                row_key: Column | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
+                row_key: Column | None = None, hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """left join right on the keys, with every key of more than hot_rows left rows cut into parts.
 
     The left rows per key are counted first (partial aggregation, key columns only); the table of
@@ -17,8 +17,10 @@ def spread_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "in
     row_key, so a retried task sends each row to the same place, and the right rows of only
     that key are repeated once per part. Keys below the limit are joined as they are. Copies of
     one row share a salt; AQE's skew join, which cuts by map output, splits those.
-    how is inner or left.
+    how is inner or left. hot_rows None is for left rows whose number per key is bounded already.
     """
+    if hot_rows is None:
+        return left.join(right, on, how)
     sizes = (left.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows"))
              .where(F.col("_rows") > hot_rows)
              .select(*on, F.ceil(F.col("_rows") / hot_rows).cast("int").alias("_parts")))

@@ -11,6 +11,7 @@ from lociframe.functions import dna
 from lociframe.operators.genome import extract_regions, grid_windows
 from lociframe.operators.intervals import exclude_overlaps, exclusion_set
 from lociframe.operators.sampling import take_by_hash
+from lociframe.session import stored
 
 GC_BIN = 0.05
 
@@ -40,8 +41,9 @@ def gc_matched_negatives(genome: DataFrame, positives: DataFrame, intervals: Dat
     candidates = (grid_windows(on, width, bin_width, seed)
                   .where(dna.has_only_acgt("seq"))
                   .withColumn("end", F.col("start") + width))
-    free = (exclude_overlaps(candidates, blocked, reach=max(width, 1 << 14))
-            .withColumn("gc", dna.gc_content("seq")).withColumn("gc_bin", gc_bin("gc")))
+    # Disjoint candidates: a bin holds a bounded number. Stored, because the draw reads them thrice.
+    free = stored(exclude_overlaps(candidates, blocked, longest=width, hot_rows=None)
+                  .withColumn("gc", dna.gc_content("seq")).withColumn("gc_bin", gc_bin("gc")))
     key = F.concat(F.col("chrom"), F.lit(":"), F.col("start").cast("string"))
     picked = take_by_hash(free, key, seed, need, by=["gc_bin"])
     return picked, gc_report(positives, picked)

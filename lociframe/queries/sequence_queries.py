@@ -7,6 +7,7 @@ from lociframe.operators import genome as gn
 from lociframe.operators import intervals as iv
 from lociframe.operators import negatives as ng
 from lociframe.queries.registry import query
+from lociframe.session import stored
 from lociframe.queries.views import BIN, extraction_sql, has_only_acgt_sql
 
 
@@ -187,7 +188,8 @@ def positive_windows(v, width):
 
 @query("gc_matched_negatives", "N1")
 def _(v):
-    picked, _ = ng.gc_matched_negatives(v.genome, positive_windows(v, 24), v.intervals, 24, BIN)
+    positives = stored(positive_windows(v, 24).select("chrom", "ws", "we", "seq"))
+    picked, _ = ng.gc_matched_negatives(v.genome, positives, v.intervals, 24, BIN)
     return picked.select("chrom", "start", "end", "seq", F.round("gc", 6).alias("gc"))
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from lociframe.functions import dna
 from lociframe.operators.scorers import PairScorer, PwmScorer, WeightScorer
+from lociframe.session import stored
 
 BIN = 4096                      # bases per genome bin
 CONTIGS = 20
@@ -56,14 +57,28 @@ def md5_dna(text: Column, alphabet: str = EVEN) -> Column:
     return F.translate(F.md5(text), HEX, alphabet)
 
 
+_GENOMES: dict[tuple[str, str], DataFrame] = {}
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table of fewer files than cores, spread over the cores by its first column; any other as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if len(df.inputFiles()) >= cores or df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, df.columns[0])
+
+
 class Views:
     """The views over one data folder."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
+        self._tables: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        if name not in self._tables:
+            self._tables[name] = spread(self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet"))
+        return self._tables[name]
 
     @cached_property
     def contigs(self) -> DataFrame:
@@ -73,6 +88,13 @@ class Views:
 
     @cached_property
     def genome(self) -> DataFrame:
+        """The genome as a stored table, written once per application as read_genome's output would be."""
+        at = (self.spark.sparkContext.applicationId, self.sf_dir)
+        if at not in _GENOMES:
+            _GENOMES[at] = stored(self._genome())
+        return _GENOMES[at]
+
+    def _genome(self) -> DataFrame:
         key = F.col("p_partkey").cast("string")
 
         def bases(alphabet):
