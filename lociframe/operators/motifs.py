@@ -1,0 +1,321 @@
+"""Motifs: tables, scanning, p-values, position frequency matrices.
+
+A motif table has motif, pos, base, prob, optionally bg. Motif sets are small by nature; they
+are brought to the driver behind a size check and sent with the scanning tasks. Sequences never
+leave the executors.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator, Sequence
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from lociframe.functions import dna
+from lociframe.operators.evaluation import scored, with_prefix
+from lociframe.operators.sampling import take_by_hash
+from lociframe.operators.scorers import CODES
+
+PSEUDOCOUNT = 0.01
+SCALE = 100              # score units of a bit for p-values
+CHUNK_BASES = 4_000_000  # bases scanned at once in a task
+MAX_MOTIF_ROWS = 1_000_000
+
+
+def log_odds(motifs: DataFrame, pseudocount: float = PSEUDOCOUNT, background: float = 0.25) -> DataFrame:
+    """Adds log_odds = log2((prob + p) / (bg + p))."""
+    bg = F.coalesce(F.col("bg"), F.lit(background)) if "bg" in motifs.columns else F.lit(background)
+    return motifs.withColumn("log_odds", F.log2((F.col("prob") + pseudocount) / (bg + pseudocount)))
+
+
+def load_matrices(table: DataFrame, value: str = "log_odds", max_rows: int = MAX_MOTIF_ROWS
+                  ) -> dict[str, np.ndarray]:
+    """A (motif, pos, base, value) table as matrices of width x 4; an error beyond max_rows rows."""
+    rows = table.select("motif", "pos", "base", value).limit(max_rows + 1).toPandas()
+    if len(rows) > max_rows:
+        raise ValueError(f"the motif table has more than {max_rows} rows")
+    out = {}
+    for name, part in rows.groupby("motif", sort=True):
+        matrix = np.zeros((int(part["pos"].max()) + 1, 4))
+        matrix[part["pos"].to_numpy(int), part["base"].map("ACGT".index).to_numpy(int)] = part[value]
+        out[str(name)] = matrix
+    return out
+
+
+def strand_scores(codes: np.ndarray, matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Scores of every window on both strands; NaN where a base is not A, C, G, T."""
+    w = len(matrix)
+    n = max(len(codes) - w + 1, 0)
+    table = np.hstack([matrix, np.full((w, 1), np.nan)])
+    other = np.hstack([matrix[:, ::-1], np.full((w, 1), np.nan)])   # complement: code 3 - c
+    fwd, rev = np.zeros(n), np.zeros(n)
+    for k in range(w):
+        fwd += table[k, codes[k:k + n]]
+        rev += other[k, codes[w - 1 - k:w - 1 - k + n]]
+    return fwd, rev
+
+
+def _chunks(seqs: Sequence[str]) -> Iterator[tuple[int, int]]:
+    first, size = 0, 0
+    for i, s in enumerate(seqs):
+        size += len(s) + 1
+        if size >= CHUNK_BASES:
+            yield first, i + 1
+            first, size = i + 1, 0
+    if first < len(seqs):
+        yield first, len(seqs)
+
+
+def _joined(seqs: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of the sequences, each followed by an N, and the start of each."""
+    text = "N".join(seqs) + "N"
+    lengths = np.fromiter((len(s) + 1 for s in seqs), dtype=np.int64, count=len(seqs))
+    return np.frombuffer(text.encode("ascii", "replace"), dtype=np.uint8), np.cumsum(lengths) - lengths
+
+
+_COMPLEMENT = np.arange(256, dtype=np.uint8)
+_COMPLEMENT[[65, 67, 71, 84]] = [84, 71, 67, 65]
+
+
+def scan_motifs(seqs: DataFrame, matrices: dict[str, np.ndarray], keys: Sequence[str] = ("id",),
+                seq: str = "seq", threshold: float | None = None, both: bool = True,
+                best_strand_only: bool = False, matched: bool = True, scale: int = SCALE) -> DataFrame:
+    """Windows of every sequence scored with every motif.
+
+    One row per motif, window and strand with a score of at least threshold (None: all): keys,
+    motif, start and stop (1-based, inclusive), strand, score, iscore (the score in whole 1/scale
+    bits, for hit_pvalues) and the matched text as read on the hit's strand. Windows with another
+    letter than A, C, G, T are left out. best_strand_only keeps the better strand of a
+    window, the forward one on ties. Whole batches are scanned at once; nothing is shuffled.
+    """
+    keys = list(keys)
+    matrices = {k: np.asarray(m, dtype=float) for k, m in matrices.items()}
+    floor = -np.inf if threshold is None else float(threshold)
+    src = seqs.select(*keys, F.upper(F.col(seq)).alias("_seq"))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema if f.name != "_seq")
+    schema = (f"{fields}, motif string, start long, stop long, strand string, score double, iscore long"
+              + (", matched string" if matched else ""))
+
+    def rows(part, data, starts, codes, name, matrix):
+        w = len(matrix)
+        whole = np.rint(matrix * scale)
+        fwd, rev = strand_scores(codes, matrix)
+        ifwd, irev = strand_scores(codes, whole)
+        take = [("+", fwd, ifwd, fwd >= floor), ("-", rev, irev, rev >= floor)][:2 if both else 1]
+        if best_strand_only and both:
+            plus = fwd >= rev
+            take = [("+", fwd, ifwd, take[0][3] & plus), ("-", rev, irev, take[1][3] & ~plus)]
+        for strand, values, whole_values, keep in take:
+            at = np.flatnonzero(keep)
+            if not len(at):
+                continue
+            row = np.searchsorted(starts, at, side="right") - 1
+            out = part[keys].iloc[row].reset_index(drop=True)
+            out["motif"] = name
+            out["start"] = at - starts[row] + 1
+            out["stop"] = out["start"] + w - 1
+            out["strand"] = strand
+            out["score"] = values[at]
+            out["iscore"] = whole_values[at].astype(np.int64)
+            if matched:
+                text = np.lib.stride_tricks.sliding_window_view(data, w)[at]
+                if strand == "-":
+                    text = _COMPLEMENT[text[:, ::-1]]
+                out["matched"] = np.ascontiguousarray(text).view(f"S{w}").ravel().astype(str)
+            yield out
+
+    def scan(batches):
+        for pdf in batches:
+            pdf = pdf[pdf["_seq"].notna()]
+            texts = pdf["_seq"].tolist()
+            for lo, hi in _chunks(texts):
+                data, starts = _joined(texts[lo:hi])
+                codes = CODES[data]
+                for name, matrix in matrices.items():
+                    yield from rows(pdf.iloc[lo:hi], data, starts, codes, name, matrix)
+
+    return src.mapInPandas(scan, schema)
+
+
+def best_strand(hits: DataFrame, keys: Sequence[str] = ("id",)) -> DataFrame:
+    """One hit per motif, sequence and start: the better strand, the forward one on ties."""
+    group = [*keys, "motif", "start"]
+    rest = [c for c in hits.columns if c not in group]
+    order = F.struct((-F.col("score")).alias("s"), (F.col("strand") != "+").alias("r"))
+    return hits.groupBy(*group).agg(F.min_by(F.struct(*rest), order).alias("h")).select(*group, "h.*")
+
+
+def null_distribution(motifs: DataFrame, scale: int = SCALE) -> DataFrame:
+    """(motif, iscore, p_value): the chance that a random window scores at least iscore.
+
+    motifs has motif, pos, base, log_odds and optionally bg. The sum over the columns of a motif, each
+    rounded to 1/scale bit, is built column by column.
+    """
+    table = motifs.select("motif", "pos", "base", "log_odds",
+                          (F.col("bg") if "bg" in motifs.columns else F.lit(0.25)).alias("bg"))
+
+    def build(pdf: pd.DataFrame) -> pd.DataFrame:
+        low, probs = 0, np.ones(1)
+        for _, column in pdf.groupby("pos", sort=True):
+            steps = np.rint(column["log_odds"].to_numpy() * scale).astype(int)
+            weight = column["bg"].to_numpy()
+            new = np.zeros(len(probs) + steps.max() - steps.min())
+            for s, p in zip(steps, weight / weight.sum()):
+                off = s - steps.min()
+                new[off:off + len(probs)] += p * probs
+            low, probs = low + steps.min(), new
+        tail = np.minimum(probs[::-1].cumsum()[::-1], 1.0)
+        reached = np.flatnonzero(probs > 0)
+        return pd.DataFrame({"motif": pdf["motif"].iloc[0], "iscore": reached + low, "p_value": tail[reached]})
+
+    return table.groupBy("motif").applyInPandas(build, "motif string, iscore long, p_value double")
+
+
+def hit_pvalues(hits: DataFrame, motifs: DataFrame, threshold: float = 1e-4, scale: int = SCALE) -> DataFrame:
+    """Adds p_value to the hits and keeps those at or below the threshold."""
+    return (hits.join(null_distribution(motifs, scale), ["motif", "iscore"])
+            .where(F.col("p_value") <= threshold))
+
+
+def top_hits(hits: DataFrame, n: int = 500) -> DataFrame:
+    """The n hits of smallest p-value; a top-k, never a full sort."""
+    return hits.orderBy("p_value", F.desc("score")).limit(n)
+
+
+def score_per_sequence(hits: DataFrame, seqs: DataFrame, key: str = "id", how: str = "max") -> DataFrame:
+    """Max or mean hit score of every sequence, 0 for one without a hit."""
+    agg = {"max": F.max, "mean": F.avg}[how]("score").alias("score")
+    return (seqs.select(key).join(hits.groupBy(key).agg(agg), key, "left")
+            .select(key, F.coalesce("score", F.lit(0.0)).alias("score")))
+
+
+def score_at(hits: DataFrame, position: int, seqs: DataFrame | None = None, key: str = "id") -> DataFrame:
+    """Max score over the hits that cover a 1-based position; 0 for the sequences without one."""
+    found = (hits.where((F.col("start") <= position) & (F.col("stop") >= position))
+             .groupBy(key).agg(F.max("score").alias("score")))
+    if seqs is None:
+        return found
+    return seqs.select(key).join(found, key, "left").select(key, F.coalesce("score", F.lit(0.0)).alias("score"))
+
+
+def window_length_at(width: int, even: bool = False) -> int:
+    """Length of a window in which every placement covering the centre fits: 2w - 1; 2w - 2 when even."""
+    return 2 * width - 2 if even else 2 * width - 1
+
+
+def best_window(df: DataFrame, scorer, width: int, key: str = "id", col: str = "seq",
+                all_scores: bool = False) -> DataFrame:
+    """Per sequence the best window: best_idx, best_seq, max_score, mean_score, and optionally the
+    scores of all windows in order. The first window wins a tie; NULLs when no window is valid.
+
+    Windows are scored as they stream out of the sequences and reduced before the shuffle.
+    """
+    wins = dna.tile(df.select(key, F.col(col).alias("_s")), "_s", width).withColumn("score", scorer(F.col("win")))
+    wins = scored(wins)
+    aggs = [F.min_by(F.struct("win_start", "win", "score"), F.struct((-F.col("score")).alias("s"), "win_start")).alias("b"),
+            F.avg("score").alias("mean_score"), F.count(F.lit(1)).alias("n_windows")]
+    if all_scores:
+        aggs.append(F.transform(F.sort_array(F.collect_list(F.struct("win_start", "score"))),
+                                lambda x: x["score"]).alias("all_scores"))
+    best = wins.groupBy(key).agg(*aggs)
+    out = best.select(key, F.col("b.win_start").cast("long").alias("best_idx"), F.col("b.win").alias("best_seq"),
+                      F.col("b.score").alias("max_score"), "mean_score", "n_windows",
+                      *(["all_scores"] if all_scores else []))
+    return df.join(out, key, "left")
+
+
+def pfm(df: DataFrame, col: str = "seq", by: Sequence[str] = ()) -> DataFrame:
+    """Counts and shares per position and base of sequences of one length; every base is listed.
+
+    Bases are counted within each task first: the shuffle holds length x 4 rows per task and group.
+    """
+    by = list(by)
+    letters = F.posexplode(F.split(F.upper(F.col(col)), ""))
+    wide = (df.where(F.col(col) != "").select(*by, letters.alias("pos", "base")).where(F.col("base") != "")
+            .groupBy(*by, "pos").agg(*[F.count_if(F.col("base") == b).alias(b) for b in "ACGT"]))
+    total = F.col("A") + F.col("C") + F.col("G") + F.col("T")
+    return (wide.withColumn("_t", total)
+            .select(*by, F.col("pos").cast("long").alias("pos"), "_t", F.explode(F.create_map(
+                *[x for b in "ACGT" for x in (F.lit(b), F.col(b))])).alias("base", "n"))
+            .select(*by, "pos", "base", "n", F.when(F.col("_t") > 0, F.col("n") / F.col("_t")).alias("prob")))
+
+
+def information(matrix: DataFrame, pseudocount: float = 0.0, by: Sequence[str] = ()) -> DataFrame:
+    """Adds bits, a position's information content against even bases, and height = prob * bits.
+
+    With a pseudocount, prob is taken from the counts n with the pseudocount added to each base.
+    """
+    by = list(by)
+    wide = matrix.groupBy(*by, "pos").agg(
+        *[F.max(F.when(F.col("base") == b, F.col("n") + pseudocount)).alias(b) for b in "ACGT"])
+    total = F.col("A") + F.col("C") + F.col("G") + F.col("T")
+
+    def term(b):
+        p = F.col(b) / total
+        return F.when(p > 0, p * (F.log2(p) + 2.0)).otherwise(0.0)
+
+    bits = term("A") + term("C") + term("G") + term("T")
+    return (wide.withColumn("bits", bits)
+            .select(*by, "pos", "bits", F.explode(F.create_map(
+                *[x for b in "ACGT" for x in (F.lit(b), F.col(b) / total)])).alias("base", "prob"))
+            .withColumn("height", F.col("prob") * F.col("bits")))
+
+
+def take_extreme(df: DataFrame, n: Column, key: str, score: str = "score", highest: bool = True, seed=42) -> DataFrame:
+    """The n rows of highest or lowest score; rows tied at the border are drawn in hash order.
+
+    n may be a scalar column, such as a tenth of a count. Scores are counted per distinct value, the
+    border score is found from prefix sums, and only the rows tied there are ranked.
+    """
+    value = F.col(score).cast("double") * (-1.0 if highest else 1.0)
+    rows = scored(df, score).withColumn("_v", value)
+    points = with_prefix(rows.groupBy("_v").agg(F.count(F.lit(1)).alias("_c")), [], "_v", ["_c"])
+    border = points.where((F.col("_c_before") < n) & (n <= F.col("_c_before") + F.col("_c"))).select(
+        F.col("_v").alias("at"), (n - F.col("_c_before")).alias("quota"))
+    edge = border.agg(F.max("at")).scalar()
+    sure = rows.where((F.col("_v") < edge) | (edge.isNull() & (n > 0)))
+    tied = take_by_hash(rows.where(F.col("_v") == edge), key, seed,
+                        border.agg(F.coalesce(F.max("quota"), F.lit(0)).alias("quota")))
+    return sure.unionByName(tied).drop("_v")
+
+
+def pfm_contrast(df: DataFrame, key: str = "id", col: str = "seq", score: str = "score", parts: int = 10) -> DataFrame:
+    """PFMs of the best and worst tenth (n // 10 rows, at least one) and their difference."""
+    n = scored(df, score).agg(F.greatest(F.expr(f"count(1) div {parts}"), F.lit(1).cast("long"))).scalar()
+    top = pfm(take_extreme(df, n, key, score), col).select("pos", "base", F.col("prob").alias("top"))
+    low = pfm(take_extreme(df, n, key, score, highest=False), col).select("pos", "base", F.col("prob").alias("bottom"))
+    return top.join(low, ["pos", "base"]).withColumn("difference", F.col("top") - F.col("bottom"))
+
+
+def consensus(motifs: DataFrame) -> DataFrame:
+    """(motif, consensus): the most probable base per position, the first of A, C, G, T on ties."""
+    best = motifs.groupBy("motif", "pos").agg(
+        F.min_by("base", F.struct((-F.col("prob")).alias("p"), "base")).alias("base"))
+    ordered = F.sort_array(F.collect_list(F.struct("pos", "base")))   # one entry per position
+    return best.groupBy("motif").agg(F.array_join(F.transform(ordered, lambda x: x["base"]), "").alias("consensus"))
+
+
+def annotate_spans(spans: DataFrame, motifs: DataFrame, matrices: dict[str, np.ndarray], keys: Sequence[str],
+                   seq: str = "span_seq", max_p: float = 0.05, scale: int = SCALE) -> DataFrame:
+    """Adds the motif with the smallest p-value over the span's windows and that p-value, corrected for
+    the number of windows; the name only when the p-value is below max_p. Spans shorter than every
+    motif get NULLs."""
+    keys = list(keys)
+    hits = scan_motifs(spans, matrices, keys, seq, matched=False, scale=scale)
+    p = F.col("p_value")
+    best = (hits.join(null_distribution(motifs, scale), ["motif", "iscore"])
+            .groupBy(*keys, "motif").agg(F.min(p).alias("_p"), F.count(F.lit(1)).alias("_n"))
+            .withColumn("motif_p_value", 1.0 - F.pow(1.0 - F.col("_p"), F.col("_n")))
+            .groupBy(*keys).agg(F.min_by(F.struct("motif", "motif_p_value"), F.struct("motif_p_value", "motif")).alias("b")))
+    return (spans.join(best, keys, "left")
+            .withColumn("motif_p_value", F.col("b.motif_p_value"))
+            .withColumn("motif", F.when(F.col("motif_p_value") < max_p, F.col("b.motif"))).drop("b"))
+
+
+def top_motifs(annotated: DataFrame, n: int = 20) -> DataFrame:
+    """The motifs named on most spans."""
+    return (annotated.where(F.col("motif").isNotNull()).groupBy(F.col("motif").alias("name"))
+            .agg(F.count(F.lit(1)).alias("count")).orderBy(F.desc("count"), "name").limit(n))
