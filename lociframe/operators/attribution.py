@@ -143,18 +143,28 @@ def call_seqlets(df: DataFrame, key: str = "id", col: str = "attribution", short
     spans = rows.mapInPandas(significant, f"`{key}` {key_type}, start long, end long, length int, sign int, size double")
     called = spans.join(tail, ["length", "sign", "size"]).withColumn("attribution", F.col("size") * F.col("sign"))
 
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:     # one sequence's spans: at most length x lengths
-        pdf = pdf.sort_values(["p_value", "length", "start"], ascending=[True, False, True])
-        kept: list[int] = []
-        taken: list[tuple[int, int]] = []
-        for row, s, e in zip(pdf.index, pdf["start"], pdf["end"]):
-            if all(e <= a or s >= b for a, b in taken):
-                kept.append(row)
-                taken.append((s, e))
-        return pdf.loc[kept]
-
-    picked = called.select(key, "start", "end", "length", "attribution", "p_value")
-    return picked.groupBy(key).applyInPandas(choose, picked.schema).drop("length")
+    @F.pandas_udf("array<boolean>")
+    def free(starts: pd.Series, ends: pd.Series) -> pd.Series:
+        return pd.Series([_first_free(a, b) for a, b in zip(starts, ends)], dtype=object)
+
+    # One sequence's spans in order of preference: at most its length times the number of lengths.
+    order = F.struct("p_value", (-F.col("length")).alias("shorter"), "start", "end", "attribution")
+    lists = called.groupBy(key).agg(F.sort_array(F.collect_list(order)).alias("s"))
+    chosen = lists.withColumn("keep", free(F.col("s.start"), F.col("s.end")))
+    return (chosen.select(key, F.explode(F.arrays_zip("s", "keep")).alias("x")).where("x.keep")
+            .select(key, *[F.col(f"x.s.{c}").alias(c) for c in ("start", "end", "attribution", "p_value")]))
+
+
+def _first_free(starts, ends) -> list[bool]:
+    """For spans in order of preference, which ones overlap none taken before."""
+    taken: list[tuple[int, int]] = []
+    out = []
+    for s, e in zip(starts, ends):
+        ok = all(e <= a or s >= b for a, b in taken)
+        out.append(ok)
+        if ok:
+            taken.append((s, e))
+    return out
 
 
 # ---- convolution filters ------------------------------------------------------------------------

@@ -96,17 +96,20 @@ def epistasis2(df: DataFrame, scorer, positions: Sequence[int] | None = None, ke
              .withColumn("pos_j", F.explode(F.filter(places, lambda p: p > F.col("pos_i"))))
              .withColumn("ref_i", F.substring(seq, i + 1, F.lit(1)))
              .withColumn("ref_j", F.substring(seq, j + 1, F.lit(1))))
-    combos = F.flatten(F.transform(_bases(), lambda a: F.transform(
-        _bases(), lambda b: _put(_put(seq, i, a), j, b))))
+    combos = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda x: _put(
+        _put(seq, i, F.substring(F.lit(BASES), F.shiftright(x, 2) + 1, F.lit(1))),
+        j, F.substring(F.lit(BASES), x % 4 + 1, F.lit(1))))
     scored = pairs.withColumn("_y", scorer.over(combos))
 
     def code(c):
         return F.instr(F.lit(BASES), F.col(c)) - 1
 
+    changed = F.filter(F.sequence(F.lit(0), F.lit(15)), lambda x: (
+        (F.shiftright(x, 2) != F.col("_ri")) & (x % 4 != F.col("_rj"))))
     rows = (scored.withColumn("_ri", code("ref_i")).withColumn("_rj", code("ref_j"))
-            .select("*", F.posexplode("_y").alias("_k", "prediction"))
-            .withColumn("_a", F.floor(F.col("_k") / 4).cast("int")).withColumn("_b", F.col("_k") % 4)
-            .where((F.col("_a") != F.col("_ri")) & (F.col("_b") != F.col("_rj"))))
+            .withColumn("_k", F.explode(changed))
+            .withColumn("prediction", F.get("_y", F.col("_k")))
+            .withColumn("_a", F.shiftright("_k", 2)).withColumn("_b", F.col("_k") % 4))
     y = F.get("_y", F.col("_ri") * 4 + F.col("_rj"))
     yi = F.get("_y", F.col("_a") * 4 + F.col("_rj"))
     yj = F.get("_y", F.col("_ri") * 4 + F.col("_b"))
@@ -148,23 +151,27 @@ def epistasis3(df: DataFrame, scorer, start: int | None = None, end: int | None
     def code(p):
         return F.instr(F.lit(BASES), F.substring(seq, p + 1, F.lit(1))) - 1
 
-    rows = (rows.withColumn("_ra", code(i)).withColumn("_rb", code(j)).withColumn("_rc", code(k))
-            .withColumn("_y", scorer.over(combos)))
+    rows = rows.withColumn("_ra", code(i)).withColumn("_rb", code(j)).withColumn("_rc", code(k))
     ra, rb, rc = F.col("_ra"), F.col("_rb"), F.col("_rc")
+    changed = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda x: (
+        (F.shiftright(x, 4) != ra) & (F.shiftright(x, 2) % 4 != rb) & (x % 4 != rc)))
 
-    def y(a, b, c):
-        return F.get("_y", a * 16 + b * 4 + c)
+    def largest(scores):
+        def y(a, b, c):
+            return F.get(scores, a * 16 + b * 4 + c)
 
-    def third(x):
-        a, b, c = F.shiftright(x, 4), F.shiftright(x, 2) % 4, x % 4
-        value = (y(a, b, c) - (y(a, b, rc) + y(a, rb, c) + y(ra, b, c))
-                 + (y(a, rb, rc) + y(ra, b, rc) + y(ra, rb, c)) - y(ra, rb, rc))
-        return F.struct(F.round(F.abs(value), 9).alias("size"), (-x).alias("first"), value.alias("value"))
+        def third(x):
+            a, b, c = F.shiftright(x, 4), F.shiftright(x, 2) % 4, x % 4
+            value = (y(a, b, c) - (y(a, b, rc) + y(a, rb, c) + y(ra, b, c))
+                     + (y(a, rb, rc) + y(ra, b, rc) + y(ra, rb, c)) - y(ra, rb, rc))
+            return F.struct(F.round(F.abs(value), 9).alias("size"), (-x).alias("first"), value.alias("value"))
 
-    changed = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda x: (
-        (F.shiftright(x, 4) != ra) & (F.shiftright(x, 2) % 4 != rb) & (x % 4 != rc)))
-    best = F.array_max(F.transform(changed, third))
-    return (rows.withColumn("_best", best).where(F.col("_best.size") > threshold)
+        return F.array_max(F.transform(changed, third))
+
+    # The scores are bound once, as the variable of a one-element transform, and filtered inside
+    # the generator: a filter above would be pushed down and score the combinations again.
+    best = F.filter(F.transform(F.array(F.col("_y")), largest), lambda b: b["size"] > threshold)
+    return (rows.withColumn("_y", scorer.over(combos)).withColumn("_best", F.explode(best))
             .select(key, *[p.cast("long").alias(n) for p, n in ((i, "pos_i"), (j, "pos_j"), (k, "pos_k"))],
                     F.col("_best.value").alias("interaction")))
 

@@ -304,7 +304,10 @@ def annotate_spans(spans: DataFrame, motifs: DataFrame, matrices: dict[str, np.n
     the number of windows; the name only when the p-value is below max_p. Spans shorter than every
     motif get NULLs."""
     keys = list(keys)
-    hits = scan_motifs(spans, matrices, keys, seq, matched=False, scale=scale)
+    # The hits have start and stop columns of their own, so the keys travel under other names.
+    named = {k: f"_key_{i}" for i, k in enumerate(keys)}
+    hits = scan_motifs(spans.withColumnsRenamed(named), matrices, list(named.values()), seq, matched=False, scale=scale)
+    hits = hits.drop("start", "stop").withColumnsRenamed({v: k for k, v in named.items()})
     p = F.col("p_value")
     best = (hits.join(null_distribution(motifs, scale), ["motif", "iscore"])
             .groupBy(*keys, "motif").agg(F.min(p).alias("_p"), F.count(F.lit(1)).alias("_n"))

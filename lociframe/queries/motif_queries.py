@@ -44,9 +44,11 @@ def pwm_sql(name, col, reverse=False, whole=False):
 
 
 def windows_sql(table, width=WIDTH, name="wins"):
-    return (f"{name} AS MATERIALIZED (SELECT id, i AS win_start, substr(seq, i + 1, {width}) AS win FROM "
-            f"(SELECT id, seq, unnest(range(length(seq) - {width - 1})) AS i FROM {table}) "
-            f"WHERE {has_only_acgt_sql(f'substr(seq, i + 1, {width})')})")
+    """Windows cut from chunks of 256 bases, because substr walks a text from its start."""
+    return (f"chunks AS MATERIALIZED (SELECT id, c * 256 AS off, substr(seq, (c * 256 + 1)::BIGINT, {255 + width}) AS s FROM "
+            f"(SELECT id, seq, unnest(range(length(seq) // 256 + 1)) AS c FROM {table})), "
+            f"{name} AS MATERIALIZED (SELECT * FROM (SELECT id, off + i AS win_start, substr(s, i + 1, {width}) AS win FROM "
+            f"(SELECT id, off, s, unnest(range(length(s) - {width - 1})) AS i FROM chunks)) WHERE {has_only_acgt_sql('win')})")
 
 
 def hits_sql(table, threshold=None):
@@ -328,30 +330,32 @@ def _(v):
 
 
 def _filters():
-    """Two filters of width 5 and bias 0.1, weights by the rule of the views."""
-    return at.Filters([[[weight(p + 3 * f, b) for b in range(4)] for p in range(5)] for f in range(2)], [0.1, 0.1])
+    """Two filters of width 5 and bias 0.125, weights by the rule of the views in whole eighths."""
+    return at.Filters([[[weight(p + 3 * f, b) * 1.25 for b in range(4)] for p in range(5)] for f in range(2)], [0.125, 0.125])
 
 
 def _act_sql(f, col):
-    terms = [f"CASE substr({col}, {p + 1}, 1) WHEN 'A' THEN {weight(p + 3 * f, 0)} WHEN 'C' THEN {weight(p + 3 * f, 1)} "
-             f"WHEN 'G' THEN {weight(p + 3 * f, 2)} WHEN 'T' THEN {weight(p + 3 * f, 3)} ELSE 0 END" for p in range(5)]
-    return "round(0.1 + " + " + ".join(f"({t})::DOUBLE" for t in terms) + ", 6)"
+    terms = [f"CASE substr({col}, {p + 1}, 1) WHEN 'A' THEN {weight(p + 3 * f, 0) * 1.25} WHEN 'C' THEN {weight(p + 3 * f, 1) * 1.25} "
+             f"WHEN 'G' THEN {weight(p + 3 * f, 2) * 1.25} WHEN 'T' THEN {weight(p + 3 * f, 3) * 1.25} ELSE 0 END" for p in range(5)]
+    return "(0.125 + " + " + ".join(f"({t})::DOUBLE" for t in terms) + ")"
 
 
 _ACTS = f"""acts AS MATERIALIZED (SELECT id, f, i, CASE f WHEN 0 THEN {_act_sql(0, 'w')} ELSE {_act_sql(1, 'w')} END AS a, w
-    FROM (SELECT id, i, substr(seq, i + 1, 5) AS w FROM (SELECT id, seq, unnest(range(length(seq) - 4)) AS i FROM texts)), range(2) t(f)),
+    FROM (SELECT id, off + i AS i, substr(s, i + 1, 5) AS w FROM (SELECT id, off, s, unnest(range(length(s) - 4)) AS i FROM (
+        SELECT id, c * 256 AS off, substr(seq, (c * 256 + 1)::BIGINT, 260) AS s FROM (
+            SELECT id, seq, unnest(range(length(seq) // 256 + 1)) AS c FROM texts)))), range(2) t(f)),
     hi AS (SELECT *, max(a) OVER (PARTITION BY f) AS m FROM acts)"""
 
 
 @query("filter_summary", "M19", views="texts", sql=f"""
-    WITH {_ACTS} SELECT f::INTEGER AS filter, round(any_value(m), 4) AS max_activation, count(*) FILTER (a >= round(m * 0.8, 6)) AS num_activating
+    WITH {_ACTS} SELECT f::INTEGER AS filter, round(any_value(m), 4) AS max_activation, count(*) FILTER (a >= m * 0.8::DOUBLE) AS num_activating
     FROM hi GROUP BY f""")
 def _(v):
     return at.filter_summary(v.texts, _filters()).withColumn("max_activation", F.round("max_activation", 4))
 
 
 @query("filter_pfm", "M20", views="texts", sql=f"""
-    WITH {_ACTS}, k AS (SELECT *, row_number() OVER (PARTITION BY f, id ORDER BY i) AS r FROM hi WHERE a >= round(m * 0.8, 6))
+    WITH {_ACTS}, k AS (SELECT *, row_number() OVER (PARTITION BY f, id ORDER BY i) AS r FROM hi WHERE a >= m * 0.8::DOUBLE)
     SELECT f::INTEGER AS filter, p - 1 AS pos, b.base, round(count(*) FILTER (substr(w, p, 1) = b.base) / count(*), 6) AS prob,
         count(*) AS coverage FROM k, range(1, 6) t(p), (VALUES ('A'), ('C'), ('G'), ('T')) b(base) WHERE r <= 10 GROUP BY ALL""")
 def _(v):
@@ -393,8 +397,9 @@ def _(v):
     return iv.top_n_spaced(genome_hits(v, "alpha"), 4, 200, margin=101, lengths=lengths, width=WIDTH)
 
 
-@query("window_min", "I18", views="chroms", sql=f"""
-    WITH w AS (SELECT chrom, i AS pos, substr(bases, i + 1, 11) AS s FROM (SELECT chrom, bases, unnest(range(length(bases) - 10)) AS i FROM chroms)),
+@query("window_min", "I18", views="halo", sql=f"""
+    WITH w AS (SELECT chrom, off + i AS pos, substr(s, i + 1, 11) AS s FROM (SELECT chrom, off, s, unnest(range(length(s) - 10)) AS i FROM (
+        SELECT chrom, bin * {BIN} + c * 256 AS off, substr(bases, (c * 256 + 1)::BIGINT, 266) AS s FROM halo, range({BIN // 256}) t(c)))),
     e AS (SELECT chrom, pos, CASE WHEN {has_only_acgt_sql('s')} THEN round({weight_sum_sql('s', 11)}, 6) END AS energy FROM w),
     m AS (SELECT chrom, pos, min(energy) OVER (PARTITION BY chrom ORDER BY pos ROWS BETWEEN CURRENT ROW AND 13 FOLLOWING) AS window_min,
         max(pos) OVER (PARTITION BY chrom) + 11 AS region_end FROM e)

@@ -141,11 +141,11 @@ def _(v):
 
 
 @query("filter_report", "I12", views="intervals chroms", sql=f"""
+    WITH cut AS MATERIALIZED (SELECT num, {extraction_sql('chroms', 'ws', '200')} AS s FROM (
+        SELECT *, start + ("end" - start) // 2 - 100 AS ws FROM intervals) JOIN chroms USING (chrom))
     SELECT reason, count(*) AS n FROM (SELECT CASE WHEN s IS NULL THEN 'bounds'
         WHEN num = 7 THEN 'score' WHEN NOT {has_only_acgt_sql('s')} THEN 'non_acgt' ELSE 'kept' END AS reason
-    FROM (SELECT num, {extraction_sql('chroms', 'ws', '200')} AS s FROM (
-        SELECT *, start + ("end" - start) // 2 - 100 AS ws FROM intervals) JOIN chroms USING (chrom)))
-    GROUP BY reason""")
+    FROM cut) GROUP BY reason""")
 def _(v):
     peaks = v.intervals.withColumn("score", F.when(F.col("num") != 7, F.col("score")))
     windows = iv.center_windows(peaks, 200, v.contigs, keep_all=True)

@@ -231,6 +231,7 @@ SQL = {
         (p_partkey // {CONTIGS})::BIGINT AS bin,
         CASE WHEN p_partkey % 17 = 0 THEN 'NNN' || s[4:] ELSE s END AS seq FROM genome_raw""",
     "chroms": """SELECT chrom, string_agg(seq, '' ORDER BY bin) AS bases FROM genome GROUP BY chrom""",
+    "halo": """SELECT chrom, bin, seq || coalesce(lead(seq) OVER (PARTITION BY chrom ORDER BY bin)[:10], '') AS bases FROM genome""",
     "intervals": f"""SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS id, chrom,
         ((l_orderkey * 7919 + l_partkey * 104729 + l_linenumber * 101) % (length - 300))::BIGINT AS start,
         ((l_orderkey * 7919 + l_partkey * 104729 + l_linenumber * 101) % (length - 300) + 20
@@ -284,7 +285,7 @@ SQL = {
         for name, rows in MOTIFS.items() for pos, row in enumerate(rows) for base, p in zip("ACGT", row)
     ) + ") m(motif, pos, base, prob)",
 }
-NEEDS = {"genome": ["genome_raw"], "chroms": ["genome"], "intervals": ["contigs"], "merged": ["intervals"],
+NEEDS = {"genome": ["genome_raw"], "chroms": ["genome"], "halo": ["genome"], "intervals": ["contigs"], "merged": ["intervals"],
          "placed": ["contigs"], "variants": ["placed", "genome"]}
 
 
