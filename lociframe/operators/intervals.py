@@ -278,29 +278,29 @@ def top_n_spaced(hits: DataFrame, n: int, distance: int, by: str = "chrom", pos:
 
 def window_min(placements: DataFrame, width: int, placed: int, step: int, start: int = 0,
                by: str = "chrom", pos: str = "pos", value: str = "energy",
-               ends: DataFrame | None = None, bits: int = MERGE_BITS) -> DataFrame:
+               ends: DataFrame | None = None) -> DataFrame:
     """Lowest placement value inside each window of a track; NULL where no placement has a value.
 
     A window starting at p covers the placements p .. p + width - placed. Windows start every step
     bases from start and end at the region's end; ends gives it per contig, otherwise the last
-    placement does. Placements are cut into bins with the neighbours each bin needs, so a window
-    partition is bounded by the bin.
+    placement does. A placement goes to the few windows that cover it and the minimum is taken
+    before the shuffle, so neither a contig nor its placements are ever sorted.
     """
     span = width - placed
     if span < 0:
         raise ValueError("the window is shorter than the placement")
-    clean = placements.select(by, F.col(pos).cast("long").alias(pos),
-                              F.nanvl(F.col(value), F.lit(None)).alias(value))
-    one = clean.groupBy(by, pos).agg(F.min(value).alias(value))
-    binned = one.withColumn("_bin", F.explode(F.sequence(_bin(F.col(pos) - span, bits), _bin(pos, bits))))
-    frame = Window.partitionBy(by, "_bin").orderBy(pos).rangeBetween(0, span)
+    at = F.col(pos).cast("long")
+    last = F.expr(f"({pos} - {start}) div {step}") * step + start
+    first = F.greatest(F.lit(start).cast("long"),
+                       F.expr(f"({pos} - {span} - {start} + {step} - 1) div {step}") * step + start)
+    covering = F.when(first <= last, F.sequence(first, last, F.lit(step).cast("long")))
+    windows = (placements.where(at >= start)
+               .select(by, F.nanvl(F.col(value), F.lit(None)).alias(value), F.explode(covering).alias("window_start"))
+               .groupBy(by, "window_start").agg(F.min(value).alias("window_min")))
     if ends is None:
-        ends = one.groupBy(by).agg((F.max(pos) + placed).alias("region_end"))
-    return (binned.withColumn("window_min", F.min(value).over(frame))
-            .where((_bin(pos, bits) == F.col("_bin")) & (F.col(pos) >= start)
-                   & (F.pmod(F.col(pos) - start, F.lit(step)) == 0))
-            .join(ends, by).where(F.col(pos) + width <= F.col("region_end"))
-            .select(by, F.col(pos).alias("window_start"), "window_min"))
+        ends = placements.groupBy(by).agg((F.max(at) + placed).alias("region_end"))
+    return (windows.join(ends, by).where(F.col("window_start") + width <= F.col("region_end"))
+            .select(by, "window_start", "window_min"))
 
 
 def track_intervals(windows: DataFrame, lengths: DataFrame, width: int, step: int,

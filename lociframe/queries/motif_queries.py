@@ -403,10 +403,10 @@ def _(v):
     e AS (SELECT chrom, pos, CASE WHEN {has_only_acgt_sql('s')} THEN round({weight_sum_sql('s', 11)}, 6) END AS energy FROM w),
     m AS (SELECT chrom, pos, min(energy) OVER (PARTITION BY chrom ORDER BY pos ROWS BETWEEN CURRENT ROW AND 13 FOLLOWING) AS window_min,
         max(pos) OVER (PARTITION BY chrom) + 11 AS region_end FROM e)
-    SELECT chrom, pos AS window_start, window_min FROM m WHERE pos % 5 = 0 AND pos + 24 <= region_end""")
+    SELECT chrom, pos AS window_start, window_min FROM m WHERE pos % 20 = 0 AND pos + 24 <= region_end""")
 def _(v):
     from lociframe.functions import dna
     placed = dna.tile(with_halo(v.genome, 10, BIN).withColumn("bases", F.col("bases").cast("string")), "bases", 11, skip_n=False)
     placements = placed.select("chrom", (F.col("bin") * BIN + F.col("win_start")).alias("pos"),
                                F.round(weight_scorer(11)(F.col("win")), 6).alias("energy"))
-    return iv.window_min(placements, 24, 11, 5).select("chrom", "window_start", "window_min")
+    return iv.window_min(placements, 24, 11, 20).select("chrom", "window_start", "window_min")

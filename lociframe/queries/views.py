@@ -203,14 +203,14 @@ class Views:
         e = self.table("events")
         return e.where(F.col("event_id") % 7 != 0).select(
             F.col("event_id").alias("call_id"), F.col("event_type").alias("tool"), F.col("props").alias("args"),
-            (F.unix_millis("ts") + (F.col("event_id") % 5) * 1000).alias("ts_ms"))
+            (F.unix_millis(F.col("ts").cast("timestamp")) + (F.col("event_id") % 5) * 1000).alias("ts_ms"))
 
     @cached_property
     def uses(self) -> DataFrame:
         e = self.table("events")
         return e.select(
             F.col("event_id").alias("use_id"), F.col("event_type").alias("tool"), F.col("props").alias("args"),
-            F.unix_millis("ts").alias("ts_ms"), (F.unix_millis("ts") + 3000).alias("end_ms"))
+            F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"), (F.unix_millis(F.col("ts").cast("timestamp")) + 3000).alias("end_ms"))
 
 
 def _md5_sql(text: str, alphabet: str = EVEN) -> str:
@@ -275,9 +275,9 @@ SQL = {
         CASE WHEN event_id % 13 <> 0 THEN value / 100 END AS val_loss,
         (event_id % 100) / 100.0::DOUBLE AS val_auc FROM events""",
     "calls": """SELECT event_id AS call_id, event_type AS tool, props AS args,
-        epoch_ms(ts) + (event_id % 5) * 1000 AS ts_ms FROM events WHERE event_id % 7 <> 0""",
-    "uses": """SELECT event_id AS use_id, event_type AS tool, props AS args, epoch_ms(ts) AS ts_ms,
-        epoch_ms(ts) + 3000 AS end_ms FROM events""",
+        epoch_us(ts) // 1000 + (event_id % 5) * 1000 AS ts_ms FROM events WHERE event_id % 7 <> 0""",
+    "uses": """SELECT event_id AS use_id, event_type AS tool, props AS args, epoch_us(ts) // 1000 AS ts_ms,
+        epoch_us(ts) // 1000 + 3000 AS end_ms FROM events""",
     "weights": """SELECT p::BIGINT AS pos, b.base, ((p * 7 + b.code * 3) % 11 - 5) / 10.0::DOUBLE AS weight
         FROM range(64) t(p), (VALUES (0, 'A'), (1, 'C'), (2, 'G'), (3, 'T')) b(code, base)""",
     "motifs": "SELECT * FROM (VALUES " + ", ".join(
