@@ -36,7 +36,7 @@ def query(name: str, *operators: str, sql: str | None = None, views: str = ""):
 def load() -> None:
     """Import the modules that register queries."""
     from importlib import import_module
-    for module in ("interval_queries", "sequence_queries", "evaluation_queries", "motif_queries", "dataset_queries", "plan_queries"):
+    for module in ("interval_queries", "sequence_queries", "evaluation_queries", "motif_queries", "dataset_queries", "plan_queries", "file_queries"):
         import_module(f"lociframe.queries.{module}")
 
 
