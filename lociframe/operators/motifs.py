@@ -208,11 +208,14 @@ def window_length_at(width: int, even: bool = False) -> int:
 
 def best_window(df: DataFrame, scorer, width: int, key: str = "id", col: str = "seq",
                 all_scores: bool = False) -> DataFrame:
-    """Per sequence the best window: best_idx, best_seq, max_score, mean_score, and optionally the
-    scores of all windows in order. The first window wins a tie; NULLs when no window is valid.
+    """Per sequence the best window: best_idx, best_seq, max_score, mean_score, n_windows, and optionally
+    the scores of all windows in order. The first window wins a tie; NULLs when no window is valid.
 
-    Windows are scored as they stream out of the sequences and reduced before the shuffle.
+    A scorer that can slide (weights, pairs) takes whole sequences and nothing is shuffled. For any other
+    one, windows stream out of the sequences, are scored and reduced before the shuffle.
     """
+    if getattr(scorer, "length", None) == width and hasattr(scorer, "sliding"):
+        return _slide_best(df, scorer, width, col, all_scores)
     wins = dna.tile(df.select(key, F.col(col).alias("_s")), "_s", width).withColumn("score", scorer(F.col("win")))
     wins = scored(wins)
     aggs = [F.min_by(F.struct("win_start", "win", "score"), F.struct((-F.col("score")).alias("s"), "win_start")).alias("b"),
@@ -227,6 +230,46 @@ def best_window(df: DataFrame, scorer, width: int, key: str = "id", col: str = "
     return df.join(out, key, "left")
 
 
+def _slide_best(df: DataFrame, scorer, width: int, col: str, all_scores: bool) -> DataFrame:
+    fields = "best_idx long, max_score double, mean_score double, n_windows long" + (
+        ", all_scores array<double>" if all_scores else "")
+
+    @F.pandas_udf(f"struct<{fields.replace(' ', ':').replace(',:', ',')}>")
+    def slide(seqs: pd.Series) -> pd.DataFrame:
+        parts = [pd.DataFrame({c.split()[0]: [] for c in fields.split(", ")})]
+        texts = ["" if s is None else s for s in seqs]
+        for lo, hi in _chunks(texts):
+            data, starts = _joined(texts[lo:hi])
+            scores = np.full(len(data), np.nan)
+            values = scorer.sliding(CODES[data])
+            scores[:len(values)] = values
+            ok = ~np.isnan(scores)      # a window that reaches into the next sequence holds an N
+            n = np.add.reduceat(ok, starts, dtype=np.int64)
+            best = np.maximum.reduceat(np.where(ok, scores, -np.inf), starts)
+            total = np.add.reduceat(np.where(ok, scores, 0.0), starts)
+            owner = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(data))))
+            at = np.flatnonzero(ok & (scores == best[owner]))
+            rows, first = np.unique(owner[at], return_index=True)
+            idx = np.full(len(starts), -1, dtype=np.int64)
+            idx[rows] = at[first] - starts[rows]
+            found = n > 0
+            part = pd.DataFrame({
+                "best_idx": pd.Series(idx).where(found).astype("Int64"), "max_score": np.where(found, best, np.nan),
+                "mean_score": np.where(found, total / np.maximum(n, 1), np.nan), "n_windows": pd.Series(n).where(found).astype("Int64")})
+            part["max_score"] = part["max_score"].astype("Float64").where(found)
+            part["mean_score"] = part["mean_score"].astype("Float64").where(found)
+            if all_scores:
+                ends = np.append(starts[1:], len(data))
+                part["all_scores"] = [scores[s:e][ok[s:e]] if k else None for s, e, k in zip(starts, ends, found)]
+            parts.append(part)
+        return pd.concat(parts[1:] or parts, ignore_index=True)
+
+    out = df.withColumn("_b", slide(F.upper(F.col(col))))
+    text = F.substring(F.col(col), (F.col("_b.best_idx") + 1).cast("int"), F.lit(width))
+    return out.select(*df.columns, "_b.best_idx", F.upper(text).alias("best_seq"), "_b.max_score", "_b.mean_score",
+                      "_b.n_windows", *(["_b.all_scores"] if all_scores else []))
+
+
 def pfm(df: DataFrame, col: str = "seq", by: Sequence[str] = ()) -> DataFrame:
     """Counts and shares per position and base of sequences of one length; every base is listed.
 

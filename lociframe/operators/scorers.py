@@ -62,34 +62,48 @@ def _nullable(values: np.ndarray) -> pd.Series:
 
 
 class WeightScorer(Scorer):
-    """Sum of one weight per position and base, for sequences of one length."""
+    """Sum of one weight per position and base, for sequences of one length.
 
-    def __init__(self, weights, bias: float = 0.0):
+    digits rounds the sums, so that sums equal on paper are equal in every order of addition.
+    """
+
+    def __init__(self, weights, bias: float = 0.0, digits: int | None = None):
         self.weights = np.asarray(weights, dtype=float)
         self.bias = float(bias)
+        self.digits = digits
         self.length = len(self.weights)
 
+    def _rounded(self, values: np.ndarray) -> np.ndarray:
+        return values if self.digits is None else np.round(values, self.digits) + 0.0
+
     def batch(self, seqs):
         codes, ok = encode(seqs, self.length)
-        total = np.full(len(codes), self.bias)
+        return np.where(ok, self._rounded(self._sum(lambda p: codes[:, p], len(codes))), np.nan)
+
+    def _sum(self, column: Callable[[int], np.ndarray], n: int) -> np.ndarray:
         table = np.hstack([self.weights, np.full((self.length, 1), np.nan)])
+        total = np.full(n, self.bias)
         for p in range(self.length):
-            total += table[p, codes[:, p]]
-        return np.where(ok, total, np.nan)
+            total += table[p, column(p)]
+        return total
+
+    def sliding(self, codes: np.ndarray) -> np.ndarray:
+        """Scores of all windows of a coded sequence; NaN for one with another letter."""
+        n = max(len(codes) - self.length + 1, 0)
+        return self._rounded(self._sum(lambda p: codes[p:p + n], n))
 
 
 class PairScorer(WeightScorer):
     """Weights per position plus terms (pos_i, base_i, pos_j, base_j, value) for pairs of positions."""
 
-    def __init__(self, weights, pairs, bias: float = 0.0):
-        super().__init__(weights, bias)
+    def __init__(self, weights, pairs, bias: float = 0.0, digits: int | None = None):
+        super().__init__(weights, bias, digits)
         self.pairs = [tuple(p) for p in pairs]
 
-    def batch(self, seqs):
-        total = super().batch(seqs)
-        codes, _ = encode(seqs, self.length)
+    def _sum(self, column, n):
+        total = super()._sum(column, n)
         for i, a, j, b, value in self.pairs:
-            total += value * ((codes[:, i] == a) & (codes[:, j] == b))
+            total += value * ((column(i) == a) & (column(j) == b))
         return total
 
 

@@ -138,13 +138,22 @@ def _(v):
 @query("best_window", "M8", views="texts", sql=f"""
     WITH {windows_sql('texts', 24)}, s AS (SELECT id, win_start, win, round({weight_sum_sql('win', 24)}, 9) AS score FROM wins),
     b AS (SELECT id, arg_min(win_start, (-score, win_start)) AS best_idx, arg_min(win, (-score, win_start)) AS best_seq, round(max(score), 6) AS max_score,
-        round(avg(score), 6) AS mean_score, count(*) AS n_windows FROM s GROUP BY id)
-    SELECT t.id, best_idx, best_seq, max_score, mean_score, n_windows FROM texts t LEFT JOIN b USING (id)""")
+        round(sum(score), 4) + 0.0 AS total, count(*) AS n_windows FROM s GROUP BY id)
+    SELECT t.id, best_idx, best_seq, max_score, total, n_windows FROM texts t LEFT JOIN b USING (id)""")
 def _(v):
-    scorer = weight_scorer(24)
-    out = mo.best_window(v.texts, lambda c: F.round(scorer(c), 9), 24)
+    out = mo.best_window(v.texts, weight_scorer(24, digits=9), 24)
     return out.select("id", "best_idx", "best_seq", F.round("max_score", 6).alias("max_score"),
-                      F.round("mean_score", 6).alias("mean_score"), "n_windows")
+                      (F.round(F.col("mean_score") * F.col("n_windows"), 4) + 0.0).alias("total"), "n_windows")
+
+
+@query("best_window_any_scorer", "M8", views="texts", sql=f"""
+    WITH {windows_sql('texts', 20)}, s AS (SELECT id, win_start, length(regexp_replace(win, '[^GC]', '', 'g')) / 20.0::DOUBLE AS score FROM wins)
+    SELECT id, arg_min(win_start, (-score, win_start)) AS best_idx, round(max(score), 6) AS max_score, round(avg(score), 6) AS mean_score FROM s GROUP BY id""")
+def _(v):
+    """A Spark expression as the scorer: windows stream out of the texts."""
+    from lociframe.functions.dna import gc_content
+    out = mo.best_window(v.texts, ExpressionScorer(gc_content), 20).where("best_idx is not null")
+    return out.select("id", "best_idx", F.round("max_score", 6).alias("max_score"), F.round("mean_score", 6).alias("mean_score"))
 
 
 @query("variant_effect", "M10", views="variants chroms", sql=f"""

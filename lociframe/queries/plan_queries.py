@@ -14,9 +14,8 @@ _CODING = ", ".join(f"'{c}'" for c in CODING)
 
 
 def _rounded(width):
-    """The additive scorer to nine digits, so that equal sums are equal in every order of addition."""
-    scorer = weight_scorer(width)
-    return lambda c: F.round(scorer(c), 9)
+    """The additive scorer to nine digits."""
+    return weight_scorer(width, digits=9)
 
 
 def _score_sql(col, width):

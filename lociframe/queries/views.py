@@ -39,8 +39,8 @@ def weight(pos: int, base: int) -> float:
     return ((pos * 7 + base * 3) % 11 - 5) / 10.0
 
 
-def weight_scorer(length: int) -> WeightScorer:
-    return WeightScorer([[weight(p, b) for b in range(4)] for p in range(length)])
+def weight_scorer(length: int, digits: int | None = None) -> WeightScorer:
+    return WeightScorer([[weight(p, b) for b in range(4)] for p in range(length)], digits=digits)
 
 
 def pair_scorer(length: int) -> PairScorer:
