@@ -13,12 +13,14 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lociframe.operators.sampling import take_by_hash
 
-BUCKETS = 1024
+BUCKETS = 1024          # equal parts of a group's range
+BUCKET_ROWS = 100_000   # distinct scores from which a part is split further
+FINE = 4096             # into at most this many
 
 
 def _group(by: Sequence[str], *more) -> list:
@@ -29,30 +31,43 @@ def scored(df: DataFrame, score: str = "score") -> DataFrame:
     return df.where(F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")))
 
 
+def _share(value: Column, lo: Column, hi: Column, parts: Column) -> Column:
+    """Which of the equal parts of [lo, hi] a value lies in; halves keep the differences finite."""
+    share = (value / 2 - lo / 2) / (hi / 2 - lo / 2)
+    return F.when(hi > lo, F.greatest(F.lit(0), F.least(F.floor(share * parts), parts - 1))).otherwise(0).cast("long")
+
+
+def _bucketed(points: DataFrame, by: Sequence[str], x: str, buckets: int, bucket_rows: int) -> DataFrame:
+    """Adds _b, a bucket number that never falls as x grows: equal parts of a group's range, and where
+    one holds many rows, as under a long tail, equal parts of that part's own range."""
+    value = F.col(x).cast("double")
+    finite = F.when(F.abs(value) < F.lit(float("inf")), value)
+    span = points.groupBy(*by).agg(F.struct(F.min(finite).alias("lo"), F.max(finite).alias("hi")).alias("_s"))
+    coarse = points.join(span, list(by)) if by else points.withColumn("_s", span.scalar())
+    part = _share(value, F.col("_s.lo"), F.col("_s.hi"), F.lit(buckets))
+    coarse = coarse.withColumn("_p", F.when(value == float("inf"), buckets).when(value == float("-inf"), -1)
+                               .otherwise(part)).drop("_s")
+    inner = coarse.groupBy(*by, "_p").agg(
+        F.min(finite).alias("_lo"), F.max(finite).alias("_hi"),
+        F.least(F.ceil(F.count(F.lit(1)) / bucket_rows), F.lit(FINE)).alias("_n"))
+    fine = _share(value, F.col("_lo"), F.col("_hi"), F.col("_n"))
+    return (coarse.join(inner, [*by, "_p"])
+            .withColumn("_b", F.col("_p") * FINE + F.coalesce(fine, F.lit(0))).drop("_p", "_lo", "_hi", "_n"))
+
+
 def with_prefix(points: DataFrame, by: Sequence[str], x: str, counts: Sequence[str],
-                buckets: int = BUCKETS) -> DataFrame:
+                buckets: int = BUCKETS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Adds to each point of a group the sum of every count over the smaller x (c_before), the
     group's total (c_all), and the same counts of the next smaller and next larger x
     (c_lower, c_upper; NULL at the ends). points has one row per group and x.
     """
     by = list(by)
-    # x as a finite double for the bucket only; infinite values go to the outer buckets.
-    value = F.col(x).cast("double")
-    finite = F.when(F.abs(value) < F.lit(float("inf")), value)
-    span = points.groupBy(*by).agg(F.min(finite).alias("_lo"), F.max(finite).alias("_hi"))
-    spread = points.join(span, by) if by else points.withColumn("_s", span.select(
-        F.struct("_lo", "_hi")).scalar()).select("*", "_s.*").drop("_s")
-    share = (value / 2 - F.col("_lo") / 2) / (F.col("_hi") / 2 - F.col("_lo") / 2)
-    bucket = (F.when(value == float("inf"), buckets - 1).when(value == float("-inf"), 0)
-              .when(F.col("_hi") > F.col("_lo"), F.least(F.floor(share * buckets), F.lit(buckets - 1)))
-              .otherwise(0).cast("int"))
-    spread = spread.withColumn("_b", bucket).drop("_lo", "_hi")
-
+    spread = _bucketed(points, by, x, buckets, bucket_rows)
     row = F.struct(*counts)
     totals = spread.groupBy(*by, "_b").agg(
         *[F.sum(c).alias(c) for c in counts],
         F.min_by(row, x).alias("_first"), F.max_by(row, x).alias("_last"))
-    across = Window.partitionBy(*_group(by)).orderBy("_b")    # at most `buckets` rows a group
+    across = Window.partitionBy(*_group(by)).orderBy("_b")    # one row per bucket
     whole = Window.partitionBy(*_group(by))
     totals = totals.select(
         *by, "_b",

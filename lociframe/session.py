@@ -18,6 +18,9 @@ SETTINGS = {
 }
 
 
+_LOCAL_FOLDERS: dict[str, str] = {}
+
+
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings to a session and return it."""
     for key, value in SETTINGS.items():
@@ -26,15 +29,20 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a temporary one only where none is set."""
+    """The shared folder named by spark.checkpoint.dir.
+
+    Where none is set, a local session, as in tests, gets a temporary one; a cluster is an error, because
+    its executors share no local folder.
+    """
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        current = sc._jsc.sc().getCheckpointDir()
-        folder = current.get() if current.isDefined() else tempfile.mkdtemp(prefix="lociframe-")
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(folder)
-    return folder
+    if folder:
+        return folder
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    if sc.applicationId not in _LOCAL_FOLDERS:
+        _LOCAL_FOLDERS[sc.applicationId] = tempfile.mkdtemp(prefix="lociframe-")
+    return _LOCAL_FOLDERS[sc.applicationId]
 
 
 def stored(df: DataFrame) -> DataFrame:
