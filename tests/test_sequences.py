@@ -157,7 +157,9 @@ def test_matched_regions_hold_their_contract(spark, small_genome):
     lengths = spark.createDataFrame([("chr1", 20_000), ("chr1_alt", 512)], "chrom string, length long")
     pos = spark.createDataFrame([(i, text[i * 300:i * 300 + 50 + i]) for i in range(20)], "id long, seq string")
     excluded = spark.createDataFrame([("chr1", 0, 6000)], "chrom string, start long, end long")
-    got = ng.matched_region_negatives(pos, genome, lengths, excluded, 512, tries=30).collect()
+    got = ng.matched_region_negatives(pos, genome, lengths, excluded, 512, tries=30, first_tries=2).collect()
+    at_once = ng.matched_region_negatives(pos, genome, lengths, excluded, 512, tries=30, first_tries=30).collect()
+    assert sorted(got) == sorted(at_once)
     assert len(got) == 20
     for r in got:
         assert r["chrom"] == "chr1" and r["start"] >= 6000 and r["end"] - r["start"] == 50 + r["id"]
