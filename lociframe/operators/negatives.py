@@ -66,7 +66,8 @@ def gc_report(positives: DataFrame, negatives: DataFrame) -> DataFrame:
 
 def matched_region_negatives(positives: DataFrame, genome: DataFrame, lengths: DataFrame,
                              excluded: DataFrame, bin_width: int, key: str = "id", seed=43,
-                             tolerance: float = GC_BIN, tries: int = 200, first_tries: int = 8) -> DataFrame:
+                             tolerance: float = GC_BIN, tries: int = 200, first_tries: int = 8,
+                             longest: int | None = None) -> DataFrame:
     """For each positive a region of its length with a GC share within the tolerance.
 
     positives has key and seq. Each positive draws `tries` positions by hash on contigs named chr..
@@ -75,8 +76,10 @@ def matched_region_negatives(positives: DataFrame, genome: DataFrame, lengths: D
     without a region give no row. The rows carry their N replaced by random bases.
 
     Most positives are served by their first few draws, so only the others go on to the rest; the
-    result is that of all draws at once.
+    result is that of all draws at once. longest is the length no positive exceeds, where the caller
+    knows it. Draws spread evenly over the genome, so no bin is hot.
     """
+    excluded = stored(excluded)
     usable = lengths.where(F.col("chrom").startswith("chr") & ~F.col("chrom").contains("_"))
     contigs = usable.agg(F.sort_array(F.collect_list(F.struct("chrom", "length")))).scalar()   # one entry per contig
     targets = positives.select(key, F.length("seq").alias("_len"), dna.gc_content("seq").alias("target_gc"))
@@ -95,8 +98,8 @@ def matched_region_negatives(positives: DataFrame, genome: DataFrame, lengths: D
                  .withColumn("start", F.pmod(draw("start"),
                                              F.greatest(F.lit(1), F.col("_c.length") - F.col("_len"))))
                  .withColumn("end", F.least(F.col("start") + F.col("_len"), F.col("_c.length"))).drop("_c"))
-        free = exclude_overlaps(drawn, excluded).withColumn("_row", F.struct(key, "attempt"))
-        cut = extract_regions(free, genome, bin_width, "_row").where(F.col("seq").isNotNull())
+        free = exclude_overlaps(drawn, excluded, longest, hot_rows=None).withColumn("_row", F.struct(key, "attempt"))
+        cut = extract_regions(free, genome, bin_width, "_row", hot_rows=None).where(F.col("seq").isNotNull())
         n_share = (F.length("seq") - F.length(F.translate("seq", "N", ""))) / F.length("seq")
         judged = cut.where(n_share <= 0.1).withColumn(
             "gc_ok", F.abs(dna.gc_content("seq") - F.col("target_gc")) <= tolerance)

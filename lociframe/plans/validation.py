@@ -142,7 +142,7 @@ def peak_set_validation(peaks: DataFrame, genome: DataFrame, lengths: DataFrame,
         negatives = ng.dinuc_shuffle(positives, key, 1, seed).select(key, "seq")
     elif mode == "genomic":
         excluded = iv.exclusion_set(peaks, 1000)
-        negatives = ng.matched_region_negatives(positives, genome, lengths, excluded, bin_width, key, seed, tries=tries)
+        negatives = ng.matched_region_negatives(positives, genome, lengths, excluded, bin_width, key, seed, tries=tries, longest=max_region)
     else:
         raise ValueError(f"unknown mode {mode!r}: shuffle or genomic")
     both = stored(positives.select(F.concat(F.lit("p"), F.col(key).cast("string")).alias("rid"), F.lit(1).alias("label"), "seq")

@@ -212,7 +212,7 @@ def _(v):
 def _(v):
     peaks = gn.extract_regions(v.intervals.where("num >= 4").select("id", "chrom", "start", "end"), v.genome, BIN, "id")
     excluded = iv.exclusion_set(v.intervals.where("num >= 4"), 50)
-    return ng.matched_region_negatives(stored(peaks.where(F.col("seq").isNotNull())), v.genome, v.contigs, excluded, BIN, tries=12)
+    return ng.matched_region_negatives(stored(peaks.where(F.col("seq").isNotNull())), v.genome, v.contigs, excluded, BIN, tries=12, longest=300)
 
 
 @query("dinuc_shuffle", "N4")
