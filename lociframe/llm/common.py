@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lociframe.session import stored
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -26,3 +28,30 @@ def with_key(docs: DataFrame) -> DataFrame:
     Rows repeated with one id and one text are one document listed twice, and have one key.
     """
     return docs.withColumns({"_d": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long")), "_h": F.xxhash64("text")})
+
+
+def join_measured(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", rows: int = 200_000) -> DataFrame:
+    """big joined to a stored table: broadcast when a count shows that it has at most `rows` narrow rows, shuffled otherwise."""
+    return big.join(F.broadcast(small) if small.count() <= rows else small, on, how)
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root) of the connected components of edges (u, v); root is the least node. Nodes without an edge are absent.
+
+    Alternating stars: every node's larger neighbours are hung on its least neighbour, then its smaller ones,
+    until nothing moves. No step gathers a neighbourhood; each writes its table to the shared folder.
+    """
+    now = stored(edges.filter(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    state = None
+    while True:
+        both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.filter(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = stored(large)
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        moved = large.join(least, "u").filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        now = stored(moved.union(least.select("u", F.col("m").alias("v"))).distinct())
+        seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if state == seen:
+            return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        state = seen

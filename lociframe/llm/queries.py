@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lociframe.llm import chat, quality
+from lociframe.llm import chat, jaccard, quality
 from lociframe.llm.common import read, text_crc, texts
 from lociframe.session import configure
 
@@ -62,3 +62,9 @@ SELECT conv_id, count(*) AS n_turns,
   sum(length(replace(replace(replace(role, '\', '\\'), '<|', '<\|'), chr(10), '\n'))
     + length(replace(replace(text, '\', '\\'), '<|', '<\|')) + length('<|im_start|>') + 1 + length('<|im_end|>') + 1)::BIGINT AS formatted_chars
 FROM rows GROUP BY conv_id"""
+
+
+@_query
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class and number of links of every document, at a similarity of 0.8 on runs of five words."""
+    return jaccard.similarity_join(texts(read(spark, sf_dir, "documents"))).drop("root", "_d", "_h")
