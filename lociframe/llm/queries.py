@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lociframe.llm import chat, jaccard, quality
+from lociframe.llm import chat, decontaminate, jaccard, quality
 from lociframe.llm.common import read, text_crc, texts
 from lociframe.session import configure
 
@@ -68,3 +68,10 @@ FROM rows GROUP BY conv_id"""
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class and number of links of every document, at a similarity of 0.8 on runs of five words."""
     return jaccard.similarity_join(texts(read(spark, sf_dir, "documents"))).drop("root", "_d", "_h")
+
+
+@_query
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that holds a benchmark item, with the item and its overlaps."""
+    items = decontaminate.split_items(read(spark, sf_dir, "benchmark"))
+    return decontaminate.contaminated(texts(read(spark, sf_dir, "documents")), items)

@@ -8,10 +8,11 @@ import pyarrow.compute as pc
 import xxhash
 
 
-def split_words(texts: pa.Array, ascii_only: bool = False) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+def split_words(texts: pa.Array, ascii_only: bool = False, bare: bool = False) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     """(codes, words, offsets): text k is words[codes[offsets[k]:offsets[k + 1]]]; lower case, cut at white space.
 
     ascii_only lower-cases A-Z and cuts at space, tab, line feed, vertical tab, form feed and return alone.
+    bare takes what is neither letter nor digit off both ends of a word, and words of nothing else out.
     """
     texts = pc.fill_null(texts, "")
     lists = pc.ascii_split_whitespace(pc.ascii_lower(texts)) if ascii_only else pc.utf8_split_whitespace(pc.utf8_lower(texts))
@@ -21,7 +22,13 @@ def split_words(texts: pa.Array, ascii_only: bool = False) -> tuple[np.ndarray,
     np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False), out=starts[1:])
     kept = np.concatenate([[0], np.cumsum(full.to_numpy(zero_copy_only=False))]).astype(np.int64)
     coded = flat.filter(full).dictionary_encode()
-    return coded.indices.to_numpy(zero_copy_only=False), coded.dictionary, kept[starts]
+    codes, words, at = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary, kept[starts]
+    if bare and len(words):
+        again = pc.replace_substring_regex(words, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "").dictionary_encode()
+        words, codes = again.dictionary, again.indices.to_numpy(zero_copy_only=False)[codes]
+        left = np.concatenate([[False], pc.greater(pc.binary_length(words), 0).to_numpy(zero_copy_only=False)])[codes + 1]
+        codes, at = codes[left], np.concatenate([[0], np.cumsum(left)]).astype(np.int64)[at]
+    return codes, words, at
 
 
 def word_hashes(words: pa.Array) -> np.ndarray:
