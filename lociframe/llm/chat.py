@@ -74,6 +74,7 @@ def format_trees(nodes: DataFrame, branches: int | None = None, trained: str = "
     nodes has (tree, node, parent, role, text, score). The paths of a tree are ranked by mean score, then
     by leaf; branches is how many of them are kept, None keeps all.
     """
+    nodes = stored(nodes)
     known = nodes.select(F.col("tree").alias("_tree"), F.col("node").alias("_node"), "role", "text", "score")
     found = paths(nodes)
     turns = found.join(known, _same(found, known, "node", "_node"))

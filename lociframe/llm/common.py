@@ -12,6 +12,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def with_small_batches(spark: SparkSession) -> SparkSession:
+    """Long texts come in small Arrow batches, so that a Python worker holds few of them."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    return spark
+
+
 def texts(docs: DataFrame) -> DataFrame:
     """(doc_id, text) alone, whatever else a table holds; a null text is an empty one."""
     return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lociframe.llm.words import split_words
+from lociframe.llm.words import pieces, slices, split_words
 from lociframe.session import stored
 
 K1, B = 1.2, 0.75
@@ -49,7 +49,7 @@ def split_items(benchmark: DataFrame) -> DataFrame:
 
 
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         codes, words, at = split_words(batch.column("text"), bare=True)
         item = np.repeat(np.arange(len(batch)), np.diff(at))
         pairs, times = np.unique(item * max(1, len(words)) + codes, return_counts=True)
@@ -204,7 +204,7 @@ def leaks_of(spark, index: Index, threshold: float, overlap: float):
     @F.arrow_udf(LEAK)
     def found(text: pa.Array) -> pa.Array:
         kind = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64()), ("start_word", pa.int64())]))
-        return pa.array(shared.value.leaks(text, threshold, overlap), kind)
+        return pa.array([x for a, b in pieces(text) for x in shared.value.leaks(text[a:b], threshold, overlap)], kind)
     return found
 
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lociframe.llm.common import components, join_measured, with_key
-from lociframe.llm.words import mix, shingle_sets
+from lociframe.llm.words import mix, shingle_sets, slices
 from lociframe.session import stored
 
 SIZE, THRESHOLD = 5, 0.8
@@ -162,7 +162,7 @@ def _roots(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def _fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         sets = shingle_sets(batch.column("text"), SIZE)
         full = [i for i, s in enumerate(sets) if len(s)]
         sig = signatures([sets[i] for i in full]) if full else np.zeros((0, HASHES), np.uint32)
@@ -185,7 +185,7 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         runs = pa.array([s.tobytes() for s in shingle_sets(batch.column("text"), SIZE)], pa.binary())
         names = ["key", "root", "chunk", "chunks", "copies", "sig"]
         yield pa.RecordBatch.from_arrays([batch.column(n) for n in names] + [runs], names=names + ["runs"])

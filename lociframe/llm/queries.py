@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lociframe.llm import chat, decontaminate, jaccard, quality
-from lociframe.llm.common import read, text_crc, texts
+from lociframe.llm import chat, decontaminate, jaccard, lines, quality
+from lociframe.llm.common import read, text_crc, texts, with_small_batches
 from lociframe.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -17,7 +17,7 @@ ORACLES: dict[str, str] = {}
 
 def _query(fn):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return fn(configure(spark), sf_dir)
+        return fn(with_small_batches(configure(spark)), sf_dir)
     run.__name__, run.__doc__ = fn.__name__, fn.__doc__
     QUERIES[fn.__name__] = run
     return run
@@ -75,3 +75,10 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document that holds a benchmark item, with the item and its overlaps."""
     items = decontaminate.split_items(read(spark, sf_dir, "benchmark"))
     return decontaminate.contaminated(texts(read(spark, sf_dir, "documents")), items)
+
+
+@_query
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without later copies of runs of lines of 50 words or more, with the numbers of the lines that went."""
+    out = lines.dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", F.size(F.split("text", "\n")).cast("long").alias("kept_lines"), "removed_lines", "text")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -31,6 +33,23 @@ def split_words(texts: pa.Array, ascii_only: bool = False, bare: bool = False) -
     return codes, words, at
 
 
+def slices(batches: Iterator[pa.RecordBatch], size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The rows of batches again, in batches whose texts have about `size` bytes; a longer text is a batch of its own."""
+    for batch in batches:
+        for a, b in pieces(batch.column("text"), size):
+            yield batch.slice(a, b - a)
+
+
+def pieces(texts: pa.Array, size: int = 4 << 20) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about `size` bytes together."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    a = 0
+    while a < len(texts):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + size, side="right")))
+        yield a, b
+        a = b
+
+
 def word_hashes(words: pa.Array) -> np.ndarray:
     return np.array([xxhash.xxh3_64_intdigest(w) for w in words.to_pylist()], dtype=np.uint64)
 
