@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lociframe.llm import chat, decontaminate, jaccard, lines, quality
+from lociframe.llm import chat, decontaminate, jaccard, lines, pieces, quality
 from lociframe.llm.common import read, text_crc, texts, with_small_batches
 from lociframe.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 
 
 def _query(fn):
@@ -82,3 +83,9 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without later copies of runs of lines of 50 words or more, with the numbers of the lines that went."""
     out = lines.dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", F.size(F.split("text", "\n")).cast("long").alias("kept_lines"), "removed_lines", "text")
+
+
+@_query
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every whole document, and whether they decode to it."""
+    return pieces.encode(texts(read(spark, sf_dir, "documents")), pieces.load(VOCABULARY))
