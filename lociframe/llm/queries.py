@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lociframe.llm import chat, decontaminate, jaccard, lines, pieces, quality
+from lociframe.llm import chat, decontaminate, fingerprints, jaccard, lines, pieces, quality, secrets
 from lociframe.llm.common import read, text_crc, texts, with_small_batches
 from lociframe.session import configure
 
@@ -89,3 +89,25 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every whole document, and whether they decode to it."""
     return pieces.encode(texts(read(spark, sf_dir, "documents")), pieces.load(VOCABULARY))
+
+
+@_query
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every whole document: counts and a digest of the base kinds, and all spans."""
+    found = secrets.scan(texts(read(spark, sf_dir, "documents")))
+    base = [r.kind for r in secrets.BASE]
+
+    def joined(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    def count(kind):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    counts = [count(k) for k in base]
+    return found.select("doc_id", *counts, F.sha2(joined(F.filter("spans", lambda s: s["kind"].isin(base))), 256).alias("base_sha256"),
+                        joined(F.col("spans")).alias("spans"))
+
+
+@_query
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every whole document and of its edited text, and how alike they are."""
+    return fingerprints.compare_with_next(texts(read(spark, sf_dir, "documents")))
