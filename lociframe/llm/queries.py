@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lociframe.llm import chat, decontaminate, fingerprints, jaccard, lines, pieces, quality, secrets
+from lociframe.llm import chat, decontaminate, fingerprints, jaccard, lines, pieces, quality, secrets, warc
 from lociframe.llm.common import read, text_crc, texts, with_small_batches
 from lociframe.session import configure
 
@@ -111,3 +111,24 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every whole document and of its edited text, and how alike they are."""
     return fingerprints.compare_with_next(texts(read(spark, sf_dir, "documents")))
+
+
+@_query
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to WARC archives and read back through the capture index."""
+    pages = read(spark, sf_dir, "pages").select("page_id", "url", "html")
+    folder, places = warc.write_archives(pages)
+    found = warc.lookup(folder, warc.build_index(folder, places), pages.select("url").distinct(), payload=False)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLES["op7_warc"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+  d AS (SELECT page_id, octet_length(encode(html)) AS n, sha1(html) AS h, max(page_id) OVER (PARTITION BY html) AS original FROM p),
+  -- base32 of the 160 bits: eight groups of five hex digits, four letters each
+  g AS (SELECT page_id, n, original, list_transform(range(8), lambda k: ('0x' || substr(h, 1 + 5 * k, 5))::BIGINT) AS v FROM d)
+SELECT page_id, n::BIGINT AS payload_bytes,
+  list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (1 + ((v[1 + i // 4] >> (15 - 5 * (i % 4))) & 31))::INT, 1)), 'string_agg', '') AS payload_digest,
+  CASE WHEN page_id = original THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> original THEN original END AS refers_to
+FROM g"""
