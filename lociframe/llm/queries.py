@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lociframe.llm import chat, decontaminate, fingerprints, jaccard, lines, pieces, quality, secrets, warc
+from lociframe.llm import chat, decontaminate, fingerprints, jaccard, lines, ngram_lm, pieces, quality, secrets, warc
 from lociframe.llm.common import read, text_crc, texts, with_small_batches
 from lociframe.session import configure
 
@@ -132,3 +132,10 @@ SELECT page_id, n::BIGINT AS payload_bytes,
   CASE WHEN page_id = original THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id <> original THEN original END AS refers_to
 FROM g"""
+
+
+@_query
+def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every whole document, learned from nine tenths of them."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(text_crc("doc_id") % 10 != 0, F.lit(True)).alias("training"))
+    return ngram_lm.learn_and_score(docs)[1]
