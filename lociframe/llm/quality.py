@@ -192,12 +192,17 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS, bags: int = BAGS)
     return Model(cuts, [json.loads(r["model"]) for r in sorted(fitted)])
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with score, a double from 0 to 1."""
-    @F.pandas_udf("double")
+def scorer(model: Model):
+    """A function of a text column that gives its score."""
+    @F.pandas_udf(T.DoubleType())
     def scored(text: pd.Series) -> pd.Series:
         return pd.Series(model.score(matrix(text)))
-    return docs.withColumn("score", scored("text"))
+    return scored
+
+
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """docs with score, a double from 0 to 1; a column of that name is replaced."""
+    return docs.withColumn("score", scorer(model)("text"))
 
 
 def quality_labels(labels: DataFrame) -> DataFrame:
