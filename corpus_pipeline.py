@@ -34,7 +34,7 @@ def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     _ready(spark)
     out = lines.dedup_lines(docs)
     lost = F.size("removed_lines") > 0
-    out = out.filter(~(lost & (F.trim("text") == "")) | ~lost)
+    out = out.filter(~lost | F.col("text").rlike(r"\S"))
     return out.withColumn("n_chars", F.when(lost, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 

@@ -37,9 +37,10 @@ def with_key(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"_d": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long")), "_h": F.xxhash64("text")})
 
 
-def join_measured(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", rows: int = 200_000) -> DataFrame:
-    """big joined to a stored table: broadcast when a count shows that it has at most `rows` narrow rows, shuffled otherwise."""
-    return big.join(F.broadcast(small) if small.count() <= rows else small, on, how)
+def join_measured(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", width: Column | int = 32, limit: int = 16 << 20) -> DataFrame:
+    """big joined to a stored table: broadcast where its rows, of `width` bytes each, come to `limit` bytes at most, shuffled otherwise."""
+    size = small.agg(F.sum(F.lit(width) if isinstance(width, int) else width)).first()[0] or 0
+    return big.join(F.broadcast(small) if size <= limit else small, on, how)
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -42,10 +42,10 @@ LEAK = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.Struc
 
 def split_items(benchmark: DataFrame) -> DataFrame:
     """(item_id, question, answer) of items (item_id, text): the answer is the last sentence, the question what precedes it."""
-    text = F.trim(F.coalesce("text", F.lit("")))
+    text = F.regexp_replace(F.coalesce("text", F.lit("")), r"^\s+|\s+$", "")
     cut = F.regexp_extract(text, r"(?s)^(.*[.!?])\s+(\S.*)$", 1)
     return benchmark.select("item_id", F.when(cut == "", text).otherwise(cut).alias("question"),
-                            F.when(cut == "", "").otherwise(F.trim(F.substr(text, F.length(cut) + 1))).alias("answer"))
+                            F.when(cut == "", "").otherwise(F.regexp_replace(F.substr(text, F.length(cut) + 1), r"^\s+", "")).alias("answer"))
 
 
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

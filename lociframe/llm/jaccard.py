@@ -242,7 +242,7 @@ def similarity_join(docs: DataFrame, threshold: float = THRESHOLD, tolerance: fl
     members = stored(near.join(classes, "key").select("key", "root", "copies", "sig", "bytes", F.col("first._d").alias("_d"), F.col("first._h").alias("_h")))
     sizes = members.groupBy("root").agg(F.greatest(F.ceil(F.count(F.lit(1)) / CHUNK_ROWS), F.ceil(F.sum("bytes") / CHUNK_BYTES)).cast("int").alias("chunks"))
     members = stored(members.join(sizes, "root").select("key", "root", "chunks", F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int").alias("chunk"), "copies", "sig", "_d", "_h"))
-    sets = (join_measured(docs, members, ["_d", "_h"], rows=50_000).dropDuplicates(["key"])
+    sets = (join_measured(docs, members, ["_d", "_h"], width=100 + 4 * HASHES).dropDuplicates(["key"])
             .select("text", "key", "root", "chunk", "chunks", "copies", "sig")
             .mapInArrow(_sets, "key binary, root binary, chunk int, chunks int, copies long, sig binary, runs binary"))
     tasks = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))

@@ -142,6 +142,6 @@ def dedup_lines(docs: DataFrame, words: int = WORDS) -> DataFrame:
     d, h, runs, cut = (_own(n, docs.columns) for n in ("_run_d", "_run_h", "_runs", "_cut"))
     per_doc = stored(copies.groupBy(F.col("_d").alias(d), F.col("_h").alias(h)).agg(F.collect_list(F.struct("no", "length")).alias(runs)))
     keyed = docs.withColumns({d: F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long")), h: F.xxhash64(F.coalesce("text", F.lit("")))})
-    out = join_measured(keyed, per_doc, [d, h], "left").withColumn(cut, _cut("text", runs, F.lit(words)))
+    out = join_measured(keyed, per_doc, [d, h], "left", width=40 + 24 * F.size(runs)).withColumn(cut, _cut("text", runs, F.lit(words)))
     kept = [F.col(f"{cut}.text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns if c != "removed_lines"]
     return out.select(*kept, F.col(f"{cut}.removed").alias("removed_lines"))

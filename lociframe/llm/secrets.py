@@ -8,7 +8,7 @@ query says, and only the documents left are searched with the expression itself.
 is put to every document. Hash collisions only add candidates.
 
 Postings are shuffled for the trigrams of the rules alone, a block's worth to a task; texts are not shuffled
-while the candidates are few enough to be broadcast (counted first), and are joined to them by a shuffle beyond that.
+while the candidates are few enough to be broadcast (measured first), and are joined to them by a shuffle beyond that.
 
 Spans are leftmost and non-overlapping per kind, in code points, end exclusive; a match that is too short is dropped, but
 what it covers is not searched again. Null texts are empty. Rows repeated with one id and text are found alike. Other

@@ -127,7 +127,7 @@ def write_archives(pages: DataFrame, least: int = 0) -> tuple[str, DataFrame]:
     digests = stored(keyed.select("_p", "_sha", F.octet_length("html").alias("bytes")))
     groups = digests.filter(F.col("bytes") >= least).groupBy("_sha").agg(F.max("_p").alias("original"), F.min("_p").alias("first")).filter("first < original").drop("first")
     revisits = stored(digests.join(groups, "_sha").filter(F.col("_p") < F.col("original")).select("_p", "_sha", "original").distinct())
-    marked = join_measured(keyed, revisits, ["_p", "_sha"], "left").select("page_id", "url", "html", "original")
+    marked = join_measured(keyed, revisits, ["_p", "_sha"], "left", width=80).select("page_id", "url", "html", "original")
     return folder, stored(marked.mapInArrow(_archiver(folder), "key string, page_id long, file string, offset long, length long"))
 
 
