@@ -17,7 +17,11 @@ def split_words(texts: pa.Array, ascii_only: bool = False, bare: bool = False) -
     bare takes what is neither letter nor digit off both ends of a word, and words of nothing else out.
     """
     texts = pc.fill_null(texts, "")
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts)) if ascii_only else pc.utf8_split_whitespace(pc.utf8_lower(texts))
+    # Trimmed first: the splitting kernels take white space at the very end of an array for a word.
+    if ascii_only:
+        lists = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.ascii_lower(texts)))
+    else:
+        lists = pc.utf8_split_whitespace(pc.utf8_trim_whitespace(pc.utf8_lower(texts)))
     flat = lists.flatten()
     full = pc.greater(pc.binary_length(flat), 0)
     starts = np.zeros(len(texts) + 1, np.int64)
