@@ -31,7 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-WORDS, PAIRS = 200_000, 300_000      # remembered words and pairs of pieces per worker
+HEAD = 6
+WORDS, PAIRS = 300_000, 600_000      # remembered words (as many again of the generation before) and pairs of pieces per worker
 
 
 def load(path: str, kind: str = "bpe") -> Vocabulary:
@@ -62,7 +63,10 @@ class Vocabulary:
         whole_words = not any(SPACE in p.lstrip(SPACE) for p in pieces)
         alone = "" if any("\n" in p for p in pieces) else r"\n"
         self.cut = re.compile(f"{SPACE}| *[^ {SPACE}{alone}]+| +" + (f"|{alone}" if alone else "") if whole_words else f"{SPACE}|[^{SPACE}]+")
+        self.suffixes = {p[i:] for p in pieces for i in range(len(p))}
         self.words: dict[str, tuple[int, ...]] = {}
+        self.heads: dict[str, tuple[tuple[str, ...], tuple[int, ...]]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
         self.stable: dict[tuple[str, str], bool] = {}
 
     def __reduce__(self):
@@ -139,6 +143,44 @@ class Vocabulary:
         for p in self._path(last, back, len(held)):
             yield from self.ids(p)
 
+    def _merged_word(self, word: str) -> list[int]:
+        """search for a short text and a merge vocabulary: all its places are kept, and ends of no piece are passed over."""
+        pieces, suffixes, stable, longest = self.pieces, self.suffixes, self.stable, self.longest
+        last, back = self.heads.get(word[:HEAD], (("",), (0,)))     # words that begin alike share their first places
+        last, back = list(last), list(back)
+        for end in range(len(last), len(word) + 1):
+            at = back[-1]                                           # most often the last piece grows by a character
+            piece = word[at:end]
+            if end > 1 and piece in pieces and (stable.get((last[at], piece)) or self.follows(last[at], piece)):
+                last.append(piece)
+                back.append(at)
+                continue
+            choice, at = word[end - 1], end - 1
+            for a in range(end - 1, max(-1, end - 1 - longest), -1):
+                piece = word[a:end]
+                if piece in pieces or a == end - 1:
+                    fits = stable.get((last[a], piece))
+                    if fits or fits is None and self.follows(last[a], piece):
+                        choice, at = piece, a
+                        break
+                elif piece not in suffixes:
+                    break
+            last.append(choice)
+            back.append(at)
+        if len(word) >= HEAD and word[:HEAD] not in self.heads:
+            if len(self.heads) >= WORDS:
+                self.heads.clear()
+            self.heads[word[:HEAD]] = tuple(last[:HEAD + 1]), tuple(back[:HEAD + 1])
+        ids, place = [], len(word)
+        while place:
+            known = pieces.get(last[place])
+            if known is None:
+                ids.extend(reversed(self.ids(last[place])))
+            else:
+                ids.append(known[0])
+            place = back[place]
+        return ids[::-1]
+
     @staticmethod
     def _path(last: list[str], back: list[int], place: int) -> list[str]:
         out = []
@@ -147,21 +189,25 @@ class Vocabulary:
             place = back[place]
         return out[::-1]
 
+    def _new_word(self, word: str) -> tuple[int, ...]:
+        known = self.older.get(word)
+        if known is None:
+            if word == SPACE:
+                return tuple(i if i >= 0 else self.unknown for i in (self.byte_ids[b] for b in SPACE.encode()))
+            marked = word.replace(" ", SPACE)
+            if len(word) > 64:
+                return tuple(self.search(iter(marked)))
+            known = tuple(self._merged_word(marked) if self.kind == "bpe" else self.search(iter(marked)))
+        if len(self.words) >= WORDS:
+            self.older, self.words = self.words, {}
+        self.words[word] = known
+        return known
+
     def encode(self, text: str) -> list[int]:
         out: list[int] = []
         if text:
             for word in self.cut.findall(" " + text):
-                known = self.words.get(word)
-                if known is None:
-                    if word == SPACE:
-                        known = tuple(i if i >= 0 else self.unknown for i in (self.byte_ids[b] for b in SPACE.encode()))
-                    else:
-                        known = tuple(self.search(iter(word.replace(" ", SPACE))))
-                    if len(word) <= 64:
-                        if len(self.words) >= WORDS:
-                            self.words.clear()
-                        self.words[word] = known
-                out.extend(known)
+                out.extend(self.words.get(word) or self._new_word(word))
         return out
 
     def decode(self, ids) -> str:

@@ -64,3 +64,10 @@ def test_awkward_rows(spark, docs, awkward, vocabulary):
     assert sorted(r["decoded_sha256"] for r in rows) == sorted(hashlib.sha256((t or "").encode()).hexdigest() for _, t in awkward)
     assert sorted(r["text"] for r in pieces.decode(out, vocabulary).collect()) == sorted(t or "" for _, t in awkward)
     assert pieces.encode(docs([]), vocabulary).count() == 0
+
+
+def test_short_words_take_the_path_of_the_search(vocabulary, prose):
+    r = random.Random(4)
+    words = set(prose(1, 2000).split()) | {"".join(r.choice("▁aeiouthn日#") for _ in range(r.randint(1, 40))) for _ in range(500)}
+    for w in words:
+        assert vocabulary._merged_word("▁" + w) == list(vocabulary.search(iter("▁" + w)))
