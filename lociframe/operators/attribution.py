@@ -247,9 +247,10 @@ def filter_summary(seqs: DataFrame, filters: Filters, key: str = "id", seq: str
     maxima = filter_maxima(seqs, filters, seq).orderBy(F.desc("max_activation"), "filter").limit(top or filters.n)
     best = {r["filter"]: r["max_activation"] for r in maxima.collect()}   # one row per filter
     counts = (high_activations(seqs, filters, {f: m * share for f, m in best.items()}, key, seq)
-              .groupBy("filter").agg(F.count(F.lit(1)).alias("num_activating"),
-                                     F.max("activation").alias("max_activation")))
-    return counts.select("filter", "max_activation", "num_activating")
+              .groupBy("filter").agg(F.count(F.lit(1)).alias("num_activating")))
+    # A largest activation below 0 is below its own share: no window counts, and the filter is listed with 0.
+    listed = seqs.sparkSession.createDataFrame(list(best.items()), "filter int, max_activation double")
+    return listed.join(counts, "filter", "left").select("filter", "max_activation", F.coalesce("num_activating", F.lit(0)).alias("num_activating"))
 
 
 def filter_pfm(seqs: DataFrame, filters: Filters, key: str = "id", seq: str = "seq", share: float = 0.8,

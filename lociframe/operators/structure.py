@@ -8,17 +8,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# Confidence limits, and the number of low segments listed.
+# Confidence limits.
 CONFIDENT = 70.0
 LOW = 50.0
-LISTED = 20
 # Residue names of DNA.
 DNA_RESIDUES = ("DA", "DT", "DC", "DG", "A", "T", "C", "G")
 
 
 def residues(atoms: DataFrame) -> DataFrame:
-    """The first atom of every residue; residues whose number or B-factor is no number are left out."""
-    first = atoms.groupBy("file", "chain", "residue").agg(
+    """The first atom of every residue, of the lines long enough to hold a B-factor; residues whose number or B-factor is no
+    number are left out."""
+    first = atoms.where(~F.col("short") if "short" in atoms.columns else F.lit(True)).groupBy("file", "chain", "residue").agg(
         F.min_by(F.struct("line_no", "resnum", "bfactor"), "line_no").alias("a")).select(
         "file", "chain", "residue", "a.*")
     return first.where(F.col("resnum").isNotNull() & F.col("bfactor").isNotNull())
@@ -38,17 +38,17 @@ def low_segments(atoms: DataFrame) -> DataFrame:
         F.max_by("resnum", "line_no").alias("end"))
 
 
-def residue_confidence(atoms: DataFrame) -> DataFrame:
-    """Per file the shares of confident and of low residues, the first 20 low segments and their number."""
+def residue_confidence(atoms: DataFrame, listed: int | None = None) -> DataFrame:
+    """Per file the shares of confident and of low residues, the low segments (the first `listed` of them) and their number."""
     shares = residues(atoms).groupBy("file").agg(
         F.count(F.lit(1)).alias("n_residues"),
         F.round(F.avg((F.col("bfactor") >= CONFIDENT).cast("double")), 4).alias("fraction_confident"),
         F.round(F.avg((F.col("bfactor") < LOW).cast("double")), 4).alias("fraction_low"))
-    listed = low_segments(atoms).groupBy("file").agg(
-        F.slice(F.sort_array(F.collect_list(F.struct("segment", "chain", "start", "end"))), 1, LISTED).alias("s"),
-        F.count(F.lit(1)).alias("low_segments_total"))
+    all_ = F.sort_array(F.collect_list(F.struct("segment", "chain", "start", "end")))
+    segments = low_segments(atoms).groupBy("file").agg(
+        (all_ if listed is None else F.slice(all_, 1, listed)).alias("s"), F.count(F.lit(1)).alias("low_segments_total"))
     texts = F.transform("s", lambda x: F.concat_ws(":", x["chain"], x["start"].cast("string"), x["end"].cast("string")))
-    return shares.join(listed, "file", "left").select(
+    return shares.join(segments, "file", "left").select(
         "file", "n_residues", "fraction_confident", "fraction_low",
         F.coalesce(texts, F.array().cast("array<string>")).alias("low_segments"),
         F.coalesce("low_segments_total", F.lit(0)).alias("low_segments_total"))

@@ -222,7 +222,7 @@ def _one_atom(v):
         WINDOW w AS (PARTITION BY file ORDER BY line_no)),
     s AS (SELECT file, count(*) FILTER (bfactor < 50 AND NOT coalesce(c0 = chain AND n0 + 1 = resnum AND b0 < 50, false)) AS total,
         count(*) AS n_residues, round(avg((bfactor >= 70)::INT), 4) AS fraction_confident, round(avg((bfactor < 50)::INT), 4) AS fraction_low FROM o GROUP BY file)
-    SELECT file, n_residues, fraction_confident, fraction_low, least(total, 20)::INTEGER AS listed, total AS low_segments_total FROM s""")
+    SELECT file, n_residues, fraction_confident, fraction_low, total::INTEGER AS listed, total AS low_segments_total FROM s""")
 def _(v):
     return st.residue_confidence(_one_atom(v)).withColumn("listed", F.size("low_segments")).drop("low_segments")
 

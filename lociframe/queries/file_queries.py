@@ -142,16 +142,30 @@ def _(v):
     return ss.read_genome(v.spark, path, 1000).select("chrom", "bin", F.md5("seq").alias("seq"))
 
 
+@query("read_genome_indexed", "S9", views="genome", sql="""
+    SELECT chrom || '_' || bin::VARCHAR AS chrom, k::BIGINT AS bin, md5(substr(seq, (k * 1000 + 1)::BIGINT, 1000)) AS seq FROM genome, range(5) t(k)""")
+def _(v):
+    """The same through .fai indexes, written next to the files, and byte ranges."""
+    path = folder(v, "indexed")
+    wrapped = F.regexp_replace("seq", "(.{80})", "$1\n")
+    sinks.write_fasta(v.genome.select(F.concat_ws("_", "chrom", F.col("bin").cast("string")).alias("id"), wrapped.alias("seq")), path)
+    ss.index_fasta(v.spark, path)
+    assert ss.indexed_files(path), path
+    return ss.read_genome(v.spark, path, 1000).select("chrom", "bin", F.md5("seq").alias("seq"))
+
+
 @query("read_meme", "S10", "K4", views="texts", sql="""
-    WITH c AS (SELECT id, p - 1 AS pos, b.base, count(*) FILTER (substr(w, p, 1) = b.base) AS n FROM (
-        SELECT id, seq[:8] AS w FROM texts WHERE length(seq) >= 8 AND translate(seq[:8], 'ACGT', '') = ''), range(1, 9) t(p), (VALUES ('A'), ('C'), ('G'), ('T')) b(base) GROUP BY ALL)
-    SELECT 'm' || (id % 50)::VARCHAR AS motif, pos, base, round(sum(n) / sum(sum(n)) OVER (PARTITION BY id % 50, pos), 6) AS prob,
-        sum(sum(n)) OVER (PARTITION BY id % 50, pos)::DOUBLE AS nsites FROM c GROUP BY id % 50, pos, base""")
+    WITH w AS (SELECT id % 50 AS m, substr(seq, (8 * k + 1)::BIGINT, 8) AS w FROM texts, range(20000) t(k) WHERE 8 * k + 8 <= length(seq)),
+    c AS (SELECT m, p - 1 AS pos, b.base, count(*) FILTER (substr(w, p, 1) = b.base) AS n FROM w, range(1, 9) t(p), (VALUES ('A'), ('C'), ('G'), ('T')) b(base)
+        WHERE translate(w, 'ACGT', '') = '' GROUP BY ALL)
+    SELECT 'm' || m::VARCHAR AS motif, pos, base, round(n / sum(n) OVER (PARTITION BY m, pos), 6) AS prob, sum(n) OVER (PARTITION BY m, pos)::DOUBLE AS nsites FROM c""".replace("range(20000)", "(SELECT unnest(range((SELECT max(length(seq)) // 8 FROM texts))))"))
 def _(v):
-    """Fifty motifs from the first eight bases of the documents, written and read as MEME text."""
+    """Fifty motifs from the words of eight bases of all documents, written and read as MEME text."""
     from lociframe.functions.dna import has_only_acgt
-    heads = v.texts.select(F.concat(F.lit("m"), (F.col("id") % 50).cast("string")).alias("motif"), F.substring("seq", 1, 8).alias("seq"))
-    counts = mo.pfm(heads.where((F.length("seq") == 8) & has_only_acgt("seq")), by=["motif"])
+    at = F.sequence(F.lit(1), F.length("seq") - 7, F.lit(8))
+    words = v.texts.where(F.length("seq") >= 8).select(F.concat(F.lit("m"), (F.col("id") % 50).cast("string")).alias("motif"), "seq", F.explode(at).alias("at"))
+    words = words.select("motif", F.substr("seq", F.col("at"), F.lit(8)).alias("seq"))
+    counts = mo.pfm(words.where(has_only_acgt("seq")), by=["motif"])
     sites = counts.groupBy("motif", "pos").agg(F.sum("n").alias("nsites"))
     path = folder(v, "meme")
     sinks.write_meme(counts.join(sites, ["motif", "pos"]), path)
@@ -176,11 +190,11 @@ def _(v):
 
 
 @query("read_pdb_atoms", "S13", "L5", views="", sql=f"""
-    WITH {_ATOMS}, k AS (SELECT * FROM res WHERE resnum < 10000) SELECT file::VARCHAR AS file, count(*) AS n_residues, round(avg((bfactor >= 70)::INT), 4) AS fraction_confident,
-        round(avg((bfactor < 50)::INT), 4) AS fraction_low FROM k GROUP BY file""")
+    WITH {_ATOMS} SELECT file || '-' || (resnum // 10000)::VARCHAR AS file, count(*) AS n_residues, round(avg((bfactor >= 70)::INT), 4) AS fraction_confident,
+        round(avg((bfactor < 50)::INT), 4) AS fraction_low FROM res GROUP BY 1""")
 def _(v):
-    """One structure file per supplier, in the fixed columns of ATOM lines; four digits hold a residue number."""
-    a = _one_atom(v).where("resnum < 10000")
+    """A structure file per supplier and ten thousand residues, as four digits hold a residue number, in the fixed columns of ATOM lines."""
+    a = _one_atom(v).withColumns({"file": F.concat_ws("-", "file", F.expr("resnum div 10000")), "resnum": F.col("resnum") % 10000})
     line = F.concat(F.lit("ATOM  "), F.lit(" " * 11), F.rpad("resname", 3, " ").substr(1, 3), F.lit(" "), F.col("chain"),
                     F.lpad(F.col("resnum").cast("string"), 4, " "), F.lit(" " * 34), F.format_string("%6.2f", F.col("bfactor")))
     line = F.concat(F.substring(line, 1, 6), F.lit(" " * 11), F.substring(line, 18, 100))
@@ -188,7 +202,7 @@ def _(v):
     (a.select("file", "line_no", line.alias("value")).repartition("file").sortWithinPartitions("file", "line_no")
      .select("file", "value").write.partitionBy("file").text(path))
     atoms = ss.read_pdb_atoms(v.spark, f"{path}/*")
-    out = st.residue_confidence(atoms).withColumn("file", F.regexp_extract("file", r"file=(\d+)/", 1))
+    out = st.residue_confidence(atoms).withColumn("file", F.regexp_extract("file", r"file=([\d-]+)/", 1))
     return out.select("file", "n_residues", "fraction_confident", "fraction_low")
 
 

@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-import bz2
-import gzip
-import io
 import lzma
 import zipfile
 from collections.abc import Iterator
+from pathlib import Path
+from urllib.parse import unquote
 
-import pandas as pd
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-LINES_PER_BATCH = 50_000
+PIECE = 4 << 20
+# The first bytes of the formats.
+MAGIC = {"gzip": b"\x1f\x8b", "bz2": b"BZh", "xz": b"\xfd7zXZ\x00", "zstd": b"\x28\xb5\x2f\xfd", "zip": b"PK\x03\x04", "empty zip": b"PK\x05\x06"}
+# Endings of names that Spark's text reader takes for a codec.
+CODEC_ENDINGS = (".gz", ".bz2", ".zst", ".deflate", ".lz4", ".snappy")
 
 
 def numbered_lines(spark: SparkSession, path, line_sep: str | None = None) -> DataFrame:
@@ -39,89 +43,98 @@ class CompressedReadError(ValueError):
     """A file that cannot be decompressed; names the file and the reason."""
 
 
-def _zstd_stream(data: bytes) -> Iterator[bytes]:
-    import zstandard
-    frame, view, step = zstandard.ZstdDecompressor().decompressobj(), memoryview(data), 1 << 20
-    at = 0
-    while at < len(view):
-        yield frame.decompress(bytes(view[at:at + step]))
-        at += step
-        while frame.eof:
-            rest = frame.unused_data
-            if not rest and at >= len(view):
-                return
-            frame = zstandard.ZstdDecompressor().decompressobj()
-            if rest:
-                yield frame.decompress(rest)
-            else:
-                break
-    raise EOFError("the file ends inside a frame")
-
-
-class _Chunks(io.RawIOBase):
-    """A readable stream over an iterator of byte chunks."""
-
-    def __init__(self, chunks: Iterator[bytes]):
-        self.chunks, self.rest = chunks, b""
-
-    def readable(self):
-        return True
-
-    def readinto(self, buffer):
-        while not self.rest:
+def on_store(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path or URI, and the path on it."""
+    if path.startswith("file:"):
+        return fs.LocalFileSystem(), unquote(path[5:]).replace("//", "/", 1) if path[5:7] == "//" else unquote(path[5:])
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), str(Path(path).absolute()))
+
+
+def codec_of(first: bytes) -> str:
+    """The format of a file by its first bytes, else plain."""
+    return next((name for name, magic in MAGIC.items() if first.startswith(magic)), "plain")
+
+
+def _only_member(archive: zipfile.ZipFile) -> zipfile.ZipInfo:
+    """The one file of an archive; folders, and what a Mac adds, are none."""
+    files = [x for x in archive.infolist() if not x.is_dir() and x.filename.split("/")[0] != "__MACOSX"]
+    if len(files) == 1:
+        return files[0]
+    raise ValueError(f"the zip archive holds {len(files)} files, not one")
+
+
+def unpacked(path: str) -> Iterator[bytes]:
+    """The bytes of a file in pieces, decompressed by what its first bytes say; never the whole file at once."""
+    store, place = on_store(path)
+    with store.open_input_file(place) as source:
+        codec = codec_of(source.read(8))
+        source.seek(0)
+        if codec.endswith("zip") and codec != "gzip":
+            with zipfile.ZipFile(source) as archive, archive.open(_only_member(archive)) as text:
+                yield from iter(lambda: text.read(PIECE), b"")
+        elif codec == "xz":
+            with lzma.LZMAFile(source) as text:
+                yield from iter(lambda: text.read(PIECE), b"")
+        elif codec == "plain":
+            yield from iter(lambda: source.read(PIECE), b"")
+        else:
+            with pa.CompressedInputStream(source, codec) as text:
+                yield from iter(lambda: text.read(PIECE), b"")
+
+
+def _text_lines(pieces: Iterator[bytes]) -> Iterator[list[str]]:
+    """Lists of lines; a line ends with a line feed, a carriage return or both."""
+    rest, first = b"", True
+    for piece in pieces:
+        data = rest + piece
+        if first and len(data) >= 3:
+            data, first = data.removeprefix(b"\xef\xbb\xbf"), False
+        cut = data.rfind(b"\n") + 1
+        rest = data[cut:]
+        if cut:
+            yield [x.decode("utf-8", "replace") for x in data[:cut].splitlines()]
+    if rest:
+        yield [x.decode("utf-8", "replace") for x in rest.splitlines()]
+
+
+def _streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for path in batch.column("file").to_pylist():
+            done = 0
             try:
-                self.rest = next(self.chunks)
-            except StopIteration:
-                return 0
-        n = min(len(buffer), len(self.rest))
-        buffer[:n], self.rest = self.rest[:n], self.rest[n:]
-        return n
-
-
-def open_bytes(data: bytes) -> io.BufferedIOBase:
-    """A stream of the decompressed bytes; the codec is told by the first bytes, not by the name."""
-    source = io.BytesIO(data)
-    if data[:2] == b"\x1f\x8b":
-        return gzip.GzipFile(fileobj=source)
-    if data[:3] == b"BZh":
-        return bz2.BZ2File(source)
-    if data[:6] == b"\xfd7zXZ\x00":
-        return lzma.LZMAFile(source)
-    if data[:4] == b"\x28\xb5\x2f\xfd":
-        return io.BufferedReader(_Chunks(_zstd_stream(data)), 1 << 20)
-    if data[:4] in (b"PK\x03\x04", b"PK\x05\x06"):
-        archive = zipfile.ZipFile(source)
-        members = [i for i in archive.infolist() if not i.is_dir() and not i.filename.startswith("__MACOSX/")]
-        if len(members) != 1:
-            raise ValueError(f"the zip archive holds {len(members)} files, not one")
-        return archive.open(members[0])
-    return source
-
-
-def _line_batches(path: str, data: bytes) -> Iterator[pd.DataFrame]:
-    try:
-        with io.TextIOWrapper(open_bytes(data), encoding="utf-8-sig", errors="replace") as text:
-            no, batch = 0, []
-            for line in text:
-                batch.append(line.rstrip("\n"))
-                if len(batch) == LINES_PER_BATCH:
-                    yield pd.DataFrame({"file": path, "line_no": range(no + 1, no + 1 + len(batch)), "value": batch})
-                    no, batch = no + len(batch), []
-            if batch:
-                yield pd.DataFrame({"file": path, "line_no": range(no + 1, no + 1 + len(batch)), "value": batch})
-    except Exception as exc:
-        raise CompressedReadError(f"{path} cannot be read: {type(exc).__name__}: {exc}") from exc
+                for lines in _text_lines(unpacked(path)):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([path] * len(lines)), pa.array(range(done + 1, done + 1 + len(lines)), pa.int64()), pa.array(lines, pa.string())],
+                        names=["file", "line_no", "value"])
+                    done += len(lines)
+            except Exception as exc:
+                raise CompressedReadError(f"{path} cannot be read: {type(exc).__name__}: {exc}") from exc
+
+
+def _peeked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        codecs = []
+        for path in batch.column("file").to_pylist():
+            store, place = on_store(path)
+            with store.open_input_stream(place, compression=None) as source:
+                codecs.append(codec_of(source.read(8)))
+        yield pa.RecordBatch.from_arrays([batch.column("file"), batch.column("path"), pa.array(codecs, pa.string())], names=["file", "path", "codec"])
 
 
 def read_compressed_lines(spark: SparkSession, path) -> DataFrame:
     """(file, line_no, value) of plain, gzip, bzip2, xz, zstd and one-file zip files, told by content.
 
-    One file is decompressed by one task, as a stream: a compressed text cannot be split. A corrupt
-    or truncated file, or a zip with several files, fails with CompressedReadError.
+    Only the first bytes of each file are read to tell them. Plain files go to Spark's text reader, in splits; compressed
+    ones, and those whose name feigns a codec, are streamed in pieces, a file to a task. A corrupt or truncated file, or a zip with
+    several files, fails with CompressedReadError.
     """
-    def lines(batches):
-        for pdf in batches:
-            for file, content in zip(pdf["path"], pdf["content"]):
-                yield from _line_batches(file, bytes(content))
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(lines, "file string, line_no long, value string")
+    files = spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("file"), "path")
+    told = files.mapInArrow(_peeked, "file string, path string, codec string").collect()      # one short row per file, as in Spark's own listing
+    readable = {r["file"]: r["codec"] == "plain" and not r["path"].endswith(CODEC_ENDINGS) for r in told}
+    direct, other = [r["path"] for r in told if readable[r["file"]]], [(r["file"],) for r in told if not readable[r["file"]]]
+    streamed = (spark.createDataFrame(other, "file string").repartition(max(1, len(other)), "file")
+                .mapInArrow(_streamed, "file string, line_no long, value string"))
+    if not direct:
+        return streamed
+    plain = numbered_lines(spark, direct)
+    return plain.unionByName(streamed) if other else plain

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lociframe.sources.lines import numbered_lines
@@ -27,6 +27,12 @@ def read_metric_logs(spark: SparkSession, path) -> DataFrame:
                             for n in names])
 
 
+def canonical_json(text) -> Column:
+    """JSON text with sorted keys and no spaces, so that equal values have equal texts; other text as it is."""
+    text = F.col(text) if isinstance(text, str) else text
+    return F.coalesce(F.to_json(F.try_parse_json(text)), text)
+
+
 def parse_calls(lines: DataFrame) -> DataFrame:
     """Call-log entries out of text lines (value): the fields, arguments and result as JSON text, ts_ms, and
     bad for a line that is no JSON object."""
@@ -35,11 +41,17 @@ def parse_calls(lines: DataFrame) -> DataFrame:
     rows = lines.where(F.trim("value") != "").withColumn("e", entry)
     bad = ~F.ltrim("value").startswith("{") | F.col("e").isNull() | F.col("e._corrupt").isNotNull()
     ts = F.unix_millis(F.col("e.timestamp").try_cast("timestamp"))
-    return rows.select("*", *[F.col(f"e.{f}").alias(f) for f in fields], ts.alias("ts_ms"), bad.alias("bad")).drop("e", "value")
+    return (rows.select("*", *[F.col(f"e.{f}").alias(f) for f in fields], ts.alias("ts_ms"), bad.alias("bad")).drop("e", "value")
+            .withColumn("arguments", canonical_json("arguments")))
 
 
 def read_call_log(spark: SparkSession, path) -> tuple[DataFrame, DataFrame]:
-    """The entries with call_id, their order in the log, and one row with the number of bad lines."""
-    rows = parse_calls(numbered_lines(spark, path))
-    good = rows.where(~F.col("bad")).drop("bad").withColumnRenamed("line_no", "call_id")
-    return good, rows.agg(F.count_if("bad").alias("bad_lines"))
+    """The entries with call_id, their order in the logs (files by name), and one row with the number of bad lines."""
+    lines = numbered_lines(spark, path)
+    files = lines.groupBy("file").agg(F.max("line_no").alias("_n"))          # one row per file
+    before = F.sum("_n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1))
+    starts = files.select("file", F.coalesce(before, F.lit(0)).alias("_before"))
+    rows = parse_calls(lines)
+    good = rows.where(~F.col("bad")).drop("bad").join(F.broadcast(starts), "file")
+    return (good.withColumn("call_id", F.col("_before") + F.col("line_no")).drop("_before", "line_no"),
+            rows.agg(F.count_if("bad").alias("bad_lines")))
