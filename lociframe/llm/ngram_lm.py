@@ -37,8 +37,8 @@ from lociframe.llm.words import mix, split_words, word_hashes
 from lociframe.session import stored
 
 DISCOUNT, ADD = 0.75, 0.1
-SHARD_TOKENS = 4_000_000
-BLOCK_BYTES, BLOCK_DOCS = 16 << 20, 1 << 15
+SHARD_TOKENS = 2_500_000
+BLOCK_BYTES, BLOCK_DOCS = 8 << 20, 1 << 15
 BEGIN, END = np.uint64(0x0123456789ABCDEF), np.uint64(0xFEDCBA9876543210)
 ID_BITS = 40
 NULL = -(1 << 63)
@@ -266,6 +266,7 @@ def _router(shards: int, hot: np.ndarray):
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[i:i + 64]), (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()))],
                                                  names=[x.split()[0] for x in PACKED.split(", ")])
             number += 1
+            pa.default_memory_pool().release_unused()
     return run
 
 
@@ -281,7 +282,7 @@ def _unpack(body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
     at += 4 * m
     word = (top << np.uint64(16)) | np.frombuffer(body, np.uint16, m, at)
     posts = np.frombuffer(body, np.uint16, p, at + 2 * m)
-    return contexts[np.cumsum(fresh, dtype=np.int64) - 1], word, np.cumsum(posts >> np.uint16(15), dtype=np.int64) - 1, (posts & np.uint16(0x7FFF)).astype(np.int64)
+    return contexts[np.cumsum(fresh, dtype=np.int32) - 1], word, np.cumsum(posts >> np.uint16(15), dtype=np.int32) - 1, posts & np.uint16(0x7FFF)
 
 
 # One shard
@@ -289,9 +290,32 @@ def _unpack(body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
 SHARD = "shard int, levels binary, words array<long>, counts array<long>, block long, size int, trained int, sums binary, docs binary, unseen array<long>, unseen_doc array<int>"
 
 
+def _lists(arrays: list[np.ndarray | None], kind: pa.DataType) -> pa.Array:
+    """A column of lists; no list for None."""
+    ends = np.concatenate([[0], np.cumsum([0 if x is None else len(x) for x in arrays])]).astype(np.int32)
+    flat = np.concatenate([x for x in arrays if x is not None]) if any(x is not None for x in arrays) else np.zeros(0, np.int64)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, kind), mask=pa.array([x is None for x in arrays]))
+
+
 def _rows(rows: list[tuple]) -> pa.Table:
-    kinds = (pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()))
-    return pa.table([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=[x.split()[0] for x in SHARD.split(", ")])
+    columns = list(zip(*rows))
+    long, short = pa.int64(), pa.int32()
+    arrays = [pa.array(columns[0], short), pa.array(columns[1], pa.binary()), _lists(columns[2], long), _lists(columns[3], long), pa.array(columns[4], long),
+              pa.array(columns[5], short), pa.array(columns[6], short), pa.array(columns[7], pa.binary()), pa.array(columns[8], pa.binary()),
+              _lists(columns[9], long), _lists(columns[10], short)]
+    return pa.table(arrays, names=[x.split()[0] for x in SHARD.split(", ")])
+
+
+def _pack_sums(value: np.ndarray, base: np.ndarray, known: np.ndarray, unseen: np.ndarray) -> bytes:
+    width = np.uint16 if max(known.max(initial=0), unseen.max(initial=0)) < 1 << 16 else np.uint32
+    return b"".join(x.tobytes() for x in (value.astype(np.float32), base, known.astype(width), unseen.astype(width)))
+
+
+def _unpack_sums(raw: bytes, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    width = np.uint16 if len(raw) == 16 * size else np.uint32
+    at = 12 * size
+    return (np.frombuffer(raw, np.float32, size), np.frombuffer(raw, np.float64, size, 4 * size),
+            np.frombuffer(raw, width, size, at), np.frombuffer(raw, width, size, at + size * width().itemsize))
 
 
 def _learner(shards: int, hot: dict[int, int]):
@@ -308,45 +332,41 @@ def _learner(shards: int, hot: dict[int, int]):
 
     def run(table: pa.Table) -> pa.Table:
         shard = table.column("shard")[0].as_py()
-        bodies = [_unpack(b) for b in table.column("body").to_pylist()]
-        trained = table.column("trained").to_pylist()
-        sizes = [len(w) for _, w, _, _ in bodies]
-        context = np.concatenate([c for c, _, _, _ in bodies])
-        word = np.concatenate([w for _, w, _, _ in bodies])
-        times = np.concatenate([np.bincount(pair[doc < t], minlength=len(w)) for (_, w, pair, doc), t in zip(bodies, trained)])
-        # count the pairs of training texts
-        contexts, owner = np.unique(context, return_inverse=True)
-        ids = word >> np.uint64(48 - ID_BITS)
-        key = (owner.astype(np.uint64) << np.uint64(ID_BITS)) | ids
-        learned = np.flatnonzero(times)
-        learned = learned[np.argsort(key[learned], kind="stable")]
-        new = np.flatnonzero(np.concatenate([[True], key[learned][1:] != key[learned][:-1]])) if len(learned) else np.zeros(0, np.int64)
-        counts = np.add.reduceat(times[learned], new) if len(new) else np.zeros(0, np.int64)
-        distinct = key[learned[new]] if len(new) else np.zeros(0, np.uint64)
+        blocks = list(zip(*(table.column(c).to_pylist() for c in ("block", "size", "trained", "docs"))))
+        bodies = [_unpack(b.as_py()) for b in table.column("body")]
+        ends = np.cumsum([0] + [len(w) for _, w, _, _ in bodies])
+        contexts, owner = np.unique(np.concatenate([c for c, _, _, _ in bodies]), return_inverse=True)
+        times = np.concatenate([np.bincount(pair[doc < t], minlength=len(w)).astype(np.int32) for (_, w, pair, doc), (_, _, t, _) in zip(bodies, blocks)])
+        key = (owner.astype(np.uint64) << np.uint64(ID_BITS)) | np.concatenate([w >> np.uint64(48 - ID_BITS) for _, w, _, _ in bodies])
+        owner = owner.astype(np.int32)
+        # every pair once, with its number of times in the training texts
+        asked, back = np.unique(key, return_inverse=True)
+        del key
+        back = back.astype(np.int32)
+        counts = np.bincount(back, times, len(asked)).astype(np.int64)
+        learned = counts > 0
+        distinct, counts = asked[learned], counts[learned]
         mine = (distinct >> np.uint64(ID_BITS)).astype(np.int64)
         counted = np.bincount(mine, counts, len(contexts)).astype(np.int64)
         known = np.flatnonzero(counted)
         total = totals(contexts, counted)
-        parts = np.where(np.isin(contexts[known], hot_words), shards, 1)
-        levels = Trie.build(contexts[known], np.searchsorted(mine, known), distinct & np.uint64((1 << ID_BITS) - 1), counts, total[known], parts)
-        cold = known[~np.isin(contexts[known], hot_words) & (contexts[known] != BEGIN)]
-        rows = [(shard, levels, (contexts[cold] >> np.uint64(16)).astype(np.int64).tolist(), total[cold].tolist(), None, None, None, None, None, None, None)]
-        # score
-        trie = Trie(levels)
-        asked, back = np.unique(key, return_inverse=True)
-        value, seen = trie.query(contexts[(asked >> np.uint64(ID_BITS)).astype(np.int64)], asked & np.uint64((1 << ID_BITS) - 1))
-        value, seen = value[back], seen[back]
-        base = np.where(contexts == BEGIN, 0.0, np.log10(total + ADD))[owner]
-        is_known = ((contexts != BEGIN) & (total > 0))[owner]
-        a = 0
-        for (_, w, pair, doc), m, size, block, t, docs in zip(bodies, sizes, table.column("size").to_pylist(), table.column("block").to_pylist(), trained, table.column("docs").to_pylist()):
-            own = a + pair
-            missed = ~seen[own]
-            sums = b"".join([np.bincount(doc, value[own], size).tobytes(), np.bincount(doc, base[own], size).tobytes(),
-                             np.bincount(doc, is_known[own], size).astype(np.uint32).tobytes(), np.bincount(doc, missed, size).astype(np.uint32).tobytes()])
-            rows.append((shard, None, None, None, block, size, t, sums, docs, w[pair[missed]].astype(np.int64).tolist(), doc[missed].tolist()))
-            a += m
-        return _rows(rows)
+        is_hot = np.isin(contexts[known], hot_words)
+        low = np.uint64((1 << ID_BITS) - 1)
+        levels = Trie.build(contexts[known], np.searchsorted(mine, known), distinct & low, counts, total[known], np.where(is_hot, shards, 1))
+        cold = known[~is_hot & (contexts[known] != BEGIN)]
+        rows = [(shard, levels, (contexts[cold] >> np.uint64(16)).astype(np.int64), total[cold], None, None, None, None, None, None, None)]
+        value, seen = Trie(levels).query(contexts[(asked >> np.uint64(ID_BITS)).astype(np.int64)], asked & low)
+        base = np.where(contexts == BEGIN, 0.0, np.log10(total + ADD))
+        is_known = (contexts != BEGIN) & (total > 0)
+        for (_, w, pair, doc), a, b, (block, size, t, docs) in zip(bodies, ends, ends[1:], blocks):
+            of_pair, of_owner = back[a:b], owner[a:b]
+            missed = ~seen[of_pair][pair]
+            sums = _pack_sums(np.bincount(doc, value[of_pair][pair], size), np.bincount(doc, base[of_owner][pair], size),
+                              np.bincount(doc, is_known[of_owner][pair], size).astype(np.int64), np.bincount(doc, missed, size).astype(np.int64))
+            rows.append((shard, None, None, None, block, size, t, sums, docs, w[pair[missed]].astype(np.int64), doc[missed].astype(np.int32)))
+        out = _rows(rows)
+        pa.default_memory_pool().release_unused()
+        return out
     return run
 
 
@@ -355,10 +375,11 @@ def _assemble(table: pa.Table) -> pa.Table:
     size, trained = table.column("size")[0].as_py(), table.column("trained")[0].as_py()
     value, base, known, unseen = np.zeros(size), np.zeros(size), np.zeros(size, np.int64), np.zeros(size, np.int64)
     for raw in table.column("sums").to_pylist():
-        value += np.frombuffer(raw, np.float64, size)
-        base += np.frombuffer(raw, np.float64, size, 8 * size)
-        known += np.frombuffer(raw, np.uint32, size, 16 * size)
-        unseen += np.frombuffer(raw, np.uint32, size, 20 * size)
+        parts = _unpack_sums(raw, size)
+        value += parts[0]
+        base += parts[1]
+        known += parts[2]
+        unseen += parts[3]
     ids, tokens = np.frombuffer(next(d for d in table.column("docs").to_pylist() if d is not None), np.int64).reshape(2, size)
     return pa.table({"block": pa.array(np.full(size, table.column("block")[0].as_py())), "doc": pa.array(np.arange(size, dtype=np.int32)),
                      "doc_id": pa.array(ids, mask=ids == NULL), "held_out": pa.array(np.arange(size) >= trained), "n_tokens": pa.array(tokens),
