@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lociframe.llm.common import components, join_measured, with_key
-from lociframe.llm.words import mix, shingle_sets, slices
+from lociframe.llm.words import mix, released, shingle_sets, slices
 from lociframe.session import stored
 
 SIZE, THRESHOLD = 5, 0.8
@@ -220,7 +220,7 @@ def _verifier(threshold: float, tolerance: float):
             yield pa.RecordBatch.from_arrays(
                 [pa.array([rows[i]["key"] for i in hit], pa.binary()), pa.array(links[hit].astype(np.int64)), pa.array([rows[root[i]]["key"] for i in hit], pa.binary())],
                 names=["key", "links", "least"])
-    return verify
+    return lambda batches: released(verify(batches))
 
 
 def similarity_join(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
@@ -231,7 +231,7 @@ def similarity_join(docs: DataFrame, threshold: float = THRESHOLD, tolerance: fl
     connected by links, n_links how many other documents reach the threshold with this one, copies included.
     """
     docs = with_key(docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")))
-    signed = stored(docs.mapInArrow(_fingerprint, "doc_id long, _d long, _h long, key binary, sig binary, bytes long"))
+    signed = stored(docs.mapInArrow(lambda b: released(_fingerprint(b)), "doc_id long, _d long, _h long, key binary, sig binary, bytes long"))
     classes = stored(signed.groupBy("key").agg(
         F.min(F.struct("_d", "_h")).alias("first"), F.min("doc_id").alias("copy_id"), F.count(F.lit(1)).alias("copies"),
         F.first("sig").alias("sig"), F.first("bytes").alias("bytes")))
@@ -244,7 +244,7 @@ def similarity_join(docs: DataFrame, threshold: float = THRESHOLD, tolerance: fl
     members = stored(members.join(sizes, "root").select("key", "root", "chunks", F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int").alias("chunk"), "copies", "sig", "_d", "_h"))
     sets = (join_measured(docs, members, ["_d", "_h"], width=100 + 4 * HASHES).dropDuplicates(["key"])
             .select("text", "key", "root", "chunk", "chunks", "copies", "sig")
-            .mapInArrow(_sets, "key binary, root binary, chunk int, chunks int, copies long, sig binary, runs binary"))
+            .mapInArrow(lambda b: released(_sets(b)), "key binary, root binary, chunk int, chunks int, copies long, sig binary, runs binary"))
     tasks = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     tasks = tasks.select("root", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "key", "copies", "sig", "runs")
     found = stored(tasks.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lociframe.llm.words import mix, split_words, word_hashes
+from lociframe.llm.words import mix, released, split_words, word_hashes
 from lociframe.session import stored
 
 DISCOUNT, ADD = 0.75, 0.1
@@ -266,8 +266,7 @@ def _router(shards: int, hot: np.ndarray):
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[i:i + 64]), (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()))],
                                                  names=[x.split()[0] for x in PACKED.split(", ")])
             number += 1
-            pa.default_memory_pool().release_unused()
-    return run
+    return lambda batches: released(run(batches))
 
 
 def _unpack(body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -364,10 +363,8 @@ def _learner(shards: int, hot: dict[int, int]):
             sums = _pack_sums(np.bincount(doc, value[of_pair][pair], size), np.bincount(doc, base[of_owner][pair], size),
                               np.bincount(doc, is_known[of_owner][pair], size).astype(np.int64), np.bincount(doc, missed, size).astype(np.int64))
             rows.append((shard, None, None, None, block, size, t, sums, docs, w[pair[missed]].astype(np.int64), doc[missed].astype(np.int32)))
-        out = _rows(rows)
-        pa.default_memory_pool().release_unused()
-        return out
-    return run
+        return _rows(rows)
+    return lambda table: list(released(iter([run(table)])))[0]
 
 
 def _assemble(table: pa.Table) -> pa.Table:

@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lociframe.llm.words import released
+
 SPACE = "▁"
 HEAD = 6
 WORDS, PAIRS = 300_000, 600_000      # remembered words (as many again of the generation before) and pairs of pieces per worker
@@ -72,6 +74,11 @@ class Vocabulary:
     def __reduce__(self):
         return Vocabulary, (self.pieces, self.byte_ids, self.unknown, self.kind)
 
+    def forget(self) -> None:
+        """Drop what was remembered of words, which is of use within a task."""
+        for known in (self.words, self.older, self.heads, self.stable):
+            known.clear()
+
     def merged(self, text: str) -> list[str]:
         """The pieces that merging makes of a short text: the best scored neighbours first, the leftmost of equals."""
         parts = list(text)
@@ -233,7 +240,8 @@ def _encoder(shared):
             counts = pa.array(np.diff(ends).astype(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), counts, ids, pa.array(digests, pa.string()), pa.array(exact, pa.bool_())],
                                              names=["doc_id", "n_ids", "ids", "decoded_sha256", "exact"])
-    return run
+        vocabulary.forget()
+    return lambda batches: released(run(batches))
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:

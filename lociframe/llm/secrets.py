@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lociframe.llm.common import join_measured, with_key
-from lociframe.llm.words import slices
+from lociframe.llm.words import released, slices
 from lociframe.session import stored
 
 SPACE_BITS = 16          # trigrams are hashed into 2^16 lists
@@ -178,7 +178,7 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def build_index(docs: DataFrame) -> DataFrame:
     """The stored index (block, trigram, postings) of keyed texts (_d, _h, text); trigram -1 lists the documents."""
-    return stored(docs.select("_d", "_h", "text").mapInArrow(_index, "block long, trigram int, postings binary"))
+    return stored(docs.select("_d", "_h", "text").mapInArrow(lambda b: released(_index(b)), "block long, trigram int, postings binary"))
 
 
 def candidates(index: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:

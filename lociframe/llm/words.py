@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,14 +38,23 @@ def split_words(texts: pa.Array, ascii_only: bool = False, bare: bool = False) -
     return codes, words, at
 
 
-def slices(batches: Iterator[pa.RecordBatch], size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def released(rows: Iterator) -> Iterator:
+    """The rows, and then what a worker has freed is given back, so that one that waits for its next task stays small."""
+    yield from rows
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def slices(batches: Iterator[pa.RecordBatch], size: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The rows of batches again, in batches whose texts have about `size` bytes; a longer text is a batch of its own."""
     for batch in batches:
         for a, b in pieces(batch.column("text"), size):
             yield batch.slice(a, b - a)
 
 
-def pieces(texts: pa.Array, size: int = 4 << 20) -> Iterator[tuple[int, int]]:
+def pieces(texts: pa.Array, size: int = 2 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about `size` bytes together."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
     a = 0
