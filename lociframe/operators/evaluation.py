@@ -1,26 +1,27 @@
 """Evaluation of scores: ROC and precision-recall, ranks, correlation, quantiles.
 
 Every rank statistic starts from one row per distinct score and group, so copies of a score cost
-nothing after the first aggregation. Prefix sums over the scores are taken in two levels: a fixed
-number of buckets per group, then inside each bucket; no task orders a whole group. Results are
-exact. NULL and NaN scores are left out.
+nothing after the first aggregation. Prefix sums over the scores are taken in two levels: over parts of
+bounded size, whose borders Spark's range partitioning takes from the data, then inside each part; no
+task orders a whole group. Results are exact. NULL and NaN scores are left out.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from fractions import Fraction
+from functools import lru_cache
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from lociframe.operators.sampling import take_by_hash
+from lociframe.session import stored
 
-BUCKETS = 1024          # equal parts of a group's range
-BUCKET_ROWS = 100_000   # distinct scores from which a part is split further
-FINE = 4096             # into at most this many
+PART_ROWS = 100_000   # distinct scores that are ordered together
 
 
 def _group(by: Sequence[str], *more) -> list:
@@ -31,43 +32,31 @@ def scored(df: DataFrame, score: str = "score") -> DataFrame:
     return df.where(F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")))
 
 
-def _share(value: Column, lo: Column, hi: Column, parts: Column) -> Column:
-    """Which of the equal parts of [lo, hi] a value lies in; halves keep the differences finite."""
-    share = (value / 2 - lo / 2) / (hi / 2 - lo / 2)
-    return F.when(hi > lo, F.greatest(F.lit(0), F.least(F.floor(share * parts), parts - 1))).otherwise(0).cast("long")
-
-
-def _bucketed(points: DataFrame, by: Sequence[str], x: str, buckets: int, bucket_rows: int) -> DataFrame:
-    """Adds _b, a bucket number that never falls as x grows: equal parts of a group's range, and where
-    one holds many rows, as under a long tail, equal parts of that part's own range."""
-    value = F.col(x).cast("double")
-    finite = F.when(F.abs(value) < F.lit(float("inf")), value)
-    span = points.groupBy(*by).agg(F.struct(F.min(finite).alias("lo"), F.max(finite).alias("hi")).alias("_s"))
-    coarse = points.join(span, list(by)) if by else points.withColumn("_s", span.scalar())
-    part = _share(value, F.col("_s.lo"), F.col("_s.hi"), F.lit(buckets))
-    coarse = coarse.withColumn("_p", F.when(value == float("inf"), buckets).when(value == float("-inf"), -1)
-                               .otherwise(part)).drop("_s")
-    inner = coarse.groupBy(*by, "_p").agg(
-        F.min(finite).alias("_lo"), F.max(finite).alias("_hi"),
-        F.least(F.ceil(F.count(F.lit(1)) / bucket_rows), F.lit(FINE)).alias("_n"))
-    fine = _share(value, F.col("_lo"), F.col("_hi"), F.col("_n"))
-    return (coarse.join(inner, [*by, "_p"])
-            .withColumn("_b", F.col("_p") * FINE + F.coalesce(fine, F.lit(0))).drop("_p", "_lo", "_hi", "_n"))
-
-
-def with_prefix(points: DataFrame, by: Sequence[str], x: str, counts: Sequence[str],
-                buckets: int = BUCKETS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def _parts(points: DataFrame, by: Sequence[str], x: str, part_rows: int) -> DataFrame:
+    """points, stored, with _b: numbers of parts of about part_rows rows that never fall as (by, x) grows.
+
+    The rows are distinct, so no value is too frequent for a part, and the borders are sampled quantiles,
+    so a long tail or a crowded range makes no part large.
+    """
+    kept = stored(points)
+    n = -(-kept.count() // part_rows)
+    if n <= 1:
+        return kept.withColumn("_b", F.lit(0))
+    return stored(kept.repartitionByRange(2 * n, *by, x).withColumn("_b", F.spark_partition_id()))
+
+
+def with_prefix(points: DataFrame, by: Sequence[str], x: str, counts: Sequence[str], part_rows: int = PART_ROWS) -> DataFrame:
     """Adds to each point of a group the sum of every count over the smaller x (c_before), the
     group's total (c_all), and the same counts of the next smaller and next larger x
     (c_lower, c_upper; NULL at the ends). points has one row per group and x.
     """
     by = list(by)
-    spread = _bucketed(points, by, x, buckets, bucket_rows)
+    spread = _parts(points, by, x, part_rows)
     row = F.struct(*counts)
     totals = spread.groupBy(*by, "_b").agg(
         *[F.sum(c).alias(c) for c in counts],
         F.min_by(row, x).alias("_first"), F.max_by(row, x).alias("_last"))
-    across = Window.partitionBy(*_group(by)).orderBy("_b")    # one row per bucket
+    across = Window.partitionBy(*_group(by)).orderBy("_b")    # one row per part of the group
     whole = Window.partitionBy(*_group(by))
     totals = totals.select(
         *by, "_b",
@@ -201,7 +190,7 @@ def score_regression(df: DataFrame, by: Sequence[str] = ("method",), score: str
     line = rows.groupBy(*by).agg(
         F.corr(score, num).alias("pearson_r"), F.regr_slope(num, score).alias("slope"),
         F.regr_intercept(num, score).alias("intercept"), F.count(F.lit(1)).alias("n"))
-    pairs = rows.groupBy(*by, score, num).agg(F.count(F.lit(1)).alias("_n"))
+    pairs = stored(rows.groupBy(*by, score, num).agg(F.count(F.lit(1)).alias("_n")))
     ranked = (pairs.join(average_ranks(pairs, by, score, "_rx"), [*by, score])
               .join(average_ranks(pairs, by, num, "_ry"), [*by, num]))
     w, rx, ry = F.col("_n"), F.col("_rx"), F.col("_ry")
@@ -269,11 +258,49 @@ def mann_whitney(df: DataFrame, by: Sequence[str] = (), score: str = "score", la
         F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"),
         F.sum(t * t * t - t).alias("_ties"))
 
-    @F.pandas_udf("double")
-    def p_value(u: pd.Series, a: pd.Series, b: pd.Series, ties: pd.Series) -> pd.Series:
-        return pd.Series([_mwu_p(*row) for row in zip(u, a, b, ties)], dtype=object)
+    return stats.withColumn("p_value", _p_values("u", "n_pos", "n_neg", "_ties")).drop("_ties")
+
+
+@F.pandas_udf(DoubleType())
+def _p_values(u: pd.Series, a: pd.Series, b: pd.Series, ties: pd.Series) -> pd.Series:
+    return pd.Series([_mwu_p(*row) for row in zip(u, a, b, ties)], dtype=object)
+
+
+@lru_cache
+def _sums_upto(parts: int) -> list[int]:
+    """How many multisets of 1..parts have a sum of at most n, for so many n that the rule below is fixed by them."""
+    period = math.lcm(*range(1, parts + 1))
+    ways = [1] + [0] * (period * (parts + 2))
+    for part in [1, *range(1, parts + 1)]:      # the second 1 sums up
+        for n in range(part, len(ways)):
+            ways[n] += ways[n - part]
+    return ways
 
-    return stats.withColumn("p_value", p_value("u", "n_pos", "n_neg", "_ties")).drop("_ties")
+
+def _multisets_upto(n: int, parts: int) -> int:
+    """_sums_upto for any n: on the numbers of one remainder by the period it is a polynomial of degree `parts`."""
+    known, period = _sums_upto(parts), math.lcm(*range(1, parts + 1))
+    if n < len(known):
+        return known[n] if n >= 0 else 0
+    k, rest = divmod(n, period)
+    total = Fraction(0)
+    for i in range(parts + 1):
+        weight = Fraction(known[rest + i * period])
+        for j in range(parts + 1):
+            if j != i:
+                weight *= Fraction(k - j, i - j)
+        total += weight
+    return int(total)
+
+
+def _orders_below(u: int, a: int, b: int) -> int:
+    """How many orders of a and b rows have a U below u: partial sums of the Gaussian binomial, whose numerator
+    is multiplied out (2^a terms), so that memory does not depend on b."""
+    total = 0
+    for chosen in range(1 << a):
+        taken = [b + i + 1 for i in range(a) if chosen >> i & 1]
+        total += (-1) ** len(taken) * _multisets_upto(u - 1 - sum(taken), a)
+    return total
 
 
 def _mwu_p(u: float, a: int, b: int, ties: float) -> float | None:
@@ -281,14 +308,7 @@ def _mwu_p(u: float, a: int, b: int, ties: float) -> float | None:
     if a == 0 or b == 0:
         return None
     if ties == 0 and min(a, b) <= 8:
-        ways = np.zeros(a * b + 1)   # number of orders per U, by the Gaussian binomial
-        ways[0] = 1.0
-        for i in range(1, min(a, b) + 1):
-            top, low = max(a, b) + i, i
-            ways[top:] = ways[top:] - ways[:-top] if top < len(ways) else ways[top:]
-            for r in range(low):
-                ways[r::low] = np.cumsum(ways[r::low])
-        return float(ways[math.ceil(u):].sum() / ways.sum())
+        return float(1 - Fraction(_orders_below(math.ceil(u), min(a, b), max(a, b)), math.comb(a + b, min(a, b))))
     n = a + b
     variance = a * b / 12.0 * ((n + 1) - ties / (n * (n - 1)))
     if variance <= 0:
@@ -310,19 +330,22 @@ def effect_summary(long: DataFrame, label: str = "label", least: int = 10,
     effect, the Mann-Whitney p of the absolute one, median absolute effect and count per class."""
     by = list(by)
     rows = scored(long).withColumn("abs_score", F.abs("score"))
-    test = mann_whitney(rows, by, "abs_score", label)
-    pairs = F.col("n_pos").cast("double") * F.col("n_neg")
+    points = stored(with_prefix(class_counts(rows, by, "abs_score", label), by, "score", ["pos", "neg"]))
+    t = (F.col("pos") + F.col("neg")).cast("double")
+
+    def median(count):
+        def at(index):
+            return F.max(F.when((F.col(f"{count}_before") <= index) & (index < F.col(f"{count}_before") + F.col(count)), F.col("score")))
+        place = (F.col(f"{count}_all") - 1) / 2
+        return (at(F.floor(place)) + at(F.ceil(place))) / 2
+    stats = points.groupBy(*by).agg(
+        F.sum(F.col("pos") * (F.col("neg_before") + F.col("neg") / 2)).alias("u"), F.sum("pos").alias("n_path"), F.sum("neg").alias("n_benign"),
+        F.sum(t * t * t - t).alias("_ties"), median("pos").alias("median_abs_path"), median("neg").alias("median_abs_benign"))
     raw = roc_auc(rows, by, "score", label).select(*by, F.col("roc_auc").alias("auc_raw"))
-    middle = exact_quantiles(rows.withColumn("_class", F.col(label).cast("int")), [*by, "_class"],
-                             "abs_score", {"m": 0.5})
-    medians = middle.groupBy(*by).agg(
-        F.max(F.when(F.col("_class") == 1, F.col("m"))).alias("median_abs_path"),
-        F.max(F.when(F.col("_class") == 0, F.col("m"))).alias("median_abs_benign"))
-    return (test.where((F.col("n_pos") + F.col("n_neg") >= least) & (F.col("n_pos") > 0) & (F.col("n_neg") > 0))
-            .withColumn("auc_abs", F.col("u") / pairs)
-            .join(raw, by).join(medians, by)
-            .select(*by, "auc_abs", "auc_raw", F.col("p_value").alias("mwu_p"), "median_abs_path",
-                    "median_abs_benign", F.col("n_pos").alias("n_path"), F.col("n_neg").alias("n_benign")))
+    return (stats.where((F.col("n_path") + F.col("n_benign") >= least) & (F.col("n_path") > 0) & (F.col("n_benign") > 0))
+            .withColumn("auc_abs", F.col("u") / (F.col("n_path").cast("double") * F.col("n_benign")))
+            .withColumn("mwu_p", _p_values("u", "n_path", "n_benign", "_ties")).join(raw, by)
+            .select(*by, "auc_abs", "auc_raw", "mwu_p", "median_abs_path", "median_abs_benign", "n_path", "n_benign"))
 
 
 def method_auc(df: DataFrame, key, least: int = 10, by: Sequence[str] = ("neg_set", "method"),

@@ -27,13 +27,13 @@ def test_auc_with_ties(spark):
     assert ev.roc_auc(frame(spark, [(1, 2), (1, 1)])).first()["roc_auc"] is None
 
 
-@pytest.mark.parametrize("buckets, bucket_rows", [(1, 100_000), (1, 7), (3, 5), (1024, 1)])
-def test_prefix_sums_with_infinities_and_skew(spark, buckets, bucket_rows):
-    rng = random.Random(buckets)
+@pytest.mark.parametrize("part_rows", [100_000, 7, 50])
+def test_prefix_sums_with_infinities_and_skew(spark, part_rows):
+    rng = random.Random(part_rows)
     values = [rng.choice([float("inf"), float("-inf"), 1e300, -1e300, 0.0, rng.gauss(0, 1), round(rng.gauss(0, 1), 1)]) for _ in range(300)]
     pairs = [(rng.randrange(2), v) for v in values]
     points = ev.class_counts(frame(spark, pairs), [], "score", "label")
-    got = ev.with_prefix(points, [], "score", ["pos", "neg"], buckets=buckets, bucket_rows=bucket_rows).collect()
+    got = ev.with_prefix(points, [], "score", ["pos", "neg"], part_rows=part_rows).collect()
     for r in got:
         assert r["neg_before"] == sum(y == 0 and s < r["score"] for y, s in pairs)
         assert r["pos_all"] == sum(y for y, _ in pairs)
@@ -160,3 +160,34 @@ def test_rows_of_an_earlier_run_are_dropped(spark):
     got = runs.rows_of_this_run(spark.createDataFrame(new, schema), spark.createDataFrame(old, schema)).collect()
     assert sorted((r["run"], r["row_no"]) for r in got) == [
         ("changed", 0), ("changed", 1), ("changed", 2), ("goes on", 0), ("goes on", 1), ("new", 0), ("restart", 2)]
+
+
+def test_no_part_is_large_under_a_long_tail(spark):
+    """Scores from 10^-300 to 1, and a million of them in a hundredth of the range."""
+    from pyspark.sql import functions as F
+    for x in (F.pow(F.lit(10.0), -F.col("id") / 1000), F.when(F.col("id") % 100 > 0, 0.5 + F.col("id") * 1e-12).otherwise(F.col("id") * 1e3)):
+        points = spark.range(300_000).select(x.alias("score"), F.lit(1).alias("n"))
+        parts = ev._parts(points, [], "score", 1000).groupBy("_b").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("lo"), F.max("score").alias("hi")).orderBy("_b").collect()
+        assert max(r["n"] for r in parts) <= 3000 and sum(r["n"] for r in parts) == 300_000
+        assert all(a["hi"] < b["lo"] for a, b in zip(parts, parts[1:]))
+
+
+def test_exact_p_of_a_small_class_against_all_orders():
+    from itertools import combinations
+    from math import comb
+    for a, b in ((1, 4), (2, 5), (3, 6), (4, 4), (2, 40)):
+        us = [sum(c) - a * (a - 1) // 2 for c in combinations(range(a + b), a)]
+        for u in range(a * b + 1):
+            assert ev._mwu_p(u, a, b, 0) == pytest.approx(sum(x >= u for x in us) / comb(a + b, a))
+            assert ev._mwu_p(u, b, a, 0) == ev._mwu_p(u, a, b, 0)
+    assert ev._mwu_p(4 * 10**9, 8, 10**9, 0) == pytest.approx(0.5, abs=1e-3)      # no array of 8 times 10^9
+
+
+def test_effect_medians_and_auc(spark):
+    rng = random.Random(5)
+    rows = [("m", rng.randrange(2), rng.gauss(0, 1)) for _ in range(201)]
+    out = ev.effect_summary(spark.createDataFrame(rows, "method string, label int, score double")).first()
+    import statistics
+    for name, y in (("median_abs_path", 1), ("median_abs_benign", 0)):
+        assert out[name] == pytest.approx(statistics.median(abs(s) for _, l, s in rows if l == y))
+    assert out["auc_raw"] == pytest.approx(auc([(l, s) for _, l, s in rows])) and out["auc_abs"] == pytest.approx(auc([(l, abs(s)) for _, l, s in rows]))
