@@ -37,7 +37,7 @@ from lociframe.llm.words import mix, released, split_words, word_hashes
 from lociframe.session import stored
 
 DISCOUNT, ADD = 0.75, 0.1
-SHARD_TOKENS = 2_500_000
+SHARD_TOKENS = 1_800_000
 BLOCK_BYTES, BLOCK_DOCS = 8 << 20, 1 << 15
 BEGIN, END = np.uint64(0x0123456789ABCDEF), np.uint64(0xFEDCBA9876543210)
 ID_BITS = 40
