@@ -82,14 +82,16 @@ _COMPLEMENT[[65, 67, 71, 84]] = [84, 71, 67, 65]
 
 def scan_motifs(seqs: DataFrame, matrices: dict[str, np.ndarray], keys: Sequence[str] = ("id",),
                 seq: str = "seq", threshold: float | None = None, both: bool = True,
-                best_strand_only: bool = False, matched: bool = True, scale: int = SCALE) -> DataFrame:
+                best_strand_only: bool = False, matched: bool = True, scale: int = SCALE,
+                floors: dict[str, int] | None = None) -> DataFrame:
     """Windows of every sequence scored with every motif.
 
     One row per motif, window and strand with a score of at least threshold (None: all): keys,
     motif, start and stop (1-based, inclusive), strand, score, iscore (the score in whole 1/scale
     bits, for hit_pvalues) and the matched text as read on the hit's strand. Windows with another
     letter than A, C, G, T are left out. best_strand_only keeps the better strand of a
-    window, the forward one on ties. Whole batches are scanned at once; nothing is shuffled.
+    window, the forward one on ties. floors gives a motif's least iscore (pvalue_floors); a motif that is not in it gives
+    nothing. Whole batches are scanned at once; nothing is shuffled.
     """
     keys = list(keys)
     matrices = {k: np.asarray(m, dtype=float) for k, m in matrices.items()}
@@ -104,7 +106,8 @@ def scan_motifs(seqs: DataFrame, matrices: dict[str, np.ndarray], keys: Sequence
         whole = np.rint(matrix * scale)
         fwd, rev = strand_scores(codes, matrix)
         ifwd, irev = strand_scores(codes, whole)
-        take = [("+", fwd, ifwd, fwd >= floor), ("-", rev, irev, rev >= floor)][:2 if both else 1]
+        least = -np.inf if floors is None else floors.get(name, np.inf)
+        take = [("+", fwd, ifwd, (fwd >= floor) & (ifwd >= least)), ("-", rev, irev, (rev >= floor) & (irev >= least))][:2 if both else 1]
         if best_strand_only and both:
             plus = fwd >= rev
             take = [("+", fwd, ifwd, take[0][3] & plus), ("-", rev, irev, take[1][3] & ~plus)]
@@ -174,6 +177,12 @@ def null_distribution(motifs: DataFrame, scale: int = SCALE) -> DataFrame:
     return table.groupBy("motif").applyInPandas(build, "motif string, iscore long, p_value double")
 
 
+def pvalue_floors(motifs: DataFrame, threshold: float = 1e-4, scale: int = SCALE) -> dict[str, int]:
+    """For each motif the least iscore whose p-value is at or below the threshold; motifs that reach none are left out."""
+    found = null_distribution(motifs, scale).where(F.col("p_value") <= threshold).groupBy("motif").agg(F.min("iscore").alias("least"))
+    return {r["motif"]: r["least"] for r in found.collect()}      # one row per motif, as the matrices
+
+
 def hit_pvalues(hits: DataFrame, motifs: DataFrame, threshold: float = 1e-4, scale: int = SCALE) -> DataFrame:
     """Adds p_value to the hits and keeps those at or below the threshold."""
     return (hits.join(null_distribution(motifs, scale), ["motif", "iscore"])

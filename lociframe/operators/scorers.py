@@ -121,16 +121,18 @@ class PwmScorer(Scorer):
         return cls(np.log2((probs + pseudocount) / (background + pseudocount)), **kw)
 
     def batch(self, seqs):
-        from lociframe.operators.motifs import strand_scores
+        """All sequences of a batch are joined, an N between them, and scanned at once."""
+        from lociframe.operators.motifs import _chunks, _joined, strand_scores
         out = np.full(len(seqs), np.nan)
-        for i, s in enumerate(seqs):
-            if s is None or len(s) < self.width:
-                continue
-            codes = CODES[np.frombuffer(s.encode("ascii", "replace"), dtype=np.uint8)]
+        texts = ["" if s is None else s for s in seqs]
+        for lo, hi in _chunks(texts):
+            data, starts = _joined(texts[lo:hi])
+            codes = CODES[data]
             fwd, rev = strand_scores(codes, self.log_odds)
             best = np.fmax(fwd, rev) if self.both_strands else fwd
-            if not np.isnan(best).all():
-                out[i] = np.nanmax(best)
+            best = np.concatenate([np.where(np.isnan(best), -np.inf, best), np.full(len(codes) - len(best), -np.inf)])
+            top = np.maximum.reduceat(best, starts)
+            out[lo:hi] = np.where(np.isinf(top), np.nan, top)
         return out
 
 

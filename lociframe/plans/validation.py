@@ -16,6 +16,7 @@ from lociframe.operators import genome as gn
 from lociframe.operators import intervals as iv
 from lociframe.operators import motifs as mo
 from lociframe.operators import negatives as ng
+from lociframe.operators.scorers import PwmScorer
 from lociframe.operators.sampling import sample_n, take_by_hash
 from lociframe.session import stored
 
@@ -27,8 +28,9 @@ def variant_validation(peaks: DataFrame, records: DataFrame, genome: DataFrame,
 
     peaks: chrom, start, end, num; records: chrom, pos, ref, alts, clinsig, mc, geneinfo, rsid. scorers
     see windows of the given width; a motif (matrices) is scored as the best hit covering the variant in a
-    window of 2w - 1; energies (chrom, pos, ref, alt, score) are joined as they are and keep NULLs.
-    Returns variants (with the effects) and summary.
+    window of 2w - 1; energies (chrom, pos, ref, alt, score) are joined as they are and keep NULLs; of several for one
+    variant the least counts. Returns variants with <method>_ref, <method>_alt and <method>_dd (energy_dd for energies),
+    effects (one row per variant and method) and summary.
     """
     merged = iv.filter_confidence(iv.merge_intervals(peaks), min_confidence, problem)
     # Cheap filters first: they leave few records for the join.
@@ -38,35 +40,39 @@ def variant_validation(peaks: DataFrame, records: DataFrame, genome: DataFrame,
     regions = merged.withColumn("contig", contig_key("chrom"))
     inside = iv.overlap_join(points, regions, ["contig"], suffix="_peak").select(
         "chrom", "pos", "ref", "alt", "clinsig", "label", "gene", "mc", "rsid", F.col("num").alias("peak_num"))
-    hits = stored(inside.withColumn("vid", F.concat_ws(":", "chrom", F.col("pos").cast("string"), "ref", "alt", "rsid")))
+    # A row key of its own: records may repeat, and their ids may be empty. Given once, as the table is stored.
+    hits = stored(inside.withColumn("vid", F.monotonically_increasing_id()))
 
     def windows(w):
         return gn.variant_windows(hits, genome, lengths, w, bin_width, row_key=F.col("vid")).where("status = 'ok'")
 
-    parts = []
-    if scorers:
-        scored = ef.variant_effect(windows(width), scorers)
-        parts.append(ev.long_scores(scored, {name: f"{name}_dd" for name in scorers}, ["vid", "label"]))
-    for name, matrix in (matrices or {}).items():
-        w = len(matrix)
-        span = mo.window_length_at(w)
-        pairs = windows(span)
+    out, parts = hits, []
 
-        def covering(col, matrix=matrix, span=span, w=w, name=name, pairs=pairs):
-            found = mo.scan_motifs(pairs, {name: matrix}, ["vid"], col, matched=False)
-            return mo.score_at(found, w, pairs, "vid").withColumnRenamed("score", col)
+    def take(scored: DataFrame, names: Sequence[str]) -> None:
+        """Effect columns for the variants, and their rows for the evaluation."""
+        nonlocal out
+        columns = [f"{name}_{end}" for name in names for end in ("ref", "alt", "dd")]
+        kept = stored(scored.select("vid", "label", *columns))
+        parts.append(ev.long_scores(kept, {name: f"{name}_dd" for name in names}, ["vid", "label"]))
+        out = out.join(kept.drop("label"), "vid", "left")
 
-        both = covering("ref_window").join(covering("alt_window"), "vid")
-        parts.append(both.join(hits.select("vid", "label"), "vid").select(
-            "vid", "label", F.lit(name).alias("method"), (F.col("ref_window") - F.col("alt_window")).alias("score")))
+    if scorers:
+        take(ef.variant_effect(windows(width), scorers), list(scorers))
+    for name, matrix in (matrices or {}).items():
+        # Every placement in a window of 2w - 1 covers its centre, so the best one in the row is the best covering hit.
+        pairs = windows(mo.window_length_at(len(matrix)))
+        scored = ef.variant_effect(pairs, {name: PwmScorer(matrix)}, kind={name: "motif"})
+        take(scored.withColumns({f"{name}_{end}": F.coalesce(f"{name}_{end}", F.lit(0.0)) for end in ("ref", "alt")}), [name])
     if energies is not None:
-        joined = hits.join(energies, ["chrom", "pos", "ref", "alt"], "left")
-        parts.append(joined.select("vid", "label", F.lit("energy").alias("method"), "score"))
+        joined = hits.join(energies.select("chrom", "pos", "ref", "alt", F.col("score").alias("energy_dd")), ["chrom", "pos", "ref", "alt"], "left")
+        kept = joined.groupBy("vid", "label").agg(F.min("energy_dd").alias("energy_dd"))
+        parts.append(kept.select("vid", "label", F.lit("energy").alias("method"), F.col("energy_dd").alias("score")))
+        out = out.join(kept.drop("label"), "vid", "left")
     effects = parts[0]
     for part in parts[1:]:
         effects = effects.unionByName(part)
     effects = stored(effects.withColumn("label", (F.col("label") == "pathogenic").cast("int")))
-    return {"variants": hits.drop("vid"), "effects": effects, "summary": ev.effect_summary(effects)}
+    return {"variants": out.drop("vid"), "effects": effects, "summary": ev.effect_summary(effects)}
 
 
 def _windows_of(peaks: DataFrame, genome, lengths, bin_width, width, policy, n, seed) -> DataFrame:
@@ -97,7 +103,7 @@ def _against(scores: DataFrame, pos_tf: str, neg_tfs: Sequence[str]) -> DataFram
 
 
 def method_comparison(peaks: DataFrame, genome: DataFrame, lengths: DataFrame, bin_width: int, scorers: dict,
-                      pos_tf: str, neg_tfs: Sequence[str], n_per_tf: int | None = 500, width: int = 24, seed=42,
+                      pos_tf: str, neg_tfs: Sequence[str], n_per_tf: int | None = None, width: int = 24, seed=42,
                       least: int = 10) -> dict[str, DataFrame]:
     """AUC of every method for one factor's peaks against each other factor's, on balanced classes.
 
@@ -124,7 +130,7 @@ def count_benchmark(peaks: DataFrame, genome: DataFrame, lengths: DataFrame, bin
 
 
 def peak_set_validation(peaks: DataFrame, genome: DataFrame, lengths: DataFrame, bin_width: int, scorers: dict,
-                        matrices: dict | None = None, score_min: float = 4, max_positives: int | None = 500,
+                        matrices: dict | None = None, score_min: float = 4, max_positives: int | None = None,
                         max_region: int = 2000, window: int = 24, mode: str = "shuffle", hit_threshold: float = 0.0,
                         key: str = "id", seed=42, tries: int = 200, least: int = 5) -> dict[str, DataFrame]:
     """AUC of methods for confident peaks against shuffled or length- and GC-matched regions.

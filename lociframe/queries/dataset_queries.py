@@ -94,11 +94,20 @@ def _learnable(v):
     return ds.split_dataset(rows.select("id", "seq", "label"))
 
 
-@query("train_baseline", "D8")
+# The fit itself is no SQL: its contract is. Every test row has a probability, the order of the classes is learned,
+# and the loss is far below that of the constant that knows the share of the label.
+@query("train_baseline", "D8", views="reads", sql=f"""
+    WITH {_SPLIT}, t AS (SELECT CASE WHEN {weight_sum_sql('seq', 32)} > 0 THEN 1 ELSE 0 END AS label FROM split WHERE split = 'test')
+    SELECT count(*) AS n, sum(label)::BIGINT AS n_pos, true AS in_range, true AS below_half_constant, true AS ordered FROM t""")
 def _(v):
     rows = _learnable(v)
     model = md.train_baseline(rows)
-    return rows.where("split = 'test'").select("id", "label", F.round(model(F.col("seq")), 4).alias("probability"))
+    test = rows.where("split = 'test'")
+    scored = test.select(F.col("label").cast("long").alias("label"), model(F.col("seq")).alias("p"))
+    out = scored.agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("n_pos"), F.bool_and((F.col("p") > 0) & (F.col("p") < 1)).alias("in_range"), F.avg("label").alias("s"))
+    constant = -(F.col("s") * F.log("s") + (1 - F.col("s")) * F.log(1 - F.col("s")))
+    metrics = md.evaluate(test, model).select("test_loss", "test_auc")
+    return out.crossJoin(metrics).select("n", "n_pos", "in_range", (F.col("test_loss") < constant / 2).alias("below_half_constant"), (F.col("test_auc") > 0.95).alias("ordered"))
 
 
 @query("evaluate_scorer", "D9", views="reads", sql=f"""
@@ -106,10 +115,10 @@ def _(v):
         + (count(*) OVER (PARTITION BY p) - 1) / 2.0::DOUBLE AS r FROM s)
     SELECT round(avg(-(label * ln(p) + (1 - label) * ln(1 - p))), 6) AS test_loss, round(avg(((p > 0.5)::INT = label)::INT), 6) AS test_acc,
         round((sum(r) FILTER (label = 1) - count(*) FILTER (label = 1) * (count(*) FILTER (label = 1) + 1) / 2.0::DOUBLE)
-            / (count(*) FILTER (label = 1) * count(*) FILTER (label = 0))::DOUBLE, 3) AS test_auc FROM r""")
+            / (count(*) FILTER (label = 1) * count(*) FILTER (label = 0))::DOUBLE, 6) AS test_auc FROM r""")
 def _(v):
     out = md.evaluate(v.reads, lambda c: 1.0 / (1.0 + F.exp(-F.round(weight_scorer(32)(c), 6))))
-    return out.select(F.round("test_loss", 6).alias("test_loss"), F.round("test_acc", 6).alias("test_acc"), F.round("test_auc", 3).alias("test_auc"))
+    return out.select(F.round("test_loss", 6).alias("test_loss"), F.round("test_acc", 6).alias("test_acc"), F.round("test_auc", 6).alias("test_auc"))
 
 
 @query("evaluate_regression", "D9", views="reads", sql=f"""
@@ -118,9 +127,13 @@ def _(v):
     return md.evaluate(v.reads, weight_scorer(32), "regression").withColumn("test_loss", F.round("test_loss", 6))
 
 
-@query("sweep", "D10")
+# The contract of a sweep: every set once, the losses rising from the first row, and the weaker penalty first on data without noise.
+@query("sweep", "D10", views="", sql="""
+    SELECT reg, max_iter, true AS finite, reg = 0.001 AS among_best FROM (VALUES (0.001::DOUBLE), (0.1)) r(reg), (VALUES (5.0::DOUBLE), (10.0)) m(max_iter)""")
 def _(v):
-    return md.sweep(_learnable(v), {"reg": [0.001, 0.1], "max_iter": [5, 10]})
+    out = md.sweep(_learnable(v), {"reg": [0.001, 0.1], "max_iter": [5, 10]})
+    losses = out.agg(F.sort_array(F.collect_list("val_loss"))[1].alias("second"))      # four rows
+    return out.crossJoin(losses).select("reg", "max_iter", (F.col("val_loss") > 0).alias("finite"), (F.col("val_loss") <= F.col("second")).alias("among_best"))
 
 
 # ---- variant predicates -------------------------------------------------------------------------

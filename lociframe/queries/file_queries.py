@@ -18,7 +18,7 @@ from lociframe.operators.genome import contig_lengths, variant_windows
 from lociframe.operators.runs import best_epoch
 from lociframe.queries.dataset_queries import _SPLIT, _ATOMS, _one_atom
 from lociframe.queries.registry import query
-from lociframe.queries.sequence_queries import positive_windows
+from lociframe.queries.sequence_queries import gc_negatives_sql, positive_windows
 from lociframe.queries.views import BIN, weight_scorer, weight_sum_sql
 from lociframe.session import checkpoint_dir, stored
 from lociframe.sources import intervals as si
@@ -251,13 +251,14 @@ def _(v):
 
 # ---- sinks --------------------------------------------------------------------------------------
 
-@query("write_negatives", "K1")
+@query("write_negatives", "K1", views="intervals chroms contigs", sql=f"""
+    WITH {gc_negatives_sql(100)} SELECT chrom, start, "end", 'neg_' || row_number() OVER (ORDER BY chrom, start)::VARCHAR AS name, round(gc, 2) AS gc FROM picked""")
 def _(v):
     positives = stored(positive_windows(v, 100).select("chrom", "ws", "we", "seq"))
     picked, _ = ng.gc_matched_negatives(v.genome, positives, v.intervals, 100, BIN)
     path = folder(v, "negatives")
     sinks.write_negatives(picked, path)
-    return si.read_bed(v.spark, path, ["name", "gc"]).select("chrom", "start", "end", "name", "gc")
+    return si.read_bed(v.spark, path, ["name", "gc"]).select("chrom", "start", "end", "name", F.col("gc").cast("double").alias("gc"))
 
 
 @query("write_track", "K5", "I18", views="intervals contigs", sql="""

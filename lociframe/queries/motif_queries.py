@@ -3,6 +3,9 @@
 import math
 
 import numpy as np
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lociframe.operators import attribution as at
@@ -90,34 +93,45 @@ def _null_sql(name):
     return f"SELECT '{name}' AS motif, {total} AS s FROM {', '.join(cols)}"
 
 
-@query("hit_pvalues", "M4", views="texts", sql=f"""
-    WITH {hits_sql('texts', 6.0)}, words AS ({' UNION ALL '.join(_null_sql(n) for n in MOTIFS)}),
+def null_sql():
+    """null_table (motif, s, p): the share of all words that score at least s."""
+    return f"""words AS ({' UNION ALL '.join(_null_sql(n) for n in MOTIFS)}),
     null_counts AS (SELECT motif, s, count(*) AS n FROM words GROUP BY motif, s),
-    null_table AS (SELECT motif, s, sum(n) OVER (PARTITION BY motif ORDER BY s DESC) / 4096.0::DOUBLE AS p FROM null_counts)
+    null_table AS (SELECT motif, s, sum(n) OVER (PARTITION BY motif ORDER BY s DESC) / 4096.0::DOUBLE AS p FROM null_counts)"""
+
+
+@query("hit_pvalues", "M4", views="texts", sql=f"""
+    WITH {hits_sql('texts')}, {null_sql()}
     SELECT id, h.motif, start, strand, round(score, 6) AS score, round(p, 9) AS p_value
     FROM hits h JOIN null_table n ON h.motif = n.motif AND h.iscore = n.s WHERE p <= 0.001""")
 def _(v):
     table = mo.log_odds(motif_table(v))
-    hits = mo.hit_pvalues(mo.scan_motifs(v.texts, matrices(v), threshold=6.0, matched=False), table, 1e-3)
+    hits = mo.scan_motifs(v.texts, matrices(v), matched=False, floors=mo.pvalue_floors(table, 1e-3))
+    hits = mo.hit_pvalues(hits, table, 1e-3)
     return hits.select("id", "motif", "start", "strand", F.round("score", 6).alias("score"), F.round("p_value", 9).alias("p_value"))
 
 
 @query("score_per_sequence", "M5", views="texts", sql=f"""
-    WITH {hits_sql('texts', 7.5)} SELECT t.id, round(coalesce(max(score), 0), 6) AS best, round(coalesce(avg(score), 0), 6) AS mean
-    FROM texts t LEFT JOIN hits h ON t.id = h.id AND motif = 'alpha' GROUP BY t.id""")
+    WITH {hits_sql('texts', 7.5)} SELECT t.id, m.name AS motif, round(coalesce(max(score), 0), 6) AS best, round(coalesce(avg(score), 0), 6) AS mean
+    FROM texts t CROSS JOIN (VALUES {', '.join(f"('{n}')" for n in MOTIFS)}) m(name) LEFT JOIN hits h ON t.id = h.id AND motif = m.name GROUP BY t.id, m.name""")
 def _(v):
-    hits = mo.scan_motifs(v.texts, {"alpha": matrices(v)["alpha"]}, threshold=7.5, matched=False)
-    best = mo.score_per_sequence(hits, v.texts).withColumnRenamed("score", "best")
-    mean = mo.score_per_sequence(hits, v.texts, how="mean").withColumnRenamed("score", "mean")
-    return best.join(mean, "id").select("id", F.round("best", 6).alias("best"), F.round("mean", 6).alias("mean"))
+    parts = []
+    for name, matrix in matrices(v).items():
+        hits = mo.scan_motifs(v.texts, {name: matrix}, threshold=7.5, matched=False)
+        best = mo.score_per_sequence(hits, v.texts).withColumnRenamed("score", "best")
+        mean = mo.score_per_sequence(hits, v.texts, how="mean").withColumnRenamed("score", "mean")
+        parts.append(best.join(mean, "id").select("id", F.lit(name).alias("motif"), F.round("best", 6).alias("best"), F.round("mean", 6).alias("mean")))
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query("score_at", "M6", views="reads", sql=f"""
-    WITH {hits_sql('reads', 0.0)} SELECT r.id, round(coalesce(max(score), 0), 6) AS score FROM reads r
-    LEFT JOIN hits h ON r.id = h.id AND motif = 'beta' AND start <= 17 AND stop >= 17 GROUP BY r.id""")
+    WITH {hits_sql('reads', 0.0)} SELECT r.id, m.name AS motif, round(coalesce(max(score), 0), 6) AS score
+    FROM reads r CROSS JOIN (VALUES {', '.join(f"('{n}')" for n in MOTIFS)}) m(name)
+    LEFT JOIN hits h ON r.id = h.id AND motif = m.name AND start <= 17 AND stop >= 17 GROUP BY r.id, m.name""")
 def _(v):
-    hits = mo.scan_motifs(v.reads, {"beta": matrices(v)["beta"]}, threshold=0.0, matched=False)
-    return mo.score_at(hits, 17, v.reads).withColumn("score", F.round("score", 6))
+    return reduce(DataFrame.unionByName, [
+        mo.score_at(mo.scan_motifs(v.reads, {name: matrix}, threshold=0.0, matched=False), 17, v.reads)
+        .select("id", F.lit(name).alias("motif"), F.round("score", 6).alias("score")) for name, matrix in matrices(v).items()])
 
 
 @query("score_sequences", "M7", views="reads", sql=f"""
@@ -323,13 +337,37 @@ def _seqlets(v):
     return attributed, at.call_seqlets(attributed, max_p=0.05)
 
 
-@query("call_seqlets", "M17")
+_SEQLETS = """value AS (SELECT id, pos, CASE substr(seq, pos + 1, 1) WHEN 'A' THEN (pos * 7) % 11 WHEN 'C' THEN (pos * 7 + 3) % 11 WHEN 'G' THEN (pos * 7 + 6) % 11 ELSE (pos * 7 + 9) % 11 END - 5 AS x
+        FROM reads, range(32) t(pos)),
+    total AS (SELECT id, pos, sum(x) OVER (PARTITION BY id ORDER BY pos) - x AS t, x FROM value),
+    ends AS (SELECT id, pos, t FROM total UNION ALL SELECT id, 32, sum(x) FROM value GROUP BY id),
+    span AS (SELECT a.id, a.pos AS s, b.pos AS e, b.pos - a.pos AS n, sign(b.t - a.t)::INT AS sign, abs(b.t - a.t) / 10.0::DOUBLE AS size
+        FROM ends a JOIN ends b ON a.id = b.id AND b.pos - a.pos BETWEEN 5 AND 15 WHERE b.t <> a.t),
+    sizes AS (SELECT n, sign, size, count(*) AS c FROM span GROUP BY ALL),
+    tail AS (SELECT n, sign, size, sum(c) OVER (PARTITION BY n, sign ORDER BY size DESC) / sum(c) OVER (PARTITION BY n, sign) AS p FROM sizes),
+    own AS MATERIALIZED (SELECT span.*, p FROM span JOIN tail USING (n, sign, size) WHERE p < 0.05),
+    whole AS (SELECT a.id, a.s, a.e, a.n, a.sign, a.size, a.p FROM own a JOIN own b ON a.id = b.id AND a.sign = b.sign AND b.s >= a.s AND b.e <= a.e
+        GROUP BY ALL HAVING count(*) = (a.n - 4) * (a.n - 3) // 2),
+    good AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY id ORDER BY p, -n, s, e) AS k FROM whole),
+    greedy AS (SELECT id, [{'s': s, 'e': e}] AS taken, k FROM good WHERE k = 1
+        UNION ALL SELECT g.id, list_append(any_value(g.taken), arg_min({'s': b.s, 'e': b.e}, b.k)), min(b.k) FROM greedy g JOIN good b ON b.id = g.id AND b.k > g.k
+        WHERE len(list_filter(g.taken, lambda t: b.s < t.e AND b.e > t.s)) = 0 GROUP BY g.id),
+    called AS MATERIALIZED (SELECT b.id, b.s AS start, b.e AS "end", b.size * b.sign AS attribution, b.p AS p_value FROM good b JOIN greedy g ON b.id = g.id AND b.k = g.k)"""
+
+
+@query("call_seqlets", "M17", views="reads", sql=f"""
+    WITH RECURSIVE {_SEQLETS} SELECT id, start, "end", round(attribution, 6) AS attribution, round(p_value, 6) AS p_value FROM called""")
 def _(v):
     _, spans = _seqlets(v)
     return spans.withColumns({c: F.round(c, 6) for c in ("attribution", "p_value")})
 
 
-@query("annotate_spans", "M18")
+@query("annotate_spans", "M18", views="reads", sql=f"""
+    WITH RECURSIVE {_SEQLETS}, spans AS (SELECT c.id::VARCHAR || ':' || start::VARCHAR AS id, substr(seq, start + 1, "end" - start) AS seq FROM called c JOIN reads r ON c.id = r.id),
+    {hits_sql('spans')}, {null_sql()},
+    m AS (SELECT id, h.motif, 1 - pow(1 - min(p), count(*)) AS p FROM hits h JOIN null_table t ON h.motif = t.motif AND h.iscore = t.s GROUP BY id, h.motif),
+    b AS (SELECT id, arg_min(motif, (p, motif)) AS motif, min(p) AS p FROM m GROUP BY id)
+    SELECT motif AS name, count(*) AS count FROM b WHERE p < 0.05 GROUP BY motif""")
 def _(v):
     attributed, spans = _seqlets(v)
     texts = spans.join(attributed.select("id", "seq"), "id").withColumn(
@@ -400,10 +438,31 @@ def genome_hits(v, name):
         "chrom", (F.col("bin") * BIN + F.col("start") - 1).alias("pos"), "score", "strand")
 
 
-@query("top_n_spaced", "I17")
+def genome_hits_sql(name):
+    """hits (chrom, pos, score, strand): the better strand of every window of the genome, away from the ends of its contig."""
+    return f"""w AS (SELECT chrom, off + i AS pos, substr(s, i + 1, {WIDTH}) AS s FROM (SELECT chrom, off, s, unnest(range(256)) AS i FROM (
+        SELECT chrom, bin * {BIN} + c * 256 AS off, substr(bases, (c * 256 + 1)::BIGINT, {255 + WIDTH}) AS s FROM halo, range({BIN // 256}) t(c)))),
+    both_ AS (SELECT chrom, pos, {pwm_sql(name, 's')} AS f, {pwm_sql(name, 's', True)} AS r FROM w WHERE length(s) = {WIDTH} AND {has_only_acgt_sql('s')}),
+    hits AS MATERIALIZED (SELECT chrom, pos, greatest(f, r) AS score, CASE WHEN f >= r THEN '+' ELSE '-' END AS strand FROM both_ JOIN contigs USING (chrom)
+        WHERE pos >= 101 AND pos < length - {WIDTH} - 101)"""
+
+
+def spaced_sql(n, distance):
+    """chosen: per contig the n best hits, each at least `distance` from those before; scores to nine digits, ties to the larger place."""
+    return f"""best AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY chrom ORDER BY round(score, 9) DESC, pos DESC) AS k FROM hits
+        QUALIFY k <= {(n - 1) * (2 * distance - 1) + 1}),
+    greedy AS (SELECT chrom, 1 AS step, [pos] AS taken, k FROM best WHERE k = 1
+        UNION ALL SELECT g.chrom, any_value(g.step) + 1, list_append(any_value(g.taken), arg_min(b.pos, b.k)), min(b.k) FROM greedy g JOIN best b ON b.chrom = g.chrom AND b.k > g.k
+        WHERE g.step < {n} AND len(list_filter(g.taken, lambda t: abs(t - b.pos) < {distance})) = 0 GROUP BY g.chrom),
+    chosen AS (SELECT b.* FROM best b JOIN greedy g ON b.chrom = g.chrom AND b.k = g.k)"""
+
+
+@query("top_n_spaced", "I17", views="halo contigs", sql=f"""
+    WITH RECURSIVE {genome_hits_sql('alpha')}, {spaced_sql(4, 200)} SELECT chrom, pos, round(score, 6) AS score, strand FROM chosen""")
 def _(v):
     lengths = contig_lengths(v.genome, BIN)
-    return iv.top_n_spaced(genome_hits(v, "alpha"), 4, 200, margin=101, lengths=lengths, width=WIDTH)
+    hits = genome_hits(v, "alpha").withColumn("score", F.round("score", 9))
+    return iv.top_n_spaced(hits, 4, 200, margin=101, lengths=lengths, width=WIDTH).withColumn("score", F.round("score", 6))
 
 
 @query("window_min", "I18", views="halo", sql=f"""

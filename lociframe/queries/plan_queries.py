@@ -4,8 +4,9 @@ from pyspark.sql import functions as F
 
 from lociframe.plans import loci, validation
 from lociframe.queries.evaluation_queries import auc_sql
-from lociframe.queries.motif_queries import matrices, motif_table
+from lociframe.queries.motif_queries import genome_hits_sql, hits_sql, matrices, motif_table, null_sql, spaced_sql
 from lociframe.queries.registry import query
+from lociframe.queries.sequence_queries import gc_negatives_sql
 from lociframe.queries.views import BIN, extraction_sql, has_only_acgt_sql, weight_scorer, weight_sum_sql
 from lociframe.operators.motifs import null_distribution, log_odds
 from lociframe.operators.clinical import CODING
@@ -32,9 +33,14 @@ def _(v):
     return out["windows"].select("id", "ws", "we", F.md5("seq").alias("seq"))
 
 
-@query("extract_loci_negatives", "P1", "N1", "N2")
+@query("extract_loci_negatives", "P1", "N1", "N2", views="intervals chroms contigs", sql=f"""
+    WITH {gc_negatives_sql(200)}, w AS (SELECT least(floor(gc / 0.05::DOUBLE + 1e-9), 19)::BIGINT AS gc_bin, count(*) AS wanted, round(avg(gc), 9) AS positive_gc
+        FROM (SELECT length(regexp_replace(seq, '[^GC]', '', 'g')) / 200.0::DOUBLE AS gc FROM pos_rows) GROUP BY 1),
+    f AS (SELECT gc_bin, count(*) AS found, round(avg(gc), 9) AS negative_gc FROM picked GROUP BY 1)
+    SELECT gc_bin, wanted, coalesce(found, 0) AS found, greatest(wanted - coalesce(found, 0), 0) AS missing, positive_gc, negative_gc FROM w LEFT JOIN f USING (gc_bin)""")
 def _(v):
-    return loci.extract_loci(v.intervals, v.genome, v.contigs, BIN, 200, negatives="gc")["gc_report"]
+    report = loci.extract_loci(v.intervals, v.genome, v.contigs, BIN, 200, negatives="gc")["gc_report"]
+    return report.withColumns({c: F.round(c, 9) for c in ("positive_gc", "negative_gc")})
 
 
 @query("peak_set_validation", "P2")
@@ -42,15 +48,14 @@ def _(v):
     peaks = v.intervals.withColumn("score", F.col("num").cast("double"))
     out = validation.peak_set_validation(
         peaks, v.genome, v.contigs, BIN, {"weights": weight_scorer(24)}, {"alpha": matrices(v)["alpha"]},
-        max_positives=None, hit_threshold=5.0)
+        hit_threshold=5.0)
     return out["summary"].withColumn("auc", F.round("auc", 6))
 
 
 @query("peak_set_genomic", "P2", "N3")
 def _(v):
-    peaks = v.intervals.withColumn("score", F.col("num").cast("double")).where("num >= 5 and tf = 'R'")
-    out = validation.peak_set_validation(
-        peaks, v.genome, v.contigs, BIN, {"weights": weight_scorer(24)}, {}, mode="genomic", max_positives=500, tries=20)
+    peaks = v.intervals.withColumn("score", F.col("num").cast("double"))
+    out = validation.peak_set_validation(peaks, v.genome, v.contigs, BIN, {"weights": weight_scorer(24)}, {}, mode="genomic")
     return out["summary"].withColumn("auc", F.round("auc", 6))
 
 
@@ -75,7 +80,7 @@ def _merged_tf(op):
     aucs AS ({auc_sql('b', 'neg_set', extra=', count(*) FILTER (label = 1) AS n_pos')})
     SELECT 'weights' AS method, neg_set, roc_auc AS auc, n_pos FROM aucs""")
 def _(v):
-    out = validation.method_comparison(v.intervals, v.genome, v.contigs, BIN, {"weights": _rounded(24)}, "R", ["A", "N"], n_per_tf=None)
+    out = validation.method_comparison(v.intervals, v.genome, v.contigs, BIN, {"weights": _rounded(24)}, "R", ["A", "N"])
     return out["summary"].select("method", "neg_set", F.round("auc", 6).alias("auc"), "n_pos")
 
 
@@ -148,10 +153,18 @@ def _(v):
         "id", "best_peak", "sequence", F.round("max_score", 6).alias("max_score"), F.round("mean_score", 6).alias("mean_score"))
 
 
-@query("best_window_logo", "P6", "M22")
+@query("best_window_logo", "P6", "M22", views="intervals chroms", sql=f"""
+    WITH p AS (SELECT id, chrom, start + ("end" - start) // 2 - 40 AS ws FROM intervals),
+    c AS MATERIALIZED (SELECT p.*, {extraction_sql('chroms', 'ws', '80')} AS seq FROM p JOIN chroms USING (chrom) WHERE ws + 80 < length(bases)),
+    w AS (SELECT id, i, substr(seq, i + 1, 24) AS win FROM (SELECT *, unnest(range(57)) AS i FROM c WHERE seq IS NOT NULL)),
+    b AS (SELECT id, arg_min(win, (-x, i)) AS s FROM (SELECT *, {_score_sql('win', 24)} AS x FROM w WHERE {has_only_acgt_sql('win')}) GROUP BY id),
+    n AS (SELECT pos, base, count(*) FILTER (substr(s, pos + 1, 1) = base) + 1.0 AS n FROM b, range(24) t(pos), (VALUES ('A'), ('C'), ('G'), ('T')) l(base) GROUP BY ALL),
+    q AS (SELECT *, n / sum(n) OVER (PARTITION BY pos) AS prob FROM n)
+    SELECT pos, base, round(prob, 6) AS prob, round(sum(prob * (log2(prob) + 2)) OVER (PARTITION BY pos), 6) AS bits,
+        round(prob * sum(prob * (log2(prob) + 2)) OVER (PARTITION BY pos), 6) AS height FROM q""")
 def _(v):
-    out = loci.best_windows(v.intervals.select("id", "chrom", "start", "end"), v.genome, v.contigs, BIN, weight_scorer(24), 80, 24)
-    return out["logo"].withColumns({c: F.round(c, 6) for c in ("bits", "prob", "height")})
+    out = loci.best_windows(v.intervals.select("id", "chrom", "start", "end"), v.genome, v.contigs, BIN, _rounded(24), 80, 24)
+    return out["logo"].select("pos", "base", *[F.round(c, 6).alias(c) for c in ("prob", "bits", "height")])
 
 
 @query("binding_track", "P7", "K5", views="halo", sql=f"""
@@ -166,12 +179,16 @@ def _(v):
     return track.withColumn("value", F.round("value", 6))
 
 
-@query("motif_peaks", "P8")
+@query("motif_peaks", "P8", views="halo contigs", sql=f"""
+    WITH RECURSIVE {genome_hits_sql('beta')}, {spaced_sql(4, 200)}
+    SELECT chrom, pos + 3 - 100 AS start, pos + 3 + 100 AS "end", 'beta_hit_' || pos::VARCHAR AS name, round(score, 2) AS score, strand FROM chosen""")
 def _(v):
     return loci.motif_peaks(v.genome, v.contigs, BIN, matrices(v), "beta")
 
 
-@query("null_distribution", "M4")
+@query("null_distribution", "M4", views="texts", sql=f"""
+    WITH {hits_sql('texts')}, {null_sql()}, n AS (SELECT motif, iscore, count(*) AS n FROM hits GROUP BY ALL)
+    SELECT n.motif, iscore, n.n, round(p, 9) AS p_value FROM n JOIN null_table t ON n.motif = t.motif AND n.iscore = t.s""")
 def _(v):
     """P-values of the scores that the hits of all documents reach."""
     from lociframe.operators.motifs import scan_motifs

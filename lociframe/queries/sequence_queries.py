@@ -186,7 +186,26 @@ def positive_windows(v, width):
     return cut.where(dna.is_acgt("seq"))
 
 
-@query("gc_matched_negatives", "N1")
+def gc_negatives_sql(width):
+    """CTEs of the GC-matched draw: a grid per contig, less what the peaks and windows block, the first of each bin by hash."""
+    bin_of = "least(floor(gc / 0.05::DOUBLE + 1e-9), 19)::BIGINT"
+    share = f"length(regexp_replace(seq, '[^GC]', '', 'g')) / {width}.0::DOUBLE"
+    return f"""pos_rows AS MATERIALIZED (SELECT * FROM (SELECT chrom, ws, {extraction_sql('chroms', 'ws', str(width))} AS seq FROM (
+            SELECT *, start + ("end" - start) // 2 - {width // 2} AS ws FROM intervals) JOIN chroms USING (chrom)) WHERE {has_only_acgt_sql('seq')}),
+        need AS (SELECT {bin_of} AS gc_bin, count(*) AS quota FROM (SELECT {share} AS gc FROM pos_rows) GROUP BY 1),
+        padded AS (SELECT chrom, start - {width} AS s, "end" + {width} AS e FROM intervals UNION ALL SELECT chrom, ws - {width}, ws + {2 * width} FROM pos_rows),
+        blocked AS MATERIALIZED (SELECT chrom, min(s) AS s, max(e) AS e FROM (SELECT *, sum(opens) OVER (PARTITION BY chrom ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM (
+            SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY chrom ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS opens FROM padded)) GROUP BY chrom, island),
+        grid AS (SELECT chrom, unnest(range(('0x' || substr(md5('42:' || chrom), 1, 8))::BIGINT % {width}, length - {width} + 1, {width})) AS start FROM contigs),
+        free AS (SELECT g.chrom, g.start FROM grid g ASOF LEFT JOIN blocked b ON g.chrom = b.chrom AND g.start + {width} > b.s WHERE b.e IS NULL OR b.e <= g.start),
+        cut AS (SELECT chrom, start, {extraction_sql('chroms', 'start', str(width))} AS seq FROM free JOIN chroms USING (chrom)),
+        binned AS (SELECT *, {bin_of} AS gc_bin FROM (SELECT *, {share} AS gc FROM cut WHERE {has_only_acgt_sql('seq')})),
+        picked AS MATERIALIZED (SELECT chrom, start, start + {width} AS "end", seq, gc, gc_bin FROM (SELECT *, row_number() OVER (PARTITION BY gc_bin ORDER BY md5('42:' || chrom || ':' || start::VARCHAR)) AS k
+            FROM binned) JOIN need USING (gc_bin) WHERE k <= quota)"""
+
+
+@query("gc_matched_negatives", "N1", views="intervals chroms contigs", sql=f"""
+    WITH {gc_negatives_sql(24)} SELECT chrom, start, "end", seq, round(gc, 6) AS gc FROM picked""")
 def _(v):
     positives = stored(positive_windows(v, 24).select("chrom", "ws", "we", "seq"))
     picked, _ = ng.gc_matched_negatives(v.genome, positives, v.intervals, 24, BIN)
@@ -210,14 +229,20 @@ def _(v):
 
 @query("matched_region_negatives", "N3")
 def _(v):
-    peaks = gn.extract_regions(v.intervals.where("num >= 4").select("id", "chrom", "start", "end"), v.genome, BIN, "id")
-    excluded = iv.exclusion_set(v.intervals.where("num >= 4"), 50)
-    return ng.matched_region_negatives(stored(peaks.where(F.col("seq").isNotNull())), v.genome, v.contigs, excluded, BIN, tries=12, longest=300)
+    peaks = gn.extract_regions(v.intervals.select("id", "chrom", "start", "end"), v.genome, BIN, "id")
+    return ng.matched_region_negatives(stored(peaks.where(F.col("seq").isNotNull())), v.genome, v.contigs, iv.exclusion_set(v.intervals, 0), BIN, longest=300)
 
 
-@query("dinuc_shuffle", "N4")
+# What a shuffle must keep: its ends and every pair of neighbours, so the SQL counts the originals.
+@query("dinuc_shuffle", "N4", views="texts", sql="""
+    WITH l AS (SELECT id, upper(seq) AS seq, string_split(upper(seq), '') AS l FROM texts), p AS (SELECT id, l[i] || l[i + 1] AS pair, count(*) AS n
+        FROM (SELECT id, l, unnest(range(1, len(l))) AS i FROM l) GROUP BY ALL)
+    SELECT id, shuffle, seq[1] AS first, seq[-1:] AS last, length(seq) AS length, pair, n FROM l JOIN p USING (id), (VALUES (0), (1)) s(shuffle)""")
 def _(v):
-    return ng.dinuc_shuffle(v.texts, "id", n=2)
+    rows = ng.dinuc_shuffle(v.texts, "id", n=2).withColumn("key", F.concat_ws(":", "id", "shuffle"))
+    pairs = dna.kmer_counts(rows, "key", "seq", 2, skip_n=False).withColumnRenamed("kmer", "pair")
+    ends = rows.select("key", "id", "shuffle", F.substring("seq", 1, 1).alias("first"), F.substring("seq", -1, 1).alias("last"), _n("seq").alias("length"))
+    return ends.join(pairs, "key").drop("key")
 
 
 @query("fill_n", "N5", views="texts", sql="""

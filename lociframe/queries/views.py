@@ -306,6 +306,8 @@ def with_views(names: str, sql: str) -> str:
     sql = sql.strip()
     if not ctes:
         return sql
+    if sql.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {ctes}, {sql[15:]}"
     return f"WITH {ctes}, {sql[5:]}" if sql.upper().startswith("WITH ") else f"WITH {ctes} {sql}"
 
 
