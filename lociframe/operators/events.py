@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lociframe.operators.intervals import merge_intervals, overlap_join
 from lociframe.session import stored
+from lociframe.sources.logs import canonical_json
 
 SLACK_MS = 5000
 TIME_BITS = 22   # bins of 70 minutes
@@ -36,7 +37,7 @@ def match_events(uses: DataFrame, calls: DataFrame, slack_ms: int = SLACK_MS) ->
 
     uses has use_id, tool, args, ts_ms, end_ms (NULL when unknown); calls call_id, tool, args, ts_ms. A
     call fits a use when it starts at most slack before the use and at most slack after its
-    end. Uses and calls of equal tool and arguments are paired one-to-one, calls at or after the
+    end; without a time on one side it fits with a gap of 0. Arguments are compared as JSON. Uses and calls of equal tool and arguments are paired one-to-one, calls at or after the
     use before earlier ones, then by the smallest gap, then by number (how = "arguments"). A use whose arguments
     no call of its tool has takes the earliest free call of the tool that fits (how = "order").
 
@@ -44,8 +45,17 @@ def match_events(uses: DataFrame, calls: DataFrame, slack_ms: int = SLACK_MS) ->
     use directly followed by a call is the best pair of both. Each round pairs all such neighbours and
     takes them out, or sets aside a use whose next call comes too late; rounds end when none is
     left, as many as calls are nested. What remains is paired the same way with calls before uses.
+
+    Gaps of 0 for want of a time are paired before all others: calls without a time with the uses of their group in
+    the order of numbers, then uses without a time with the calls that are left. By order, only events with a time are paired.
     """
     by = ["tool", "args"]
+    uses, calls = (x.withColumn("args", canonical_json("args")) for x in (uses, calls))
+    all_uses, all_calls = uses, calls
+    untimed = _untimed_pairs(uses, calls, by)
+    if untimed is not None:
+        uses, calls = uses.join(untimed, "use_id", "left_anti"), calls.join(untimed, "call_id", "left_anti")
+    uses, calls = uses.where("ts_ms is not null"), calls.where("ts_ms is not null")
     last = calls.agg(F.max("ts_ms")).scalar()
     clusters = _clusters(uses, by, last, slack_ms)
     use_rows = uses.select(*by, "ts_ms", F.lit(0).alias("kind"), F.col("use_id").alias("id"),
@@ -90,12 +100,33 @@ def match_events(uses: DataFrame, calls: DataFrame, slack_ms: int = SLACK_MS) ->
     empty = uses.sparkSession.createDataFrame([], "use_id long, call_id long")
     matched = [p.select(F.when(F.col("first") == 0, F.col("a")).otherwise(F.col("b")).alias("use_id"),
                         F.when(F.col("first") == 0, F.col("b")).otherwise(F.col("a")).alias("call_id")) for p in pairs]
-    exact = reduce(DataFrame.unionByName, matched, empty).withColumn("how", F.lit("arguments"))
-    return exact.unionByName(_by_order(uses, calls, exact, last, slack_ms))
+    exact = reduce(DataFrame.unionByName, matched + ([untimed] if untimed is not None else []), empty).withColumn("how", F.lit("arguments"))
+    return exact.unionByName(_by_order(uses, calls, exact, last, slack_ms, all_calls.select("tool", "args").distinct()))
+
+
+def _numbered(df: DataFrame, by: list[str], order: str) -> DataFrame:
+    """df with k, the place of a row in its group by a whole number; counts per range of numbers come first, so that
+    only the rows of one range are ordered together."""
+    ranges = df.withColumn("_r", F.shiftright(F.col(order), 16))
+    counts = ranges.groupBy(*by, "_r").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*by).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select(*by, "_r", F.coalesce(before, F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy(*by, "_r").orderBy(order))
+    return ranges.join(counts, [*by, "_r"]).withColumn("k", F.col("_before") + inside).drop("_r", "_before")
+
+
+def _untimed_pairs(uses: DataFrame, calls: DataFrame, by: list[str]) -> DataFrame | None:
+    """(use_id, call_id) of the pairs in which a side has no time; None where every event has one."""
+    late_uses, late_calls = uses.where("ts_ms is null"), calls.where("ts_ms is null")
+    if late_calls.isEmpty() and late_uses.isEmpty():
+        return None
+    first = stored(_numbered(uses, by, "use_id").join(_numbered(late_calls, by, "call_id").select(*by, "call_id", "k"), [*by, "k"]).select("use_id", "call_id"))
+    rest_uses, rest_calls = late_uses.join(first, "use_id", "left_anti"), calls.join(first, "call_id", "left_anti")
+    second = _numbered(rest_uses, by, "use_id").join(_numbered(rest_calls, by, "call_id").select(*by, "call_id", "k"), [*by, "k"]).select("use_id", "call_id")
+    return stored(first.unionByName(second))
 
 
-def _by_order(uses, calls, exact, last, slack) -> DataFrame:
-    logged = calls.select("tool", "args").distinct()
+def _by_order(uses, calls, exact, last, slack, logged) -> DataFrame:
     left = (uses.join(exact.select("use_id"), "use_id", "left_anti").join(logged, ["tool", "args"], "left_anti"))
     free = calls.join(exact.select("call_id"), "call_id", "left_anti")
     clusters = _clusters(left, ["tool"], last, slack)

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from lociframe.functions import dna
 from lociframe.functions.contigs import resolve_contig
-from lociframe.operators.joins import HOT_ROWS, spread_join
+from lociframe.operators.joins import HOT_ROWS, join_few, spread_join
+from lociframe.session import stored
 
 
 def contig_lengths(genome: DataFrame, bin_width: int) -> DataFrame:
@@ -36,8 +37,13 @@ def extract_windows(df: DataFrame, genome: DataFrame, width: int, bin_width: int
     """Adds the width bases from start; NULL for an unknown contig or a window that leaves it.
 
     One join on (chrom, bin): each window is cut from the bin it starts in, extended by width - 1
-    bases. Width is at most bin_width + 1. Bins with many windows are salted.
+    bases. Bins with many windows are salted. A window wider than a bin is put together like a region.
     """
+    if width > bin_width + 1:
+        keyed = stored(df.withColumn("_window", F.monotonically_increasing_id()))
+        places = keyed.select("_window", "chrom", F.col(start).alias("_from"), (F.col(start) + width).alias("_to"))
+        cut = extract_regions(places, genome, bin_width, "_window", "_from", "_to", out, hot_rows).select("_window", out)
+        return keyed.join(cut, "_window", "left").drop("_window")
     lookup = with_halo(genome, width - 1, bin_width).withColumnRenamed("bases", "_bases")
     at = F.col(start)
     binned = df.withColumn("bin", F.when(at >= 0, F.expr(f"{start} div {bin_width}")))
@@ -53,7 +59,8 @@ def extract_regions(df: DataFrame, genome: DataFrame, bin_width: int, key: str,
     """Adds the bases of [start, end) of any length; NULL when some are missing.
 
     Regions are repeated for the bins they touch, each piece is cut where its bin is, and the
-    pieces are joined per key, which must identify rows. cap_region bounds a region's length.
+    pieces are joined per row; rows that are equal in all columns come back as many times. The key spreads hot
+    bins. cap_region bounds a region's length.
     """
     s, e = F.col(start), F.col(end)
     rest = [c for c in df.columns if c != key]
@@ -67,9 +74,13 @@ def extract_regions(df: DataFrame, genome: DataFrame, bin_width: int, key: str,
     joined = (spread_join(pieces, bases, ["chrom", "bin"], "left", row_key=F.col(key),
                           hot_rows=hot_rows)
               .withColumn("_piece", F.struct("bin", piece.alias("p"))).drop("_bases"))
-    text = F.array_join(F.transform(F.sort_array(F.collect_list("_piece")), lambda x: x["p"]), "")
-    grouped = joined.groupBy(key).agg(text.alias("_text"), *[F.first(c).alias(c) for c in rest])
-    return grouped.select(key, *rest, F.when(F.length("_text") == e - s, F.col("_text")).alias(out))
+    # Equal rows give equal pieces: a set of them, and how often the first one came.
+    pieces_ = F.sort_array(F.collect_set("_piece"))
+    text = F.array_join(F.transform(pieces_, lambda x: x["p"]), "")
+    bins = F.when((s >= 0) & (e > s), F.expr(f"({end} - 1) div {bin_width} - {start} div {bin_width} + 1")).otherwise(1)
+    grouped = joined.groupBy(key, *rest).agg(text.alias("_text"), F.count(F.lit(1)).alias("_n")).withColumn("_copies", (F.col("_n") / bins).cast("int"))
+    whole = grouped.select(key, *rest, "_copies", F.when(F.length("_text") == e - s, F.col("_text")).alias(out))
+    return whole.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).drop("_copies", "_copy")
 
 
 def grid_windows(genome: DataFrame, width: int, bin_width: int, seed,
@@ -114,9 +125,8 @@ def variant_windows(variants: DataFrame, genome: DataFrame, lengths: DataFrame,
     offset = width // 2
     names = resolve_contig(variants.where(F.col("chrom").isNotNull()), lengths).withColumnsRenamed(
         {"name": "chrom", "contig": "_contig"})
-    named = (variants.join(names, "chrom", "left")
-             .join(lengths.select(F.col("chrom").alias("_contig"), F.col("length").alias("_length")),
-                   "_contig", "left")
+    sizes = lengths.select(F.col("chrom").alias("_contig"), F.col("length").alias("_length"))
+    named = (join_few(variants, names.join(sizes, "_contig", "left"), "chrom", "left")
              .withColumn("_asked", F.col("chrom")).withColumn("chrom", F.col("_contig"))
              .withColumn("window_start", F.col("pos") - 1 - offset)
              .withColumn("window_end", F.col("window_start") + width))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lociframe.operators.joins import HOT_ROWS, spread_join
+from lociframe.operators.joins import HOT_ROWS, join_few, spread_join
 
 MERGE_BITS = 16   # merge bins of 65,536 bp
 JOIN_BITS = 14    # overlap bins of 16,384 bp
@@ -174,7 +174,7 @@ def center_windows(df: DataFrame, width: int, lengths: DataFrame, policy: str =
     """
     half = width // 2
     ws = midpoint() - half
-    joined = df.join(lengths.select("chrom", F.col("length").alias("_length")), "chrom", "left")
+    joined = join_few(df, lengths.select("chrom", F.col("length").alias("_length")), "chrom", "left")
     if policy == "inside":
         we = ws + width
         ok = (F.col("ws") >= 0) & (F.col("we") <= F.col("_length"))
@@ -257,7 +257,7 @@ def top_n_spaced(hits: DataFrame, n: int, distance: int, by: str = "chrom", pos:
     if margin:
         if lengths is None:
             raise ValueError("margin needs the contig lengths")
-        hits = (hits.join(lengths.select(F.col("chrom").alias(by), F.col("length").alias("_length")), by)
+        hits = (join_few(hits, lengths.select(F.col("chrom").alias(by), F.col("length").alias("_length")), by)
                 .where((F.col(pos) >= margin) & (F.col(pos) < F.col("_length") - width - margin))
                 .drop("_length"))
     bound = (n - 1) * (2 * distance - 1) + 1
@@ -312,7 +312,7 @@ def track_intervals(windows: DataFrame, lengths: DataFrame, width: int, step: in
     else:
         lo = F.col("window_start") + (width - step) // 2
         hi = lo + step
-    return (windows.join(lengths.select("chrom", "length"), "chrom")
+    return (join_few(windows, lengths.select("chrom", "length"), "chrom")
             .select("chrom", lo.alias("start"), F.least(hi, F.col("length")).alias("end"),
                     F.col(value).alias("value"))
             .where((F.col("start") < F.col("end")) & F.col("value").isNotNull()

@@ -34,3 +34,15 @@ def spread_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "in
                   F.sequence(F.lit(0), F.coalesce(F.col("_parts"), F.lit(1)) - 1)))
               .drop("_parts"))
     return salted.join(copies, [*on, "_salt"], how).drop("_salt")
+
+
+FEW_ROWS = 100_000
+
+
+def join_few(left: DataFrame, right: DataFrame, on, how: str = "inner", rows: int = FEW_ROWS) -> DataFrame:
+    """left join a table of contigs or the like, which is broadcast when it is counted to have at most `rows` narrow rows.
+
+    A genome has few contigs, so a shuffle on their name would deal the left side to a handful of tasks. A table with more rows
+    has more keys, and is joined by a shuffle.
+    """
+    return left.join(F.broadcast(right) if right.limit(rows + 1).count() <= rows else right, on, how)

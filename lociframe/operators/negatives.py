@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lociframe.functions import dna
 from lociframe.operators.genome import extract_regions, grid_windows
 from lociframe.operators.intervals import exclude_overlaps, exclusion_set
+from lociframe.operators.joins import join_few
 from lociframe.operators.sampling import take_by_hash
 from lociframe.session import stored
 
@@ -37,7 +38,7 @@ def gc_matched_negatives(genome: DataFrame, positives: DataFrame, intervals: Dat
         intervals.select("chrom", "start", "end").unionByName(
             positives.select("chrom", F.col("ws").alias("start"), F.col("we").alias("end"))),
         width, clip=False)
-    on = genome.join(positives.select("chrom").distinct(), "chrom", "left_semi")
+    on = join_few(genome, positives.select("chrom").distinct(), "chrom", "left_semi")
     candidates = (grid_windows(on, width, bin_width, seed)
                   .where(dna.has_only_acgt("seq"))
                   .withColumn("end", F.col("start") + width))
@@ -70,8 +71,8 @@ def matched_region_negatives(positives: DataFrame, genome: DataFrame, lengths: D
                              longest: int | None = None) -> DataFrame:
     """For each positive a region of its length with a GC share within the tolerance.
 
-    positives has key and seq. Each positive draws `tries` positions by hash on contigs named chr..
-    without "_"; regions that touch an excluded interval or hold more than 10 % N are out; the first
+    positives has key and seq. Each positive draws `tries` positions by hash on the contigs named chr..
+    without "_" that hold an excluded interval, that is, peaks; regions that touch an excluded interval or hold more than 10 % N are out; the first
     one within the tolerance is taken, and without any the first other (gc_ok tells). Positives
     without a region give no row. The rows carry their N replaced by random bases.
 
@@ -80,7 +81,8 @@ def matched_region_negatives(positives: DataFrame, genome: DataFrame, lengths: D
     knows it. Draws spread evenly over the genome, so no bin is hot.
     """
     excluded = stored(excluded)
-    usable = lengths.where(F.col("chrom").startswith("chr") & ~F.col("chrom").contains("_"))
+    usable = (lengths.where(F.col("chrom").startswith("chr") & ~F.col("chrom").contains("_"))
+              .join(excluded.select("chrom").distinct(), "chrom", "left_semi"))
     contigs = usable.agg(F.sort_array(F.collect_list(F.struct("chrom", "length")))).scalar()   # one entry per contig
     targets = positives.select(key, F.length("seq").alias("_len"), dna.gc_content("seq").alias("target_gc"))
 

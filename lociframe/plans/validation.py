@@ -132,11 +132,12 @@ def count_benchmark(peaks: DataFrame, genome: DataFrame, lengths: DataFrame, bin
 def peak_set_validation(peaks: DataFrame, genome: DataFrame, lengths: DataFrame, bin_width: int, scorers: dict,
                         matrices: dict | None = None, score_min: float = 4, max_positives: int | None = None,
                         max_region: int = 2000, window: int = 24, mode: str = "shuffle", hit_threshold: float = 0.0,
-                        key: str = "id", seed=42, tries: int = 200, least: int = 5) -> dict[str, DataFrame]:
+                        key: str = "id", seed=42, tries: int = 200, least: int = 5,
+                        margin: int = 1000) -> dict[str, DataFrame]:
     """AUC of methods for confident peaks against shuffled or length- and GC-matched regions.
 
     Model scorers give the best window of a region, a motif the best hit of at least hit_threshold or
-    0. Returns positives, negatives, scores and summary.
+    0. Genomic negatives keep `margin` bases away from all peaks. Returns positives, negatives, scores and summary.
     """
     strong = iv.filter_min_score(peaks, score_min)
     if max_positives is not None:
@@ -147,7 +148,7 @@ def peak_set_validation(peaks: DataFrame, genome: DataFrame, lengths: DataFrame,
     if mode == "shuffle":
         negatives = ng.dinuc_shuffle(positives, key, 1, seed).select(key, "seq")
     elif mode == "genomic":
-        excluded = iv.exclusion_set(peaks, 1000)
+        excluded = iv.exclusion_set(peaks, margin)
         negatives = ng.matched_region_negatives(positives, genome, lengths, excluded, bin_width, key, seed, tries=tries, longest=max_region)
     else:
         raise ValueError(f"unknown mode {mode!r}: shuffle or genomic")

@@ -164,21 +164,48 @@ def _(v):
 
 # ---- event logs ---------------------------------------------------------------------------------
 
-@query("match_events", "L1")
+# The log spells its arguments without spaces; every eleventh use has arguments that no call has, so it is matched by order.
+_LOGS = """u AS (SELECT use_id, tool, CASE WHEN use_id % 11 = 0 THEN '{"k":-1}' ELSE replace(args, ' ', '') END AS args, ts_ms, end_ms FROM uses),
+    c AS (SELECT call_id, tool, replace(args, ' ', '') AS args, ts_ms FROM calls)"""
+_MATCHED = _LOGS + """,
+    cand AS MATERIALIZED (SELECT tool, args, use_id AS u, call_id AS c, row_number() OVER (PARTITION BY tool, args
+            ORDER BY c.ts_ms < u.ts_ms, abs(c.ts_ms - u.ts_ms), use_id, call_id) AS k
+        FROM u JOIN c USING (tool, args) WHERE c.ts_ms >= u.ts_ms - 5000 AND c.ts_ms <= u.end_ms + 5000),
+    greedy AS (SELECT tool, args, [u] AS us, [c] AS cs, k FROM cand WHERE k = 1
+        UNION ALL SELECT g.tool, g.args, list_append(any_value(g.us), arg_min(b.u, b.k)), list_append(any_value(g.cs), arg_min(b.c, b.k)), min(b.k)
+        FROM greedy g JOIN cand b ON b.tool = g.tool AND b.args = g.args AND b.k > g.k
+        WHERE NOT list_contains(g.us, b.u) AND NOT list_contains(g.cs, b.c) GROUP BY g.tool, g.args),
+    exact AS MATERIALIZED (SELECT u AS use_id, c AS call_id FROM cand JOIN greedy USING (tool, args, k)),
+    late AS (SELECT *, row_number() OVER (PARTITION BY tool ORDER BY ts_ms, use_id) AS n FROM u
+        WHERE use_id NOT IN (SELECT use_id FROM exact) AND (tool, args) NOT IN (SELECT (tool, args) FROM c)),
+    near AS MATERIALIZED (SELECT l.tool, n, use_id, list(call_id ORDER BY c.ts_ms, call_id) AS fits FROM late l JOIN c ON c.tool = l.tool AND c.ts_ms >= l.ts_ms - 5000
+        AND c.ts_ms <= l.end_ms + 5000 WHERE call_id NOT IN (SELECT call_id FROM exact) GROUP BY ALL),
+    steps AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY tool ORDER BY n) AS i FROM near),
+    walk AS (SELECT tool, i, use_id, fits[1] AS call_id, [fits[1]] AS taken FROM steps WHERE i = 1
+        UNION ALL SELECT s.tool, s.i, s.use_id, list_filter(s.fits, lambda x: NOT list_contains(w.taken, x))[1],
+            list_append(w.taken[-20:], list_filter(s.fits, lambda x: NOT list_contains(w.taken, x))[1]) FROM walk w JOIN steps s ON s.tool = w.tool AND s.i = w.i + 1),
+    pairs AS MATERIALIZED (SELECT use_id, call_id, 'arguments' AS how FROM exact UNION ALL SELECT use_id, call_id, 'order' FROM walk WHERE call_id IS NOT NULL)"""
+
+
+def _logs(v):
+    uses = v.uses.withColumn("args", F.when(F.col("use_id") % 11 == 0, '{"k": -1}').otherwise(F.col("args")))
+    return uses, v.calls.withColumn("args", F.replace("args", F.lit(" "), F.lit("")))
+
+
+@query("match_events", "L1", views="uses calls", sql=f"WITH RECURSIVE {_MATCHED} SELECT use_id, call_id, how FROM pairs")
 def _(v):
-    return evt.match_events(v.uses, v.calls)
+    return evt.match_events(*_logs(v))
 
 
-# Uses whose call is missing from the log take nothing else, where no other call of the same tool and arguments is near.
-@query("timeline", "L2", views="uses calls", sql="""
-    SELECT ts_ms, 0 AS kind, use_id AS seq, CASE WHEN use_id % 7 = 0 THEN 'transcript_only' ELSE 'matched' END AS status FROM uses WHERE use_id % 2 = 0
-    UNION ALL SELECT ts_ms, CASE WHEN ts_ms BETWEEN lo AND hi THEN 1 ELSE 2 END, call_id,
-        CASE WHEN ts_ms BETWEEN lo AND hi THEN 'call_log_only' ELSE 'outside' END
-    FROM calls, (SELECT min(ts_ms) - 5000 AS lo, max(ts_ms) + 5000 AS hi FROM uses WHERE use_id % 2 = 0) WHERE call_id % 2 = 1""")
+@query("timeline", "L2", views="uses calls", sql=f"""
+    WITH RECURSIVE {_MATCHED}, o AS (SELECT min(ts_ms) - 5000 AS lo, max(ts_ms) + 5000 AS hi FROM u)
+    SELECT ts_ms, 0 AS kind, use_id AS seq, CASE how WHEN 'arguments' THEN 'matched' WHEN 'order' THEN 'matched_by_order' ELSE 'transcript_only' END AS status
+        FROM u LEFT JOIN pairs USING (use_id)
+    UNION ALL SELECT ts_ms, CASE WHEN ts_ms BETWEEN lo AND hi THEN 1 ELSE 2 END, call_id, CASE WHEN ts_ms BETWEEN lo AND hi THEN 'call_log_only' ELSE 'outside' END
+        FROM c, o WHERE call_id NOT IN (SELECT call_id FROM pairs)""")
 def _(v):
-    uses = v.uses.where("use_id % 2 = 0")
-    pairs = uses.where("use_id % 7 <> 0").select("use_id", F.col("use_id").alias("call_id"), F.lit("arguments").alias("how"))
-    return evt.timeline(uses, v.calls, pairs).select("ts_ms", "kind", "seq", "status")
+    uses, calls = _logs(v)
+    return evt.timeline(uses, calls, evt.match_events(uses, calls)).select("ts_ms", "kind", "seq", "status")
 
 
 @query("label_phase", "L3", views="uses", sql="""

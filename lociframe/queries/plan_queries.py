@@ -6,7 +6,7 @@ from lociframe.plans import loci, validation
 from lociframe.queries.evaluation_queries import auc_sql
 from lociframe.queries.motif_queries import genome_hits_sql, hits_sql, matrices, motif_table, null_sql, spaced_sql
 from lociframe.queries.registry import query
-from lociframe.queries.sequence_queries import gc_negatives_sql
+from lociframe.queries.sequence_queries import gc_negatives_sql, region_negatives_sql
 from lociframe.queries.views import BIN, extraction_sql, has_only_acgt_sql, weight_scorer, weight_sum_sql
 from lociframe.operators.motifs import null_distribution, log_odds
 from lociframe.operators.clinical import CODING
@@ -52,10 +52,18 @@ def _(v):
     return out["summary"].withColumn("auc", F.round("auc", 6))
 
 
-@query("peak_set_genomic", "P2", "N3")
+@query("peak_set_genomic", "P2", "N3", views="intervals chroms contigs genome", sql=f"""
+    WITH peak AS (SELECT id, chrom, start, "end", num FROM intervals WHERE num >= 4), {region_negatives_sql('peak', 'intervals', 42)},
+    s AS (SELECT 'p' || id AS id, 1 AS label, seq FROM positive WHERE seq <> '' UNION ALL SELECT 'n' || id, 0, seq FROM region),
+    w AS (SELECT id, label, substr(seq, i + 1, 24) AS win FROM (SELECT *, unnest(range(length(seq) - 23)) AS i FROM s)),
+    b AS (SELECT id, label, max({_score_sql('win', 24)}) AS score FROM w WHERE {has_only_acgt_sql('win')} GROUP BY id, label),
+    m AS (SELECT *, 'weights' AS method, row_number() OVER (PARTITION BY label ORDER BY md5('42:' || id)) AS k,
+        least(count(*) FILTER (label = 1) OVER (), count(*) FILTER (label = 0) OVER ()) AS least_n FROM b),
+    k AS (SELECT method, label, score FROM m WHERE k <= least_n),
+    aucs AS ({auc_sql('k', 'method', extra=', count(*) FILTER (label = 1) AS n_pos, count(*) FILTER (label = 0) AS n_neg')}) SELECT method, roc_auc AS auc, n_pos, n_neg FROM aucs""")
 def _(v):
     peaks = v.intervals.withColumn("score", F.col("num").cast("double"))
-    out = validation.peak_set_validation(peaks, v.genome, v.contigs, BIN, {"weights": weight_scorer(24)}, {}, mode="genomic")
+    out = validation.peak_set_validation(peaks, v.genome, v.contigs, BIN, {"weights": _rounded(24)}, {}, mode="genomic", margin=0)
     return out["summary"].withColumn("auc", F.round("auc", 6))
 
 

@@ -227,10 +227,37 @@ def _(v):
     return report.withColumns({c: F.round(c, 6) for c in ("positive_gc", "negative_gc")})
 
 
-@query("matched_region_negatives", "N3")
+def region_negatives_sql(peaks, excluded, seed):
+    """CTEs positive (id, seq) and region: for each the first of 200 hashed draws that is free, near in GC, and its N filled."""
+    number = "('0x' || substr(md5('{0}:{1}:' || id || ':' || attempt::VARCHAR), 1, 12))::BIGINT".format
+    gc = "length(regexp_replace(seq, '[^GC]', '', 'g')) / length(seq)::DOUBLE"
+    letters = "'0123456789abcdef', 'ACGTACGTACGTACGT'"
+    return f"""positive AS MATERIALIZED (SELECT id, substr(bases, (start + 1)::BIGINT, "end" - start) AS seq FROM {peaks} JOIN chroms USING (chrom)),
+        blocked AS MATERIALIZED (SELECT chrom, min(start) AS s, max("end") AS e FROM (SELECT *, sum(opens) OVER (PARTITION BY chrom ORDER BY start, "end" ROWS UNBOUNDED PRECEDING) AS island FROM (
+            SELECT chrom, start, "end", CASE WHEN start <= max("end") OVER (PARTITION BY chrom ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+                THEN 0 ELSE 1 END AS opens FROM {excluded})) GROUP BY chrom, island),
+        usable AS (SELECT list({{'chrom': chrom, 'length': length}} ORDER BY chrom, length) AS l FROM contigs WHERE chrom IN (SELECT chrom FROM blocked)),
+        wide AS MATERIALIZED (SELECT chrom, bin, seq || coalesce(lead(seq) OVER (PARTITION BY chrom ORDER BY bin), '') AS bases FROM genome),
+        placed AS (SELECT id, len, attempt, c.chrom AS chrom, c.length AS size, {number(seed, 'start')} % greatest(1, c.length - len) AS start FROM (
+            SELECT id, length(seq) AS len, attempt::BIGINT AS attempt, l[{number(seed, 'contig')} % len(l) + 1] AS c FROM positive, usable, range(200) t(attempt))),
+        drawn AS (SELECT id, attempt, chrom, start, least(start + len, size) AS "end" FROM placed),
+        clear AS (SELECT d.* FROM drawn d ASOF LEFT JOIN blocked b ON d.chrom = b.chrom AND d."end" > b.s WHERE b.e IS NULL OR b.e <= d.start),
+        read AS (SELECT c.*, substr(bases, start % {BIN} + 1, "end" - start) AS seq FROM clear c JOIN wide w ON c.chrom = w.chrom AND c.start // {BIN} = w.bin),
+        judged AS (SELECT r.*, abs({gc.replace('seq', 'r.seq')} - {gc.replace('seq', 'p.seq')}) <= 0.05 AS gc_ok FROM read r JOIN positive p USING (id)
+            WHERE (length(r.seq) - length(replace(r.seq, 'N', ''))) / length(r.seq)::DOUBLE <= 0.1),
+        first AS MATERIALIZED (SELECT id, arg_min({{'chrom': chrom, 'start': start, 'end': "end", 'seq': seq, 'gc_ok': gc_ok, 'attempt': attempt}}, (NOT gc_ok, attempt)) AS b FROM judged GROUP BY id),
+        region AS MATERIALIZED (SELECT id, any_value(b.chrom) AS chrom, any_value(b.start) AS start, any_value(b."end") AS "end", any_value(b.gc_ok) AS gc_ok, any_value(b.attempt) AS attempt,
+            string_agg(CASE WHEN i = 1 THEN p ELSE translate(substr(md5('{seed}:' || id || ':' || (i - 1)::VARCHAR), 1, 1), {letters}) || p END, '' ORDER BY i) AS seq
+            FROM (SELECT id, b, unnest(string_split(b.seq, 'N')) AS p, generate_subscripts(string_split(b.seq, 'N'), 1) AS i FROM first) GROUP BY id)"""
+
+
+@query("matched_region_negatives", "N3", views="intervals chroms contigs genome", sql=f"""
+    WITH peak AS (SELECT id, chrom, start, "end" FROM intervals), {region_negatives_sql('peak', 'intervals', 43)}
+    SELECT id, chrom, start, "end", gc_ok, attempt::INTEGER AS attempt, md5(seq) AS seq FROM region""")
 def _(v):
     peaks = gn.extract_regions(v.intervals.select("id", "chrom", "start", "end"), v.genome, BIN, "id")
-    return ng.matched_region_negatives(stored(peaks.where(F.col("seq").isNotNull())), v.genome, v.contigs, iv.exclusion_set(v.intervals, 0), BIN, longest=300)
+    return ng.matched_region_negatives(stored(peaks.where(F.col("seq").isNotNull())), v.genome, v.contigs, iv.exclusion_set(v.intervals, 0), BIN, longest=300
+                                       ).select("id", "chrom", "start", "end", "gc_ok", "attempt", F.md5("seq").alias("seq"))
 
 
 # What a shuffle must keep: its ends and every pair of neighbours, so the SQL counts the originals.

@@ -70,3 +70,17 @@ def test_phases_take_the_first_rule(spark):
     rules = [("scan", "One"), ("prepare_*", "Prep"), ("scan*", "Two"), ("a.b", "Dot")]
     assert {r["tool"]: r["phase"] for r in ev.label_phase(df, rules).collect()} == {
         "prepare_x": "Prep", "scan": "One", "scan_all": "Two", "a.b": "Dot", "axb": "Analysis"}
+
+
+def test_arguments_are_compared_as_json(spark, rows):
+    uses = [(1, "t", '{"a":1,"b":[1, 2]}', 0, 10), (2, "t", "not json", 100_000, None)]
+    calls = [(7, "t", '{ "b": [1,2], "a": 1 }', 5), (8, "t", "not json", 100_001)]
+    got = ev.match_events(spark.createDataFrame(uses, USES), spark.createDataFrame(calls, CALLS))
+    assert rows(got, "use_id", "call_id", "how") == [(1, 7, "arguments"), (2, 8, "arguments")]
+
+
+def test_events_without_a_time_fit_anything(spark, rows):
+    uses = [(1, "t", "{}", 0, 10), (2, "t", "{}", 9_000_000, None), (3, "t", "{}", None, None), (4, "s", "{}", None, None)]
+    calls = [(7, "t", "{}", None), (8, "t", "{}", 9_000_001), (9, "t", "{}", 5_000_000), (10, "s", "{}", None)]
+    got = ev.match_events(spark.createDataFrame(uses, USES), spark.createDataFrame(calls, CALLS))
+    assert rows(got, "use_id", "call_id") == [(1, 7), (3, 8), (4, 10)]

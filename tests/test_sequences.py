@@ -174,3 +174,17 @@ def test_random_and_filled_sequences(spark):
     assert all(len(r["seq"]) == 70 and not set(r["seq"]) - set("ACGT") for r in rows) and len({r["seq"] for r in rows}) == 200
     got = one(spark, dna.fill_n("s", F.lit(1), 2), s="NANNT")
     assert got[1] == "A" and got[4] == "T" and not set(got) - set("ACGT")
+
+
+def test_windows_wider_than_a_bin_and_repeated_regions(spark):
+    rng = random.Random(3)
+    text = "".join(rng.choice("ACGT") for _ in range(500))
+    genome = spark.createDataFrame([("c", b, text[b * 64:(b + 1) * 64]) for b in range(8)], "chrom string, bin long, seq string")
+    starts = [0, 1, 63, 64, 200, 430, 431, -1]
+    df = spark.createDataFrame([(i, "c", s) for i, s in enumerate(starts)] + [(0, "c", 0)], "id long, chrom string, ws long")
+    got = sorted((r["id"], r["seq"]) for r in gn.extract_windows(df, genome, 70, 64).collect())
+    want = sorted([(i, text[s:s + 70] if 0 <= s and s + 70 <= 500 else None) for i, s in enumerate(starts)] + [(0, text[:70])])
+    assert got == want
+    regions = [(1, "c", 10, 200), (1, "c", 10, 200), (1, "c", 300, 310), (2, "c", 490, 510)]
+    out = gn.extract_regions(spark.createDataFrame(regions, "id long, chrom string, start long, end long"), genome, 64, "id")
+    assert sorted((r["id"], r["start"], r["seq"] or "") for r in out.collect()) == [(1, 10, text[10:200]), (1, 10, text[10:200]), (1, 300, text[300:310]), (2, 490, "")]
