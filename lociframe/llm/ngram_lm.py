@@ -38,9 +38,10 @@ from lociframe.session import stored
 
 DISCOUNT, ADD = 0.75, 0.1
 SHARD_TOKENS = 1_800_000
-BLOCK_BYTES, BLOCK_DOCS = 8 << 20, 1 << 15
+BLOCK_BYTES, BLOCK_DOCS = 6 << 20, 1 << 15
 BEGIN, END = np.uint64(0x0123456789ABCDEF), np.uint64(0xFEDCBA9876543210)
 ID_BITS = 40
+QUERIES = 1 << 17            # pairs that are looked up at once
 NULL = -(1 << 63)
 
 
@@ -241,6 +242,7 @@ def _router(shards: int, hot: np.ndarray):
             split = np.flatnonzero(is_hot[first])
             shard[split] = (mix(hashes[first[split]] ^ mix(hashes[second[split]])) % np.uint64(shards)).astype(np.int64)
             key = (shard * (n + 2) + first) * (n + 2) + second
+            del shard, first, second
             by = np.argsort(key, kind="stable")
             key, doc = key[by], doc[by]
             new = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, bool)
@@ -269,19 +271,20 @@ def _router(shards: int, hot: np.ndarray):
     return lambda batches: released(run(batches))
 
 
-def _unpack(body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(context and word of each pair, the pair of each occurrence, its text)."""
+def _unpack(body: pa.Buffer) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(contexts, each pair's context among them, each pair's word, each occurrence's pair and its text)."""
     n, m, p = np.frombuffer(body, np.int64, 3).tolist()
     at = 24
     contexts = np.frombuffer(body, np.uint64, n, at)
     at += 8 * n
     fresh = np.unpackbits(np.frombuffer(body, np.uint8, -(-m // 8), at), count=m)
     at += -(-m // 8)
-    top = np.frombuffer(body, np.uint32, m, at).astype(np.uint64)
+    word = np.frombuffer(body, np.uint32, m, at).astype(np.uint64)
+    word <<= np.uint64(16)
     at += 4 * m
-    word = (top << np.uint64(16)) | np.frombuffer(body, np.uint16, m, at)
+    word |= np.frombuffer(body, np.uint16, m, at)
     posts = np.frombuffer(body, np.uint16, p, at + 2 * m)
-    return contexts[np.cumsum(fresh, dtype=np.int32) - 1], word, np.cumsum(posts >> np.uint16(15), dtype=np.int32) - 1, posts & np.uint16(0x7FFF)
+    return contexts, np.cumsum(fresh, dtype=np.int32) - 1, word, np.cumsum(posts >> np.uint16(15), dtype=np.int32) - 1, posts & np.uint16(0x7FFF)
 
 
 # One shard
@@ -332,12 +335,16 @@ def _learner(shards: int, hot: dict[int, int]):
     def run(table: pa.Table) -> pa.Table:
         shard = table.column("shard")[0].as_py()
         blocks = list(zip(*(table.column(c).to_pylist() for c in ("block", "size", "trained", "docs"))))
-        bodies = [_unpack(b.as_py()) for b in table.column("body")]
-        ends = np.cumsum([0] + [len(w) for _, w, _, _ in bodies])
-        contexts, owner = np.unique(np.concatenate([c for c, _, _, _ in bodies]), return_inverse=True)
-        times = np.concatenate([np.bincount(pair[doc < t], minlength=len(w)).astype(np.int32) for (_, w, pair, doc), (_, _, t, _) in zip(bodies, blocks)])
-        key = (owner.astype(np.uint64) << np.uint64(ID_BITS)) | np.concatenate([w >> np.uint64(48 - ID_BITS) for _, w, _, _ in bodies])
-        owner = owner.astype(np.int32)
+        bodies = [_unpack(b.as_buffer()) for b in table.column("body")]
+        ends = np.cumsum([0] + [len(w) for _, _, w, _, _ in bodies])
+        contexts, place = np.unique(np.concatenate([c for c, _, _, _, _ in bodies]), return_inverse=True)
+        firsts = np.cumsum([0] + [len(c) for c, _, _, _, _ in bodies])
+        owner = np.concatenate([place[a:b].astype(np.int32)[own] for (_, own, _, _, _), a, b in zip(bodies, firsts, firsts[1:])])
+        bodies = [(w, pair, doc) for _, _, w, pair, doc in bodies]
+        times = np.concatenate([np.bincount(pair[doc < t], minlength=len(w)).astype(np.int32) for (w, pair, doc), (_, _, t, _) in zip(bodies, blocks)])
+        key = owner.astype(np.uint64) << np.uint64(ID_BITS)
+        for (w, _, _), a, b in zip(bodies, ends, ends[1:]):
+            key[a:b] |= w >> np.uint64(48 - ID_BITS)
         # every pair once, with its number of times in the training texts
         asked, back = np.unique(key, return_inverse=True)
         del key
@@ -345,6 +352,7 @@ def _learner(shards: int, hot: dict[int, int]):
         counts = np.bincount(back, times, len(asked)).astype(np.int64)
         learned = counts > 0
         distinct, counts = asked[learned], counts[learned]
+        del learned
         mine = (distinct >> np.uint64(ID_BITS)).astype(np.int64)
         counted = np.bincount(mine, counts, len(contexts)).astype(np.int64)
         known = np.flatnonzero(counted)
@@ -354,10 +362,14 @@ def _learner(shards: int, hot: dict[int, int]):
         levels = Trie.build(contexts[known], np.searchsorted(mine, known), distinct & low, counts, total[known], np.where(is_hot, shards, 1))
         cold = known[~is_hot & (contexts[known] != BEGIN)]
         rows = [(shard, levels, (contexts[cold] >> np.uint64(16)).astype(np.int64), total[cold], None, None, None, None, None, None, None)]
-        value, seen = Trie(levels).query(contexts[(asked >> np.uint64(ID_BITS)).astype(np.int64)], asked & low)
+        trie = Trie(levels)
+        value, seen = np.empty(len(asked)), np.empty(len(asked), bool)
+        for a in range(0, len(asked), QUERIES):
+            part = asked[a:a + QUERIES]
+            value[a:a + QUERIES], seen[a:a + QUERIES] = trie.query(contexts[(part >> np.uint64(ID_BITS)).astype(np.int64)], part & low)
         base = np.where(contexts == BEGIN, 0.0, np.log10(total + ADD))
         is_known = (contexts != BEGIN) & (total > 0)
-        for (_, w, pair, doc), a, b, (block, size, t, docs) in zip(bodies, ends, ends[1:], blocks):
+        for (w, pair, doc), a, b, (block, size, t, docs) in zip(bodies, ends, ends[1:], blocks):
             of_pair, of_owner = back[a:b], owner[a:b]
             missed = ~seen[of_pair][pair]
             sums = _pack_sums(np.bincount(doc, value[of_pair][pair], size), np.bincount(doc, base[of_owner][pair], size),
