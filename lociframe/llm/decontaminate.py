@@ -204,7 +204,7 @@ def leaks_of(spark, index: Index, threshold: float, overlap: float):
     @F.arrow_udf(LEAK)
     def found(text: pa.Array) -> pa.Array:
         kind = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64()), ("start_word", pa.int64())]))
-        return pa.array([x for a, b in pieces(text) for x in shared.value.leaks(text[a:b], threshold, overlap)], kind)
+        return pa.array([x for a, b in pieces(text, 1 << 20) for x in shared.value.leaks(text[a:b], threshold, overlap)], kind)
     return found
 
 

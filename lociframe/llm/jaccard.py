@@ -35,7 +35,7 @@ from lociframe.session import stored
 
 SIZE, THRESHOLD = 5, 0.8
 BANDS, ROWS, HASHES, STEP, TOLERANCE = 20, 4, 96, 16, 1e-5
-CHUNK_ROWS, CHUNK_BYTES = 2048, 16 << 20
+CHUNK_ROWS, CHUNK_BYTES = 1024, 8 << 20
 _FACTORS = mix(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
 
 
@@ -90,7 +90,7 @@ def _pairs_of_runs(order: np.ndarray, values: np.ndarray, limit: int = 1 << 18)
         left = np.repeat(np.arange(a, b), later[a:b])
         right = left + 1 + np.arange(len(left)) - np.repeat(done[a:b] - done[a], later[a:b])
         if len(left):
-            x, y = order[left], order[right]
+            x, y = order[left].astype(np.int32), order[right].astype(np.int32)
             yield np.minimum(x, y), np.maximum(x, y)
         a = b
 
