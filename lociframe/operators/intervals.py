@@ -135,6 +135,8 @@ def exclude_overlaps(df: DataFrame, excluded: DataFrame, longest: int | None = N
     checked piece by piece.
     """
     reach = longest or 1 << bits
+    if longest:      # small bins, and so short lists, for short rows
+        bits = min(bits, max(8, int(longest).bit_length() + 2))
     index = interval_index(excluded, reach, bits)
     cols = df.columns
     width = F.col("end") - F.col("start")

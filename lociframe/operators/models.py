@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import random
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 from pyspark.ml.classification import LogisticRegression
@@ -17,6 +18,9 @@ from lociframe.operators.evaluation import roc_auc, scored
 from lociframe.operators.scorers import WeightScorer
 
 
+PARALLEL_FITS = 4
+
+
 class LogisticScorer:
     """Probability of a weight scorer's sum."""
 
@@ -69,18 +73,20 @@ def sweep(df: DataFrame, grid: dict[str, list], task: str = "classification", dr
     """Validation loss per parameter set (grid, or seeded random draws from it), best first.
 
     grid names arguments of train_baseline. Each set is one Spark fit on the train split and one
-    aggregate over the val split.
+    aggregate over the val split; a few run at a time, as one fit alone leaves executors idle.
     """
     sets = [dict(zip(grid, values)) for values in itertools.product(*grid.values())]
     if draws is not None and draws < len(sets):
         sets = random.Random(seed).sample(sets, draws)
     train = df.where("split = 'train'").select(seq, label).cache()
     val = df.where("split = 'val'").select(seq, label).cache()
-    rows = []
-    for params in sets:
+
+    def fit(params):
         model = train_baseline(train, task, seq, label, **params)
         loss = evaluate(val, model, task, seq, label).first()["test_loss"]   # one number per set
-        rows.append((*[float(v) for v in params.values()], float(loss)))
+        return (*[float(v) for v in params.values()], float(loss))
+    with ThreadPoolExecutor(PARALLEL_FITS) as pool:
+        rows = list(pool.map(fit, sets))
     train.unpersist()
     val.unpersist()
     fields = ", ".join(f"{n} double" for n in grid) + ", val_loss double"

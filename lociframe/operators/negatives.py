@@ -23,14 +23,15 @@ def gc_bin(gc) -> Column:
 
 
 def gc_matched_negatives(genome: DataFrame, positives: DataFrame, intervals: DataFrame, width: int,
-                         bin_width: int, seed=42) -> tuple[DataFrame, DataFrame]:
+                         bin_width: int, seed=42, phases: int = 4) -> tuple[DataFrame, DataFrame]:
     """Genomic windows with as many in each 0.05 GC bin as the positives, and the bin report.
 
     positives has chrom, ws, we, seq; intervals are the peaks they came from. Windows lie on the
     positives' contigs (a contig's share of the candidates is its share of the length), do not touch
     the peaks or windows widened by one width, hold no N and do not overlap each other: candidates
-    are a disjoint grid. Among the candidates of a bin the draw is by hash order, exact in size;
-    a bin with too few candidates is reported and not filled from another.
+    are a disjoint grid. Among the candidates of a bin the draw is by hash order, exact in size. Bins that
+    are short draw again from the grid moved by a part of the width, without what touches a window that
+    was taken, in as many phases as asked for; what is still missing is reported and not filled from another bin.
     """
     pos = positives.select("chrom", gc_bin(dna.gc_content("seq")).alias("gc_bin"))
     need = pos.groupBy("gc_bin").agg(F.count(F.lit(1)).alias("quota"))
@@ -38,15 +39,26 @@ def gc_matched_negatives(genome: DataFrame, positives: DataFrame, intervals: Dat
         intervals.select("chrom", "start", "end").unionByName(
             positives.select("chrom", F.col("ws").alias("start"), F.col("we").alias("end"))),
         width, clip=False)
+    if phases > 1:
+        blocked = stored(blocked)
     on = join_few(genome, positives.select("chrom").distinct(), "chrom", "left_semi")
-    candidates = (grid_windows(on, width, bin_width, seed)
-                  .where(dna.has_only_acgt("seq"))
-                  .withColumn("end", F.col("start") + width))
-    # Disjoint candidates: a bin holds a bounded number. Stored, because the draw reads them thrice.
-    free = stored(exclude_overlaps(candidates, blocked, longest=width, hot_rows=None)
-                  .withColumn("gc", dna.gc_content("seq")).withColumn("gc_bin", gc_bin("gc")))
     key = F.concat(F.col("chrom"), F.lit(":"), F.col("start").cast("string"))
-    picked = take_by_hash(free, key, seed, need, by=["gc_bin"])
+    picked, left = None, need
+    for phase in range(phases):
+        free = exclude_overlaps(grid_windows(on, width, bin_width, seed, phase * width // phases)
+                                .where(dna.has_only_acgt("seq")).withColumn("end", F.col("start") + width),
+                                blocked, longest=width, hot_rows=None)
+        if picked is not None:
+            free = exclude_overlaps(free, picked.select("chrom", "start", "end"), longest=width, hot_rows=None)
+        # Disjoint candidates: a bin holds a bounded number. Stored, because the draw reads them thrice.
+        free = stored(free.withColumn("gc", dna.gc_content("seq")).withColumn("gc_bin", gc_bin("gc"))
+                      .join(F.broadcast(left.select("gc_bin")), "gc_bin", "left_semi"))          # at most 20 bins
+        more = stored(take_by_hash(free, key, seed, left, by=["gc_bin"]))
+        picked = more if picked is None else picked.unionByName(more)
+        found = picked.groupBy("gc_bin").agg(F.count(F.lit(1)).alias("found"))
+        left = need.join(found, "gc_bin", "left").select("gc_bin", (F.col("quota") - F.coalesce("found", F.lit(0))).alias("quota")).where("quota > 0")
+        if phase + 1 < phases and left.isEmpty():
+            break
     return picked, gc_report(positives, picked)
 
 

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PREFIX = 3   # hex digits: 4,096 equal buckets
+PREFIX = 4   # hex digits: 65,536 equal buckets, so a border's task ranks a 65,536th of a group
 
 
 def hash_order(seed, key) -> Column:
@@ -38,7 +38,7 @@ def hash_cuts(df: DataFrame, key, seed, quotas: DataFrame, names: Sequence[str],
     rows = df.select(*by, hash_order(seed, key).alias("_h")).withColumn(
         "_p", F.substring("_h", 1, PREFIX))
     counts = rows.groupBy(*by, "_p").agg(F.count(F.lit(1)).alias("_n"))
-    order = Window.partitionBy(*by, F.lit(0)).orderBy("_p")   # at most 4,096 rows a group
+    order = Window.partitionBy(*by, F.lit(0)).orderBy("_p")   # at most 65,536 rows a group
     upto = counts.withColumn("_upto", F.sum("_n").over(order)).withColumn(
         "_before", F.col("_upto") - F.col("_n"))
     if by:

@@ -23,14 +23,16 @@ from lociframe.session import stored
 
 def variant_validation(peaks: DataFrame, records: DataFrame, genome: DataFrame, lengths: DataFrame, bin_width: int,
                        scorers: dict, matrices: dict | None = None, min_confidence: float = 1, width: int = 24,
-                       problem: str | None = None, energies: DataFrame | None = None) -> dict[str, DataFrame]:
+                       problem: str | None = None, energies: DataFrame | None = None,
+                       digits: int | None = None) -> dict[str, DataFrame]:
     """How well effects tell pathogenic from benign non-coding single-base variants in peaks.
 
     peaks: chrom, start, end, num; records: chrom, pos, ref, alts, clinsig, mc, geneinfo, rsid. scorers
     see windows of the given width; a motif (matrices) is scored as the best hit covering the variant in a
     window of 2w - 1; energies (chrom, pos, ref, alt, score) are joined as they are and keep NULLs; of several for one
     variant the least counts. Returns variants with <method>_ref, <method>_alt and <method>_dd (energy_dd for energies),
-    effects (one row per variant and method) and summary.
+    effects (one row per variant and method, rounded to `digits` where given, so that ties are those of the rounded
+    values) and summary.
     """
     merged = iv.filter_confidence(iv.merge_intervals(peaks), min_confidence, problem)
     # Cheap filters first: they leave few records for the join.
@@ -71,6 +73,8 @@ def variant_validation(peaks: DataFrame, records: DataFrame, genome: DataFrame,
     effects = parts[0]
     for part in parts[1:]:
         effects = effects.unionByName(part)
+    if digits is not None:
+        effects = effects.withColumn("score", F.round("score", digits))
     effects = stored(effects.withColumn("label", (F.col("label") == "pathogenic").cast("int")))
     return {"variants": out.drop("vid"), "effects": effects, "summary": ev.effect_summary(effects)}
 

@@ -13,7 +13,7 @@ from lociframe.operators import effects as ef
 from lociframe.operators import motifs as mo
 from lociframe.operators.genome import contig_lengths, extract_regions, variant_windows, with_halo
 from lociframe.operators import intervals as iv
-from lociframe.operators.scorers import ExpressionScorer, FunctionScorer, score, score_distinct
+from lociframe.operators.scorers import ExpressionScorer, FunctionScorer, WeightScorer, score, score_distinct
 from lociframe.queries.registry import query
 from lociframe.queries.views import BIN, MOTIFS, extraction_sql, has_only_acgt_sql, pair_scorer, pwm_scorer, weight, weight_scorer, weight_sum_sql
 
@@ -319,11 +319,13 @@ def _(v):
     return out.withColumn("value", F.round("value", 6) + 0.0)
 
 
-@query("attribute_shuffles", "M15")
+# Shuffles keep a sequence's bases, so under weights that do not depend on the position they explain all of its score.
+@query("attribute_shuffles", "M15", views="reads", sql="SELECT id, 32::BIGINT AS n, 0.0::DOUBLE AS total FROM reads")
 def _(v):
     rows = at.with_shuffles(v.reads, "id", 5)
-    out = at.attribute(rows, weight_scorer(32))
-    return at.attribution_sums(out).withColumn("total", F.round("total", 6))
+    out = at.attribute(rows, WeightScorer([[0.125, 0.5, -0.25, 0.75]] * 32))
+    sums = at.attribution_sums(out).withColumn("total", F.round("total", 6) + 0.0)
+    return out.select("id", F.size("attribution").cast("long").alias("n")).join(sums, "id")
 
 
 @query("input_x_weight", "M16", views="reads weights", sql="""

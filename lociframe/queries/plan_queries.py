@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from lociframe.plans import loci, validation
 from lociframe.queries.evaluation_queries import auc_sql
-from lociframe.queries.motif_queries import genome_hits_sql, hits_sql, matrices, motif_table, null_sql, spaced_sql
+from lociframe.queries.motif_queries import genome_hits_sql, hits_sql, matrices, motif_table, null_sql, pwm_sql, spaced_sql
 from lociframe.queries.registry import query
 from lociframe.queries.sequence_queries import gc_negatives_sql, region_negatives_sql
 from lociframe.queries.views import BIN, extraction_sql, has_only_acgt_sql, weight_scorer, weight_sum_sql
@@ -43,13 +43,21 @@ def _(v):
     return report.withColumns({c: F.round(c, 9) for c in ("positive_gc", "negative_gc")})
 
 
-@query("peak_set_validation", "P2")
+# The negatives are shuffles, which no SQL can repeat: it gives the scores of the positives and the number of negatives.
+@query("peak_set_validation", "P2", views="intervals chroms", sql=f"""
+    WITH positive AS MATERIALIZED (SELECT id, substr(bases, (start + 1)::BIGINT, "end" - start) AS seq FROM intervals JOIN chroms USING (chrom) WHERE num >= 4),
+    {hits_sql('positive', 5.0)}, w AS (SELECT id, substr(seq, i + 1, 24) AS win FROM (SELECT *, unnest(range(length(seq) - 23)) AS i FROM positive)),
+    s AS (SELECT 'p' || id AS rid, 'weights' AS method, max({_score_sql('win', 24)}) AS score FROM w WHERE {has_only_acgt_sql('win')} GROUP BY id
+        UNION ALL SELECT 'p' || p.id, 'alpha', coalesce(max(score), 0) FROM positive p LEFT JOIN hits h ON p.id = h.id AND motif = 'alpha' GROUP BY p.id)
+    SELECT rid, method, round(score, 6) AS score FROM s UNION ALL SELECT 'negatives', method, count(*)::DOUBLE FROM s GROUP BY method""")
 def _(v):
     peaks = v.intervals.withColumn("score", F.col("num").cast("double"))
     out = validation.peak_set_validation(
-        peaks, v.genome, v.contigs, BIN, {"weights": weight_scorer(24)}, {"alpha": matrices(v)["alpha"]},
-        hit_threshold=5.0)
-    return out["summary"].withColumn("auc", F.round("auc", 6))
+        peaks, v.genome, v.contigs, BIN, {"weights": _rounded(24)}, {"alpha": matrices(v)["alpha"]}, hit_threshold=5.0)
+    scores = out["scores"].where("score is not null")
+    negatives = scores.where("label = 0").groupBy("method").agg(F.count(F.lit(1)).cast("double").alias("score"))
+    return (scores.where("label = 1").select("rid", "method", F.round("score", 6).alias("score"))
+            .unionByName(negatives.select(F.lit("negatives").alias("rid"), "method", "score")))
 
 
 @query("peak_set_genomic", "P2", "N3", views="intervals chroms contigs genome", sql=f"""
@@ -117,33 +125,65 @@ def records(v):
                              "clinsig", "mc", "geneinfo", F.concat(F.lit("rs"), F.col("key").cast("string")).alias("rsid"))
 
 
-@query("variant_validation", "P5", views="merged variants chroms", sql=f"""
-    WITH l AS (SELECT v.*, clinsig = 'Pathogenic' AS path FROM variants v WHERE clinsig <> 'Uncertain_significance'
+_HITS = f"""l AS (SELECT v.*, clinsig = 'Pathogenic' AS path FROM variants v WHERE clinsig <> 'Uncertain_significance'
         AND NOT list_has_any(regexp_split_to_array(mc, '[,|]'), [{_CODING}])),
-    h AS MATERIALIZED (SELECT l.* FROM l JOIN merged m ON l.chrom = m.chrom AND pos - 1 >= m.start AND pos - 1 < m."end" WHERE m.num >= 3),
-    w AS (SELECT path, ref, alt, {extraction_sql('chroms', '(pos - 13)', '24')} AS s FROM h JOIN chroms USING (chrom)),
-    e AS (SELECT 'weights' AS method, path::INTEGER AS label, round({_score_sql('s', 24)} - {_score_sql("(s[:12] || alt || s[14:])", 24)}, 9) AS d
-        FROM w WHERE s IS NOT NULL AND s[13] = ref AND ref <> 'N' AND {has_only_acgt_sql('s')}),
-    a AS (SELECT *, abs(d) AS score FROM e),
+    h AS MATERIALIZED (SELECT l.* FROM l JOIN merged m ON l.chrom = m.chrom AND pos - 1 >= m.start AND pos - 1 < m."end" WHERE m.num >= 3)"""
+
+
+def _variant_sql(width, middle):
+    """The windows of the variants in peaks, ref and alt, with the variant at index middle."""
+    return f"""(SELECT key, path, s, s[:{middle}] || alt || s[{middle + 2}:] AS a FROM (
+        SELECT key, path, ref, alt, {extraction_sql('chroms', f'(pos - {middle + 1})', str(width))} AS s FROM h JOIN chroms USING (chrom))
+        WHERE s IS NOT NULL AND s[{middle + 1}] = ref AND ref <> 'N' AND {has_only_acgt_sql('s')})"""
+
+
+def _best_hit_sql(col):
+    """The best placement of motif alpha on either strand of a window of eleven bases."""
+    words = [pwm_sql("alpha", f"substr({col}, {i}, 6)", strand) for i in range(1, 7) for strand in (False, True)]
+    return f"greatest({', '.join(words)})"
+
+
+_SUMMARY = f"""a AS (SELECT *, abs(d) AS score FROM e),
     raw AS ({auc_sql('e', 'method', 'd').replace('ranked', 'ranked2')}),
     ab AS ({auc_sql('a', 'method')})
     SELECT method, ab.roc_auc AS auc_abs, raw.roc_auc AS auc_raw, round(median(score) FILTER (label = 1), 6) AS median_abs_path,
         round(median(score) FILTER (label = 0), 6) AS median_abs_benign, count(*) FILTER (label = 1) AS n_path, count(*) FILTER (label = 0) AS n_benign
-    FROM a JOIN ab USING (method) JOIN raw USING (method) GROUP BY ALL""")
+    FROM a JOIN ab USING (method) JOIN raw USING (method) GROUP BY ALL"""
+
+
+def _validated(v, motifs=None):
+    """The summary of effects to nine digits."""
+    out = validation.variant_validation(v.intervals, records(v), v.genome, v.contigs, BIN, {"weights": _rounded(24)}, motifs, min_confidence=3, digits=9)
+    return out["summary"].select("method", *[F.round(c, 6).alias(c) for c in (
+        "auc_abs", "auc_raw", "median_abs_path", "median_abs_benign")], "n_path", "n_benign")
+
+
+@query("variant_validation", "P5", views="merged variants chroms", sql=f"""
+    WITH {_HITS}, e AS (SELECT 'weights' AS method, path::INTEGER AS label, round({_score_sql('s', 24)} - {_score_sql('a', 24)}, 9) AS d FROM {_variant_sql(24, 12)}), {_SUMMARY}""")
 def _(v):
     """Peaks merged and filtered, single-base non-coding variants joined, labelled, scored and evaluated."""
-    from lociframe.operators import evaluation as ev
-    out = validation.variant_validation(v.intervals, records(v), v.genome, v.contigs, BIN, {"weights": _rounded(24)}, min_confidence=3)
-    summary = ev.effect_summary(out["effects"].withColumn("score", F.round("score", 9)))
-    return summary.select("method", *[F.round(c, 6).alias(c) for c in (
-        "auc_abs", "auc_raw", "median_abs_path", "median_abs_benign")], "n_path", "n_benign")
+    return _validated(v)
+
+
+@query("variant_validation_motif", "P5", "M6", "M10", views="merged variants chroms", sql=f"""
+    WITH {_HITS}, e AS (SELECT 'weights' AS method, path::INTEGER AS label, round({_score_sql('s', 24)} - {_score_sql('a', 24)}, 9) AS d FROM {_variant_sql(24, 12)}
+        UNION ALL SELECT 'alpha', path::INTEGER, round({_best_hit_sql('s')} - {_best_hit_sql('a')}, 9) FROM {_variant_sql(11, 5)}), {_SUMMARY}""")
+def _(v):
+    return _validated(v, {"alpha": matrices(v)["alpha"]})
 
 
-@query("variant_validation_motif", "P5", "M6", "M10")
+@query("variant_validation_rows", "P5", "M10", views="merged variants chroms", sql=f"""
+    WITH {_HITS}, w AS (SELECT key, {_score_sql('s', 24)} AS r, {_score_sql('a', 24)} AS t FROM {_variant_sql(24, 12)}),
+    m AS (SELECT key, {_best_hit_sql('s')} AS r, {_best_hit_sql('a')} AS t FROM {_variant_sql(11, 5)})
+    SELECT 'rs' || h.key::VARCHAR AS rsid, h.chrom, h.pos, CASE WHEN h.path THEN 'pathogenic' ELSE 'benign' END AS label,
+        round(w.r, 6) + 0.0 AS weights_ref, round(w.t, 6) + 0.0 AS weights_alt, round(w.r - w.t, 6) + 0.0 AS weights_dd,
+        round(m.r, 6) + 0.0 AS alpha_ref, round(m.t, 6) + 0.0 AS alpha_alt, round(m.r - m.t, 6) + 0.0 AS alpha_dd
+    FROM h LEFT JOIN w USING (key) LEFT JOIN m USING (key)""")
 def _(v):
-    out = validation.variant_validation(v.intervals, records(v), v.genome, v.contigs, BIN, {"weights": weight_scorer(24)},
-                                        {"alpha": matrices(v)["alpha"]}, min_confidence=3)
-    return out["summary"].withColumns({c: F.round(c, 6) for c in ("auc_abs", "auc_raw", "mwu_p", "median_abs_path", "median_abs_benign")})
+    """The variants with the effects of every method, NULL where no window could be cut."""
+    out = validation.variant_validation(v.intervals, records(v), v.genome, v.contigs, BIN, {"weights": _rounded(24)}, {"alpha": matrices(v)["alpha"]}, min_confidence=3)
+    names = [f"{m}_{e}" for m in ("weights", "alpha") for e in ("ref", "alt", "dd")]
+    return out["variants"].select("rsid", "chrom", "pos", "label", *[(F.round(n, 6) + 0.0).alias(n) for n in names])
 
 
 @query("best_windows", "P6", views="intervals halo chroms", sql=f"""

@@ -196,12 +196,23 @@ def gc_negatives_sql(width):
         padded AS (SELECT chrom, start - {width} AS s, "end" + {width} AS e FROM intervals UNION ALL SELECT chrom, ws - {width}, ws + {2 * width} FROM pos_rows),
         blocked AS MATERIALIZED (SELECT chrom, min(s) AS s, max(e) AS e FROM (SELECT *, sum(opens) OVER (PARTITION BY chrom ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM (
             SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY chrom ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS opens FROM padded)) GROUP BY chrom, island),
-        grid AS (SELECT chrom, unnest(range(('0x' || substr(md5('42:' || chrom), 1, 8))::BIGINT % {width}, length - {width} + 1, {width})) AS start FROM contigs),
-        free AS (SELECT g.chrom, g.start FROM grid g ASOF LEFT JOIN blocked b ON g.chrom = b.chrom AND g.start + {width} > b.s WHERE b.e IS NULL OR b.e <= g.start),
-        cut AS (SELECT chrom, start, {extraction_sql('chroms', 'start', str(width))} AS seq FROM free JOIN chroms USING (chrom)),
-        binned AS (SELECT *, {bin_of} AS gc_bin FROM (SELECT *, {share} AS gc FROM cut WHERE {has_only_acgt_sql('seq')})),
-        picked AS MATERIALIZED (SELECT chrom, start, start + {width} AS "end", seq, gc, gc_bin FROM (SELECT *, row_number() OVER (PARTITION BY gc_bin ORDER BY md5('42:' || chrom || ':' || start::VARCHAR)) AS k
-            FROM binned) JOIN need USING (gc_bin) WHERE k <= quota)"""
+        {', '.join(_phase_sql(width, k, bin_of, share) for k in range(4))},
+        picked AS MATERIALIZED (SELECT *, start + {width} AS "end" FROM taken3)"""
+
+
+def _phase_sql(width, k, bin_of, share):
+    """CTEs of one phase: taken<k> holds all windows so far."""
+    before = f"taken{k - 1}" if k else "(SELECT * FROM grid0 WHERE false)"
+    clear = "" if not k else f" ASOF LEFT JOIN {before} t ON g.chrom = t.chrom AND g.start + {width} > t.start"
+    unhurt = "" if not k else f" AND (t.start IS NULL OR t.start + {width} <= g.start)"
+    taken = "" if not k else f"SELECT chrom, start, seq, gc, gc_bin FROM {before} UNION ALL "
+    found = f"(SELECT gc_bin, count(*) AS n FROM {before} GROUP BY gc_bin)" if k else "(SELECT gc_bin, 0 AS n FROM need)"
+    return f"""grid{k} AS (SELECT chrom, unnest(range((('0x' || substr(md5('42:' || chrom), 1, 8))::BIGINT + {k * width // 4}) % {width}, length - {width} + 1, {width})) AS start FROM contigs),
+        free{k} AS (SELECT g.chrom, g.start FROM grid{k} g ASOF LEFT JOIN blocked b ON g.chrom = b.chrom AND g.start + {width} > b.s{clear} WHERE (b.e IS NULL OR b.e <= g.start){unhurt}),
+        cut{k} AS (SELECT chrom, start, {extraction_sql('chroms', 'start', str(width))} AS seq FROM free{k} JOIN chroms USING (chrom)),
+        binned{k} AS (SELECT *, {bin_of} AS gc_bin FROM (SELECT *, {share} AS gc FROM cut{k} WHERE {has_only_acgt_sql('seq')})),
+        taken{k} AS MATERIALIZED ({taken}SELECT chrom, start, seq, gc, gc_bin FROM (SELECT *, row_number() OVER (PARTITION BY gc_bin ORDER BY md5('42:' || chrom || ':' || start::VARCHAR)) AS k
+            FROM binned{k}) JOIN need USING (gc_bin) LEFT JOIN {found} f USING (gc_bin) WHERE k <= quota - coalesce(n, 0))"""
 
 
 @query("gc_matched_negatives", "N1", views="intervals chroms contigs", sql=f"""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -31,8 +33,8 @@ def configure(spark: SparkSession) -> SparkSession:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by spark.checkpoint.dir.
 
-    Where none is set, a local session, as in tests, gets a temporary one; a cluster is an error, because
-    its executors share no local folder.
+    Where none is set, a local session, as in tests, gets a temporary one, removed when Python ends; a cluster is an
+    error, because its executors share no local folder.
     """
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
@@ -41,7 +43,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not sc.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if sc.applicationId not in _LOCAL_FOLDERS:
-        _LOCAL_FOLDERS[sc.applicationId] = tempfile.mkdtemp(prefix="lociframe-")
+        _LOCAL_FOLDERS[sc.applicationId] = folder = tempfile.mkdtemp(prefix="lociframe-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
     return _LOCAL_FOLDERS[sc.applicationId]
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lociframe.operators.intervals import track_intervals
+from lociframe.session import stored
 
 
 def number_rows(df: DataFrame, out: str = "k", bits: int = 16) -> DataFrame:
@@ -88,30 +89,17 @@ def write_manifest(variants: DataFrame, path: str) -> None:
     variants.write.json(path)
 
 
-def _versions(spark: SparkSession, path: str) -> list[int]:
-    """Versions that were written to the end."""
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = fs_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(fs_path):
-        return []
-    names = [s.getPath().getName() for s in fs.listStatus(fs_path)]
-    return sorted(int(n[1:]) for n in names if n.startswith("v") and n[1:].isdigit()
-                  and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS")))
-
-
 def read_metrics(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/v{_versions(spark, path)[-1]}")
+    """The rows of all appends; a metric that some of them lack is NULL there."""
+    return spark.read.option("mergeSchema", "true").parquet(path)
 
 
 def append_metrics(spark: SparkSession, path: str, rows: DataFrame) -> None:
-    """Adds rows to a metrics table; a new metric is a new column, NULL in the older rows.
+    """Adds rows to a metrics table; a new metric is a new column, NULL in the older rows. A metric keeps its type.
 
-    The wider table is written as a new version, which readers see once it is complete.
+    Rows are appended as files of their own and become visible when their write commits; nothing is rewritten.
     """
-    done = _versions(spark, path)
-    if done:
-        rows = spark.read.parquet(f"{path}/v{done[-1]}").unionByName(rows, allowMissingColumns=True)
-    rows.write.mode("overwrite").parquet(f"{path}/v{done[-1] + 1 if done else 1}")
+    rows.write.mode("append").parquet(path)
 
 
 def params_digest(params: dict) -> str:
@@ -134,12 +122,13 @@ def write_resumable(work: DataFrame, path: str, params: dict, compute: Callable[
     except AnalysisException as exc:
         if "PATH_NOT_FOUND" not in str(exc) and "UNABLE_TO_INFER_SCHEMA" not in str(exc):
             raise
-    todo = [r[0] for r in wanted.select(chunk).orderBy(chunk).collect()]   # chunk numbers
-    if todo:
-        rows = compute(work.where(F.col(chunk).isin(todo))).withColumn("params_digest", F.lit(digest))
+    todo = stored(wanted.select(chunk))      # stored, as the table that it was found from is written to
+    n = todo.count()
+    if n:
+        rows = compute(work.join(todo, chunk, "left_semi")).withColumn("params_digest", F.lit(digest))
         (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("params_digest", chunk).parquet(path))
-    return len(todo)
+    return n
 
 
 def read_resumable(spark: SparkSession, path: str, params: dict) -> DataFrame:

@@ -11,14 +11,17 @@ CALL_SCHEMA = ("timestamp string, tool string, arguments string, seconds double,
                "_corrupt string")
 
 
-def read_metric_logs(spark: SparkSession, path) -> DataFrame:
+def read_metric_logs(spark: SparkSession, path, max_metrics: int = 10_000) -> DataFrame:
     """file, row_no (from 0) and the metrics of many CSV logs as text; a metric a log lacks is NULL, a blank one too.
 
     Each line is joined with its own file's header, so logs of differing columns are read in one job.
     """
     lines = numbered_lines(spark, path).where(F.col("value") != "")
     header = lines.where(F.col("line_no") == 1).select("file", F.split("value", ",").alias("_h"))
-    names = [r[0] for r in header.select(F.explode("_h")).distinct().orderBy(F.lit(1)).collect()]   # metric names
+    found = header.select(F.explode("_h").alias("name")).distinct().orderBy("name").limit(max_metrics + 1).collect()
+    if len(found) > max_metrics:
+        raise ValueError(f"the logs name more than {max_metrics} metrics")
+    names = [r["name"] for r in found]
     rows = lines.where(F.col("line_no") > 1).join(header, "file")
     parts = F.split("value", ",", -1)
     cells = F.map_from_entries(F.filter(F.arrays_zip(F.col("_h").alias("k"), parts.alias("v")), lambda x: x["k"].isNotNull()))

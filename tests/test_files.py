@@ -247,7 +247,7 @@ def test_metrics_widen(spark, tmp_path):
     sinks.append_metrics(spark, path, spark.createDataFrame([("a", 1.0)], "model string, test_loss double"))
     sinks.append_metrics(spark, path, spark.createDataFrame([("b", 2.0, .9)], "model string, test_loss double, test_auc double"))
     assert sorted((r["model"], r["test_auc"]) for r in sinks.read_metrics(spark, path).collect()) == [("a", None), ("b", .9)]
-    (tmp_path / "metrics" / "v9").mkdir()      # a version that was never finished
+    (tmp_path / "metrics" / "_temporary").mkdir()      # an append that was never finished
     assert sinks.read_metrics(spark, path).count() == 2
 
 
