@@ -83,16 +83,15 @@ def extract_regions(df: DataFrame, genome: DataFrame, bin_width: int, key: str,
     return whole.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).drop("_copies", "_copy")
 
 
-def grid_windows(genome: DataFrame, width: int, bin_width: int, seed, shift: int = 0) -> DataFrame:
+def grid_windows(bins: DataFrame, width: int, bin_width: int, seed, shift: int = 0) -> DataFrame:
     """Disjoint windows (chrom, start, seq) on a grid of the window width, its offset per contig
-    decided by md5(seed:chrom), plus shift. No join with windows: each bin cuts its own."""
+    decided by md5(seed:chrom), plus shift. bins is with_halo(genome, width - 1, bin_width); each bin cuts its own."""
     digits = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("chrom"))), 1, 8)
     offset = F.pmod(F.conv(digits, 16, 10).cast("long") + shift, F.lit(width))
     base = F.col("bin") * bin_width
     first = F.pmod(F.col("_offset") - base, F.lit(width))
     limit = F.least(F.lit(bin_width - 1), F.octet_length("bases") - width)
-    return (with_halo(genome, width - 1, bin_width)
-            .withColumn("_offset", offset)
+    return (bins.withColumn("_offset", offset)
             .withColumn("_first", first)
             .where(F.col("_first") <= limit)
             .withColumn("_rel", F.explode(F.sequence(F.col("_first"), limit.cast("long"),

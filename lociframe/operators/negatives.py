@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lociframe.functions import dna
-from lociframe.operators.genome import extract_regions, grid_windows
+from lociframe.operators.genome import extract_regions, grid_windows, with_halo
 from lociframe.operators.intervals import exclude_overlaps, exclusion_set
 from lociframe.operators.joins import join_few
 from lociframe.operators.sampling import take_by_hash
@@ -42,21 +42,24 @@ def gc_matched_negatives(genome: DataFrame, positives: DataFrame, intervals: Dat
     if phases > 1:
         blocked = stored(blocked)
     on = join_few(genome, positives.select("chrom").distinct(), "chrom", "left_semi")
+    bins = with_halo(on, width - 1, bin_width)
+    if phases > 1:
+        bins = stored(bins)
     key = F.concat(F.col("chrom"), F.lit(":"), F.col("start").cast("string"))
     picked, left = None, need
     for phase in range(phases):
-        free = exclude_overlaps(grid_windows(on, width, bin_width, seed, phase * width // phases)
-                                .where(dna.has_only_acgt("seq")).withColumn("end", F.col("start") + width),
-                                blocked, longest=width, hot_rows=None)
+        grid = (grid_windows(bins, width, bin_width, seed, phase * width // phases).where(dna.has_only_acgt("seq"))
+                .withColumns({"end": F.col("start") + width, "gc": dna.gc_content("seq")}).withColumn("gc_bin", gc_bin("gc"))
+                .join(F.broadcast(left.select("gc_bin")), "gc_bin", "left_semi"))          # at most 20 bins
+        free = exclude_overlaps(grid, blocked, longest=width, hot_rows=None)
         if picked is not None:
             free = exclude_overlaps(free, picked.select("chrom", "start", "end"), longest=width, hot_rows=None)
         # Disjoint candidates: a bin holds a bounded number. Stored, because the draw reads them thrice.
-        free = stored(free.withColumn("gc", dna.gc_content("seq")).withColumn("gc_bin", gc_bin("gc"))
-                      .join(F.broadcast(left.select("gc_bin")), "gc_bin", "left_semi"))          # at most 20 bins
+        free = stored(free.select("chrom", "start", "seq", "end", "gc", "gc_bin"))
         more = stored(take_by_hash(free, key, seed, left, by=["gc_bin"]))
         picked = more if picked is None else picked.unionByName(more)
         found = picked.groupBy("gc_bin").agg(F.count(F.lit(1)).alias("found"))
-        left = need.join(found, "gc_bin", "left").select("gc_bin", (F.col("quota") - F.coalesce("found", F.lit(0))).alias("quota")).where("quota > 0")
+        left = stored(need.join(found, "gc_bin", "left").select("gc_bin", (F.col("quota") - F.coalesce("found", F.lit(0))).alias("quota")).where("quota > 0"))
         if phase + 1 < phases and left.isEmpty():
             break
     return picked, gc_report(positives, picked)
