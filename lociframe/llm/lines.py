@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lociframe.llm.common import join_measured, with_key
+from lociframe.llm.common import with_key
 from lociframe.session import stored
 
 WORDS = 50
@@ -143,6 +143,6 @@ def dedup_lines(docs: DataFrame, words: int = WORDS) -> DataFrame:
     per_doc = stored(copies.groupBy(F.col("_d").alias(d), F.col("_h").alias(h)).agg(F.collect_list(F.struct("no", "length")).alias(runs)))
     keyed = docs.withColumns({d: F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)).cast("long")), h: F.xxhash64(F.coalesce("text", F.lit("")))})
     once = _cut.asNondeterministic()      # a filter on its result must not run it a second time
-    out = join_measured(keyed, per_doc, [d, h], "left", width=40 + 24 * F.size(runs)).withColumn(cut, once("text", runs, F.lit(words)))
+    out = keyed.join(per_doc, [d, h], "left").withColumn(cut, once("text", runs, F.lit(words)))
     kept = [F.col(f"{cut}.text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns if c != "removed_lines"]
     return out.select(*kept, F.col(f"{cut}.removed").alias("removed_lines"))
