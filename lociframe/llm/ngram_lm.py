@@ -13,9 +13,9 @@ The model discounts absolutely and backs off to add-0.1 counts of single words:
   D * T(context) / c(context) * p(word) otherwise, and p(word) after an unseen context; T counts distinct successors.
 The unseen part is not normalised again, so a context's probabilities add up to at most 1.
 
-A context that holds more than a quarter of a shard's share of all tokens is split over all shards by its successors; its count is
-taken beforehand, and each part treats its successors as one class. No task depends on one word, and nothing that grows
-with the corpus comes to the driver (at most four hot contexts per shard do). Words are known by 64-bit hashes, successors
+A context that holds more than a quarter of a shard's share of all tokens is split over all shards by its successors; its count and
+its number of distinct successors are taken beforehand, and every shard knows both, also one that holds none of its successors.
+No task depends on one word, and nothing that grows with the corpus comes to the driver (at most four hot contexts per shard do). Words are known by 64-bit hashes, successors
 by 48 bits of them.
 
 Null and empty texts are one end. A null id stays null and takes part in training unless it is marked otherwise. Repeated rows
@@ -148,15 +148,15 @@ class Trie:
         self.code = np.frombuffer(view, np.uint8, m, at + 9 * n + 4096)
 
     @staticmethod
-    def build(contexts: np.ndarray, starts: np.ndarray, successors: np.ndarray, counts: np.ndarray, totals: np.ndarray, parts: np.ndarray) -> bytes:
+    def build(contexts: np.ndarray, starts: np.ndarray, successors: np.ndarray, counts: np.ndarray, totals: np.ndarray, kinds: np.ndarray) -> bytes:
         """contexts: sorted hashes; starts: where the successors of each begin; successors: ids, sorted in each range;
-        counts: of pairs; totals: of contexts; parts: over how many shards the context is split."""
+        counts: of pairs; totals: of contexts; kinds: distinct successors in all shards, where more than those given here."""
         n = len(contexts)
         sizes = np.diff(np.append(starts, len(successors)))
         owner = np.repeat(np.arange(n), sizes)
         rising = (owner.astype(np.uint64) << np.uint64(ID_BITS)) | successors.astype(np.uint64)
         book, code = _quantised(np.log10((counts - DISCOUNT) / totals[owner])) if n else _quantised(np.zeros(0))
-        back_book, back_code = _quantised(np.log10(np.minimum(1.0, DISCOUNT * sizes * parts / totals))) if n else _quantised(np.zeros(0))
+        back_book, back_code = _quantised(np.log10(np.minimum(1.0, DISCOUNT * np.maximum(sizes, kinds) / totals))) if n else _quantised(np.zeros(0))
         levels = [EliasFano.code(contexts), EliasFano.code(np.append(starts, len(successors))), EliasFano.code(rising)]
         return b"".join([*levels, totals.astype(np.int64).tobytes(), back_book.tobytes(), back_code.tobytes(), book.tobytes(), code.tobytes()])
 
@@ -213,6 +213,35 @@ def _frequent(share: float, only: np.ndarray | None):
     return run
 
 
+def _followed(hot: np.ndarray, buckets: int):
+    """Per block and bucket of pairs: each pair of a hot context and a word after it once, as the context's number in `hot` and
+    ID_BITS of the word."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _blocks(batches):
+            codes, words, at = split_words(block.column("text"), ascii_only=True)
+            hashes = np.concatenate([word_hashes(words), [BEGIN, END]]).astype(np.uint64)
+            n = len(words)
+            first, second = np.insert(codes, at[:-1], n), np.insert(codes, at[1:], n + 1)
+            number = np.minimum(np.searchsorted(hot, hashes), len(hot) - 1)
+            mine = np.flatnonzero((hot[number] == hashes)[first])
+            pairs = np.unique((number[first[mine]].astype(np.uint64) << np.uint64(ID_BITS)) | (hashes[second[mine]] >> np.uint64(64 - ID_BITS)))
+            bucket = (mix(pairs) % np.uint64(buckets)).astype(np.int32)
+            order = np.argsort(bucket, kind="stable")
+            pairs, cuts = pairs[order], np.searchsorted(bucket[order], np.arange(buckets + 1))
+            filled = np.flatnonzero(np.diff(cuts)).astype(np.int32)
+            for i in range(0, len(filled), 64):
+                part = filled[i:i + 64]
+                yield pa.RecordBatch.from_arrays([pa.array(part), pa.array([pairs[cuts[k]:cuts[k + 1]].tobytes() for k in part], pa.binary())], names=["bucket", "pairs"])
+    return lambda batches: released(run(batches))
+
+
+def _count_followed(table: pa.Table) -> pa.Table:
+    """The distinct pairs of one bucket, counted by context."""
+    pairs = np.unique(np.concatenate([np.frombuffer(b.as_buffer(), np.uint64) for b in table.column("pairs")]))
+    at, n = np.unique((pairs >> np.uint64(ID_BITS)).astype(np.int64), return_counts=True)
+    return pa.table({"at": pa.array(at), "n": pa.array(n.astype(np.int64))})
+
+
 def _shard_of(h1: np.ndarray, h2: np.ndarray, hot: np.ndarray, shards: int) -> np.ndarray:
     return np.where(np.isin(h1, hot), mix(h1 ^ mix(h2)), mix(h1)) % np.uint64(shards)
 
@@ -320,24 +349,18 @@ def _unpack_sums(raw: bytes, size: int) -> tuple[np.ndarray, np.ndarray, np.ndar
             np.frombuffer(raw, width, size, at), np.frombuffer(raw, width, size, at + size * width().itemsize))
 
 
-def _learner(shards: int, hot: dict[int, int]):
-    """Learns a shard's trie from the training texts of its rows, and scores all its occurrences."""
+def _learner(hot: dict[int, int], successors: dict[int, int]):
+    """Learns a shard's trie from the training texts of its rows, and scores all its occurrences. hot: counts of the contexts
+    that are split, successors: their numbers of distinct successors."""
     hot_words = np.array(sorted(hot), np.uint64)
-    hot_counts = np.array([hot[int(w)] for w in hot_words], np.int64)
-
-    def totals(contexts, counted):
-        out = counted.astype(np.int64).copy()
-        if len(hot_words) and len(contexts):
-            at = np.minimum(np.searchsorted(hot_words, contexts), len(hot_words) - 1)
-            out = np.where(hot_words[at] == contexts, hot_counts[at], out)
-        return out
+    hot_counts, hot_kinds = (np.array([x[int(w)] for w in hot_words], np.int64) for x in (hot, successors))
 
     def run(table: pa.Table) -> pa.Table:
         shard = table.column("shard")[0].as_py()
         blocks = list(zip(*(table.column(c).to_pylist() for c in ("block", "size", "trained", "docs"))))
         bodies = [_unpack(b.as_buffer()) for b in table.column("body")]
         ends = np.cumsum([0] + [len(w) for _, _, w, _, _ in bodies])
-        contexts, place = np.unique(np.concatenate([c for c, _, _, _, _ in bodies]), return_inverse=True)
+        contexts, place = np.unique(np.concatenate([*(c for c, _, _, _, _ in bodies), hot_words]), return_inverse=True)
         firsts = np.cumsum([0] + [len(c) for c, _, _, _, _ in bodies])
         owner = np.concatenate([place[a:b].astype(np.int32)[own] for (_, own, _, _, _), a, b in zip(bodies, firsts, firsts[1:])])
         bodies = [(w, pair, doc) for _, _, w, pair, doc in bodies]
@@ -355,11 +378,13 @@ def _learner(shards: int, hot: dict[int, int]):
         del learned
         mine = (distinct >> np.uint64(ID_BITS)).astype(np.int64)
         counted = np.bincount(mine, counts, len(contexts)).astype(np.int64)
-        known = np.flatnonzero(counted)
-        total = totals(contexts, counted)
-        is_hot = np.isin(contexts[known], hot_words)
+        hot_at = np.searchsorted(contexts, hot_words)
+        total, kinds = counted.copy(), np.zeros(len(contexts), np.int64)
+        total[hot_at], kinds[hot_at] = hot_counts, hot_kinds
+        known = np.flatnonzero(total)
+        is_hot = kinds[known] > 0
         low = np.uint64((1 << ID_BITS) - 1)
-        levels = Trie.build(contexts[known], np.searchsorted(mine, known), distinct & low, counts, total[known], np.where(is_hot, shards, 1))
+        levels = Trie.build(contexts[known], np.searchsorted(mine, known), distinct & low, counts, total[known], kinds[known])
         cold = known[~is_hot & (contexts[known] != BEGIN)]
         rows = [(shard, levels, (contexts[cold] >> np.uint64(16)).astype(np.int64), total[cold], None, None, None, None, None, None, None)]
         trie = Trie(levels)
@@ -419,8 +444,14 @@ def learn_and_score(docs: DataFrame, shard_tokens: int = SHARD_TOKENS) -> tuple[
     if shards > 1 and texts_ > share * n:
         hot[int(BEGIN)] = texts_
     hot_words = np.array(sorted(hot), np.uint64)
+    successors = {}
+    if hot:
+        buckets = max(min(shards, 12), shards // 8)
+        pairs = training.mapInArrow(_followed(hot_words, buckets), "bucket int, pairs binary")
+        kinds = pairs.groupBy("bucket").applyInArrow(_count_followed, "at long, n long").groupBy("at").agg(F.sum("n").alias("n"))
+        successors = {int(hot_words[r["at"]]): r["n"] for r in kinds.collect()}
     packed = docs.mapInArrow(_router(shards, hot_words), PACKED)
-    out = stored(packed.groupBy("shard").applyInArrow(_learner(shards, hot), SHARD))
+    out = stored(packed.groupBy("shard").applyInArrow(_learner(hot, successors), SHARD))
     tries, parts = out.filter(F.col("levels").isNotNull()), out.filter(F.col("block").isNotNull())
     known = [(w >> 16, k) for w, k in hot.items() if w != int(BEGIN)] + ([(int(END) >> 16, texts_)] if texts_ else [])
     vocabulary = tries.select(F.explode(F.arrays_zip("words", "counts")).alias("w")).select(F.col("w.words").alias("word"), F.col("w.counts").alias("c"))

@@ -89,3 +89,20 @@ def test_empty_tables_and_no_training(spark):
     none = spark.createDataFrame([(1, "a b", False)], "doc_id long, text string, training boolean")
     r = lm.learn_and_score(none)[1].first()
     assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (3, 0, 0)
+
+
+def test_split_contexts_back_off_like_whole_ones(spark, prose):
+    """Every token's context is split over more shards than most have successors; unseen pairs go to shards that hold none."""
+    rows = [(i, "the " + " the ".join(prose(i, 12).split()), True) for i in range(30)]
+    rows += [(1000 + i, " ".join(f"the new{i}x{k}" for k in range(20)), False) for i in range(10)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, training boolean")
+    model, scores = lm.learn_and_score(table, 20)
+    assert model.count() > 20
+    got, want = {r["doc_id"]: r["score"] for r in scores.collect()}, {r[0]: (b[0], b[-1]) for r, b in zip(rows, brute(rows))}
+    assert all(abs(got[d] - score) < 0.05 * n for d, (n, score) in want.items())
+    context = lm.word_hashes(lm.pa.array(["the"])).astype(np.uint64)
+    kinds = len({w for _, t, training in rows if training for a, w in zip(t.split(), t.split()[1:]) if a == "the"})
+    times = sum(t.split().count("the") for _, t, training in rows if training)
+    for r in model.collect():       # the same back-off everywhere
+        value, seen = lm.Trie(r["levels"]).query(context, np.array([12345], np.uint64))
+        assert not seen[0] and abs(value[0] - math.log10(0.75 * kinds / times)) < 0.01
