@@ -6,7 +6,8 @@ holds a term's items with their impacts, and the largest impact per block of ite
 passage is first bounded from the rare terms alone: the common terms together can add at most a known share, so a
 block whose bound stays below the threshold is never scored. All passages of a batch are bounded and scored
 together, in arrays. Every pair above the threshold is kept and verified: enough of the runs of three words of the
-question, and of the answer, must stand in the passage.
+question and of the answer together must stand in the passage. Neither part is required by itself, as one edited word
+makes a short part unlike, and a text may hold an item without its last sentence.
 
 Items are taken in shards of at most SHARD_ITEMS items and SHARD_BYTES of text, sorted by length; each shard is
 an index of its own, with the statistics of all items, and is put to all texts. So memory is bounded for any
@@ -169,8 +170,9 @@ class Index:
                 start = int(p + low - first[d]) * step
                 own = words.take(pa.array(codes[at[d] + start:min(at[d + 1], at[d] + start + 2 * step)])).to_pylist()
                 runs, question, answer = _runs(own), self.questions[i], self.answers[i]
-                q, r = (len(x & (runs if max(map(len, x)) == RUN else _short(own, x))) / len(x) if x else 1.0 for x in (question, answer))
-                if q >= overlap and r >= overlap and share > found.get((d, int(i)), {"score": -1.0})["score"]:
+                in_q, in_r = (len(x & (runs if max(map(len, x)) == RUN else _short(own, x))) if x else 0 for x in (question, answer))
+                q, r = (n / len(x) if x else 1.0 for n, x in ((in_q, question), (in_r, answer)))
+                if (in_q + in_r) / (len(question) + len(answer)) >= overlap and share > found.get((d, int(i)), {"score": -1.0})["score"]:
                     found[d, int(i)] = {"item_id": self.ids[i], "score": round(float(share), 9), "question_overlap": q, "answer_overlap": r, "start_word": start}
         for (d, _), leak in sorted(found.items()):
             out[d].append(leak)

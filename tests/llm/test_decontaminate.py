@@ -78,3 +78,24 @@ def test_awkward_rows(spark, docs, awkward):
     empty = bench.limit(0)
     assert dc.contaminated(docs(awkward), empty).count() == 0 and dc.clean(docs(awkward), empty).count() == len(awkward)
     assert dc.contaminated(docs([]), bench).count() == 0 and dc.clean(docs([]), bench).count() == 0
+
+
+def test_edited_and_cut_items_are_found_and_clean_texts_not(spark, docs, prose):
+    """One word in fifteen replaced, or the last sentence cut off or changed, next to texts of the same words."""
+    r = random.Random(3)
+    bench = [(i, prose(i, 30 + i % 20).capitalize() + ". " + prose(500 + i, 1 + i % 5) + ".") for i in range(60)]
+    rows, want = [], set()
+    for i, text in bench:
+        question, answer = text.split(". ")
+        words = text.split()
+        edited = [f"changed{i}" if k % 15 == 7 else w for k, w in enumerate(words)]
+        for k, own in enumerate((" ".join(edited), question + ".", f"{question}. changed{i} {answer}", f"{question}. changed{i}")):
+            rows.append((10 * i + k, f"{prose(2000 + 10 * i + k, r.randint(0, 200))} {own} {prose(4000 + 10 * i + k, r.randint(0, 200))}"))
+            want.add((10 * i + k, i))
+        r.shuffle(words)
+        rows.append((10 * i + 4, prose(6000 + i, 100) + " " + " ".join(words)))         # its words in another order
+        rows.append((10 * i + 5, " ".join(text.split()[:len(words) // 3]) + " " + prose(7000 + i, 100)))       # a third of it
+        rows.append((10 * i + 6, prose(8000 + i, 300)))
+    split = dc.split_items(items(spark, bench))
+    assert {(x["doc_id"], x["item_id"]) for x in dc.contaminated(docs(rows), split).collect()} == want
+    assert {x["doc_id"] for x in dc.clean(docs(rows), split).collect()} == {d for d, _ in rows} - {d for d, _ in want}
