@@ -40,3 +40,13 @@ def test_no_query_multiplies_tables(spark):
     for name in ("scan_motifs", "epistasis_pairs", "score_regression", "split_dataset", "extract_windows", "variant_validation"):
         plan = entry.queries()[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
+
+
+def test_epistasis_of_all_positions(spark):
+    pairs = entry.queries()["epistasis_all_pairs"](spark, SMALL).select("pos_i", "pos_j").distinct()
+    assert {tuple(r) for r in pairs.collect()} == {(i, j) for i in range(32) for j in range(i + 1, 32)}
+    triplets = entry.queries()["epistasis_default_triplets"](spark, SMALL).select("pos_i", "pos_j", "pos_k").distinct()
+    assert triplets.count() == 84
+    for name in ("epistasis_all_pairs", "epistasis_all_top", "epistasis_default_triplets"):
+        note, _, _, same = compare(spark, duck(SMALL), name, entry.queries()[name], entry.oracle_sql()[name], SMALL)
+        assert same, note
