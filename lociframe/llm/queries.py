@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lociframe.llm import chat, decontaminate, fingerprints, jaccard, lines, ngram_lm, pieces, quality, secrets, warc
+from lociframe.llm import chat, decontaminate, fingerprints, jaccard, lexical, lines, ngram_lm, pieces, prefix_trie, quality, rules, secrets, warc
 from lociframe.llm.common import read, text_crc, texts, with_small_batches
-from lociframe.session import configure
+from lociframe.session import configure, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -139,3 +139,95 @@ def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log probability of every whole document, learned from nine tenths of them."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(text_crc("doc_id") % 10 != 0, F.lit(True)).alias("training"))
     return ngram_lm.learn_and_score(docs)[1]
+
+
+@_query
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the prefix trie of the rebuilt conversations, with what its subtree holds and saves."""
+    turns = stored(prefix_trie.numbered(prefix_trie.turn_table(read(spark, sf_dir, "conversations"))))
+    return prefix_trie.trie(turns.select("conv_id"), prefix_trie.with_shared_heads(turns)).select(
+        "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
+ORACLES["op11_prefix_trie"] = """
+WITH RECURSIVE rows AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS no
+  FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (SELECT DISTINCT conv_id, conv_id - conv_id % 5 AS base,
+  xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+    lambda a, c: list_reduce(list_prepend(xor(a, c), list_transform(range(8), lambda k: 0::BIGINT)),
+      lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END)), 4294967295::BIGINT) % 9 AS h
+  FROM rows),
+taken AS (
+  SELECT i.conv_id, r.no, r.role, r.text FROM ids i JOIN rows r ON r.conv_id = i.base AND r.no <= i.h
+  UNION ALL SELECT i.conv_id, 1000 + r.no, r.role, r.text FROM ids i JOIN rows r ON r.conv_id = i.conv_id AND r.no > i.h),
+rebuilt AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY no) AS depth,
+  {'role': role, 'text': text} AS turn FROM taken),
+paths AS (
+  SELECT conv_id, 0::BIGINT AS depth, []::STRUCT(role VARCHAR, text VARCHAR)[] AS path FROM ids
+  UNION ALL SELECT p.conv_id, p.depth + 1, list_append(p.path, r.turn) FROM paths p JOIN rebuilt r ON r.conv_id = p.conv_id AND r.depth = p.depth + 1),
+lengths AS (SELECT conv_id, max(depth) AS last FROM paths GROUP BY conv_id),
+nodes AS (
+  SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (depth = last), '')) AS ends_sha256
+  FROM paths JOIN lengths USING (conv_id) GROUP BY path, depth),
+linked AS (SELECT n.*, p.conv_id AS parent_conv_id, (n.n_convs - 1) * coalesce(octet_length(encode(n.path[-1].text)), 0) AS saved,
+    (SELECT count(*) FROM nodes c WHERE c.depth = n.depth + 1 AND c.path[:n.depth] = n.path) AS n_children
+  FROM nodes n LEFT JOIN nodes p ON p.depth = n.depth - 1 AND p.path = n.path[:n.depth - 1]),
+below AS (SELECT path[:d] AS top, d AS depth, n_children, saved FROM linked, unnest(range(0, depth + 1)) AS t(d)),
+sums AS (SELECT top, depth, count(*) FILTER (n_children = 0) AS n_leaves, sum(saved)::BIGINT AS saved_tokens FROM below GROUP BY top, depth)
+SELECT conv_id, l.depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256
+FROM linked l JOIN sums s ON s.depth = l.depth AND s.top = l.path"""
+
+
+@_query
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best documents of every benchmark item."""
+    return lexical.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+ORACLES["op12_lexical_search"] = r"""
+WITH lowered AS (SELECT doc_id, row_number() OVER () AS d, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+size AS (SELECT count(*) FILTER (len(terms) > 0)::BIGINT AS n_docs, sum(len(terms))::BIGINT AS n_terms FROM lowered),
+item_terms AS (SELECT item_id, term, count(*) AS often FROM (
+    SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM (SELECT DISTINCT item_id, text FROM benchmark)) GROUP BY item_id, term),
+held AS (SELECT d, doc_id, len(terms) AS n, unnest(terms) AS term FROM lowered),
+counts AS (SELECT d, doc_id, n, term, count(*) AS tf FROM held WHERE term IN (SELECT term FROM item_terms) GROUP BY d, doc_id, n, term),
+weighted AS (SELECT term, floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM counts, size GROUP BY term, n_docs),
+scored AS (SELECT item_id, d, doc_id, sum(often * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_docs) // n_terms))))::BIGINT AS score
+  FROM counts JOIN item_terms USING (term) JOIN weighted USING (term), size GROUP BY item_id, d, doc_id),
+ranked AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS FIRST)::INT AS rank, doc_id, score FROM scored WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 20"""
+
+
+@_query
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base rules of every whole document, and whether it stays once the frequent lines of its source are removed."""
+    return rules.judge(read(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "removed_words", "kept")
+
+
+ORACLES["op13_quality_rules"] = r"""
+WITH docs AS (SELECT doc_id, row_number() OVER () AS d, coalesce(text, '') AS text, source,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+grams AS (SELECT d, i, list_slice(words, i, i + 4) AS g FROM (SELECT d, words, unnest(range(1, len(words) - 3)) AS i FROM docs)),
+repeated AS (SELECT d, i FROM (SELECT d, i, count(*) OVER (PARTITION BY d, g) AS n FROM grams) WHERE n > 1),
+covered AS (SELECT d, count(DISTINCT i + k) AS n_repeat_words FROM repeated, unnest(range(0, 5)) AS t(k) GROUP BY d),
+lined AS (SELECT d, source, text, no, trim(regexp_replace(regexp_replace(lower(line), '[\x20\x09\x0B-\x0D]+', ' ', 'g'), '[0-9]+', '0', 'g'), ' ') AS line
+  FROM (SELECT d, source, text, unnest(lines) AS line, generate_subscripts(lines, 1) AS no FROM docs)),
+hosts AS (SELECT source, count(DISTINCT text) AS docs FROM docs GROUP BY source),
+frequent AS (SELECT l.source, line FROM lined l JOIN hosts h ON h.source IS NOT DISTINCT FROM l.source WHERE line <> ''
+  GROUP BY l.source, line, h.docs HAVING count(DISTINCT text) > 10 AND count(DISTINCT text) > 0.001 * h.docs),
+gone AS (SELECT d, sum(len(string_split(l.line, ' ')))::BIGINT AS removed_words FROM lined l JOIN frequent f ON f.source IS NOT DISTINCT FROM l.source AND f.line = l.line GROUP BY d),
+base AS (SELECT d, doc_id, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars,
+    (length(text) - length(translate(text, '#*$%&|<>', '')))::BIGINT AS n_symbols,
+    (len(list_filter(lines, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))) - len(list_distinct(list_filter(lines, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))))::BIGINT AS n_dup_lines,
+    coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, coalesce(removed_words, 0)::BIGINT AS removed_words
+  FROM docs LEFT JOIN covered USING (d) LEFT JOIN gone USING (d))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+  n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, removed_words,
+  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND n_words - removed_words >= 10 AND n_words - removed_words >= 0.5 * n_words AS kept
+FROM base"""
