@@ -81,7 +81,7 @@ def base_rules(text: Column) -> Column:
 def normalised_lines(text: Column) -> Column:
     """The normalised lines of a text, in order; a line without a word is empty."""
     flat = F.regexp_replace(F.regexp_replace(F.lower(text), r"[\x20\x09\x0B-\x0D]+", " "), "[0-9]+", "0")
-    return F.transform(F.split(flat, "\n"), F.trim)
+    return F.transform(F.split(flat, "\n"), lambda x: F.trim(x))
 
 
 def _keyed(docs: DataFrame, host: str) -> DataFrame:
