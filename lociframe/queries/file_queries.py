@@ -24,6 +24,7 @@ from lociframe.session import checkpoint_dir, stored
 from lociframe.sources import intervals as si
 from lociframe.sources import logs as sl
 from lociframe.sources import sequences as ss
+from lociframe.sources import variants as sv
 from lociframe.sources.lines import read_compressed_lines
 
 
@@ -124,6 +125,34 @@ def _(v):
     return rows.select("chrom", "pos", "ref", F.get("alts", F.lit(0)).alias("alt"), "rsid", "clinsig", "mc", "geneinfo")
 
 
+def _variant_lines(v):
+    info = F.concat(F.lit("DB;CLNSIG="), "clinsig", F.lit(";MC="), "mc", F.lit(";GENEINFO="), "geneinfo")
+    return v.variants.select("chrom", "pos", F.concat_ws("\t", "chrom", F.col("pos").cast("string"), F.concat(F.lit("rs"), F.col("key").cast("string")), "ref", "alt", F.lit("."), F.lit("."), info).alias("value"))
+
+
+def _found(rows):
+    return rows.select("chrom", "pos", "ref", F.get("alts", F.lit(0)).alias("alt"), "rsid", "clinsig", "mc", "geneinfo")
+
+
+@query("read_variants", "S6", views="variants", sql="""
+    SELECT chrom, pos, ref, alt, 'rs' || key::VARCHAR AS rsid, clinsig, mc, geneinfo FROM variants""")
+def _(v):
+    """Block-compressed files with indexes, all of their splits."""
+    path = folder(v, "bgzf")
+    sv.write_variants(_variant_lines(v), path, 8)
+    return _found(sv.read_variants(v.spark, path, range_bytes=1 << 20))
+
+
+@query("read_variants_in_peaks", "S6", "I4", views="variants merged", sql="""
+    SELECT chrom, pos, ref, alt, 'rs' || key::VARCHAR AS rsid, clinsig, mc, geneinfo FROM variants v
+    WHERE EXISTS (SELECT 1 FROM merged m WHERE m.chrom = v.chrom AND m.num >= 2 AND m.start < v.pos - 1 + length(v.ref) AND v.pos - 1 < m."end")""")
+def _(v):
+    """The variants in merged peaks of confidence 2 or more, by the index: the blocks of the peaks alone."""
+    path = folder(v, "bgzf")
+    sv.write_variants(_variant_lines(v), path, 8)
+    return _found(sv.read_variants(v.spark, path, iv.filter_confidence(iv.merge_intervals(v.intervals), 2)))
+
+
 @query("read_fasta", "S8", "K2", views="texts", sql="SELECT 'd' || id::VARCHAR AS name, md5(seq) AS seq FROM texts")
 def _(v):
     path = folder(v, "fasta")

@@ -200,13 +200,21 @@ def read_meme(spark: SparkSession, path) -> DataFrame:
 
 
 def read_vcf(spark: SparkSession, path) -> DataFrame:
-    """chrom, pos, rsid, ref, alts (NULL for "."), info (a map), clinsig, mc, geneinfo."""
+    """chrom, pos, rsid, ref, alts (NULL for "."), info (a map), clinsig, mc, geneinfo.
+
+    Reads all of the files; sources.variants.read_variants reads the wanted blocks of block-compressed ones with an index.
+    """
+    return variant_columns(spark.read.text(path))
+
+
+def variant_columns(lines: DataFrame, *keep: str) -> DataFrame:
+    """The columns of read_vcf from the lines (value) of variant files, after the columns to keep."""
     p = F.split("value", "\t")
-    rows = spark.read.text(path).where(~F.col("value").startswith("#") & (F.trim("value") != "")).select(
-        F.get(p, F.lit(0)).alias("chrom"), F.get(p, F.lit(1)).try_cast("long").alias("pos"), F.get(p, F.lit(2)).alias("_id"),
+    rows = lines.where(~F.col("value").startswith("#") & (F.trim("value") != "")).select(
+        *keep, F.get(p, F.lit(0)).alias("chrom"), F.get(p, F.lit(1)).try_cast("long").alias("pos"), F.get(p, F.lit(2)).alias("_id"),
         F.get(p, F.lit(3)).alias("ref"), F.get(p, F.lit(4)).alias("_alt"), F.str_to_map(F.get(p, F.lit(7)), F.lit(";"), F.lit("=")).alias("info"))
     return rows.select(
-        "chrom", "pos", F.when(F.col("_id") == ".", "").otherwise(F.col("_id")).alias("rsid"), "ref",
+        *keep, "chrom", "pos", F.when(F.col("_id") == ".", "").otherwise(F.col("_id")).alias("rsid"), "ref",
         F.when(F.col("_alt") != ".", F.split("_alt", ",")).alias("alts"), "info",
         F.coalesce(F.try_element_at("info", F.lit("CLNSIG")), F.lit("")).alias("clinsig"),
         F.try_element_at("info", F.lit("MC")).alias("mc"), F.try_element_at("info", F.lit("GENEINFO")).alias("geneinfo"))
