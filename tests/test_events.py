@@ -84,3 +84,49 @@ def test_events_without_a_time_fit_anything(spark, rows):
     calls = [(7, "t", "{}", None), (8, "t", "{}", 9_000_001), (9, "t", "{}", 5_000_000), (10, "s", "{}", None)]
     got = ev.match_events(spark.createDataFrame(uses, USES), spark.createDataFrame(calls, CALLS))
     assert rows(got, "use_id", "call_id") == [(1, 7), (3, 8), (4, 10)]
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_matching_over_split_parts(spark, rows, monkeypatch, seed):
+    """Groups, depths and queues that reach over many borders of parts; every third use has no end."""
+    from lociframe.operators import running
+    monkeypatch.setattr(running, "PART_ROWS", 12)
+    rng = random.Random(100 + seed)
+    uses, calls = [], []
+    for i in range(90):
+        t = rng.randrange(300) * 100
+        uses.append((i, "a", rng.choice(["x", "q"]), t, None if i % 3 == 0 else t + rng.randrange(0, 4000)))
+    for i in range(70):
+        calls.append((i, "a", rng.choice(["x", "z"]), rng.randrange(300) * 100))
+    got = ev.match_events(spark.createDataFrame(uses, USES), spark.createDataFrame(calls, CALLS), 700)
+    assert rows(got, "use_id", "call_id", "how") == by_hand(uses, calls, 700)
+
+
+def test_pairs_that_give_up_inside_each_other(spark, rows):
+    """The inner use takes the only call in the time of the outer ones, one after the other."""
+    uses = [(k, "t", "{}", 10 * k, 10 * k + 1000 * (8 - k)) for k in range(8)]
+    calls = [(k, "t", "{}", 900 + 950 * k) for k in range(8)]
+    got = ev.match_events(spark.createDataFrame(uses, USES), spark.createDataFrame(calls, CALLS), 5)
+    assert rows(got, "use_id", "call_id", "how") == by_hand(uses, calls, 5)
+
+
+def test_a_queue_with_misses(spark, rows):
+    """More uses than calls in their time: who comes first is served, who waits too long is not."""
+    uses = [(k, "t", f"u{k}", 100 * k, 100 * k + (50 if k % 3 else 5000)) for k in range(20)]
+    calls = [(k, "t", "c", 130 * k + 20) for k in range(12)]
+    got = ev.match_events(spark.createDataFrame(uses, USES), spark.createDataFrame(calls, CALLS), 30)
+    want = by_hand(uses, calls, 30)
+    assert rows(got, "use_id", "call_id", "how") == want and 0 < len(want) < 20
+
+
+@pytest.mark.parametrize("part_rows", [7, 1000])
+def test_running_numbers(spark, part_rows):
+    from lociframe.operators.running import running
+    from pyspark.sql import functions as F
+    rng = random.Random(5)
+    data = [(rng.choice("aab"), k, rng.randrange(9)) for k in rng.sample(range(1000), 120)]
+    df = spark.createDataFrame(data, "g string, k long, x long")
+    got = running(df, ["g"], ["k"], {"s": ("sum", F.col("x")), "m": ("max", F.col("x")), "n": ("min", F.col("x"))}, part_rows)
+    for g, k, _, s, m, n in got.collect():
+        own = [r[2] for r in data if r[0] == g and r[1] <= k]
+        assert (s, m, n) == (sum(own), max(own), min(own))
