@@ -12,8 +12,11 @@ is the result of the merges on the whole text.
 
 As the public library does it, a space is put in front, spaces become `\\u2581`, and a character that is in no piece is
 written as its UTF-8 bytes, where the vocabulary has byte pieces. A `\\u2581` of the text itself is written as bytes too,
-so decoding gives every text back exactly. Where no piece runs on past a word, texts are cut before spaces and the
-ids of a word are remembered, up to a bounded number of words.
+so decoding gives every text back exactly.
+
+Where no piece of the vocabulary reaches past the end of a word, every path passes there: the paths meet, and the ids so far are
+final. The search is therefore begun anew there, and what it gave for a run between two such places is remembered, up to a bounded
+number of short runs; every other run, however long, goes through the window.
 
 Null texts are empty and have no ids. Very long texts and words need no more memory than short ones, besides their
 ids. Repeated rows are encoded each. Other columns are left out.
@@ -34,7 +37,9 @@ from lociframe.llm.words import released
 
 SPACE = "▁"
 HEAD = 6
-WORDS, PAIRS = 300_000, 600_000      # remembered words (as many again of the generation before) and pairs of pieces per worker
+WORDS, PAIRS = 300_000, 600_000      # remembered runs (as many again of the generation before) and pairs of pieces per worker
+REMEMBERED = 64                      # characters of the longest run whose ids are remembered
+STRETCH = 1 << 16                    # characters of a text that are cut into runs at once
 
 
 def load(path: str, kind: str = "bpe") -> Vocabulary:
@@ -108,34 +113,24 @@ class Vocabulary:
         raw = [self.byte_ids[b] for b in piece.encode()]
         return raw if min(raw) >= 0 else [self.unknown]
 
-    def search(self, chars: Iterator[str]) -> Iterator[int]:
-        """Ids of a stream of characters, each given out as soon as it is final."""
+    def search(self, parts: Iterator[str]) -> Iterator[int]:
+        """Ids of a stream of text, given in parts of any size, each id as soon as it is final."""
         held, before = "", ""                       # characters that are not final, and the last final piece
         last, back, score = [""], [0], [0.0]        # of each place in held: best last piece, its begin, its score
-        for c in chars:
-            held += c
-            end = len(held)
-            choice = None
-            for a in range(end - 1, max(-1, end - 1 - self.longest), -1):
-                piece = held[a:end]
-                known = self.pieces.get(piece)
-                if known is None and a < end - 1:
-                    continue
-                if self.kind == "bpe":
-                    if last[a] is not None and self.follows(last[a] if a else before, piece):
-                        choice = (0.0, a, piece)
-                        break
-                else:
-                    total = score[a] + (known[1] if known else self.least)
-                    if choice is None or total > choice[0]:
-                        choice = (total, a, piece)
-            if choice is None:      # no merge ends here: only possible for vocabularies that are not built by merges
-                choice = (0.0, end - 1, c)
-            score.append(choice[0])
-            back.append(choice[1])
-            last.append(choice[2])
-            if end >= 4 * self.longest and end % self.longest == 0:
-                live = set(range(end - self.longest + 1, end + 1))
+        window = self.longest
+        for part in parts:
+            fresh = not held and not before
+            if fresh and part[:HEAD] in self.heads:     # beginnings alike share their first places
+                last, back, score = map(list, self.heads[part[:HEAD]])
+            held += part
+            self._advance(held, before, last, back, score)
+            if fresh and len(part) >= HEAD and part[:HEAD] not in self.heads:
+                if len(self.heads) >= WORDS:
+                    self.heads.clear()
+                self.heads[part[:HEAD]] = tuple(last[:HEAD + 1]), tuple(back[:HEAD + 1]), tuple(score[:HEAD + 1])
+            if len(held) >= 4 * window:
+                # A later piece begins at one of the last places; where the paths from all of them meet, what lies before is final.
+                live = set(range(len(held) - window + 1, len(held) + 1))
                 while len(live) > 1:
                     place = max(live)
                     live.discard(place)
@@ -148,45 +143,54 @@ class Vocabulary:
                     before, held = pieces[-1], held[meet:]
                     last, back, score = last[meet:], [max(0, b - meet) for b in back[meet:]], [s - score[meet] for s in score[meet:]]
         for p in self._path(last, back, len(held)):
-            yield from self.ids(p)
-
-    def _merged_word(self, word: str) -> list[int]:
-        """search for a short text and a merge vocabulary: all its places are kept, and ends of no piece are passed over."""
-        pieces, suffixes, stable, longest = self.pieces, self.suffixes, self.stable, self.longest
-        last, back = self.heads.get(word[:HEAD], (("",), (0,)))     # words that begin alike share their first places
-        last, back = list(last), list(back)
-        for end in range(len(last), len(word) + 1):
-            at = back[-1]                                           # most often the last piece grows by a character
-            piece = word[at:end]
-            if end > 1 and piece in pieces and (stable.get((last[at], piece)) or self.follows(last[at], piece)):
-                last.append(piece)
+            known = self.pieces.get(p)
+            if known is None:
+                yield from self.ids(p)
+            else:
+                yield known[0]
+
+    def _advance(self, held: str, before: str, last: list[str], back: list[int], score: list[float]) -> None:
+        """The best last piece of every place of held that has none yet; pieces are sought in a window of the longest one."""
+        pieces, suffixes, stable, longest, follows = self.pieces, self.suffixes, self.stable, self.longest, self.follows
+        for end in range(len(last), len(held) + 1):
+            floor = max(-1, end - 1 - longest)
+            if self.kind == "bpe":
+                at = back[-1]                                           # most often the last piece grows by a character
+                piece = held[at:end]
+                if end > 1 and at > floor and piece in pieces and (stable.get((last[at] if at else before, piece)) or follows(last[at] if at else before, piece)):
+                    last.append(piece)
+                    back.append(at)
+                    score.append(0.0)
+                    continue
+                choice, at = held[end - 1], end - 1     # where no merge ends: only for vocabularies that are not built by merges
+                for a in range(end - 1, floor, -1):
+                    piece = held[a:end]
+                    if piece in pieces or a == end - 1:
+                        left = last[a] if a else before
+                        fits = stable.get((left, piece))
+                        if fits or fits is None and follows(left, piece):
+                            choice, at = piece, a
+                            break
+                    elif piece not in suffixes:
+                        break
+                last.append(choice)
                 back.append(at)
+                score.append(0.0)
                 continue
-            choice, at = word[end - 1], end - 1
-            for a in range(end - 1, max(-1, end - 1 - longest), -1):
-                piece = word[a:end]
-                if piece in pieces or a == end - 1:
-                    fits = stable.get((last[a], piece))
-                    if fits or fits is None and self.follows(last[a], piece):
-                        choice, at = piece, a
+            best = None
+            for a in range(end - 1, floor, -1):
+                piece = held[a:end]
+                known = pieces.get(piece)
+                if known is None and a < end - 1:
+                    if piece not in suffixes:
                         break
-                elif piece not in suffixes:
-                    break
-            last.append(choice)
-            back.append(at)
-        if len(word) >= HEAD and word[:HEAD] not in self.heads:
-            if len(self.heads) >= WORDS:
-                self.heads.clear()
-            self.heads[word[:HEAD]] = tuple(last[:HEAD + 1]), tuple(back[:HEAD + 1])
-        ids, place = [], len(word)
-        while place:
-            known = pieces.get(last[place])
-            if known is None:
-                ids.extend(reversed(self.ids(last[place])))
-            else:
-                ids.append(known[0])
-            place = back[place]
-        return ids[::-1]
+                    continue
+                total = score[a] + (known[1] if known else self.least)
+                if best is None or total > best[0]:
+                    best = total, a, piece
+            score.append(best[0])
+            back.append(best[1])
+            last.append(best[2])
 
     @staticmethod
     def _path(last: list[str], back: list[int], place: int) -> list[str]:
@@ -196,25 +200,39 @@ class Vocabulary:
             place = back[place]
         return out[::-1]
 
-    def _new_word(self, word: str) -> tuple[int, ...]:
-        known = self.older.get(word)
+    def _searched(self, run: str) -> tuple[int, ...]:
+        """Ids of a run that no piece reaches over: at its end all paths meet, so they are final and may be remembered."""
+        known = self.older.get(run)
         if known is None:
-            if word == SPACE:
+            if run == SPACE:
                 return tuple(i if i >= 0 else self.unknown for i in (self.byte_ids[b] for b in SPACE.encode()))
-            marked = word.replace(" ", SPACE)
-            if len(word) > 64:
-                return tuple(self.search(iter(marked)))
-            known = tuple(self._merged_word(marked) if self.kind == "bpe" else self.search(iter(marked)))
+            size = 4 * self.longest
+            known = tuple(self.search(run[k:k + size].replace(" ", SPACE) for k in range(0, len(run), size)))
+            if len(run) > REMEMBERED:
+                return known
         if len(self.words) >= WORDS:
             self.older, self.words = self.words, {}
-        self.words[word] = known
+        self.words[run] = known
         return known
 
+    def runs(self, text: str) -> Iterator[list[str]]:
+        """text, in lists of runs that no piece reaches over; a list has about STRETCH characters, or one longer run."""
+        at = 0
+        while at < len(text):
+            found = self.cut.findall(text, at, at + STRETCH)
+            if at + STRETCH < len(text):
+                found.pop()                       # it may go on
+            if not found:
+                found = [self.cut.match(text, at)[0]]
+            yield found
+            at += sum(map(len, found))
+
     def encode(self, text: str) -> list[int]:
         out: list[int] = []
         if text:
-            for word in self.cut.findall(" " + text):
-                out.extend(self.words.get(word) or self._new_word(word))
+            for found in self.runs(" " + text):
+                for run in found:
+                    out.extend(self.words.get(run) or self._searched(run))
         return out
 
     def decode(self, ids) -> str:

@@ -66,8 +66,45 @@ def test_awkward_rows(spark, docs, awkward, vocabulary):
     assert pieces.encode(docs([]), vocabulary).count() == 0
 
 
-def test_short_words_take_the_path_of_the_search(vocabulary, prose):
+def test_every_character_passes_the_search(vocabulary, prose, monkeypatch):
+    """Once for each run that is not remembered; the remembered ids are those that the search gave."""
+    vocabulary.forget()
+    passed = []
+    own = pieces.Vocabulary.search
+
+    def counted(self, parts):
+        def told():
+            for p in parts:
+                passed.append(p)
+                yield p
+        return own(self, told())
+    monkeypatch.setattr(pieces.Vocabulary, "search", counted)
+    text = prose(3, 3000) + " " + "x" * 500 + " " + "etaoin" * 40 + "\n\n日本 the"
+    ids = vocabulary.encode(text)
+    marked = " " + text
+    assert "".join(passed).replace(pieces.SPACE, " ") == "".join(dict.fromkeys(r for found in vocabulary.runs(marked) for r in found))
+    monkeypatch.undo()
+    assert ids == vocabulary.encode(text) == list(vocabulary.search(iter(marked.replace(" ", pieces.SPACE))))
+
+
+def test_the_search_does_not_depend_on_its_parts(vocabulary, prose):
     r = random.Random(4)
-    words = set(prose(1, 2000).split()) | {"".join(r.choice("▁aeiouthn日#") for _ in range(r.randint(1, 40))) for _ in range(500)}
-    for w in words:
-        assert vocabulary._merged_word("▁" + w) == list(vocabulary.search(iter("▁" + w)))
+    for seed in range(30):
+        text = pieces.SPACE + "".join(r.choice("▁aeiouthn日# ") if seed % 2 else c for c in prose(seed, 60)).replace(" ", pieces.SPACE)
+        cuts = sorted(r.sample(range(1, len(text)), 12))
+        parts = [text[a:b] for a, b in zip([0, *cuts], [*cuts, len(text)])]
+        vocabulary.forget()
+        assert list(vocabulary.search(iter(parts))) == list(vocabulary.search(iter(text)))
+
+
+def test_runs_make_up_the_text(vocabulary, prose, monkeypatch):
+    monkeypatch.setattr(pieces, "STRETCH", 40)
+    for t in [*ODD, prose(1, 500), "a" * 39 + "  " + "b" * 200 + " c"]:
+        found = [x for runs in vocabulary.runs(" " + t) for x in runs]
+        assert "".join(found) == " " + t and found == vocabulary.cut.findall(" " + t)
+
+
+def test_a_text_of_20_mb(spark, docs, prose, vocabulary):
+    text = "\n".join(prose(k % 300, 1500) for k in range(2200)) + "z" * 300_000
+    r = pieces.encode(docs([(1, text)]), vocabulary).select("n_ids", "exact", "decoded_sha256").first()
+    assert len(text) > 15_000_000 and r["exact"] and r["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
