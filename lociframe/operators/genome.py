@@ -1,4 +1,4 @@
-"""Sequences out of a genome table (chrom, bin, seq) of fixed-width bins."""
+"""Sequences out of a genome table (chrom, bin, seq) of fixed-width bins, or out of a PackedGenome, whose bases no join moves."""
 
 from __future__ import annotations
 
@@ -9,17 +9,22 @@ from lociframe.functions import dna
 from lociframe.functions.contigs import resolve_contig
 from lociframe.operators.joins import HOT_ROWS, join_few, spread_join
 from lociframe.session import stored
+from lociframe.sources.packed import PackedGenome
 
 
-def contig_lengths(genome: DataFrame, bin_width: int) -> DataFrame:
-    """(chrom, length) of a genome table: the end of the last bin."""
+def contig_lengths(genome: DataFrame | PackedGenome, bin_width: int) -> DataFrame:
+    """(chrom, length) of a genome: the end of the last bin."""
+    if isinstance(genome, PackedGenome):
+        return genome.runs.groupBy("chrom").agg(F.max(F.col("first") + F.col("own")).alias("length"))
     return genome.groupBy("chrom").agg(
         F.max(F.col("bin") * bin_width + F.length("seq")).alias("length"))
 
 
-def with_halo(genome: DataFrame, halo: int, bin_width: int) -> DataFrame:
+def with_halo(genome: DataFrame | PackedGenome, halo: int, bin_width: int) -> DataFrame:
     """Each bin, as binary, followed by the first halo bases of the next one, so that a window of up
     to halo + 1 bases can be cut from the bin it starts in."""
+    if isinstance(genome, PackedGenome):
+        return genome.bins(max(0, halo))
     if halo > bin_width:
         raise ValueError(f"a halo of {halo} does not fit bins of {bin_width}")
     upper = genome.select("chrom", "bin", dna.as_bytes(F.upper("seq")).alias("bases"))
@@ -31,14 +36,19 @@ def with_halo(genome: DataFrame, halo: int, bin_width: int) -> DataFrame:
             .select("chrom", "bin", F.concat("bases", F.coalesce("_head", F.lit(b""))).alias("bases")))
 
 
-def extract_windows(df: DataFrame, genome: DataFrame, width: int, bin_width: int,
+def extract_windows(df: DataFrame, genome: DataFrame | PackedGenome, width: int, bin_width: int,
                     start: str = "ws", out: str = "seq", row_key: Column | None = None,
                     hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """Adds the width bases from start; NULL for an unknown contig or a window that leaves it.
 
     One join on (chrom, bin): each window is cut from the bin it starts in, extended by width - 1
-    bases. Bins with many windows are salted. A window wider than a bin is put together like a region.
+    bases. Bins with many windows are salted. A window wider than a bin is put together like a region. From a packed
+    genome, each task reads the ranges of its windows.
     """
+    if isinstance(genome, PackedGenome) and width <= genome.halo + 1:
+        return genome.cut(df, start, F.col(start) + width, out)
+    if isinstance(genome, PackedGenome):
+        genome = genome.table
     if width > bin_width + 1:
         keyed = stored(df.withColumn("_window", F.monotonically_increasing_id()))
         places = keyed.select("_window", "chrom", F.col(start).alias("_from"), (F.col(start) + width).alias("_to"))
@@ -53,15 +63,19 @@ def extract_windows(df: DataFrame, genome: DataFrame, width: int, bin_width: int
             .withColumn(out, F.when(whole, dna.cut("_bases", off, width))).drop("bin", "_bases"))
 
 
-def extract_regions(df: DataFrame, genome: DataFrame, bin_width: int, key: str,
+def extract_regions(df: DataFrame, genome: DataFrame | PackedGenome, bin_width: int, key: str,
                     start: str = "start", end: str = "end", out: str = "seq",
                     hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """Adds the bases of [start, end) of any length; NULL when some are missing.
 
     Regions are repeated for the bins they touch, each piece is cut where its bin is, and the
     pieces are joined per row; rows that are equal in all columns come back as many times. The key spreads hot
-    bins. cap_region bounds a region's length.
+    bins. cap_region bounds a region's length. A packed genome puts together only what is longer than its halo.
     """
+    if isinstance(genome, PackedGenome):
+        short = F.coalesce((F.col(end) - F.col(start)).between(1, genome.halo + 1), F.lit(False))
+        direct = genome.cut(df.where(short), start, F.col(end), out)
+        return direct.unionByName(extract_regions(df.where(~short), genome.table, bin_width, key, start, end, out, hot_rows))
     s, e = F.col(start), F.col(end)
     rest = [c for c in df.columns if c != key]
     pieces = (df.withColumn("bin", F.explode(F.when(
@@ -112,7 +126,7 @@ def parse_variants(df: DataFrame, col: str = "variant") -> DataFrame:
                            "ref": F.upper(part(3)), "alt": F.upper(part(4))})
 
 
-def variant_windows(variants: DataFrame, genome: DataFrame, lengths: DataFrame, width: int,
+def variant_windows(variants: DataFrame, genome: DataFrame | PackedGenome, lengths: DataFrame, width: int,
                     bin_width: int, row_key: Column | None = None) -> DataFrame:
     """Windows with the variant at index width//2, as ref_window and alt_window, and a status.
 

@@ -13,6 +13,7 @@ from lociframe.operators.intervals import exclude_overlaps, exclusion_set
 from lociframe.operators.joins import join_few
 from lociframe.operators.sampling import take_by_hash
 from lociframe.session import stored
+from lociframe.sources.packed import PackedGenome
 
 GC_BIN = 0.05
 
@@ -22,7 +23,7 @@ def gc_bin(gc) -> Column:
     return F.least(F.floor(gc / GC_BIN + 1e-9), F.lit(round(1 / GC_BIN) - 1)).cast("long")
 
 
-def gc_matched_negatives(genome: DataFrame, positives: DataFrame, intervals: DataFrame, width: int,
+def gc_matched_negatives(genome: DataFrame | PackedGenome, positives: DataFrame, intervals: DataFrame, width: int,
                          bin_width: int, seed=42, phases: int = 4) -> tuple[DataFrame, DataFrame]:
     """Genomic windows with as many in each 0.05 GC bin as the positives, and the bin report.
 
@@ -41,8 +42,11 @@ def gc_matched_negatives(genome: DataFrame, positives: DataFrame, intervals: Dat
         width, clip=False)
     if phases > 1:
         blocked = stored(blocked)
-    on = join_few(genome, positives.select("chrom").distinct(), "chrom", "left_semi")
-    bins = with_halo(on, width - 1, bin_width)
+    contigs = positives.select("chrom").distinct()
+    if isinstance(genome, PackedGenome):
+        bins = join_few(with_halo(genome, width - 1, bin_width), contigs, "chrom", "left_semi")
+    else:
+        bins = with_halo(join_few(genome, contigs, "chrom", "left_semi"), width - 1, bin_width)
     if phases > 1:
         bins = stored(bins)
     key = F.concat(F.col("chrom"), F.lit(":"), F.col("start").cast("string"))
@@ -80,7 +84,7 @@ def gc_report(positives: DataFrame, negatives: DataFrame) -> DataFrame:
         "positive_gc", "negative_gc")
 
 
-def matched_region_negatives(positives: DataFrame, genome: DataFrame, lengths: DataFrame,
+def matched_region_negatives(positives: DataFrame, genome: DataFrame | PackedGenome, lengths: DataFrame,
                              excluded: DataFrame, bin_width: int, key: str = "id", seed=43,
                              tolerance: float = GC_BIN, tries: int = 200, first_tries: int = 8,
                              longest: int | None = None) -> DataFrame:

@@ -284,7 +284,7 @@ def _(v):
     WITH {gc_negatives_sql(100)} SELECT chrom, start, "end", 'neg_' || row_number() OVER (ORDER BY chrom, start)::VARCHAR AS name, round(gc, 2) AS gc FROM picked""")
 def _(v):
     positives = stored(positive_windows(v, 100).select("chrom", "ws", "we", "seq"))
-    picked, _ = ng.gc_matched_negatives(v.genome, positives, v.intervals, 100, BIN)
+    picked, _ = ng.gc_matched_negatives(v.packed, positives, v.intervals, 100, BIN)
     path = folder(v, "negatives")
     sinks.write_negatives(picked, path)
     return si.read_bed(v.spark, path, ["name", "gc"]).select("chrom", "start", "end", "name", F.col("gc").cast("double").alias("gc"))
@@ -296,7 +296,7 @@ def _(v):
 def _(v):
     windows = v.intervals.groupBy("chrom", F.col("start").alias("window_start")).agg(F.min("score").alias("window_min"))
     path = folder(v, "track")
-    sinks.write_track(windows, contig_lengths(v.genome, BIN), 11, 5, path)
+    sinks.write_track(windows, contig_lengths(v.packed, BIN), 11, 5, path)
     rows = si.read_bed(v.spark, path, ["value"])
     return rows.select("chrom", "start", "end", F.round(F.col("value").cast("double"), 6).alias("value"))
 
@@ -326,7 +326,7 @@ def _(v):
 @query("write_manifest", "K8", "M9", views="variants", sql="SELECT count(*) AS n FROM variants")
 def _(v):
     path = folder(v, "manifest")
-    out = variant_windows(v.variants, v.genome, v.contigs, 24, BIN, row_key=F.col("key"))
+    out = variant_windows(v.variants, v.packed, v.contigs, 24, BIN, row_key=F.col("key"))
     sinks.write_manifest(out.select("key", "chrom", "pos", "ref", "alt", "status", "ref_window", "alt_window"), path)
     return v.spark.read.json(path).agg(F.count("status").alias("n"))
 

@@ -177,7 +177,7 @@ def _(v):
         round({weight_sum_sql('s', 32)} - {weight_sum_sql('a', 32)}, 6) AS model_dd,
         round({weight_sum_sql('a', 32)} - {weight_sum_sql('s', 32)}, 6) AS energy_dd FROM ok""")
 def _(v):
-    windows = variant_windows(v.variants, v.genome, v.contigs, 32, BIN, row_key=F.col("key")).where("status = 'ok'")
+    windows = variant_windows(v.variants, v.packed, v.contigs, 32, BIN, row_key=F.col("key")).where("status = 'ok'")
     model = weight_scorer(32)
     out = ef.variant_effect(windows, {"model": model, "energy": model}, kind={"energy": "energy"})
     return out.select("key", *[F.round(c, 6).alias(c) for c in ("model_ref", "model_alt", "model_dd", "energy_dd")])
@@ -460,7 +460,7 @@ def _(v):
     SELECT id, chrom, start, "end", sequence, round({weight_sum_sql('sequence', 50)}, 6) AS prediction FROM w
     WHERE {has_only_acgt_sql('sequence')}""")
 def _(v):
-    regions = extract_regions(v.intervals.select("id", "chrom", "start", "end"), v.genome, BIN, "id").where(F.col("seq").isNotNull())
+    regions = extract_regions(v.intervals.select("id", "chrom", "start", "end"), v.packed, BIN, "id").where(F.col("seq").isNotNull())
     out = at.scan_region(regions, weight_scorer(50))
     # Without references the attributions of an additive scorer add up to its score.
     total = F.aggregate("attribution", F.lit(0.0), lambda a, x: a + x)
@@ -469,7 +469,7 @@ def _(v):
 
 def genome_hits(v, name):
     """Best strand of every window of the genome: chrom, pos (0-based), score."""
-    bins = with_halo(v.genome, WIDTH - 1, BIN).withColumn("bases", F.col("bases").cast("string"))
+    bins = with_halo(v.packed, WIDTH - 1, BIN).withColumn("bases", F.col("bases").cast("string"))
     hits = mo.scan_motifs(bins, {name: matrices(v)[name]}, ["chrom", "bin"], "bases", best_strand_only=True, matched=False)
     return hits.where(F.col("start") <= BIN).select(
         "chrom", (F.col("bin") * BIN + F.col("start") - 1).alias("pos"), "score", "strand")
@@ -497,7 +497,7 @@ def spaced_sql(n, distance):
 @query("top_n_spaced", "I17", views="halo contigs", sql=f"""
     WITH RECURSIVE {genome_hits_sql('alpha')}, {spaced_sql(4, 200)} SELECT chrom, pos, round(score, 6) AS score, strand FROM chosen""")
 def _(v):
-    lengths = contig_lengths(v.genome, BIN)
+    lengths = contig_lengths(v.packed, BIN)
     hits = genome_hits(v, "alpha").withColumn("score", F.round("score", 9))
     return iv.top_n_spaced(hits, 4, 200, margin=101, lengths=lengths, width=WIDTH).withColumn("score", F.round("score", 6))
 
@@ -511,7 +511,7 @@ def _(v):
     SELECT chrom, pos AS window_start, window_min FROM m WHERE pos % 20 = 0 AND pos + 24 <= region_end""")
 def _(v):
     from lociframe.functions import dna
-    placed = dna.tile(with_halo(v.genome, 10, BIN).withColumn("bases", F.col("bases").cast("string")), "bases", 11, skip_n=False)
+    placed = dna.tile(with_halo(v.packed, 10, BIN).withColumn("bases", F.col("bases").cast("string")), "bases", 11, skip_n=False)
     placements = placed.select("chrom", (F.col("bin") * BIN + F.col("win_start")).alias("pos"),
                                F.round(weight_scorer(11)(F.col("win")), 6).alias("energy"))
     return iv.window_min(placements, 24, 11, 20).select("chrom", "window_start", "window_min")

@@ -29,7 +29,7 @@ def _score_sql(col, width):
     SELECT id, ws, ws + 200 AS we, md5(s) AS seq FROM cut WHERE s IS NOT NULL AND num <> 7 AND {has_only_acgt_sql('s')}""")
 def _(v):
     peaks = v.intervals.withColumn("score", F.when(F.col("num") != 7, F.col("score")))
-    out = loci.extract_loci(peaks, v.genome, v.contigs, BIN, 200)
+    out = loci.extract_loci(peaks, v.packed, v.contigs, BIN, 200)
     return out["windows"].select("id", "ws", "we", F.md5("seq").alias("seq"))
 
 
@@ -39,7 +39,7 @@ def _(v):
     f AS (SELECT gc_bin, count(*) AS found, round(avg(gc), 9) AS negative_gc FROM picked GROUP BY 1)
     SELECT gc_bin, wanted, coalesce(found, 0) AS found, greatest(wanted - coalesce(found, 0), 0) AS missing, positive_gc, negative_gc FROM w LEFT JOIN f USING (gc_bin)""")
 def _(v):
-    report = loci.extract_loci(v.intervals, v.genome, v.contigs, BIN, 200, negatives="gc")["gc_report"]
+    report = loci.extract_loci(v.intervals, v.packed, v.contigs, BIN, 200, negatives="gc")["gc_report"]
     return report.withColumns({c: F.round(c, 9) for c in ("positive_gc", "negative_gc")})
 
 
@@ -53,7 +53,7 @@ def _(v):
 def _(v):
     peaks = v.intervals.withColumn("score", F.col("num").cast("double"))
     out = validation.peak_set_validation(
-        peaks, v.genome, v.contigs, BIN, {"weights": _rounded(24)}, {"alpha": matrices(v)["alpha"]}, hit_threshold=5.0)
+        peaks, v.packed, v.contigs, BIN, {"weights": _rounded(24)}, {"alpha": matrices(v)["alpha"]}, hit_threshold=5.0)
     scores = out["scores"].where("score is not null")
     negatives = scores.where("label = 0").groupBy("method").agg(F.count(F.lit(1)).cast("double").alias("score"))
     return (scores.where("label = 1").select("rid", "method", F.round("score", 6).alias("score"))
@@ -71,7 +71,7 @@ def _(v):
     aucs AS ({auc_sql('k', 'method', extra=', count(*) FILTER (label = 1) AS n_pos, count(*) FILTER (label = 0) AS n_neg')}) SELECT method, roc_auc AS auc, n_pos, n_neg FROM aucs""")
 def _(v):
     peaks = v.intervals.withColumn("score", F.col("num").cast("double"))
-    out = validation.peak_set_validation(peaks, v.genome, v.contigs, BIN, {"weights": _rounded(24)}, {}, mode="genomic", margin=0)
+    out = validation.peak_set_validation(peaks, v.packed, v.contigs, BIN, {"weights": _rounded(24)}, {}, mode="genomic", margin=0)
     return out["summary"].withColumn("auc", F.round("auc", 6))
 
 
@@ -96,7 +96,7 @@ def _merged_tf(op):
     aucs AS ({auc_sql('b', 'neg_set', extra=', count(*) FILTER (label = 1) AS n_pos')})
     SELECT 'weights' AS method, neg_set, roc_auc AS auc, n_pos FROM aucs""")
 def _(v):
-    out = validation.method_comparison(v.intervals, v.genome, v.contigs, BIN, {"weights": _rounded(24)}, "R", ["A", "N"])
+    out = validation.method_comparison(v.intervals, v.packed, v.contigs, BIN, {"weights": _rounded(24)}, "R", ["A", "N"])
     return out["summary"].select("method", "neg_set", F.round("auc", 6).alias("auc"), "n_pos")
 
 
@@ -106,7 +106,7 @@ def _(v):
     k AS (SELECT * FROM (SELECT *, min(label) OVER (PARTITION BY cutoff) <> max(label) OVER (PARTITION BY cutoff) AS ok FROM c) WHERE ok),
     aucs AS ({auc_sql('k', 'cutoff', extra=', count(*) FILTER (label = 1) AS n_pos')}) SELECT 'weights' AS method, * FROM aucs""")
 def _(v):
-    out = validation.count_benchmark(v.intervals, v.genome, v.contigs, BIN, {"weights": _rounded(24)}, "R", ["A", "N"])
+    out = validation.count_benchmark(v.intervals, v.packed, v.contigs, BIN, {"weights": _rounded(24)}, "R", ["A", "N"])
     return out["cutoffs"].select("method", "cutoff", F.round("roc_auc", 6).alias("roc_auc"), "n_pos")
 
 
@@ -116,7 +116,7 @@ def _(v):
         rank() OVER (ORDER BY num) + (count(*) OVER (PARTITION BY num) - 1) / 2.0::DOUBLE AS ry FROM s)
     SELECT 'weights' AS method, round(corr(score, num), 6) AS pearson_r, round(corr(rx, ry), 6) AS spearman_rho, count(*) AS n FROM r""")
 def _(v):
-    out = validation.count_benchmark(v.intervals, v.genome, v.contigs, BIN, {"weights": _rounded(24)}, "R", ["A", "N"])
+    out = validation.count_benchmark(v.intervals, v.packed, v.contigs, BIN, {"weights": _rounded(24)}, "R", ["A", "N"])
     return out["regression"].select("method", F.round("pearson_r", 6).alias("pearson_r"), F.round("spearman_rho", 6).alias("spearman_rho"), "n")
 
 
@@ -153,7 +153,7 @@ _SUMMARY = f"""a AS (SELECT *, abs(d) AS score FROM e),
 
 def _validated(v, motifs=None):
     """The summary of effects to nine digits."""
-    out = validation.variant_validation(v.intervals, records(v), v.genome, v.contigs, BIN, {"weights": _rounded(24)}, motifs, min_confidence=3, digits=9)
+    out = validation.variant_validation(v.intervals, records(v), v.packed, v.contigs, BIN, {"weights": _rounded(24)}, motifs, min_confidence=3, digits=9)
     return out["summary"].select("method", *[F.round(c, 6).alias(c) for c in (
         "auc_abs", "auc_raw", "median_abs_path", "median_abs_benign")], "n_path", "n_benign")
 
@@ -181,7 +181,7 @@ def _(v):
     FROM h LEFT JOIN w USING (key) LEFT JOIN m USING (key)""")
 def _(v):
     """The variants with the effects of every method, NULL where no window could be cut."""
-    out = validation.variant_validation(v.intervals, records(v), v.genome, v.contigs, BIN, {"weights": _rounded(24)}, {"alpha": matrices(v)["alpha"]}, min_confidence=3)
+    out = validation.variant_validation(v.intervals, records(v), v.packed, v.contigs, BIN, {"weights": _rounded(24)}, {"alpha": matrices(v)["alpha"]}, min_confidence=3)
     names = [f"{m}_{e}" for m in ("weights", "alpha") for e in ("ref", "alt", "dd")]
     return out["variants"].select("rsid", "chrom", "pos", "label", *[(F.round(n, 6) + 0.0).alias(n) for n in names])
 
@@ -196,7 +196,7 @@ def _(v):
     SELECT id, chrom || ':' || ((start + "end") // 2 - 40 + i)::VARCHAR || '-' || ((start + "end") // 2 - 16 + i)::VARCHAR AS best_peak,
         sequence, max_score, mean_score FROM b""")
 def _(v):
-    out = loci.best_windows(v.intervals.select("id", "chrom", "start", "end"), v.genome, v.contigs, BIN, _rounded(24), 80, 24)
+    out = loci.best_windows(v.intervals.select("id", "chrom", "start", "end"), v.packed, v.contigs, BIN, _rounded(24), 80, 24)
     return out["windows"].where("sequence is not null").select(
         "id", "best_peak", "sequence", F.round("max_score", 6).alias("max_score"), F.round("mean_score", 6).alias("mean_score"))
 
@@ -211,7 +211,7 @@ def _(v):
     SELECT pos, base, round(prob, 6) AS prob, round(sum(prob * (log2(prob) + 2)) OVER (PARTITION BY pos), 6) AS bits,
         round(prob * sum(prob * (log2(prob) + 2)) OVER (PARTITION BY pos), 6) AS height FROM q""")
 def _(v):
-    out = loci.best_windows(v.intervals.select("id", "chrom", "start", "end"), v.genome, v.contigs, BIN, _rounded(24), 80, 24)
+    out = loci.best_windows(v.intervals.select("id", "chrom", "start", "end"), v.packed, v.contigs, BIN, _rounded(24), 80, 24)
     return out["logo"].select("pos", "base", *[F.round(c, 6).alias(c) for c in ("prob", "bits", "height")])
 
 
@@ -223,7 +223,7 @@ def _(v):
         max(pos) OVER (PARTITION BY chrom) + 11 AS n FROM e)
     SELECT chrom, pos + 10 AS start, pos + 40 AS "end", round(value, 6) AS value FROM m WHERE pos % 30 = 0 AND pos + 50 <= n AND value IS NOT NULL""")
 def _(v):
-    track = loci.binding_track(v.genome, v.contigs, BIN, _rounded(11), 11, 50, 30)
+    track = loci.binding_track(v.packed, v.contigs, BIN, _rounded(11), 11, 50, 30)
     return track.withColumn("value", F.round("value", 6))
 
 
@@ -231,7 +231,7 @@ def _(v):
     WITH RECURSIVE {genome_hits_sql('beta')}, {spaced_sql(4, 200)}
     SELECT chrom, pos + 3 - 100 AS start, pos + 3 + 100 AS "end", 'beta_hit_' || pos::VARCHAR AS name, round(score, 2) AS score, strand FROM chosen""")
 def _(v):
-    return loci.motif_peaks(v.genome, v.contigs, BIN, matrices(v), "beta")
+    return loci.motif_peaks(v.packed, v.contigs, BIN, matrices(v), "beta")
 
 
 @query("null_distribution", "M4", views="texts", sql=f"""

@@ -129,14 +129,14 @@ def _(v):
         SELECT *, start + ("end" - start) // 2 - 100 AS ws FROM intervals) JOIN chroms USING (chrom)""")
 def _(v):
     windows = iv.center_windows(v.intervals, 200, v.contigs, keep_all=True)
-    cut = gn.extract_windows(windows, v.genome, 200, BIN, row_key=F.col("id"))
+    cut = gn.extract_windows(windows, v.packed, 200, BIN, row_key=F.col("id"))
     return cut.select("id", "ws", "seq")
 
 
 @query("extract_regions", "I11", views="intervals chroms", sql="""
     SELECT id, start, substr(bases, start + 1, "end" - start) AS seq FROM intervals JOIN chroms USING (chrom)""")
 def _(v):
-    return gn.extract_regions(v.intervals.select("id", "chrom", "start", "end"), v.genome, BIN, "id").select(
+    return gn.extract_regions(v.intervals.select("id", "chrom", "start", "end"), v.packed, BIN, "id").select(
         "id", "start", "seq")
 
 
@@ -149,7 +149,7 @@ def _(v):
 def _(v):
     peaks = v.intervals.withColumn("score", F.when(F.col("num") != 7, F.col("score")))
     windows = iv.center_windows(peaks, 200, v.contigs, keep_all=True)
-    return iv.filter_report(gn.extract_windows(windows, v.genome, 200, BIN, row_key=F.col("id")))
+    return iv.filter_report(gn.extract_windows(windows, v.packed, 200, BIN, row_key=F.col("id")))
 
 
 @query("parse_variants", "S7", views="variants", sql="""
@@ -174,7 +174,7 @@ def _(v):
         "key", F.when(F.col("key") % 17 == 0, "chrUn").when(F.col("key") % 2 == 0, F.expr("substring(chrom, 4)"))
         .otherwise(F.col("chrom")).alias("chrom"), "pos", "ref",
         F.when(F.col("key") % 13 == 0, F.concat("alt", F.lit("A"))).otherwise(F.col("alt")).alias("alt"))
-    out = gn.variant_windows(rows, v.genome, v.contigs, 24, BIN, row_key=F.col("key"))
+    out = gn.variant_windows(rows, v.packed, v.contigs, 24, BIN, row_key=F.col("key"))
     return out.select("key", "status", "ref_window", "alt_window")
 
 
@@ -182,7 +182,7 @@ def _(v):
 
 def positive_windows(v, width):
     windows = iv.center_windows(v.intervals, width, v.contigs)
-    cut = gn.extract_windows(windows, v.genome, width, BIN, row_key=F.col("id"))
+    cut = gn.extract_windows(windows, v.packed, width, BIN, row_key=F.col("id"))
     return cut.where(dna.is_acgt("seq"))
 
 
@@ -219,7 +219,7 @@ def _phase_sql(width, k, bin_of, share):
     WITH {gc_negatives_sql(24)} SELECT chrom, start, "end", seq, round(gc, 6) AS gc FROM picked""")
 def _(v):
     positives = stored(positive_windows(v, 24).select("chrom", "ws", "we", "seq"))
-    picked, _ = ng.gc_matched_negatives(v.genome, positives, v.intervals, 24, BIN)
+    picked, _ = ng.gc_matched_negatives(v.packed, positives, v.intervals, 24, BIN)
     return picked.select("chrom", "start", "end", "seq", F.round("gc", 6).alias("gc"))
 
 
@@ -266,8 +266,8 @@ def region_negatives_sql(peaks, excluded, seed):
     WITH peak AS (SELECT id, chrom, start, "end" FROM intervals), {region_negatives_sql('peak', 'intervals', 43)}
     SELECT id, chrom, start, "end", gc_ok, attempt::INTEGER AS attempt, md5(seq) AS seq FROM region""")
 def _(v):
-    peaks = gn.extract_regions(v.intervals.select("id", "chrom", "start", "end"), v.genome, BIN, "id")
-    return ng.matched_region_negatives(stored(peaks.where(F.col("seq").isNotNull())), v.genome, v.contigs, iv.exclusion_set(v.intervals, 0), BIN, longest=300
+    peaks = gn.extract_regions(v.intervals.select("id", "chrom", "start", "end"), v.packed, BIN, "id")
+    return ng.matched_region_negatives(stored(peaks.where(F.col("seq").isNotNull())), v.packed, v.contigs, iv.exclusion_set(v.intervals, 0), BIN, longest=300
                                        ).select("id", "chrom", "start", "end", "gc_ok", "attempt", F.md5("seq").alias("seq"))
 
 

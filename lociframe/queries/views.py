@@ -7,6 +7,7 @@ sequence of its own letters.
 
 from __future__ import annotations
 
+import uuid
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,7 +15,8 @@ from pyspark.sql import functions as F
 
 from lociframe.functions import dna
 from lociframe.operators.scorers import PairScorer, PwmScorer, WeightScorer
-from lociframe.session import stored
+from lociframe.session import checkpoint_dir, stored
+from lociframe.sources.packed import PackedGenome, pack_genome
 
 BIN = 4096                      # bases per genome bin
 CONTIGS = 20
@@ -58,6 +60,7 @@ def md5_dna(text: Column, alphabet: str = EVEN) -> Column:
 
 
 _GENOMES: dict[tuple[str, str], DataFrame] = {}
+_PACKED: dict[tuple[str, str], PackedGenome] = {}
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -94,6 +97,14 @@ class Views:
             _GENOMES[at] = stored(self._genome())
         return _GENOMES[at]
 
+    @cached_property
+    def packed(self) -> PackedGenome:
+        """The genome as files of bases that are read by range, also written once per application."""
+        at = (self.spark.sparkContext.applicationId, self.sf_dir)
+        if at not in _PACKED:
+            _PACKED[at] = pack_genome(self.genome, f"{checkpoint_dir(self.spark).rstrip('/')}/genome-{uuid.uuid4().hex}", BIN)
+        return _PACKED[at]
+
     def _genome(self) -> DataFrame:
         key = F.col("p_partkey").cast("string")
 
