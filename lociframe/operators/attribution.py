@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lociframe.functions import dna
 from lociframe.operators.evaluation import with_prefix
 from lociframe.operators.motifs import _chunks, _joined
-from lociframe.operators.negatives import _euler_shuffle
+from lociframe.operators.negatives import shuffled_in_parts
 from lociframe.operators.scorers import CODES, WeightScorer, encode
 from lociframe.session import stored
 
@@ -19,8 +19,10 @@ def with_shuffles(df: DataFrame, key: str, n: int = 20, seed=42, col: str = "seq
     """Adds an array of n shuffles of each sequence that keep its dinucleotide counts, seeded by key."""
     @F.pandas_udf("array<string>")
     def refs(seqs: pd.Series, codes: pd.Series) -> pd.Series:
-        return pd.Series([[_euler_shuffle(s, np.random.default_rng([c & 0xFFFFFFFFFFFFFFFF, k])) for k in range(n)]
-                          for s, c in zip(seqs, codes.astype("int64").tolist())], dtype=object)
+        texts = [s if isinstance(s, str) else None for s in seqs]
+        own = codes.to_numpy("int64").view("uint64")[:, None] + np.arange(1, n + 1, dtype="uint64") * np.uint64(0xD1342543DE82EF95)
+        done = shuffled_in_parts([t for t in texts for _ in range(n)], own.reshape(-1))
+        return pd.Series([None if t is None else done[i * n:(i + 1) * n] for i, t in enumerate(texts)], dtype=object)
     return df.withColumn(out, refs(F.upper(F.col(col)), F.xxhash64(F.lit(str(seed)), F.col(key).cast("string"))))
 
 

@@ -139,41 +139,91 @@ def matched_region_negatives(positives: DataFrame, genome: DataFrame | PackedGen
     return best.withColumn("seq", dna.fill_n("seq", key, seed))
 
 
-def _euler_shuffle(text: str, rng: np.random.Generator) -> str:
-    """A random sequence with the same first and last letter and the same adjacent pairs."""
-    if len(text) < 3:
-        return text
-    follow: dict[str, list[str]] = {}
-    for a, b in zip(text, text[1:]):
-        follow.setdefault(a, []).append(b)
-    end = text[-1]
-    inner = [v for v in follow if v != end]
-    while True:   # a last edge per letter such that every letter leads to the end letter
-        last = {v: rng.integers(len(follow[v])) for v in inner}
-        if all(_leads(v, end, follow, last) for v in inner):
-            break
-    for v, out in follow.items():
-        if v in last:
-            kept = out.pop(int(last[v]))
-            rng.shuffle(out)
-            out.append(kept)
-        else:
-            rng.shuffle(out)
-    used = dict.fromkeys(follow, 0)
-    walk = [text[0]]
-    for _ in range(len(text) - 1):
-        v = walk[-1]
-        walk.append(follow[v][used[v]])
-        used[v] += 1
-    return "".join(walk)
-
-
-def _leads(v, end, follow, last) -> bool:
-    for _ in range(len(last) + 1):
-        if v == end:
-            return True
-        v = follow[v][last[v]] if v in last else end
-    return v == end
+# A mixer of 64-bit counters (splitmix64).
+_STEP, _MIX = np.uint64(0x9E3779B97F4A7C15), (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
+_LETTERS = 4 << 20      # letters that are shuffled at once
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * _MIX[0]
+    x = (x ^ (x >> np.uint64(27))) * _MIX[1]
+    return x ^ (x >> np.uint64(31))
+
+
+def euler_shuffles(texts: list[str], codes: np.ndarray) -> list[str]:
+    """A random text for each one, with the same first and last letter and the same adjacent pairs, all such walks being equally
+    likely. A text's draws depend on its code alone.
+
+    The letters of a text are places, its adjacent pairs edges between them. Every edge gets a random key, and a
+    letter's edges are left in the order of their keys. Such orders give a walk over all edges if the last edges
+    lead every letter to the final one; texts for which they do not draw again. Then all walks step together.
+    """
+    sizes = np.array([len(t) for t in texts], np.int64)
+    by_size = np.argsort(-sizes, kind="stable")
+    by_size = by_size[sizes[by_size] >= 3]
+    out = list(texts)
+    if not len(by_size):
+        return out
+    sizes, codes = sizes[by_size], codes.astype(np.uint64)[by_size]
+    letters, at = np.unique(np.frombuffer("".join(texts[i] for i in by_size).encode("utf-32-le"), np.uint32), return_inverse=True)
+    k, ends = len(letters), np.cumsum(sizes)
+    begins = ends - sizes
+    final = at[ends - 1]
+    is_edge = np.ones(len(at), bool)
+    is_edge[ends - 1] = False
+    edge = np.flatnonzero(is_edge)
+    text = np.repeat(np.arange(len(sizes)), sizes - 1)
+    group = text * k + at[edge]
+    target = at[edge + 1]
+    count = np.bincount(group, minlength=len(sizes) * k)
+    first = np.cumsum(count) - count                  # where the edges of a letter of a text begin, once they are sorted
+    sorted_target = np.empty(len(edge), np.int64)
+    counter = (edge - begins[text]).astype(np.uint64) * _STEP + codes[text]
+    todo, attempt = np.arange(len(sizes)), 0
+    edges = np.arange(len(edge))
+    while len(todo):
+        key = _mixed(_mixed(counter[edges]) + np.uint64((attempt * int(_MIX[0])) % (1 << 64)))
+        order = edges[np.lexsort((key, group[edges]))]
+        sorted_target[np.sort(edges)] = target[order]      # a text's edges lie together, before and after sorting
+        own = todo[:, None] * k + np.arange(k)
+        leads = np.where(count[own] > 0, sorted_target[np.minimum(first[own] + count[own] - 1, len(edge) - 1)], final[todo][:, None])
+        leads[np.arange(len(todo)), final[todo]] = final[todo]
+        for _ in range(int(k).bit_length()):
+            leads = np.take_along_axis(leads, leads, 1)
+        again = (leads != final[todo][:, None]).any(1)
+        todo, attempt = todo[again], attempt + 1
+        waits = np.zeros(len(sizes), bool)
+        waits[todo] = True
+        edges = edges[waits[text[edges]]]
+    walk = np.empty(len(at), np.int64)
+    here, used = at[begins], first.copy()
+    base = np.arange(len(sizes)) * k
+    walk[begins] = here
+    going = np.searchsorted(-sizes, -np.arange(1, sizes[0]), side="left")      # how many texts have a letter at a place
+    for place, n in enumerate(going.tolist(), 1):
+        slot = base[:n] + here[:n]
+        here[:n] = sorted_target[used[slot]]
+        used[slot] += 1
+        walk[begins[:n] + place] = here[:n]
+    shuffled = letters[walk].astype("<u4").tobytes().decode("utf-32-le")
+    for i, a, b in zip(by_size.tolist(), begins.tolist(), ends.tolist()):
+        out[i] = shuffled[a:b]
+    return out
+
+
+def shuffled_in_parts(texts: list[str | None], codes: np.ndarray) -> list[str | None]:
+    """euler_shuffles for some million letters at a time; None stays."""
+    out: list[str | None] = [None] * len(texts)
+    kept = [i for i, t in enumerate(texts) if t is not None]
+    while kept:
+        n, size = 0, 0
+        while n < len(kept) and (n == 0 or size + len(texts[kept[n]]) <= _LETTERS):
+            size += len(texts[kept[n]])
+            n += 1
+        part, kept = kept[:n], kept[n:]
+        for i, t in zip(part, euler_shuffles([texts[i] for i in part], codes[part])):
+            out[i] = t
+    return out
 
 
 def dinuc_shuffle(df: DataFrame, key: str, n: int = 1, seed=42, col: str = "seq") -> DataFrame:
@@ -181,16 +231,14 @@ def dinuc_shuffle(df: DataFrame, key: str, n: int = 1, seed=42, col: str = "seq"
 
     Adds shuffle (0..n-1) and replaces col. Each shuffle is seeded by (seed, key, number), so it does
     not depend on partitioning or on a retry. Letters other than A, C, G, T are shuffled like any
-    other.
+    other. The sequences of a batch are shuffled together.
     """
     rows = df.withColumn("shuffle", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     code = F.xxhash64(F.lit(str(seed)), F.col(key).cast("string"), F.col("shuffle"))
 
     @F.pandas_udf("string")
     def shuffled(seqs: pd.Series, codes: pd.Series) -> pd.Series:
-        return pd.Series([
-            None if s is None else _euler_shuffle(s, np.random.default_rng(c & 0xFFFFFFFFFFFFFFFF))
-            for s, c in zip(seqs, codes.astype("int64").tolist())], dtype=object)
+        return pd.Series(shuffled_in_parts([s if isinstance(s, str) else None for s in seqs], codes.to_numpy("int64").view("uint64")), dtype=object)
 
     return rows.withColumn(col, shuffled(F.upper(F.col(col)), code))
 

@@ -19,7 +19,7 @@ from lociframe.operators.runs import best_epoch
 from lociframe.queries.dataset_queries import _SPLIT, _ATOMS, _one_atom
 from lociframe.queries.registry import query
 from lociframe.queries.sequence_queries import gc_negatives_sql, positive_windows
-from lociframe.queries.views import BIN, weight_scorer, weight_sum_sql
+from lociframe.queries.views import BIN, extraction_sql, has_only_acgt_sql, weight_scorer, weight_sum_sql
 from lociframe.session import checkpoint_dir, stored
 from lociframe.sources import intervals as si
 from lociframe.sources import logs as sl
@@ -323,12 +323,18 @@ def _(v):
     return sinks.read_metrics(v.spark, path)
 
 
-@query("write_manifest", "K8", "M9", views="variants", sql="SELECT count(*) AS n FROM variants")
+@query("write_manifest", "K8", "M9", views="variants chroms", sql=f"""
+    SELECT key, chrom, pos, ref, alt, status, CASE WHEN status = 'ok' THEN w END AS ref_window, CASE WHEN status = 'ok' THEN w[:12] || alt || w[14:] END AS alt_window FROM (
+        SELECT *, CASE WHEN ref = 'N' THEN 'invalid' WHEN w IS NULL THEN 'out_of_bounds' WHEN w[13] <> ref THEN 'ref_mismatch'
+            WHEN NOT {has_only_acgt_sql('w')} THEN 'contains_n' ELSE 'ok' END AS status
+        FROM (SELECT key, chrom, pos, ref, alt, {extraction_sql('chroms', '(pos - 13)', '24')} AS w FROM variants JOIN chroms USING (chrom)))""")
 def _(v):
+    """Every row of the manifest as it is read back."""
     path = folder(v, "manifest")
     out = variant_windows(v.variants, v.packed, v.contigs, 24, BIN, row_key=F.col("key"))
-    sinks.write_manifest(out.select("key", "chrom", "pos", "ref", "alt", "status", "ref_window", "alt_window"), path)
-    return v.spark.read.json(path).agg(F.count("status").alias("n"))
+    rows = out.select("key", "chrom", "pos", "ref", "alt", "status", "ref_window", "alt_window")
+    sinks.write_manifest(rows, path)
+    return v.spark.read.schema(rows.schema).json(path)
 
 
 @query("write_resumable", "K9", views="reads", sql=f"""

@@ -216,54 +216,10 @@ def _(v):
 
 
 # For weights plus 0.7 per complementary pair at distance 3, pairs at distance 3 interact and others do not.
-_PAIRS = """b AS (SELECT * FROM (VALUES ('A'), ('C'), ('G'), ('T')) t(x)),
-    p AS (SELECT unnest(range(10, 20)) AS p)"""
-
-
 def _pair(a, b):
     return f"(CASE WHEN {b} = translate({a}, 'ACGT', 'TGCA') THEN 0.7::DOUBLE ELSE 0 END)"
 
 
-@query("epistasis_pairs", "M13", views="seqs", sql=f"""
-    WITH {_PAIRS} SELECT id, i.p AS pos_i, ri AS ref_i, a.x AS base_i, j.p AS pos_j, rj AS ref_j, c.x AS base_j,
-        round(CASE WHEN j.p = i.p + 3 THEN {_pair('a.x', 'c.x')} - {_pair('a.x', 'rj')} - {_pair('ri', 'c.x')} + {_pair('ri', 'rj')}
-        ELSE 0 END, 6) + 0.0 AS delta_delta
-    FROM seqs, p i JOIN p j ON i.p < j.p, b a, b c, (SELECT 1), LATERAL (SELECT substr(seq, i.p + 1, 1) AS ri, substr(seq, j.p + 1, 1) AS rj)
-    WHERE a.x <> ri AND c.x <> rj""")
-def _(v):
-    out = ef.epistasis2(v.seqs, pair_scorer(32), positions=range(10, 20))
-    return out.drop("prediction").withColumn("delta_delta", F.round("delta_delta", 6) + 0.0)
-
-
-@query("epistasis_top", "M13", views="seqs", sql=f"""
-    WITH {_PAIRS}, e AS (SELECT id, i.p AS pos_i, a.x AS base_i, j.p AS pos_j, c.x AS base_j,
-        round({_pair('a.x', 'c.x')} - {_pair('a.x', 'rj')} - {_pair('ri', 'c.x')} + {_pair('ri', 'rj')}, 6) AS delta_delta
-        FROM seqs, p i JOIN p j ON j.p = i.p + 3, b a, b c, LATERAL (SELECT substr(seq, i.p + 1, 1) AS ri, substr(seq, j.p + 1, 1) AS rj)
-        WHERE a.x <> ri AND c.x <> rj)
-    SELECT id, count(*) AS n, round(max(abs(delta_delta)), 6) AS largest FROM (SELECT *, row_number() OVER (
-        PARTITION BY id ORDER BY abs(delta_delta) DESC) AS k FROM e WHERE abs(delta_delta) > 1e-6) WHERE k <= 20 GROUP BY id""")
-def _(v):
-    top = ef.top_interactions(ef.epistasis2(v.seqs, pair_scorer(32), positions=range(10, 20)), n=20)
-    return top.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.round(F.max(F.abs("delta_delta")), 6).alias("largest"))
-
-
-# Pairwise terms leave no third-order term, so the scorer squares the number of T in the triplet's region.
-@query("epistasis_triplets", "M14", views="seqs", sql="""
-    WITH p AS (SELECT unnest(range(14, 19)) AS p), b AS (SELECT * FROM (VALUES ('A'), ('C'), ('G'), ('T')) t(x)),
-    t AS (SELECT id, i.p AS pos_i, j.p AS pos_j, k.p AS pos_k, substr(seq, i.p + 1, 1) AS ri, substr(seq, j.p + 1, 1) AS rj,
-        substr(seq, k.p + 1, 1) AS rk, length(seq) - length(replace(seq, 'T', '')) AS n
-        FROM seqs, p i JOIN p j ON i.p < j.p JOIN p k ON j.p < k.p),
-    e AS (SELECT *, (x.x = 'T')::INT - (ri = 'T')::INT AS di, (y.x = 'T')::INT - (rj = 'T')::INT AS dj,
-        (z.x = 'T')::INT - (rk = 'T')::INT AS dk FROM t, b x, b y, b z WHERE x.x <> ri AND y.x <> rj AND z.x <> rk)
-    SELECT id, pos_i, pos_j, pos_k, max(abs(6 * di * dj * dk))::DOUBLE AS size FROM e
-    GROUP BY id, pos_i, pos_j, pos_k HAVING max(abs(6 * di * dj * dk)) > 0.01""")
-def _(v):
-    cube = ExpressionScorer(lambda s: F.pow(F.length(s) - F.length(F.translate(s, "T", "")), F.lit(3)))
-    out = ef.epistasis3(v.seqs, cube, 14, 19)
-    return out.select("id", "pos_i", "pos_j", "pos_k", F.round(F.abs("interaction"), 6).alias("size"))
-
-
-# The three above state a few positions; these state all pairs of positions, and the triplets of the default region.
 _ALL_PAIRS = f"""p AS (SELECT unnest(range(0, 32)) AS p), b AS (SELECT * FROM (VALUES ('A'), ('C'), ('G'), ('T')) t(x)),
     e AS (SELECT id, i.p AS pos_i, ri AS ref_i, a.x AS base_i, j.p AS pos_j, rj AS ref_j, c.x AS base_j,
         round(CASE WHEN j.p = i.p + 3 THEN {_pair('a.x', 'c.x')} - {_pair('a.x', 'rj')} - {_pair('ri', 'c.x')} + {_pair('ri', 'rj')}
@@ -277,22 +233,29 @@ def _(v):
     return ef.epistasis2(v.seqs, pair_scorer(32)).drop("prediction").withColumn("delta_delta", F.round("delta_delta", 6) + 0.0)
 
 
-@query("epistasis_all_top", "M13", views="seqs", sql=f"""
+_TOP_PAIRS = f"""
     WITH {_ALL_PAIRS} SELECT id, count(*) AS n, round(max(abs(delta_delta)), 6) AS largest FROM (SELECT *, row_number() OVER (
-        PARTITION BY id ORDER BY abs(delta_delta) DESC) AS k FROM e WHERE abs(delta_delta) > 1e-6) WHERE k <= 20 GROUP BY id""")
+        PARTITION BY id ORDER BY abs(delta_delta) DESC) AS k FROM e WHERE abs(delta_delta) > 1e-6) WHERE k <= 20 GROUP BY id"""
+
+
+@query("epistasis_all_top", "M13", views="seqs", sql=_TOP_PAIRS)
 def _(v):
     top = ef.top_interactions(ef.epistasis2(v.seqs, pair_scorer(32)), n=20)
     return top.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.round(F.max(F.abs("delta_delta")), 6).alias("largest"))
 
 
-@query("epistasis_default_triplets", "M14", views="seqs", sql="""
+# Pairwise terms leave no third-order term, so the scorer cubes the number of T. The region is the operator's own, the middle nine positions.
+_TRIPLETS = """
     WITH p AS (SELECT unnest(range(12, 21)) AS p), b AS (SELECT * FROM (VALUES ('A'), ('C'), ('G'), ('T')) t(x)),
     t AS (SELECT id, i.p AS pos_i, j.p AS pos_j, k.p AS pos_k, substr(seq, i.p + 1, 1) AS ri, substr(seq, j.p + 1, 1) AS rj,
         substr(seq, k.p + 1, 1) AS rk FROM seqs, p i JOIN p j ON i.p < j.p JOIN p k ON j.p < k.p),
     e AS (SELECT *, (x.x = 'T')::INT - (ri = 'T')::INT AS di, (y.x = 'T')::INT - (rj = 'T')::INT AS dj,
         (z.x = 'T')::INT - (rk = 'T')::INT AS dk FROM t, b x, b y, b z WHERE x.x <> ri AND y.x <> rj AND z.x <> rk)
     SELECT id, pos_i, pos_j, pos_k, max(abs(6 * di * dj * dk))::DOUBLE AS size FROM e
-    GROUP BY id, pos_i, pos_j, pos_k HAVING max(abs(6 * di * dj * dk)) > 0.01""")
+    GROUP BY id, pos_i, pos_j, pos_k HAVING max(abs(6 * di * dj * dk)) > 0.01"""
+
+
+@query("epistasis_default_triplets", "M14", views="seqs", sql=_TRIPLETS)
 def _(v):
     cube = ExpressionScorer(lambda s: F.pow(F.length(s) - F.length(F.translate(s, "T", "")), F.lit(3)))
     return ef.epistasis3(v.seqs, cube).select("id", "pos_i", "pos_j", "pos_k", F.round(F.abs("interaction"), 6).alias("size"))

@@ -271,16 +271,18 @@ def _(v):
                                        ).select("id", "chrom", "start", "end", "gc_ok", "attempt", F.md5("seq").alias("seq"))
 
 
-# What a shuffle must keep: its ends and every pair of neighbours, so the SQL counts the originals.
+# What a shuffle must keep: its ends and every pair of neighbours, so the SQL counts the originals; and of all places, most change.
 @query("dinuc_shuffle", "N4", views="texts", sql="""
     WITH l AS (SELECT id, upper(seq) AS seq, string_split(upper(seq), '') AS l FROM texts), p AS (SELECT id, l[i] || l[i + 1] AS pair, count(*) AS n
         FROM (SELECT id, l, unnest(range(1, len(l))) AS i FROM l) GROUP BY ALL)
-    SELECT id, shuffle, seq[1] AS first, seq[-1:] AS last, length(seq) AS length, pair, n FROM l JOIN p USING (id), (VALUES (0), (1)) s(shuffle)""")
+    SELECT id, shuffle, seq[1] AS first, seq[-1:] AS last, length(seq) AS length, pair, n, true AS moved FROM l JOIN p USING (id), (VALUES (0), (1)) s(shuffle)""")
 def _(v):
-    rows = ng.dinuc_shuffle(v.texts, "id", n=2).withColumn("key", F.concat_ws(":", "id", "shuffle"))
+    rows = stored(ng.dinuc_shuffle(v.texts.withColumn("was", F.upper("seq")), "id", n=2).withColumn("key", F.concat_ws(":", "id", "shuffle")))
     pairs = dna.kmer_counts(rows, "key", "seq", 2, skip_n=False).withColumnRenamed("kmer", "pair")
+    changed = F.size(F.filter(F.zip_with(F.split("seq", ""), F.split("was", ""), lambda a, b: a != b), lambda x: x))
+    share = rows.groupBy("shuffle").agg((F.sum(changed) > 0.4 * F.sum(F.length("seq"))).alias("moved"))
     ends = rows.select("key", "id", "shuffle", F.substring("seq", 1, 1).alias("first"), F.substring("seq", -1, 1).alias("last"), _n("seq").alias("length"))
-    return ends.join(pairs, "key").drop("key")
+    return ends.join(pairs, "key").drop("key").join(F.broadcast(share), "shuffle")      # two rows
 
 
 @query("fill_n", "N5", views="texts", sql="""

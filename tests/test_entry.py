@@ -10,7 +10,7 @@ SMALL = "/root/testdata/sf0.001"
 
 # One or two queries of each family; tools/compare.py runs them all.
 CHECKED = ("merge_intervals overlap_join exclude_overlaps sample_n extract_windows variant_windows fill_n roc_curve pr_auc "
-           "balance_scores score_regression scan_motifs hit_pvalues best_window mutagenesis epistasis_top attribute_references "
+           "balance_scores score_regression scan_motifs hit_pvalues best_window mutagenesis epistasis_all_top attribute_references "
            "filter_pfm make_classification split_dataset residue_confidence timeline read_peaks read_fasta write_resumable "
            "method_comparison variant_validation").split()
 
@@ -37,7 +37,7 @@ def test_query_equals_its_sql(spark, name):
 
 
 def test_no_query_multiplies_tables(spark):
-    for name in ("scan_motifs", "epistasis_pairs", "score_regression", "split_dataset", "extract_windows", "variant_validation"):
+    for name in ("scan_motifs", "epistasis_all_pairs", "score_regression", "split_dataset", "extract_windows", "variant_validation"):
         plan = entry.queries()[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
 

@@ -188,3 +188,37 @@ def test_windows_wider_than_a_bin_and_repeated_regions(spark):
     regions = [(1, "c", 10, 200), (1, "c", 10, 200), (1, "c", 300, 310), (2, "c", 490, 510)]
     out = gn.extract_regions(spark.createDataFrame(regions, "id long, chrom string, start long, end long"), genome, 64, "id")
     assert sorted((r["id"], r["start"], r["seq"] or "") for r in out.collect()) == [(1, 10, text[10:200]), (1, 10, text[10:200]), (1, 300, text[300:310]), (2, 490, "")]
+
+
+def test_shuffles_are_uniform_over_all_walks():
+    """Every text with the ends and the pairs of a short one is as likely as any other."""
+    from collections import Counter
+    from itertools import permutations
+
+    import numpy as np
+    from lociframe.operators.negatives import euler_shuffles
+
+    def pairs(t):
+        return sorted(zip(t, t[1:]))
+    for word in ("ACAGATAC", "AACGACGTA", "GATTACAGAT"):
+        walks = {"".join(p) for p in permutations(word) if p[0] == word[0] and p[-1] == word[-1] and pairs("".join(p)) == pairs(word)}
+        n = 400 * len(walks)
+        got = Counter(euler_shuffles([word] * n, np.arange(n, dtype=np.uint64) * np.uint64(977)))
+        assert set(got) == walks
+        chi = sum((c - 400) ** 2 / 400 for c in got.values())
+        assert chi < len(walks) + 5 * (2 * len(walks)) ** 0.5 + 5, (word, chi)
+
+
+def test_a_shuffle_depends_on_its_code_alone():
+    import random
+
+    import numpy as np
+    from lociframe.operators.negatives import euler_shuffles
+    r = random.Random(6)
+    texts = ["".join(r.choice("ACGTNé日") for _ in range(r.randint(0, 200))) for _ in range(80)] + ["", "A", "AC", "AAAA", "ACGT" * 500]
+    codes = np.array([r.getrandbits(64) for _ in texts], np.uint64)
+    whole = euler_shuffles(texts, codes)
+    assert whole == [euler_shuffles([t], codes[i:i + 1])[0] for i, t in enumerate(texts)]
+    for a, b in zip(texts, whole):
+        assert sorted(zip(a, a[1:])) == sorted(zip(b, b[1:])) and a[:1] == b[:1] and a[-1:] == b[-1:]
+    assert sum(a != b for a, b in zip(texts, whole)) > 70
