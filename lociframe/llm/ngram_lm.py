@@ -5,18 +5,20 @@ one shuffle of packed pairs serves both to learn and to score. A shard counts th
 them out as a trie of two levels: the sorted contexts, and for all contexts together their sorted successors, a successor's
 id standing on its context's number, so that the whole level is one rising sequence. Both levels and the pointers from
 one to the other are Elias-Fano coded, and smoothed log probabilities and back-off weights are kept as 8-bit codes. The levels
-are one buffer, written to the model's table, and read in place: a context is found by successor search in the first level,
-the pointers give its range, and the word is searched relative to the context.
+are one buffer, written to the model's table, and read in place in the task that has built it (from a file it could be mapped
+as it is): a context is found by successor search in the first level, the pointers give its range, and the word is searched in that
+range alone. The order is 2: contexts are single words.
 
 The model discounts absolutely and backs off to add-0.1 counts of single words:
   p(word | context) = (c(context, word) - D) / c(context) for a pair that was seen,
   D * T(context) / c(context) * p(word) otherwise, and p(word) after an unseen context; T counts distinct successors.
 The unseen part is not normalised again, so a context's probabilities add up to at most 1.
 
-A context that holds more than a quarter of a shard's share of all tokens is split over all shards by its successors; its count and
-its number of distinct successors are taken beforehand, and every shard knows both, also one that holds none of its successors.
+A context that holds more than a quarter of a shard's share of all tokens is split over all shards by its successors; its count is
+taken beforehand. A pair lives in one shard, so the numbers of distinct successors that the shards have are summed, and the back-off
+weight is added to every text for its unseen pairs after such a context, whichever shard met them.
 No task depends on one word, and nothing that grows with the corpus comes to the driver (at most four hot contexts per shard do). Words are known by 64-bit hashes, successors
-by 48 bits of them.
+by 40 bits of them.
 
 Null and empty texts are one end. A null id stays null and takes part in training unless it is marked otherwise. Repeated rows
 count as often as they stand. Without training texts nothing is known and V is 0. Other columns are left out.
@@ -52,6 +54,7 @@ class EliasFano:
 
     def __init__(self, n: int, width: int, lows: np.ndarray, high: np.ndarray):
         self.n, self.width, self.lows, self.high = n, width, lows, high
+        self.ones = None
         bits = np.unpackbits(high)
         self.zeros = np.flatnonzero(bits == 0).astype(np.int64)      # the k-th zero: the values of high part k end there
 
@@ -88,11 +91,13 @@ class EliasFano:
         before = np.where(high > 0, self.zeros[np.maximum(high, 1) - 1] - (high - 1), 0)
         return np.minimum(before, self.n), np.minimum(self.zeros[high] - high, self.n)
 
-    def successor(self, x: np.ndarray) -> np.ndarray:
-        """The place of the first value that is at least x, n if there is none."""
+    def successor(self, x: np.ndarray, first: np.ndarray | None = None, last: np.ndarray | None = None) -> np.ndarray:
+        """The place of the first value that is at least x, n if there is none; or of those at first .. last, last if there is none."""
         x = x.astype(np.uint64)
         mask = np.uint64((1 << 8 * self.width) - 1)
         a, b = self._bracket(np.minimum(x >> np.uint64(8 * self.width), np.uint64(1 << 62)).astype(np.int64))
+        if first is not None:
+            a, b = np.clip(a, first, last), np.clip(b, first, last)
         low = x & mask
         while True:
             open_ = np.flatnonzero(a < b)
@@ -105,8 +110,9 @@ class EliasFano:
 
     def get(self, i: np.ndarray) -> np.ndarray:
         """The values at places i."""
-        ones = np.flatnonzero(np.unpackbits(self.high)[:self.n + len(self.zeros)])
-        return ((ones[i] - i).astype(np.uint64) << np.uint64(8 * self.width)) | self._low(i)
+        if self.ones is None:
+            self.ones = np.flatnonzero(np.unpackbits(self.high)[:self.n + len(self.zeros)])
+        return ((self.ones[i] - i).astype(np.uint64) << np.uint64(8 * self.width)) | self._low(i)
 
     def find(self, x: np.ndarray) -> np.ndarray:
         """The place of x, -1 where it is not a value."""
@@ -148,15 +154,16 @@ class Trie:
         self.code = np.frombuffer(view, np.uint8, m, at + 9 * n + 4096)
 
     @staticmethod
-    def build(contexts: np.ndarray, starts: np.ndarray, successors: np.ndarray, counts: np.ndarray, totals: np.ndarray, kinds: np.ndarray) -> bytes:
+    def build(contexts: np.ndarray, starts: np.ndarray, successors: np.ndarray, counts: np.ndarray, totals: np.ndarray, split: np.ndarray) -> bytes:
         """contexts: sorted hashes; starts: where the successors of each begin; successors: ids, sorted in each range;
-        counts: of pairs; totals: of contexts; kinds: distinct successors in all shards, where more than those given here."""
+        counts: of pairs; totals: of contexts; split: contexts with successors in other shards too, whose back-off weight stands
+        as 1 here and in the table of split contexts as it is."""
         n = len(contexts)
         sizes = np.diff(np.append(starts, len(successors)))
         owner = np.repeat(np.arange(n), sizes)
         rising = (owner.astype(np.uint64) << np.uint64(ID_BITS)) | successors.astype(np.uint64)
         book, code = _quantised(np.log10((counts - DISCOUNT) / totals[owner])) if n else _quantised(np.zeros(0))
-        back_book, back_code = _quantised(np.log10(np.minimum(1.0, DISCOUNT * np.maximum(sizes, kinds) / totals))) if n else _quantised(np.zeros(0))
+        back_book, back_code = _quantised(np.where(split, 0.0, np.log10(np.minimum(1.0, DISCOUNT * np.maximum(sizes, 1) / totals)))) if n else _quantised(np.zeros(0))
         levels = [EliasFano.code(contexts), EliasFano.code(np.append(starts, len(successors))), EliasFano.code(rising)]
         return b"".join([*levels, totals.astype(np.int64).tobytes(), back_book.tobytes(), back_code.tobytes(), book.tobytes(), code.tobytes()])
 
@@ -168,19 +175,26 @@ class Trie:
         if len(known):
             own = at[known]
             out[known] = self.backoff_book[self.backoff_code[own]]
-            place = self.successors.find((own.astype(np.uint64) << np.uint64(ID_BITS)) | successors[known].astype(np.uint64))
-            hit = place >= 0
+            first, last = self.ranges(own)
+            word = (own.astype(np.uint64) << np.uint64(ID_BITS)) | successors[known].astype(np.uint64)
+            place = self.successors.successor(word, first, last)
+            hit = place < last
+            hit[hit] = self.successors.get(place[hit]) == word[hit]
             seen[known[hit]] = True
             out[known[hit]] = self.book[self.code[place[hit]]]
         return out, seen
 
+    def ranges(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the successors of the contexts at these places begin and end in the second level, by the pointers."""
+        return self.pointers.get(at).astype(np.int64), self.pointers.get(at + 1).astype(np.int64)
+
     def successors_of(self, context: int) -> tuple[int, int]:
-        """The range of a context's successors in the second level, by the pointers; empty for an unknown one."""
-        at = int(self.contexts.find(np.array([context], np.uint64))[0])
-        if at < 0:
+        """The range of a context's successors in the second level; empty for an unknown one."""
+        at = self.contexts.find(np.array([context], np.uint64))
+        if at[0] < 0:
             return 0, 0
-        a, b = self.pointers.get(np.array([at, at + 1])).tolist()
-        return a, b
+        a, b = self.ranges(at)
+        return int(a[0]), int(b[0])
 
 
 # From texts to packed pairs
@@ -213,35 +227,6 @@ def _frequent(share: float, only: np.ndarray | None):
     return run
 
 
-def _followed(hot: np.ndarray, buckets: int):
-    """Per block and bucket of pairs: each pair of a hot context and a word after it once, as the context's number in `hot` and
-    ID_BITS of the word."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in _blocks(batches):
-            codes, words, at = split_words(block.column("text"), ascii_only=True)
-            hashes = np.concatenate([word_hashes(words), [BEGIN, END]]).astype(np.uint64)
-            n = len(words)
-            first, second = np.insert(codes, at[:-1], n), np.insert(codes, at[1:], n + 1)
-            number = np.minimum(np.searchsorted(hot, hashes), len(hot) - 1)
-            mine = np.flatnonzero((hot[number] == hashes)[first])
-            pairs = np.unique((number[first[mine]].astype(np.uint64) << np.uint64(ID_BITS)) | (hashes[second[mine]] >> np.uint64(64 - ID_BITS)))
-            bucket = (mix(pairs) % np.uint64(buckets)).astype(np.int32)
-            order = np.argsort(bucket, kind="stable")
-            pairs, cuts = pairs[order], np.searchsorted(bucket[order], np.arange(buckets + 1))
-            filled = np.flatnonzero(np.diff(cuts)).astype(np.int32)
-            for i in range(0, len(filled), 64):
-                part = filled[i:i + 64]
-                yield pa.RecordBatch.from_arrays([pa.array(part), pa.array([pairs[cuts[k]:cuts[k + 1]].tobytes() for k in part], pa.binary())], names=["bucket", "pairs"])
-    return lambda batches: released(run(batches))
-
-
-def _count_followed(table: pa.Table) -> pa.Table:
-    """The distinct pairs of one bucket, counted by context."""
-    pairs = np.unique(np.concatenate([np.frombuffer(b.as_buffer(), np.uint64) for b in table.column("pairs")]))
-    at, n = np.unique((pairs >> np.uint64(ID_BITS)).astype(np.int64), return_counts=True)
-    return pa.table({"at": pa.array(at), "n": pa.array(n.astype(np.int64))})
-
-
 def _shard_of(h1: np.ndarray, h2: np.ndarray, hot: np.ndarray, shards: int) -> np.ndarray:
     return np.where(np.isin(h1, hot), mix(h1 ^ mix(h2)), mix(h1)) % np.uint64(shards)
 
@@ -318,7 +303,7 @@ def _unpack(body: pa.Buffer) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
 
 # One shard
 
-SHARD = "shard int, levels binary, words array<long>, counts array<long>, block long, size int, trained int, sums binary, docs binary, unseen array<long>, unseen_doc array<int>"
+SHARD = "shard int, levels binary, words array<long>, counts array<long>, block long, size int, trained int, sums binary, docs binary, unseen array<long>, unseen_doc array<int>, hot array<long>, times array<long>"
 
 
 def _lists(arrays: list[np.ndarray | None], kind: pa.DataType) -> pa.Array:
@@ -333,7 +318,7 @@ def _rows(rows: list[tuple]) -> pa.Table:
     long, short = pa.int64(), pa.int32()
     arrays = [pa.array(columns[0], short), pa.array(columns[1], pa.binary()), _lists(columns[2], long), _lists(columns[3], long), pa.array(columns[4], long),
               pa.array(columns[5], short), pa.array(columns[6], short), pa.array(columns[7], pa.binary()), pa.array(columns[8], pa.binary()),
-              _lists(columns[9], long), _lists(columns[10], short)]
+              _lists(columns[9], long), _lists(columns[10], short), _lists(columns[11], long), _lists(columns[12], long)]
     return pa.table(arrays, names=[x.split()[0] for x in SHARD.split(", ")])
 
 
@@ -349,11 +334,12 @@ def _unpack_sums(raw: bytes, size: int) -> tuple[np.ndarray, np.ndarray, np.ndar
             np.frombuffer(raw, width, size, at), np.frombuffer(raw, width, size, at + size * width().itemsize))
 
 
-def _learner(hot: dict[int, int], successors: dict[int, int]):
+def _learner(hot: dict[int, int]):
     """Learns a shard's trie from the training texts of its rows, and scores all its occurrences. hot: counts of the contexts
-    that are split, successors: their numbers of distinct successors."""
+    that are split. A shard knows its own distinct successors of a split context alone: it gives their numbers, and counts
+    the unseen pairs of each text after such contexts, whose back-off is added once the numbers are summed."""
     hot_words = np.array(sorted(hot), np.uint64)
-    hot_counts, hot_kinds = (np.array([x[int(w)] for w in hot_words], np.int64) for x in (hot, successors))
+    hot_counts = np.array([hot[int(w)] for w in hot_words], np.int64)
 
     def run(table: pa.Table) -> pa.Table:
         shard = table.column("shard")[0].as_py()
@@ -379,14 +365,14 @@ def _learner(hot: dict[int, int], successors: dict[int, int]):
         mine = (distinct >> np.uint64(ID_BITS)).astype(np.int64)
         counted = np.bincount(mine, counts, len(contexts)).astype(np.int64)
         hot_at = np.searchsorted(contexts, hot_words)
-        total, kinds = counted.copy(), np.zeros(len(contexts), np.int64)
-        total[hot_at], kinds[hot_at] = hot_counts, hot_kinds
+        total, number = counted.copy(), np.full(len(contexts), -1, np.int64)
+        total[hot_at], number[hot_at] = hot_counts, np.arange(len(hot_words))
         known = np.flatnonzero(total)
-        is_hot = kinds[known] > 0
         low = np.uint64((1 << ID_BITS) - 1)
-        levels = Trie.build(contexts[known], np.searchsorted(mine, known), distinct & low, counts, total[known], kinds[known])
-        cold = known[~is_hot & (contexts[known] != BEGIN)]
-        rows = [(shard, levels, (contexts[cold] >> np.uint64(16)).astype(np.int64), total[cold], None, None, None, None, None, None, None)]
+        levels = Trie.build(contexts[known], np.searchsorted(mine, known), distinct & low, counts, total[known], number[known] >= 0)
+        cold = known[(number[known] < 0) & (contexts[known] != BEGIN)]
+        own = np.bincount(mine, minlength=len(contexts))[hot_at]
+        rows = [(shard, levels, (contexts[cold] >> np.uint64(16)).astype(np.int64), total[cold], None, None, None, None, None, None, None, own, None)]
         trie = Trie(levels)
         value, seen = np.empty(len(asked)), np.empty(len(asked), bool)
         for a in range(0, len(asked), QUERIES):
@@ -397,9 +383,12 @@ def _learner(hot: dict[int, int], successors: dict[int, int]):
         for (w, pair, doc), a, b, (block, size, t, docs) in zip(bodies, ends, ends[1:], blocks):
             of_pair, of_owner = back[a:b], owner[a:b]
             missed = ~seen[of_pair][pair]
+            at_hot = number[of_owner][pair[missed]]
+            split = at_hot >= 0
+            later, times_ = np.unique((doc[missed][split].astype(np.int64) << 32) | at_hot[split], return_counts=True)
             sums = _pack_sums(np.bincount(doc, value[of_pair][pair], size), np.bincount(doc, base[of_owner][pair], size),
                               np.bincount(doc, is_known[of_owner][pair], size).astype(np.int64), np.bincount(doc, missed, size).astype(np.int64))
-            rows.append((shard, None, None, None, block, size, t, sums, docs, w[pair[missed]].astype(np.int64), doc[missed].astype(np.int32)))
+            rows.append((shard, None, None, None, block, size, t, sums, docs, w[pair[missed]].astype(np.int64), doc[missed].astype(np.int32), later, times_))
         return _rows(rows)
     return lambda table: list(released(iter([run(table)])))[0]
 
@@ -436,22 +425,24 @@ def learn_and_score(docs: DataFrame, shard_tokens: int = SHARD_TOKENS) -> tuple[
     tokens = training.select(F.lit(0)).limit(1).count() and training.agg(F.sum(F.octet_length("text") + 1)).first()[0] // 6
     shards = max(1, -(-int(tokens or 0) // shard_tokens))
     share = 1 / (4 * shards)
-    rough = {r["word"]: r["n"] for r in counted(share, None).collect()} if tokens else {}
-    n, texts_ = rough.pop(0, 0), rough.pop(1, 0)
-    often = np.array([w for w, k in rough.items() if k >= share / 2 * n], np.int64).view(np.uint64)
+    rough = stored(counted(share, None))
+    sums = {r["word"]: r["n"] for r in rough.filter(F.col("word").isin(0, 1)).collect()} if tokens else {}
+    n, texts_ = sums.get(0, 0), sums.get(1, 0)
+    # At most 8 words per shard pass: the blocks' counts of them come to half a share of all tokens.
+    often = rough.filter(~F.col("word").isin(0, 1) & (F.col("n") >= share / 2 * n)).select("word").collect()
+    often = np.array([r["word"] for r in often], np.int64).view(np.uint64)
     exact = {r["word"]: r["n"] for r in counted(0.0, often).collect()} if len(often) and shards > 1 else {}
     hot = {int(np.int64(w).view(np.uint64)): k for w, k in exact.items() if w not in (0, 1) and k > share * n}
     if shards > 1 and texts_ > share * n:
         hot[int(BEGIN)] = texts_
     hot_words = np.array(sorted(hot), np.uint64)
-    successors = {}
-    if hot:
-        buckets = max(min(shards, 12), shards // 8)
-        pairs = training.mapInArrow(_followed(hot_words, buckets), "bucket int, pairs binary")
-        kinds = pairs.groupBy("bucket").applyInArrow(_count_followed, "at long, n long").groupBy("at").agg(F.sum("n").alias("n"))
-        successors = {int(hot_words[r["at"]]): r["n"] for r in kinds.collect()}
     packed = docs.mapInArrow(_router(shards, hot_words), PACKED)
-    out = stored(packed.groupBy("shard").applyInArrow(_learner(hot, successors), SHARD))
+    out = stored(packed.groupBy("shard").applyInArrow(_learner(hot), SHARD))
+    weights = {}
+    if hot:
+        kinds = out.filter(F.col("levels").isNotNull()).select(F.posexplode("hot").alias("at", "k")).groupBy("at").agg(F.sum("k").alias("k"))
+        for r in kinds.collect():          # a row per split context, of which there are four per shard at most
+            weights[r["at"]] = float(np.log10(min(1.0, DISCOUNT * max(1, r["k"]) / hot[int(hot_words[r["at"]])])))
     tries, parts = out.filter(F.col("levels").isNotNull()), out.filter(F.col("block").isNotNull())
     known = [(w >> 16, k) for w, k in hot.items() if w != int(BEGIN)] + ([(int(END) >> 16, texts_)] if texts_ else [])
     vocabulary = tries.select(F.explode(F.arrays_zip("words", "counts")).alias("w")).select(F.col("w.words").alias("word"), F.col("w.counts").alias("c"))
@@ -461,11 +452,15 @@ def learn_and_score(docs: DataFrame, shard_tokens: int = SHARD_TOKENS) -> tuple[
     missed = parts.select("block", F.explode(F.arrays_zip("unseen", "unseen_doc")).alias("u")).select(
         F.col("u.unseen").alias("word"), F.shiftleft("block", 15).bitwiseOR(F.col("u.unseen_doc")).alias("at"))
     missed = (missed.join(vocabulary, "word", "left").groupBy("at").agg(F.sum(F.log10(F.coalesce("c", F.lit(0)) + ADD)).alias("back")))
+    table = spark.createDataFrame(sorted(weights.items()), "hot_at long, weight double")
+    split = parts.select("block", F.explode(F.arrays_zip("hot", "times")).alias("h")).select(
+        F.shiftleft("block", 15).bitwiseOR(F.shiftright(F.col("h.hot"), 32)).alias("at"), F.col("h.hot").bitwiseAND(F.lit((1 << 32) - 1)).alias("hot_at"), F.col("h.times").alias("times"))
+    split = split.join(F.broadcast(table), "hot_at").groupBy("at").agg(F.sum(F.col("times") * F.col("weight")).alias("split_back"))
     whole = parts.select("block", "size", "trained", "sums", "docs").groupBy("block").applyInArrow(
         _assemble, "block long, doc int, doc_id long, held_out boolean, n_tokens long, known long, value double, base double, n_unseen long")
     end = float(np.log10(texts_ + ADD))
-    scores = (whole.withColumn("at", F.shiftleft("block", 15).bitwiseOR(F.col("doc"))).join(missed, "at", "left").select(
+    scores = (whole.withColumn("at", F.shiftleft("block", 15).bitwiseOR(F.col("doc"))).join(missed, "at", "left").join(split, "at", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + (1 if texts_ else 0)).alias("n_known"), F.lit(int(n)).cast("long").alias("train_tokens"),
         (F.col("base") + end - F.col("n_tokens") * below).alias("base_score"),
-        (F.col("value") + F.coalesce("back", F.lit(0.0)) - F.col("n_unseen") * below).alias("score")))
+        (F.col("value") + F.coalesce("back", F.lit(0.0)) + F.coalesce("split_back", F.lit(0.0)) - F.col("n_unseen") * below).alias("score")))
     return tries.select("shard", "levels"), scores

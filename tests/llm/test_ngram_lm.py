@@ -75,7 +75,7 @@ def test_scores_equal_brute_force(spark, prose, shard_tokens):
 
 def test_context_relative_search():
     contexts = np.array([5, 9, 1 << 60], np.uint64)
-    raw = lm.Trie.build(contexts, np.array([0, 2, 3]), np.array([1, 7, 7, 0, 7], np.uint64), np.array([3, 1, 2, 1, 1]), np.array([4, 2, 2]), np.ones(3, int))
+    raw = lm.Trie.build(contexts, np.array([0, 2, 3]), np.array([1, 7, 7, 0, 7], np.uint64), np.array([3, 1, 2, 1, 1]), np.array([4, 2, 2]), np.zeros(3, bool))
     trie = lm.Trie(raw)
     value, seen = trie.query(np.array([5, 5, 9, 9, 1 << 60, 6], np.uint64), np.array([1, 2, 7, 1, 0, 7], np.uint64))
     assert seen.tolist() == [True, False, True, False, True, False]
@@ -100,9 +100,16 @@ def test_split_contexts_back_off_like_whole_ones(spark, prose):
     assert model.count() > 20
     got, want = {r["doc_id"]: r["score"] for r in scores.collect()}, {r[0]: (b[0], b[-1]) for r, b in zip(rows, brute(rows))}
     assert all(abs(got[d] - score) < 0.05 * n for d, (n, score) in want.items())
-    context = lm.word_hashes(lm.pa.array(["the"])).astype(np.uint64)
-    kinds = len({w for _, t, training in rows if training for a, w in zip(t.split(), t.split()[1:]) if a == "the"})
-    times = sum(t.split().count("the") for _, t, training in rows if training)
-    for r in model.collect():       # the same back-off everywhere
-        value, seen = lm.Trie(r["levels"]).query(context, np.array([12345], np.uint64))
-        assert not seen[0] and abs(value[0] - math.log10(0.75 * kinds / times)) < 0.01
+
+
+def test_a_word_is_searched_in_its_context_alone():
+    """Words of neighbouring contexts, of the first and of the last one are not taken for a context's own."""
+    r = np.random.default_rng(3)
+    contexts = np.unique(r.integers(0, 1 << 63, 300).astype(np.uint64))
+    sets = [np.unique(r.integers(0, 60, r.integers(1, 40)).astype(np.uint64)) for _ in contexts]
+    starts = np.cumsum([0] + [len(x) for x in sets[:-1]])
+    counts = np.ones(sum(map(len, sets)), np.int64)
+    trie = lm.Trie(lm.Trie.build(contexts, starts, np.concatenate(sets), counts, np.array([len(x) for x in sets]), np.zeros(len(sets), bool)))
+    at, word = r.integers(0, len(contexts), 4000), r.integers(0, 64, 4000).astype(np.uint64)
+    _, seen = trie.query(contexts[at], word)
+    assert seen.tolist() == [bool((sets[a] == w).any()) for a, w in zip(at, word)]
