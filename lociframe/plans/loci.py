@@ -11,7 +11,10 @@ from lociframe.operators import intervals as iv
 from lociframe.operators import motifs as mo
 from lociframe.operators import negatives as ng
 from lociframe.operators.sampling import sample_n
+from lociframe.operators.scorers import Scorer
+from lociframe.operators.tracks import best_spaced, window_minima
 from lociframe.session import stored
+from lociframe.sources.packed import PackedGenome
 
 
 def extract_loci(peaks: DataFrame, genome: DataFrame, lengths: DataFrame, bin_width: int, width: int = 200,
@@ -56,8 +59,13 @@ def binding_track(genome: DataFrame, lengths: DataFrame, bin_width: int, scorer,
                   step: int) -> DataFrame:
     """A track of the lowest placement score per window, over whole contigs.
 
-    Every placement is scored once, though windows overlap.
+    Every placement is scored once, though windows overlap. A batch scorer works inside the scan of the genome, without a row per
+    placement; a scorer that is only a Column expression, or windows wider than a bin or the packed halo, go through window_min.
     """
+    reach = genome.halo if isinstance(genome, PackedGenome) else bin_width
+    if isinstance(scorer, Scorer) and width - 1 <= reach:
+        return iv.track_intervals(window_minima(gn.with_halo(genome, width - 1, bin_width), scorer, placed, width, step, bin_width),
+                                  lengths, width, step)
     bins = gn.with_halo(genome, placed - 1, bin_width).withColumn("bases", F.col("bases").cast("string"))
     tiles = dna.tile(bins, "bases", placed, skip_n=False)
     placements = tiles.select("chrom", (F.col("bin") * bin_width + F.col("win_start")).alias("pos"),
@@ -70,11 +78,7 @@ def motif_peaks(genome: DataFrame, lengths: DataFrame, bin_width: int, matrices:
                 width: int = 200) -> DataFrame:
     """BED rows of the n best hits of a motif per contig, at least one width apart and away from the ends."""
     w = len(matrices[name])
-    bins = gn.with_halo(genome, w - 1, bin_width).withColumn("bases", F.col("bases").cast("string"))
-    hits = mo.scan_motifs(bins, {name: matrices[name]}, ["chrom", "bin"], "bases", best_strand_only=True, matched=False)
-    one = hits.where(F.col("start") <= bin_width).select(
-        "chrom", (F.col("bin") * bin_width + F.col("start") - 1).alias("pos"), "score", "strand")
-    best = iv.top_n_spaced(one, n, width, margin=width // 2 + 1, lengths=lengths, width=w)
+    best = best_spaced(gn.with_halo(genome, w - 1, bin_width), matrices[name], n, width, bin_width, width // 2 + 1, lengths)
     centre = F.col("pos") + w // 2
     return best.select("chrom", (centre - width // 2).alias("start"), (centre + width // 2).alias("end"),
                        F.concat(F.lit(f"{name}_hit_"), F.col("pos").cast("string")).alias("name"),

@@ -12,8 +12,8 @@ from lociframe.operators import attribution as at
 from lociframe.operators import effects as ef
 from lociframe.operators import motifs as mo
 from lociframe.operators.genome import contig_lengths, extract_regions, variant_windows, with_halo
-from lociframe.operators import intervals as iv
 from lociframe.operators.scorers import ExpressionScorer, FunctionScorer, WeightScorer, score, score_distinct
+from lociframe.operators.tracks import best_spaced, window_minima
 from lociframe.queries.registry import query
 from lociframe.queries.views import BIN, MOTIFS, extraction_sql, has_only_acgt_sql, pair_scorer, pwm_scorer, weight, weight_scorer, weight_sum_sql
 
@@ -430,14 +430,6 @@ def _(v):
     return out.select("id", "chrom", "start", "end", "sequence", F.round(total, 6).alias("prediction"))
 
 
-def genome_hits(v, name):
-    """Best strand of every window of the genome: chrom, pos (0-based), score."""
-    bins = with_halo(v.packed, WIDTH - 1, BIN).withColumn("bases", F.col("bases").cast("string"))
-    hits = mo.scan_motifs(bins, {name: matrices(v)[name]}, ["chrom", "bin"], "bases", best_strand_only=True, matched=False)
-    return hits.where(F.col("start") <= BIN).select(
-        "chrom", (F.col("bin") * BIN + F.col("start") - 1).alias("pos"), "score", "strand")
-
-
 def genome_hits_sql(name):
     """hits (chrom, pos, score, strand): the better strand of every window of the genome, away from the ends of its contig."""
     return f"""w AS (SELECT chrom, off + i AS pos, substr(s, i + 1, {WIDTH}) AS s FROM (SELECT chrom, off, s, unnest(range(256)) AS i FROM (
@@ -460,9 +452,8 @@ def spaced_sql(n, distance):
 @query("top_n_spaced", "I17", views="halo contigs", sql=f"""
     WITH RECURSIVE {genome_hits_sql('alpha')}, {spaced_sql(4, 200)} SELECT chrom, pos, round(score, 6) AS score, strand FROM chosen""")
 def _(v):
-    lengths = contig_lengths(v.packed, BIN)
-    hits = genome_hits(v, "alpha").withColumn("score", F.round("score", 9))
-    return iv.top_n_spaced(hits, 4, 200, margin=101, lengths=lengths, width=WIDTH).withColumn("score", F.round("score", 6))
+    found = best_spaced(with_halo(v.packed, WIDTH - 1, BIN), matrices(v)["alpha"], 4, 200, BIN, 101, contig_lengths(v.packed, BIN))
+    return found.withColumn("score", F.round("score", 6))
 
 
 @query("window_min", "I18", views="halo", sql=f"""
@@ -473,8 +464,4 @@ def _(v):
         max(pos) OVER (PARTITION BY chrom) + 11 AS region_end FROM e)
     SELECT chrom, pos AS window_start, window_min FROM m WHERE pos % 20 = 0 AND pos + 24 <= region_end""")
 def _(v):
-    from lociframe.functions import dna
-    placed = dna.tile(with_halo(v.packed, 10, BIN).withColumn("bases", F.col("bases").cast("string")), "bases", 11, skip_n=False)
-    placements = placed.select("chrom", (F.col("bin") * BIN + F.col("win_start")).alias("pos"),
-                               F.round(weight_scorer(11)(F.col("win")), 6).alias("energy"))
-    return iv.window_min(placements, 24, 11, 20).select("chrom", "window_start", "window_min")
+    return window_minima(with_halo(v.packed, 23, BIN), weight_scorer(11, 6), 11, 24, 20, BIN)
