@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lociframe.functions import dna
 from lociframe.operators.evaluation import with_prefix
+from lociframe.operators.joins import spread_join
 from lociframe.operators.motifs import _chunks, _joined
 from lociframe.operators.negatives import shuffled_in_parts
 from lociframe.operators.scorers import CODES, WeightScorer, encode
@@ -80,6 +81,61 @@ def attribution_sums(df: DataFrame, key: str = "id", col: str = "attribution") -
 
 
 SPAN_DIGITS = 9
+DIGIT_BITS = 16             # of a double, counted in one pass
+NEVER = (1 << 63) - 1       # above the bits of every double
+
+
+def _cutoffs(rows: DataFrame, sizes, max_p: float) -> tuple[dict, dict]:
+    """Per (length, sign) the bits of the largest size that a share of max_p or more of all sizes reaches (0 where none is), and
+    the number of sizes.
+
+    sizes gives the bits of a batch per (length, sign). Each pass counts, in every task, the next 16 bits of the sizes whose higher bits
+    are those already found, 65,536 counters per length and sign; Spark adds the counts up, and one row per length and sign,
+    the digit where the sum from the top passes max_p, comes back. Four passes give the value itself, whatever the number of
+    distinct sums.
+    """
+    known: dict[tuple[int, int], int] = {}      # higher bits found so far
+    above: dict[tuple[int, int], int] = {}      # sizes larger than these
+    total: dict[tuple[int, int], int] = {}
+    for shift in range(64 - DIGIT_BITS, -1, -DIGIT_BITS):
+        first = not total
+
+        def count(batches, shift=shift, first=first, known=dict(known)):
+            counters: dict[tuple[int, int], np.ndarray] = {}
+            for pdf in batches:
+                for k, bits in sizes(pdf).items():
+                    if not first:
+                        if k not in known:
+                            continue
+                        bits = bits[bits >> (shift + DIGIT_BITS) == known[k]]
+                    found = np.bincount(bits >> shift & (1 << DIGIT_BITS) - 1, minlength=1 << DIGIT_BITS)
+                    counters[k] = counters[k] + found if k in counters else found
+            for (n, sign), c in counters.items():
+                digit = np.flatnonzero(c)
+                yield pd.DataFrame({"length": n, "sign": sign, "digit": digit, "n": c[digit]})
+
+        digits = (rows.mapInPandas(count, "length int, sign int, digit long, n long")
+                  .groupBy("length", "sign", "digit").agg(F.sum("n").alias("n")))
+        down = Window.partitionBy("length", "sign").orderBy(F.desc("digit")).rowsBetween(Window.unboundedPreceding, 0)
+        digits = (digits.withColumn("up_to", F.sum("n").over(down))
+                  .withColumn("all", F.sum("n").over(Window.partitionBy("length", "sign"))))
+        if not first:
+            digits = digits.join(F.broadcast(rows.sparkSession.createDataFrame(     # two rows per length
+                [(n, sign, above[n, sign], total[n, sign]) for n, sign in known], "length int, sign int, above long, total long")), ["length", "sign"])
+        else:
+            digits = digits.withColumns({"above": F.lit(0).cast("long"), "total": F.col("all")})
+        reached = (F.col("above") + F.col("up_to")) / F.col("total") >= max_p
+        found = (digits.groupBy("length", "sign").agg(
+            F.max(F.when(reached, F.col("digit"))).alias("digit"), F.first("total").alias("total"),
+            F.max_by(F.col("above") + F.col("up_to") - F.col("n"), F.when(reached, F.col("digit"))).alias("above")).collect())
+        for r in found:
+            k = (r["length"], r["sign"])
+            total[k] = r["total"]
+            if r["digit"] is not None:
+                known[k], above[k] = known.get(k, 0) << DIGIT_BITS | r["digit"], r["above"]
+        if not known:
+            break
+    return {k: known.get(k, 0) for k in total}, total
 
 
 def call_seqlets(df: DataFrame, key: str = "id", col: str = "attribution", shortest: int = 5, longest: int = 15,
@@ -92,8 +148,9 @@ def call_seqlets(df: DataFrame, key: str = "id", col: str = "attribution", short
     Of overlapping significant spans of a sequence the one of lowest p-value stays, then the longer,
     then the first. Flat attributions give none.
 
-    The spans are counted per distinct sum and the counts summed from the top; the cutoffs, one
-    per length and sign, go to the tasks, which look only at their own sequences.
+    The largest sum that is not rare enough is selected exactly, per length and sign, by histograms over 16 bits of the
+    doubles at a time (_cutoffs); the tasks look only at their own sequences with it. Only the sums beyond it, a share of
+    max_p of all, are counted one by one, for their p-values, and met by the spans on their bits.
     """
     lengths = list(range(shortest, longest + 1))
 
@@ -101,27 +158,30 @@ def call_seqlets(df: DataFrame, key: str = "id", col: str = "attribution", short
         total = np.concatenate([[0.0], np.cumsum(values)])
         return {n: np.round(total[n:] - total[:-n], SPAN_DIGITS) + 0.0 for n in lengths if len(total) > n}
 
-    def all_spans(batches):
+    def sizes(pdf):
+        """Per length and sign the bits of the absolute sums; of positive doubles they rise as the doubles do."""
+        found: dict[tuple[int, int], list[np.ndarray]] = {}
+        for values in pdf[col]:
+            for n, s in sums(np.asarray(values, float)).items():
+                for sign in (1, -1):
+                    found.setdefault((n, sign), []).append((s[s * sign > 0] * sign).view(np.int64))
+        return {k: np.concatenate(v) for k, v in found.items()}
+
+    rows = stored(df.select(key, col).where(F.col(col).isNotNull()))     # read by every pass
+    cut, total = _cutoffs(rows.select(col), sizes, max_p)
+
+    def beyond(batches):
         for pdf in batches:
-            counts: dict[tuple[int, int], list[np.ndarray]] = {}
-            for values in pdf[col]:
-                if values is None:
-                    continue
-                for n, s in sums(np.asarray(values, float)).items():
-                    for sign in (1, -1):
-                        counts.setdefault((n, sign), []).append(s[s * sign > 0] * sign)
-            for (n, sign), parts in counts.items():
-                size, c = np.unique(np.concatenate(parts), return_counts=True)
-                yield pd.DataFrame({"length": n, "sign": sign, "size": size, "n": c})
-
-    rows = df.select(key, col).where(F.col(col).isNotNull())
-    spread = (rows.select(col).mapInPandas(all_spans, "length int, sign int, size double, n long")
+            for (n, sign), bits in sizes(pdf).items():
+                size, c = np.unique(bits[bits > cut.get((n, sign), NEVER)], return_counts=True)
+                if len(size):
+                    yield pd.DataFrame({"length": n, "sign": sign, "size": size, "n": c})
+
+    spread = (rows.select(col).mapInPandas(beyond, "length int, sign int, size long, n long")
               .groupBy("length", "sign", "size").agg(F.sum("n").alias("n")))
-    ranked = with_prefix(spread, ["length", "sign"], "size", ["n"])
-    tail = stored(ranked.select("length", "sign", "size",
-                                ((F.col("n_all") - F.col("n_before")) / F.col("n_all")).alias("p_value")))
-    cut = {(r["length"], r["sign"]): r["cut"] for r in     # two rows per length
-           tail.where(F.col("p_value") < max_p).groupBy("length", "sign").agg(F.min("size").alias("cut")).collect()}
+    numbers = F.create_map(*[F.lit(x).cast("long") for (n, sign), all_ in total.items() for x in (n * sign, all_)]) if total else F.lit(None).cast("map<bigint,bigint>")
+    tail = with_prefix(spread, ["length", "sign"], "size", ["n"]).select(
+        "length", "sign", "size", ((F.col("n_all") - F.col("n_before")) / F.try_element_at(numbers, (F.col("length") * F.col("sign")).cast("long"))).alias("p_value"))
 
     def significant(batches):
         for pdf in batches:
@@ -133,17 +193,26 @@ def call_seqlets(df: DataFrame, key: str = "id", col: str = "attribution", short
                     for n in lengths:
                         if n not in by_length:
                             break
-                        good = by_length[n] * sign >= cut.get((n, sign), np.inf)
+                        size = by_length[n] * sign
+                        size = np.where(size > 0, size, 0.0).view(np.int64)
+                        good = size > cut.get((n, sign), NEVER)
                         if inner is not None:
                             good &= inner[:-1] & inner[1:]
                         inner = good
-                        out += [(k, int(i), int(i) + n, n, sign, float(by_length[n][i] * sign)) for i in np.flatnonzero(good)]
+                        out += [(k, int(i), int(i) + n, n, sign, int(size[i])) for i in np.flatnonzero(good)]
             if out:
                 yield pd.DataFrame(out, columns=[key, "start", "end", "length", "sign", "size"])
 
     key_type = df.schema[key].dataType.simpleString()
-    spans = rows.mapInPandas(significant, f"`{key}` {key_type}, start long, end long, length int, sign int, size double")
-    called = spans.join(tail, ["length", "sign", "size"]).withColumn("attribution", F.col("size") * F.col("sign"))
+    spans = rows.mapInPandas(significant, f"`{key}` {key_type}, start long, end long, length int, sign int, size long")
+
+    @F.pandas_udf("double")
+    def as_double(bits: pd.Series) -> pd.Series:
+        return pd.Series(bits.to_numpy(np.int64).view(float))
+
+    # Copies of a sequence share their sums, so a frequent one is cut by the row.
+    called = spread_join(spans, tail, ["length", "sign", "size"], row_key=F.struct(key, "start")).withColumn(
+        "attribution", as_double("size") * F.col("sign"))
 
     @F.pandas_udf("array<boolean>")
     def free(starts: pd.Series, ends: pd.Series) -> pd.Series:

@@ -229,6 +229,53 @@ def test_a_planted_seqlet_is_called_once(spark):
     assert at.call_seqlets(flat).count() == 0
 
 
+@pytest.mark.parametrize("max_p", [.003, .05, .4, 1.0, 2.0])
+def test_cutoffs_are_exact(spark, max_p):
+    rng = np.random.default_rng(4)
+    values = {(n, s): np.concatenate([rng.exponential(1, 300), [1.25] * 200, rng.integers(0, 9, 80) / 8, [1e-300, 1e300]]) for n in (5, 6) for s in (1, -1)}
+    values = {k: v[v > 0] for k, v in values.items()}
+    df = spark.createDataFrame([(n, s, v[i::7].tolist()) for (n, s), v in values.items() for i in range(7)], "n int, s int, v array<double>").repartition(5)
+
+    def sizes(pdf):
+        out = {}
+        for n, s, v in zip(pdf["n"], pdf["s"], pdf["v"]):
+            out.setdefault((n, s), []).append(np.asarray(v, float).view(np.int64))
+        return {k: np.concatenate(v) for k, v in out.items()}
+
+    cut, total = at._cutoffs(df, sizes, max_p)
+    assert total == {k: len(v) for k, v in values.items()}
+    for k, v in values.items():
+        common = [x for x in v if (v >= x).sum() / len(v) >= max_p]
+        assert cut[k] == (np.array([max(common)]).view(np.int64)[0] if common else 0)
+
+
+def test_seqlets_equal_a_loop(spark):
+    rng = np.random.default_rng(6)
+    lists = [np.round(rng.normal(0, 1, rng.integers(0, 40)), 1).tolist() for _ in range(25)]
+    lists += [lists[3]] * 20 + [[0.0] * 12, [], [float("nan")] * 9 + [1.0] * 9]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(lists)] + [(99, None)], "id long, attribution array<double>")
+    lengths, max_p = range(3, 7), .2
+
+    def total(v, i, n):
+        return round(float(np.concatenate([[0.0], np.cumsum(v)])[i + n] - np.concatenate([[0.0], np.cumsum(v)])[i]), 9)
+    every = {(k, i, n): total(v, i, n) for k, v in enumerate(lists) for n in lengths for i in range(len(v) - n + 1)}
+    pools = {(n, s): np.array([t * s for (_, _, m), t in every.items() if m == n and t * s > 0]) for n in lengths for s in (1, -1)}
+    p = {span: (pools[span[2], s] >= t * s).sum() / len(pools[span[2], s]) for span, t in every.items() for s in (1, -1) if t * s > 0}
+    good = {}
+    for (k, i, n), t in sorted(every.items(), key=lambda x: x[0][2]):
+        inner = [(k, j, n - 1) for j in (i, i + 1)] if n > 3 else []
+        good[k, i, n] = t == t and t != 0 and p[k, i, n] < max_p and all(good[x] and every[x] * t > 0 for x in inner)
+    want = []
+    for k in range(len(lists)):
+        taken = []
+        for _, _, i, n in sorted((p[x], -x[2], x[1], x[2]) for x, ok in good.items() if ok and x[0] == k):
+            if all(i >= j + m or j >= i + n for j, m in taken):
+                taken.append((i, n))
+                want.append((k, i, i + n, every[k, i, n], p[k, i, n]))
+    got = at.call_seqlets(df, shortest=3, longest=6, max_p=max_p).collect()
+    assert sorted(tuple(r) for r in got) == sorted(want) and len(want) > 20
+
+
 def test_spans_are_annotated(spark, motifs):
     spans = spark.createDataFrame([(1, 5, "ACT"), (1, 9, "GGG"), (2, 5, "A")], "id long, start long, span_seq string")
     table = mo.log_odds(motifs)
