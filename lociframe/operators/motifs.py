@@ -23,6 +23,8 @@ PSEUDOCOUNT = 0.01
 SCALE = 100              # score units of a bit for p-values
 CHUNK_BASES = 4_000_000  # bases scanned at once in a task
 MAX_MOTIF_ROWS = 1_000_000
+BLOCK_WINDOWS = 8192     # windows scored at once with a bank of motifs
+BANK_MOTIFS = 512        # motifs of a bank
 
 
 def log_odds(motifs: DataFrame, pseudocount: float = PSEUDOCOUNT, background: float = 0.25) -> DataFrame:
@@ -58,11 +60,11 @@ def strand_scores(codes: np.ndarray, matrix: np.ndarray) -> tuple[np.ndarray, np
     return fwd, rev
 
 
-def _chunks(seqs: Sequence[str]) -> Iterator[tuple[int, int]]:
-    first, size = 0, 0
+def _chunks(seqs: Sequence[str], bases: int | None = None) -> Iterator[tuple[int, int]]:
+    first, size, bases = 0, 0, bases or CHUNK_BASES
     for i, s in enumerate(seqs):
         size += len(s) + 1
-        if size >= CHUNK_BASES:
+        if size >= bases:
             yield first, i + 1
             first, size = i + 1, 0
     if first < len(seqs):
@@ -350,20 +352,71 @@ def consensus(motifs: DataFrame) -> DataFrame:
     return best.groupBy("motif").agg(F.array_join(F.transform(ordered, lambda x: x["base"]), "").alias("consensus"))
 
 
+def best_in_bank(spans: DataFrame, matrices: dict[str, np.ndarray], keys: Sequence[str], seq: str = "span_seq", scale: int = SCALE) -> DataFrame:
+    """keys, motif, iscore and n: the best whole score (1/scale bits) of a motif over the windows of a span and both strands, and their number.
+
+    Motifs of one width form a bank, a matrix with a column per motif and strand; the windows of a block of spans, one-hot, times
+    the bank give all scores at once, and the maximum per span is taken before anything leaves the task. So one row per span and motif
+    comes out, however many windows a span has, and the arrays are bounded by BLOCK_WINDOWS and BANK_MOTIFS. Whole scores
+    make the products exact. Windows with another letter than A, C, G, T are left out, and a span without a window of a
+    motif has no row for it.
+    """
+    keys = list(keys)
+    named = {k: f"_key_{i}" for i, k in enumerate(keys)}
+    src = spans.select(*[F.col(k).alias(v) for k, v in named.items()], F.upper(F.col(seq)).alias("_seq"))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema if f.name != "_seq")
+    banks = []
+    by_width: dict[int, list[str]] = {}
+    for name in sorted(matrices):
+        by_width.setdefault(len(matrices[name]), []).append(name)
+    for w, names in sorted(by_width.items()):
+        for at in range(0, len(names), BANK_MOTIFS):
+            some = names[at:at + BANK_MOTIFS]
+            whole = [np.rint(np.asarray(matrices[x], float) * scale) for x in some]
+            banks.append((w, np.array(some, dtype=object), np.stack([m.reshape(-1) for m in whole] + [m[::-1, ::-1].reshape(-1) for m in whole], axis=1)))
+
+    def scan(batches):
+        for pdf in batches:
+            pdf = pdf[pdf["_seq"].notna()]
+            texts = pdf["_seq"].tolist()
+            for lo, hi in _chunks(texts, BLOCK_WINDOWS):
+                data, starts = _joined(texts[lo:hi])
+                codes = CODES[data].astype(np.int64)
+                gaps = np.concatenate([[0], np.cumsum(codes > 3)])
+                owner = np.repeat(np.arange(hi - lo), np.diff(np.append(starts, len(codes))))
+                part = pdf.iloc[lo:hi].drop(columns="_seq").reset_index(drop=True)
+                for w, names, bank in banks:
+                    places = np.flatnonzero(gaps[w:] == gaps[:-w]) if len(codes) >= w else np.zeros(0, dtype=np.int64)
+                    best = np.full((hi - lo, len(names)), -np.inf)
+                    for at in range(0, len(places), BLOCK_WINDOWS):
+                        some = places[at:at + BLOCK_WINDOWS]
+                        hot = np.zeros((len(some), w, 4))
+                        hot[np.arange(len(some))[:, None], np.arange(w), codes[some[:, None] + np.arange(w)]] = 1
+                        scores = hot.reshape(len(some), -1) @ bank
+                        scores = np.maximum(scores[:, :len(names)], scores[:, len(names):])
+                        rows = owner[some]
+                        first = np.flatnonzero(np.diff(rows, prepend=-1))
+                        best[rows[first]] = np.maximum(best[rows[first]], np.maximum.reduceat(scores, first, axis=0))
+                    row = np.unique(owner[places])
+                    if len(row):
+                        windows = np.bincount(owner[places], minlength=hi - lo)[row]
+                        out = part.iloc[np.repeat(row, len(names))].reset_index(drop=True)
+                        out["motif"] = np.tile(names, len(row))
+                        out["iscore"] = best[row].reshape(-1).astype(np.int64)
+                        out["n"] = np.repeat(2 * windows, len(names))
+                        yield out
+
+    return src.mapInPandas(scan, f"{fields}, motif string, iscore long, n long").withColumnsRenamed({v: k for k, v in named.items()})
+
+
 def annotate_spans(spans: DataFrame, motifs: DataFrame, matrices: dict[str, np.ndarray], keys: Sequence[str],
                    seq: str = "span_seq", max_p: float = 0.05, scale: int = SCALE) -> DataFrame:
     """Adds the motif with the smallest p-value over the span's windows and that p-value, corrected for
     the number of windows; the name only when the p-value is below max_p. Spans shorter than every
-    motif get NULLs."""
+    motif get NULLs. The smallest p-value of a motif is that of its best score, so only this one is looked up."""
     keys = list(keys)
-    # The hits have start and stop columns of their own, so the keys travel under other names.
-    named = {k: f"_key_{i}" for i, k in enumerate(keys)}
-    hits = scan_motifs(spans.withColumnsRenamed(named), matrices, list(named.values()), seq, matched=False, scale=scale)
-    hits = hits.drop("start", "stop").withColumnsRenamed({v: k for k, v in named.items()})
-    p = F.col("p_value")
-    best = (hits.join(null_distribution(motifs, scale), ["motif", "iscore"])
-            .groupBy(*keys, "motif").agg(F.min(p).alias("_p"), F.count(F.lit(1)).alias("_n"))
-            .withColumn("motif_p_value", 1.0 - F.pow(1.0 - F.col("_p"), F.col("_n")))
+    best = (best_in_bank(spans, matrices, keys, seq, scale).join(null_distribution(motifs, scale), ["motif", "iscore"])
+            .withColumn("motif_p_value", 1.0 - F.pow(1.0 - F.col("p_value"), F.col("n")))
             .groupBy(*keys).agg(F.min_by(F.struct("motif", "motif_p_value"), F.struct("motif_p_value", "motif")).alias("b")))
     return (spans.join(best, keys, "left")
             .withColumn("motif_p_value", F.col("b.motif_p_value"))

@@ -284,6 +284,34 @@ def test_spans_are_annotated(spark, motifs):
     assert out[(1, 5)]["motif"] == "m1" and out[(1, 9)]["motif"] is None
 
 
+@pytest.mark.parametrize("block, bank", [(8192, 512), (7, 2)])
+def test_a_bank_equals_the_scan(spark, monkeypatch, block, bank):
+    monkeypatch.setattr(mo, "BLOCK_WINDOWS", block)
+    monkeypatch.setattr(mo, "BANK_MOTIFS", bank)
+    rng = np.random.default_rng(3)
+    matrices = {f"m{i}": np.round(rng.normal(0, 1, (w, 4)), 3) for i, w in enumerate([3, 5, 3, 8, 3, 5, 12])}
+    texts = [dna(n, n_rate=.08) for n in (0, 1, 2, 3, 4, 9, 30, 200)] + ["NNNNNN", "acgtac", None]
+    df = spark.createDataFrame([(i, i % 3, t, 1.5) for i, t in enumerate(texts)], "start long, stop int, span_seq string, score double")
+    got = mo.best_in_bank(df, matrices, ["start", "stop"])
+    hits = mo.scan_motifs(df.withColumnsRenamed({"start": "a", "stop": "b"}), matrices, ["a", "b"], "span_seq", matched=False)
+    want = hits.groupBy("a", "b", "motif").agg(F.max("iscore"), F.count(F.lit(1)))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() >= 30
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
+def test_a_library_of_motifs_annotates_spans(spark):
+    rng = np.random.default_rng(8)
+    probs = rng.dirichlet([.2] * 4, (300, 8))
+    rows = [(f"m{i:03}", p, b, float(x)) for i, m in enumerate(probs) for p, col in enumerate(m) for b, x in zip("ACGT", col)]
+    table = mo.log_odds(spark.createDataFrame(rows, "motif string, pos int, base string, prob double"))
+    planted = [(i, "".join("ACGT"[c] for c in probs[i].argmax(axis=1))) for i in range(0, 300, 25)]
+    spans = spark.createDataFrame(planted + [(999, None), (1000, "")], "id long, span_seq string")
+    out = {r["id"]: (r["motif"], r["motif_p_value"]) for r in mo.annotate_spans(spans, table, mo.load_matrices(table), ["id"]).collect()}
+    assert len(out) == 14 and out[999] == out[1000] == (None, None)
+    assert sum(out[i][0] == f"m{i:03}" for i, _ in planted) >= 9 and all(out[i][1] < .01 for i, _ in planted)
+
+
 @pytest.mark.parametrize("pad, dilation, stride", [(0, 1, 1), (2, 1, 1), (2, 2, 1), (1, 1, 2)])
 def test_filters_equal_a_convolution(spark, pad, dilation, stride):
     rng = np.random.default_rng(2)
