@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lociframe.operators.joins import HOT_ROWS, join_few, spread_join
+from lociframe.operators.joins import HOT_ROWS, grid_join, join_few, spread_join
 
 MERGE_BITS = 16   # merge bins of 65,536 bp
 JOIN_BITS = 14    # overlap bins of 16,384 bp
@@ -94,7 +94,7 @@ def overlap_join(left: DataFrame, right: DataFrame, on: Sequence[str] = ("chrom"
     """All pairs of overlapping rows of two interval tables.
 
     Both sides are repeated for the bins they touch and joined on (keys, bin); a pair is kept only
-    in the bin of the larger start, so it appears once. Bins with many left rows are salted.
+    in the bin of the larger start, so it appears once. Bins with many rows on either side are cut on that side.
     Right columns other than the keys get the suffix where the names clash.
     """
     on = list(on)
@@ -106,8 +106,8 @@ def overlap_join(left: DataFrame, right: DataFrame, on: Sequence[str] = ("chrom"
         last = F.greatest(F.col(start), F.col(end) - 1)
         return df.withColumn("_bin", F.explode(F.sequence(_bin(start, bits), _bin(last, bits))))
 
-    pairs = spread_join(binned(left, "start", "end"), binned(right, r_start, r_end), [*on, "_bin"],
-                        row_key=row_key, hot_rows=hot_rows)
+    pairs = grid_join(binned(left, "start", "end"), binned(right, r_start, r_end), [*on, "_bin"],
+                      left_key=row_key, hot_rows=hot_rows)
     return pairs.where(
         (F.col("start") < F.col(r_end)) & (F.col(r_start) < F.col("end"))
         & (F.col("_bin") == _bin(F.greatest("start", r_start), bits))).drop("_bin")

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from lociframe.functions.contigs import resolve_contig
 from lociframe.operators import intervals as iv
-from lociframe.operators.joins import spread_join
+from lociframe.operators.joins import grid_join, spread_join
 from lociframe.operators.sampling import sample_n, take_by_hash
 
 PEAKS = "chrom string, start long, end long, num long"
@@ -78,6 +78,34 @@ def test_overlap_join_equals_all_pairs(spark, rows, hot_rows):
     assert rows(got, "id", "id_right") == want
 
 
+@pytest.mark.parametrize("hot", ["left", "right", "both"])
+def test_a_hot_bin_is_cut_on_either_side(spark, rows, hot):
+    rng = random.Random(11)
+
+    def table(tag, crowd):
+        places = [50] * crowd + [rng.randrange(4000) for _ in range(40)]
+        return spark.createDataFrame([(f"{tag}{i}", "a", s, s + 3) for i, s in enumerate(places)], "id string, chrom string, start long, end long")
+    left, right = table("l", 300 if hot != "right" else 1), table("r", 300 if hot != "left" else 1)
+    got = iv.overlap_join(left, right, bits=6, hot_rows=20, row_key=F.col("id"))
+    plain = iv.overlap_join(left, right, bits=6, hot_rows=None)
+    assert rows(got, "id", "id_right") == rows(plain, "id", "id_right")
+    # Rows of the crowded bin that meet in one task: a part of each side.
+    keyed = [df.select("id", F.lit("k").alias("k")).withColumnRenamed("id", name) for df, name in ((left, "x"), (right, "y"))]
+    pairs = grid_join(*keyed, ["k"], hot_rows=20)
+    assert pairs.count() == left.count() * right.count() == pairs.distinct().count()
+    lefts = {r["x"] for r in keyed[0].collect()}
+    assert {r["x"] for r in pairs.select("x").distinct().collect()} == lefts
+
+
+def test_grid_join_with_nulls_and_empty_sides(spark, rows):
+    left = spark.createDataFrame([(1, "a"), (2, None), (3, "a"), (3, "a")], "x long, k string")
+    right = spark.createDataFrame([("a", 7), (None, 8), ("b", 9)], "k string, y long")
+    for hot in (None, 1, 100):
+        assert rows(grid_join(left, right, ["k"], hot_rows=hot), "k", "x", "y") == [("a", 1, 7), ("a", 3, 7), ("a", 3, 7)]
+        assert grid_join(left.where("false"), right, ["k"], hot_rows=hot).count() == 0
+        assert grid_join(left, right.where("false"), ["k"], hot_rows=hot).count() == 0
+
+
 def test_overlap_edges(spark, rows):
     peaks = spark.createDataFrame([("a", 10, 20)], "chrom string, start long, end long")
     points = spark.createDataFrame([("a", p - 1, p) for p in (10, 11, 20, 21)], "chrom string, start long, end long")
