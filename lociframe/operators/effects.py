@@ -11,12 +11,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lociframe.functions import dna
+from lociframe.operators.scorers import edited, put
 
 BASES = "ACGT"
-
-
-def _put(seq: Column, pos: Column, base: Column) -> Column:
-    return F.overlay(seq, base, (pos + 1).cast("int"), F.lit(1))
+STRETCH = 16      # partners of a position that one row holds, which bounds an Arrow batch
 
 
 def _positions(col: Column, positions: Sequence[int] | None) -> Column:
@@ -61,7 +59,7 @@ def mutagenesis(df: DataFrame, scorer, key: str = "id", col: str = "seq", start:
     rows = (df.select(key, col, *([scorer(seq).alias("original")] if raw else []))
             .where(stop > start)
             .withColumn("pos", F.explode(F.sequence(F.lit(start), stop - 1)))
-            .withColumn("_y", scorer.over(F.transform(_bases(), lambda b: _put(seq, pos, b)))))
+            .withColumn("_y", scorer.over(F.transform(_bases(), lambda b: put(seq, pos, b)))))
     mean = (F.get("_y", F.lit(0)) + F.get("_y", F.lit(1)) + F.get("_y", F.lit(2)) + F.get("_y", F.lit(3))) / 4
     out = rows.withColumn("_m", mean).select(
         key, F.col("pos").cast("long").alias("pos"), *(["original"] if raw else []), "_m",
@@ -83,40 +81,59 @@ def mean_delta(df: DataFrame, delta: str = "delta") -> DataFrame:
     return df.agg(F.avg(delta).alias("mean_delta"), F.count(delta).alias("n"))
 
 
+def _singles(df: DataFrame, scorer, places: Column, key: str, col: str) -> DataFrame:
+    """One row per sequence: its places, their bases as numbers (-1 for other letters), its score and, for the n-th place and base b,
+    the score with that base there at 4n + b. Scored once, and shared by all pairs or triplets of the sequence."""
+    seq = F.col(col)
+    rows = df.select(key, col, places.alias("_p"))
+    rows = rows.withColumn("_c", F.transform("_p", lambda p: F.instr(F.lit(BASES), F.upper(F.substring(seq, p + 1, F.lit(1)))) - 1))
+    edits = F.flatten(F.transform("_p", lambda p: F.transform(F.sequence(F.lit(0), F.lit(3)), lambda b: F.array(p * 4 + b))))
+    return edited(rows, scorer, seq, edits, 1, "_one").withColumn("_y", scorer(seq))
+
+
+def _stretches(rows: DataFrame, after: str) -> DataFrame:
+    """A row for every STRETCH places after the place numbered `after`: the first and the last of their numbers."""
+    first = F.col(after) + 1
+    last = F.size("_p") - 1
+    starts = F.when(first <= last, F.sequence(first, last, F.lit(STRETCH)))
+    return rows.withColumn("_from", F.explode(starts)).withColumn("_to", F.least(F.col("_from") + STRETCH - 1, F.size("_p") - 1))
+
+
+def _other(code: Column, turn) -> Column:
+    """The base `turn` steps after a base."""
+    return (code + turn) % 4
+
+
 def epistasis2(df: DataFrame, scorer, positions: Sequence[int] | None = None, key: str = "id",
                col: str = "seq") -> DataFrame:
     """Pairwise epistasis y_ij - y_i - y_j + y for all non-reference bases of each position pair.
 
-    One row per pair is scored with its 16 base combinations, which hold the singles and the
-    original too.
+    The original and the singles are scored once per sequence; of a pair only the nine double changes are, in rows of one position and
+    at most STRETCH partners. Positions beyond the end or with a letter other than A, C, G, T (in either case) form no pairs.
     """
-    seq, i, j = F.col(col), F.col("pos_i"), F.col("pos_j")
+    seq, ni, i = F.col(col), F.col("_ni"), F.col("pos_i")
     places = _positions(seq, positions)
-    pairs = (df.select(key, col).withColumn("pos_i", F.explode(places))
-             .withColumn("pos_j", F.explode(F.filter(places, lambda p: p > F.col("pos_i"))))
-             .withColumn("ref_i", F.substring(seq, i + 1, F.lit(1)))
-             .withColumn("ref_j", F.substring(seq, j + 1, F.lit(1))))
-    combos = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda x: _put(
-        _put(seq, i, F.substring(F.lit(BASES), F.shiftright(x, 2) + 1, F.lit(1))),
-        j, F.substring(F.lit(BASES), x % 4 + 1, F.lit(1))))
-    scored = pairs.withColumn("_y", scorer.over(combos))
-
-    def code(c):
-        return F.instr(F.lit(BASES), F.col(c)) - 1
-
-    changed = F.filter(F.sequence(F.lit(0), F.lit(15)), lambda x: (
-        (F.shiftright(x, 2) != F.col("_ri")) & (x % 4 != F.col("_rj"))))
-    rows = (scored.withColumn("_ri", code("ref_i")).withColumn("_rj", code("ref_j"))
-            .withColumn("_k", F.explode(changed))
-            .withColumn("prediction", F.get("_y", F.col("_k")))
-            .withColumn("_a", F.shiftright("_k", 2)).withColumn("_b", F.col("_k") % 4))
-    y = F.get("_y", F.col("_ri") * 4 + F.col("_rj"))
-    yi = F.get("_y", F.col("_a") * 4 + F.col("_rj"))
-    yj = F.get("_y", F.col("_ri") * 4 + F.col("_b"))
+    rows = _singles(df, scorer, F.filter(places, lambda p: (p >= 0) & (p < F.length(seq))), key, col)
+    rows = _stretches(rows.select("*", F.posexplode("_p").alias("_ni", "pos_i")), "_ni").withColumn("_ri", F.get("_c", ni))
+    turns = F.sequence(F.lit(0), F.lit(8))
+    pairs = F.flatten(F.transform(F.sequence("_from", "_to"), lambda n: F.transform(
+        F.filter(turns, lambda t: (F.get("_c", n) >= 0) & (F.col("_ri") >= 0)), lambda t: F.struct(
+            n.alias("n"), F.get("_p", n).alias("j"), F.get("_c", n).alias("rj"),
+            _other(F.col("_ri"), F.floor(t / 3).cast("int") + 1).alias("a"), _other(F.get("_c", n), t % 3 + 1).alias("b")))))
+    rows = rows.withColumn("_e", pairs)
+    both = F.transform("_e", lambda e: F.array(i * 4 + e["a"], e["j"] * 4 + e["b"]))
+    rows = edited(rows, scorer, seq, both, 2, "_two").withColumn("_x", F.explode(F.arrays_zip(F.col("_e").alias("e"), F.col("_two").alias("y"))))
+    e = F.col("_x.e")
+
+    def letter(code):
+        return F.substring(F.lit(BASES), code + 1, F.lit(1))
+
+    prediction = F.col("_x.y")
     return rows.select(
-        key, i.cast("long").alias("pos_i"), "ref_i", F.substring(F.lit(BASES), F.col("_a") + 1, F.lit(1)).alias("base_i"),
-        j.cast("long").alias("pos_j"), "ref_j", F.substring(F.lit(BASES), F.col("_b") + 1, F.lit(1)).alias("base_j"),
-        "prediction", (F.col("prediction") - yi - yj + y).alias("delta_delta"))
+        key, i.cast("long").alias("pos_i"), F.substring(seq, i + 1, F.lit(1)).alias("ref_i"), letter(e["a"]).alias("base_i"),
+        e["j"].cast("long").alias("pos_j"), F.substring(seq, e["j"] + 1, F.lit(1)).alias("ref_j"), letter(e["b"]).alias("base_j"),
+        prediction.alias("prediction"),
+        (prediction - F.get("_one", ni * 4 + e["a"]) - F.get("_one", e["n"] * 4 + e["b"]) + F.col("_y")).alias("delta_delta"))
 
 
 def top_interactions(pairs: DataFrame, n: int = 500, least: float = 1e-6, key: str = "id") -> DataFrame:
@@ -131,48 +148,50 @@ def epistasis3(df: DataFrame, scorer, start: int | None = None, end: int | None
     """Third-order epistasis of each position triplet: the combination of non-reference bases of
     largest magnitude, where that exceeds the threshold.
 
-    The default region is the middle: length//2 - 4 to length//2 + 4. One row per triplet is scored
-    with its 64 base combinations. Magnitudes equal to 1e-9 count as ties; the first combination wins.
+    The default region is the middle: length//2 - 4 to length//2 + 4. The original and the singles are scored once per sequence, of a
+    triplet the 54 combinations that change two or three of its bases, in rows of two positions and at most STRETCH third ones.
+    Positions with a letter other than A, C, G, T form no triplets. Magnitudes equal to 1e-9 count as ties; the first
+    combination in the order of the bases wins.
     """
     seq = F.col(col)
     half = F.floor(F.length(seq) / 2).cast("int")
-    lo = F.greatest(F.lit(0), half - 4) if start is None else F.lit(start)
-    hi = F.least(F.length(seq), half + 5) if end is None else F.lit(end)
-    i, j, k = F.col("pos_i"), F.col("pos_j"), F.col("pos_k")
-    rows = (df.select(key, col, F.sequence(lo, hi - 1).alias("_p"))
-            .withColumn("pos_i", F.explode("_p"))
-            .withColumn("pos_j", F.explode(F.filter("_p", lambda p: p > F.col("pos_i"))))
-            .withColumn("pos_k", F.explode(F.filter("_p", lambda p: p > F.col("pos_j")))))
-    combos = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda x: _put(_put(
-        _put(seq, i, F.substring(F.lit(BASES), F.shiftright(x, 4) + 1, F.lit(1))),
-        j, F.substring(F.lit(BASES), F.shiftright(x, 2) % 4 + 1, F.lit(1))),
-        k, F.substring(F.lit(BASES), x % 4 + 1, F.lit(1))))
-
-    def code(p):
-        return F.instr(F.lit(BASES), F.substring(seq, p + 1, F.lit(1))) - 1
-
-    rows = rows.withColumn("_ra", code(i)).withColumn("_rb", code(j)).withColumn("_rc", code(k))
-    ra, rb, rc = F.col("_ra"), F.col("_rb"), F.col("_rc")
-    changed = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda x: (
-        (F.shiftright(x, 4) != ra) & (F.shiftright(x, 2) % 4 != rb) & (x % 4 != rc)))
+    lo = F.greatest(F.lit(0), half - 4) if start is None else F.lit(max(0, start))
+    hi = F.least(F.length(seq), half + 5) if end is None else F.least(F.length(seq), F.lit(end))
+    region = F.when(lo < hi, F.sequence(lo, hi - 1))
+    rows = _singles(df, scorer, region, key, col).select("*", F.posexplode("_p").alias("_ni", "pos_i"))
+    later = F.when(F.col("_ni") + 1 < F.size("_p"), F.sequence(F.col("_ni") + 1, F.size("_p") - 1))
+    rows = _stretches(rows.withColumn("_nj", F.explode(later)), "_nj")
+    ra, rb = F.get("_c", F.col("_ni")), F.get("_c", F.col("_nj"))
+    i, j = F.col("pos_i"), F.get("_p", F.col("_nj"))
+
+    # Bases are counted from the reference, so the places of the 27 triple and 3 * 9 double changes are known beforehand.
+    turns = [(a, b, c) for a in (1, 2, 3) for b in (1, 2, 3) for c in (1, 2, 3)]
+    turns += [t for free in (2, 1, 0) for t in [x[:free] + (0,) + x[free:] for x in [(a, b) for a in (1, 2, 3) for b in (1, 2, 3)]]]
+    numbers = F.filter(F.sequence("_from", "_to"), lambda n: (F.get("_c", n) >= 0) & (ra >= 0) & (rb >= 0))
+    rows = rows.withColumn("_k", numbers)
+    combos = F.expr(f"array({', '.join(f'array{t}' for t in turns)})")
+    edits = F.flatten(F.transform("_k", lambda n: F.transform(combos, lambda t: F.array(
+        i * 4 + _other(ra, t[0]), j * 4 + _other(rb, t[1]), F.get("_p", n) * 4 + _other(F.get("_c", n), t[2])))))
+    rows = edited(rows, scorer, seq, edits, 3, "_all").select("*", F.posexplode("_k").alias("_t", "_nk")).withColumn(
+        "_s", F.slice("_all", F.col("_t") * len(turns) + 1, len(turns)))
+    rc = F.get("_c", F.col("_nk"))
 
     def largest(scores):
-        def y(a, b, c):
-            return F.get(scores, a * 16 + b * 4 + c)
-
         def third(x):
             a, b, c = F.shiftright(x, 4), F.shiftright(x, 2) % 4, x % 4
-            value = (y(a, b, c) - (y(a, b, rc) + y(a, rb, c) + y(ra, b, c))
-                     + (y(a, rb, rc) + y(ra, b, rc) + y(ra, rb, c)) - y(ra, rb, rc))
-            return F.struct(F.round(F.abs(value), 9).alias("size"), (-x).alias("first"), value.alias("value"))
-
-        return F.array_max(F.transform(changed, third))
-
-    # The scores are bound once, as the variable of a one-element transform, and filtered inside
-    # the generator: a filter above would be pushed down and score the combinations again.
-    best = F.filter(F.transform(F.array(F.col("_y")), largest), lambda b: b["size"] > threshold)
-    return (rows.withColumn("_y", scorer.over(combos)).withColumn("_best", F.explode(best))
-            .select(key, *[p.cast("long").alias(n) for p, n in ((i, "pos_i"), (j, "pos_j"), (k, "pos_k"))],
+            base_a, base_b, base_c = _other(ra, a), _other(rb, b), _other(rc, c)
+            double = (F.get(scores, a * 3 + b + 23) + F.get(scores, a * 3 + c + 32) + F.get(scores, b * 3 + c + 41))
+            single = (F.get("_one", F.col("_ni") * 4 + base_a) + F.get("_one", F.col("_nj") * 4 + base_b)
+                      + F.get("_one", F.col("_nk") * 4 + base_c))
+            value = F.get(scores, a * 9 + b * 3 + c - 13) - double + single - F.col("_y")
+            return F.struct(F.round(F.abs(value), 9).alias("size"), (-(base_a * 16 + base_b * 4 + base_c)).alias("first"), value.alias("value"))
+        return F.array_max(F.transform(F.expr("filter(sequence(21, 63), x -> x % 4 > 0 AND shiftright(x, 2) % 4 > 0)"), third))
+
+    # The slice is bound once, as the variable of a one-element transform, and filtered inside the generator: a filter above would
+    # be pushed down and score the combinations again.
+    best = F.filter(F.transform(F.array(F.col("_s")), largest), lambda b: b["size"] > threshold)
+    return (rows.withColumn("_best", F.explode(best))
+            .select(key, i.cast("long").alias("pos_i"), j.cast("long").alias("pos_j"), F.get("_p", F.col("_nk")).cast("long").alias("pos_k"),
                     F.col("_best.value").alias("interaction")))
 
 

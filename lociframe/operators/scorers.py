@@ -4,6 +4,9 @@ A scorer is called with a Column and gives a Column, so that reference and mutan
 reverse, are scored side by side in one row without a join. Built-in ones work on whole Arrow
 batches; any Spark expression or batch function is a scorer too. A sequence that cannot be scored
 gives NULL.
+
+`edited` scores a sequence under many small edits; a scorer that knows how its score changes with a base (weights, pairs) does so
+without writing the edited sequences out.
 """
 
 from __future__ import annotations
@@ -73,6 +76,36 @@ class WeightScorer(Scorer):
         self.digits = digits
         self.length = len(self.weights)
 
+    def by_difference(self, seq: Column, edits: Column, k: int) -> Column:
+        """The score of the sequence plus what each edit changes; the edits' numbers follow each other in one array."""
+        scorer = self
+
+        @F.pandas_udf("array<double>")
+        def score(seqs: pd.Series, lists: pd.Series) -> pd.Series:
+            sizes = np.fromiter((0 if x is None else len(x) // k for x in lists), dtype=np.int64, count=len(lists))
+            flat = np.concatenate([np.zeros(0, np.int64), *(x for x, n in zip(lists, sizes) if n)]).astype(np.int64).reshape(-1, k)
+            values = _nullable(scorer.edit_scores(seqs.tolist(), np.repeat(np.arange(len(seqs)), sizes), flat >> 2, flat & 3)).to_numpy()
+            ends = np.cumsum(sizes)
+            return pd.Series([values[e - n:e] for e, n in zip(ends, sizes)], dtype=object)
+        return score(seq, edits)
+
+    def edit_scores(self, seqs: Sequence[str], rows: np.ndarray, places: np.ndarray, bases: np.ndarray) -> np.ndarray:
+        """Score of seqs[rows[e]] with bases[e] put at places[e], which are different places, for every edit e."""
+        codes, _ = encode(seqs, self.length)
+        short = np.fromiter((s is None or len(s) != self.length for s in seqs), dtype=bool, count=len(seqs))
+        unknown = (codes > 3).sum(axis=1)
+        inside = (places < self.length).all(axis=1) & ~short[rows]
+        rows, places, bases = rows[inside], places[inside], bases[inside]
+        old = codes[rows[:, None], places]
+        total = self._sum(lambda p: codes[:, p], len(codes), other=0.0)[rows] + self._change(codes, rows, places, bases, old)
+        out = np.full(len(inside), np.nan)
+        out[inside] = np.where(unknown[rows] == (old > 3).sum(axis=1), self._rounded(total), np.nan)
+        return out
+
+    def _change(self, codes, rows, places, bases, old) -> np.ndarray:
+        table = np.hstack([self.weights, np.zeros((self.length, 1))])
+        return (table[places, bases] - table[places, old]).sum(axis=1)
+
     def _rounded(self, values: np.ndarray) -> np.ndarray:
         return values if self.digits is None else np.round(values, self.digits) + 0.0
 
@@ -80,8 +113,9 @@ class WeightScorer(Scorer):
         codes, ok = encode(seqs, self.length)
         return np.where(ok, self._rounded(self._sum(lambda p: codes[:, p], len(codes))), np.nan)
 
-    def _sum(self, column: Callable[[int], np.ndarray], n: int) -> np.ndarray:
-        table = np.hstack([self.weights, np.full((self.length, 1), np.nan)])
+    def _sum(self, column: Callable[[int], np.ndarray], n: int, other: float = np.nan) -> np.ndarray:
+        """Sums over the codes that column(place) gives; `other` is the weight of a letter that is no base."""
+        table = np.hstack([self.weights, np.full((self.length, 1), other)])
         total = np.full(n, self.bias)
         for p in range(self.length):
             total += table[p, column(p)]
@@ -100,12 +134,37 @@ class PairScorer(WeightScorer):
         super().__init__(weights, bias, digits)
         self.pairs = [tuple(p) for p in pairs]
 
-    def _sum(self, column, n):
-        total = super()._sum(column, n)
+    def _sum(self, column, n, other=np.nan):
+        total = super()._sum(column, n, other)
         for i, a, j, b, value in self.pairs:
             total += value * ((column(i) == a) & (column(j) == b))
         return total
 
+    def _partners(self) -> dict[int, dict[int, np.ndarray]]:
+        """Per place its partners, each with the terms of the two as a table of codes."""
+        out: dict[int, dict[int, np.ndarray]] = {}
+        for i, a, j, b, value in self.pairs:
+            for p, x, q, y in {(i, a, j, b), (j, b, i, a)}:
+                out.setdefault(p, {}).setdefault(q, np.zeros((5, 5)))[x, y] += value
+        return out
+
+    def _change(self, codes, rows, places, bases, old):
+        """A term changes only with an edit of one of its places; one whose places are both edited counts at the lower."""
+        total = super()._change(codes, rows, places, bases, old)
+        partners = self._partners()
+        for slot in range(places.shape[1]):
+            order = np.argsort(places[:, slot], kind="stable")
+            at = places[order, slot]
+            for p, tables in partners.items():
+                e = order[np.searchsorted(at, p):np.searchsorted(at, p, "right")]
+                for q, table in tables.items():
+                    before = codes[rows[e], q]
+                    touched = places[e] == q
+                    after = np.where(touched.any(axis=1), np.where(touched, bases[e], 0).sum(axis=1), before)
+                    change = table[bases[e, slot], after] - table[old[e, slot], before]
+                    total[e] += np.where(touched.any(axis=1) & (q < p), 0.0, change)
+        return total
+
 
 class PwmScorer(Scorer):
     """Best log-odds of a motif over all windows of a sequence and, by default, both strands."""
@@ -160,6 +219,27 @@ class ExpressionScorer:
         return F.transform(F.col(col) if isinstance(col, str) else col, lambda s: self(s))
 
 
+def put(seq: Column, place: Column, base: Column) -> Column:
+    return F.overlay(seq, base, (place + 1).cast("int"), F.lit(1))
+
+
+def edited(df: DataFrame, scorer, seq: Column, edits: Column, k: int, out: str) -> DataFrame:
+    """Adds the scores of a sequence under each edit of an array, in its order.
+
+    An edit is an array of k numbers 4 * place + base, of different places. A scorer without a way of its own is given the edited
+    sequences. The array is bound by a generator, so that the optimizer moves none of its making into the Python call.
+    """
+    def written(edit):
+        text = seq
+        for n in range(k):
+            text = put(text, F.shiftright(edit[n], 2), F.substring(F.lit("ACGT"), edit[n] % 4 + 1, F.lit(1)))
+        return text
+
+    known = hasattr(scorer, "by_difference")
+    df = df.withColumn("_edits", F.explode(F.array(F.flatten(edits) if known else F.transform(edits, written))))
+    return df.withColumn(out, scorer.by_difference(seq, F.col("_edits"), k) if known else scorer.over(F.col("_edits"))).drop("_edits")
+
+
 def score(df: DataFrame, scorer, col: str = "seq", out: str = "score") -> DataFrame:
     """Adds a score column. Rows are scored where they are, without a shuffle."""
     return df.withColumn(out, scorer(F.col(col)))

@@ -375,3 +375,79 @@ def test_a_model_learns_an_additive_rule(spark):
     swept = md.sweep(df, {"reg": [.001, 10.0]}).collect()
     assert [r["reg"] for r in swept] == [.001, 10.0] and swept[0]["val_loss"] < swept[1]["val_loss"]
     assert w.batch([seqs[0][1]])[0] == additive(seqs[0][1])
+
+
+def scored_alone(scorer, s):
+    """A scorer's score of one sequence, None where it has none."""
+    value = float(scorer.batch([s])[0])
+    return None if np.isnan(value) else value
+
+
+def changed(s, *edits):
+    for p, b in edits:
+        s = s[:p] + b + s[p + 1:]
+    return s
+
+
+def pairs_alone(scorer, s, places):
+    for n, i in enumerate(places):
+        for j in places[n + 1:]:
+            for a in "ACGT":
+                for b in "ACGT":
+                    if {s[i].upper(), s[j].upper()} <= set("ACGT") and a != s[i].upper() and b != s[j].upper():
+                        y = [scored_alone(scorer, changed(s, *e)) for e in ([(i, a), (j, b)], [(i, a)], [(j, b)], [])]
+                        yield (i, a, j, b), y[0], None if None in y else y[0] - y[1] - y[2] + y[3]
+
+
+LONG = 41      # more than two stretches of partners
+TERMS = [(0, 1, 40, 2, .75), (40, 2, 0, 1, .5), (0, 3, 17, 0, -1.5), (17, 0, 18, 0, .25), (18, 2, 18, 2, .125), (18, 1, 18, 2, 9.0)]
+
+
+def long_weights():
+    return np.random.default_rng(5).integers(-8, 9, (LONG, 4)) / 4
+
+
+@pytest.mark.parametrize("scorer", [
+    WeightScorer(long_weights(), .5), PairScorer(long_weights(), TERMS), PairScorer(long_weights(), TERMS, digits=1),
+    FunctionScorer(lambda seqs: np.array([np.nan if "N" in s else s.count("C") ** 2 + (s[0] == "G") for s in seqs], dtype=float))])
+def test_epistasis_by_differences_equals_whole_sequences(spark, scorer):
+    rng = np.random.default_rng(3)
+    seqs = ["".join(rng.choice(list("ACGT"), LONG)) for _ in range(2)]
+    seqs += [changed(seqs[0], (17, "N")), seqs[1].lower() if isinstance(scorer, WeightScorer) else seqs[1], seqs[0]]
+    df = spark.createDataFrame([*enumerate(seqs), (5, None), (6, ""), (7, "A")], "id long, seq string")
+    got = {(r["id"], r["pos_i"], r["base_i"], r["pos_j"], r["base_j"]): r for r in ef.epistasis2(df, scorer, [0, 3, 17, 18, 40, 99]).collect()}
+    want = {(n, *k): (p, d) for n, s in enumerate(seqs) for k, p, d in pairs_alone(scorer, s, [0, 3, 17, 18, 40])}
+    assert got.keys() == want.keys()
+    for k, (prediction, delta) in want.items():
+        assert got[k]["prediction"] == pytest.approx(prediction) and got[k]["delta_delta"] == pytest.approx(delta, abs=1e-9)
+        assert got[k]["ref_i"] == seqs[k[0]][k[1]] and got[k]["ref_j"] == seqs[k[0]][k[3]]
+    every = ef.epistasis2(df.where("id < 2"), scorer).groupBy("id").count().collect()
+    assert {r["count"] for r in every} == {9 * LONG * (LONG - 1) // 2}
+
+
+@pytest.mark.parametrize("scorer", [PairScorer(long_weights(), TERMS), FunctionScorer(
+    lambda seqs: np.array([(s[0] == "C") * (s[17] != "A") * (s[18] == "T") + .5 * s.count("G") ** 3 for s in seqs], dtype=float))])
+def test_triplets_by_differences_equal_whole_sequences(spark, scorer):
+    rng = np.random.default_rng(4)
+    s = "".join(rng.choice(list("ACGT"), LONG))
+    df = spark.createDataFrame([(1, s), (2, changed(s, (16, "N"))), (3, None), (4, ""), (5, "ACG")], "id long, seq string")
+    got = {(r["id"], r["pos_i"], r["pos_j"], r["pos_k"]): r["interaction"] for r in ef.epistasis3(df.where("id < 3"), scorer, 14, 20, -1.0).collect()}
+    assert {k for k in got if k[0] == 2} <= {(2, *k) for k in itertools.combinations([14, 15, 17, 18, 19], 3)}
+    for at in itertools.combinations(range(14, 20), 3):
+        best = (-1.0, None)
+        for bases in itertools.product("ACGT", repeat=3):
+            if all(b != s[p] for b, p in zip(bases, at)):
+                edits = list(zip(at, bases))
+                value = sum((-1) ** (3 - k) * scored_alone(scorer, changed(s, *c)) for k in range(4) for c in itertools.combinations(edits, k))
+                if round(abs(value), 9) > best[0]:
+                    best = round(abs(value), 9), value
+        assert got[(1, *at)] == pytest.approx(best[1], abs=1e-9)
+    assert ef.epistasis3(df.where("id = 3 OR id = 4"), scorer).count() == 0
+
+
+def test_expressions_are_given_edited_sequences(spark):
+    cube = ExpressionScorer(lambda s: F.pow(F.length(s) - F.length(F.translate(s, "T", "")), F.lit(3)))
+    df = spark.createDataFrame([(1, "ACGTTGCAAC")], "id long, seq string")
+    plain = FunctionScorer(lambda seqs: np.array([float(s.count("T")) ** 3 for s in seqs]))
+    for fn in (ef.epistasis2, ef.epistasis3):
+        assert sorted(fn(df, cube).collect()) == sorted(fn(df, plain).collect())
