@@ -114,7 +114,7 @@ def overlap_join(left: DataFrame, right: DataFrame, on: Sequence[str] = ("chrom"
 
 
 def interval_index(merged: DataFrame, reach: int, bits: int = JOIN_BITS) -> DataFrame:
-    """One row per (chrom, bin) with the disjoint intervals an interval starting there can touch.
+    """One row per (chrom, bin) with the disjoint intervals an interval starting there can touch, in order.
 
     reach is the longest such interval. The intervals must not overlap each other (merge_intervals),
     so a list holds at most (2^bits + reach) entries.
@@ -123,14 +123,26 @@ def interval_index(merged: DataFrame, reach: int, bits: int = JOIN_BITS) -> Data
     last = _bin(F.greatest(F.col("start"), F.col("end") - 1), bits)
     return (merged.select("chrom", "start", "end", F.explode(F.sequence(first, last)).alias("_bin"))
             .groupBy("chrom", "_bin")
-            .agg(F.collect_list(F.struct("start", "end")).alias("_near")))
+            .agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_near")))
+
+
+def touches(near: str, start: str, end: str) -> Column:
+    """Whether [start, end) touches one of the disjoint intervals of a sorted list; a missing list has none.
+
+    A binary search counts the intervals that start before `end`; the last of them ends last, so it alone is looked at.
+    """
+    halvings = F.sequence(F.length(F.bin(F.size(near).cast("long"))) - 1, F.lit(0), F.lit(-1))
+    before = F.aggregate(halvings, F.lit(0), lambda n, k: F.when(
+        F.get(near, n + F.call_function("shiftleft", F.lit(1), k) - 1)["start"] < F.col(end),
+        n + F.call_function("shiftleft", F.lit(1), k)).otherwise(n))
+    return F.col(near).isNotNull() & F.coalesce(F.get(near, before - 1)["end"] > F.col(start), F.lit(False))
 
 
 def exclude_overlaps(df: DataFrame, excluded: DataFrame, longest: int | None = None,
                      bits: int = JOIN_BITS, hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """Rows of df that touch none of the excluded intervals (disjoint, as exclusion_set returns).
 
-    Each row looks up one list, that of its start's bin, so no pairs are produced. longest is the
+    Each row searches one list, that of its start's bin, so no pairs are produced. longest is the
     length no row exceeds, where the caller knows it; without it, rows longer than a bin are
     checked piece by piece.
     """
@@ -144,9 +156,7 @@ def exclude_overlaps(df: DataFrame, excluded: DataFrame, longest: int | None = N
     def hits(rows, start, end):
         looked = spread_join(rows.withColumn("_bin", _bin(start, bits)), index, ["chrom", "_bin"],
                              "left", hot_rows=hot_rows)
-        near = F.coalesce(F.exists("_near", lambda x: (x["start"] < F.col(end)) &
-                                   (x["end"] > F.col(start))), F.lit(False))
-        return looked.withColumn("_hit", near).drop("_near", "_bin")
+        return looked.withColumn("_hit", touches("_near", start, end)).drop("_near", "_bin")
 
     if longest:
         return hits(df, "start", "end").where(~F.col("_hit")).select(*cols)

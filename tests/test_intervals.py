@@ -221,3 +221,18 @@ def test_caps_and_summits(spark, rows):
     df = spark.createDataFrame([("a", 100, 200, None), ("a", 100, 5000, 700)], "chrom string, start long, end long, summit long")
     assert rows(iv.cap_region(df, 2000), "start", "end") == [(100, 200), (1550, 3550)]
     assert rows(iv.summit_window(df, 11, "summit"), "ws", "we") == [(145, 156), (695, 706)]
+
+
+def test_exclusion_searches_dense_lists(spark):
+    rng = random.Random(8)
+    for n in (1, 2, 3, 4, 7, 8, 9, 400):
+        at, excluded = 0, []
+        for _ in range(n):
+            start = at + rng.randint(1, 4)
+            at = start + rng.randint(1, 3)
+            excluded.append(("1", start, at))
+        rows = [("1", s, s + rng.randint(0, 5)) for s in (rng.randint(0, at + 8) for _ in range(200))] + [("2", 1, 9)]
+        got = iv.exclude_overlaps(spark.createDataFrame(rows, "chrom string, start long, end long"),
+                                  spark.createDataFrame(excluded, "chrom string, start long, end long"))
+        want = [r for r in rows if not any(r[0] == c and s < r[2] and e > r[1] for c, s, e in excluded)]
+        assert sorted(tuple(r) for r in got.collect()) == sorted(want)
