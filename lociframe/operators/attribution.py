@@ -83,6 +83,22 @@ def attribution_sums(df: DataFrame, key: str = "id", col: str = "attribution") -
 SPAN_DIGITS = 9
 DIGIT_BITS = 16             # of a double, counted in one pass
 NEVER = (1 << 63) - 1       # above the bits of every double
+SUM_VALUES = 1 << 18        # attributions whose spans are summed at once
+
+
+def span_sums(lists, lengths):
+    """Sequences of one length, about SUM_VALUES values at a time: their rows, and per span length a matrix of the sums of all spans."""
+    have = np.fromiter((len(v) for v in lists), dtype=np.int64, count=len(lists))
+    lists = list(lists)
+    order = np.argsort(have, kind="stable")
+    for same in np.split(order, np.flatnonzero(np.diff(have[order])) + 1):
+        size = int(have[same[0]]) if len(same) else 0
+        step = max(1, SUM_VALUES // max(size, 1))
+        for at in range(0, len(same) if size >= min(lengths) else 0, step):
+            some = same[at:at + step]
+            total = np.zeros((len(some), size + 1))
+            np.cumsum(np.stack([np.asarray(lists[i], float) for i in some]), axis=1, out=total[:, 1:])
+            yield some, {n: np.round(total[:, n:] - total[:, :-n], SPAN_DIGITS) + 0.0 for n in lengths if n <= size}
 
 
 def _cutoffs(rows: DataFrame, sizes, max_p: float) -> tuple[dict, dict]:
@@ -154,15 +170,11 @@ def call_seqlets(df: DataFrame, key: str = "id", col: str = "attribution", short
     """
     lengths = list(range(shortest, longest + 1))
 
-    def sums(values):
-        total = np.concatenate([[0.0], np.cumsum(values)])
-        return {n: np.round(total[n:] - total[:-n], SPAN_DIGITS) + 0.0 for n in lengths if len(total) > n}
-
     def sizes(pdf):
         """Per length and sign the bits of the absolute sums; of positive doubles they rise as the doubles do."""
         found: dict[tuple[int, int], list[np.ndarray]] = {}
-        for values in pdf[col]:
-            for n, s in sums(np.asarray(values, float)).items():
+        for _, by_length in span_sums(pdf[col], lengths):
+            for n, s in by_length.items():
                 for sign in (1, -1):
                     found.setdefault((n, sign), []).append((s[s * sign > 0] * sign).view(np.int64))
         return {k: np.concatenate(v) for k, v in found.items()}
@@ -185,23 +197,20 @@ def call_seqlets(df: DataFrame, key: str = "id", col: str = "attribution", short
 
     def significant(batches):
         for pdf in batches:
-            out = []
-            for k, values in zip(pdf[key], pdf[col]):
-                by_length = sums(np.asarray(values, float))
+            keys = pdf[key].to_numpy()
+            for some, by_length in span_sums(pdf[col], lengths):
                 for sign in (1, -1):
                     inner = None
-                    for n in lengths:
-                        if n not in by_length:
-                            break
-                        size = by_length[n] * sign
+                    for n, s in by_length.items():
+                        size = s * sign
                         size = np.where(size > 0, size, 0.0).view(np.int64)
                         good = size > cut.get((n, sign), NEVER)
                         if inner is not None:
-                            good &= inner[:-1] & inner[1:]
+                            good &= inner[:, :-1] & inner[:, 1:]
                         inner = good
-                        out += [(k, int(i), int(i) + n, n, sign, int(size[i])) for i in np.flatnonzero(good)]
-            if out:
-                yield pd.DataFrame(out, columns=[key, "start", "end", "length", "sign", "size"])
+                        row, start = np.nonzero(good)
+                        if len(row):
+                            yield pd.DataFrame({key: keys[some[row]], "start": start, "end": start + n, "length": n, "sign": sign, "size": size[row, start]})
 
     key_type = df.schema[key].dataType.simpleString()
     spans = rows.mapInPandas(significant, f"`{key}` {key_type}, start long, end long, length int, sign int, size long")

@@ -276,6 +276,19 @@ def test_seqlets_equal_a_loop(spark):
     assert sorted(tuple(r) for r in got) == sorted(want) and len(want) > 20
 
 
+def test_sums_of_a_batch_are_taken_together(monkeypatch):
+    rng = np.random.default_rng(8)
+    lists = [rng.normal(size=n) for n in (32, 4, 32, 0, 7, 32, 5, 7)]
+    want = {i: {n: np.convolve(v, np.ones(n), "valid") for n in (5, 6, 7) if n <= len(v)} for i, v in enumerate(lists) if len(v) >= 5}
+    for values, calls in ((1 << 18, 3), (40, 5)):      # a matrix per length of a sequence, not one per sequence
+        monkeypatch.setattr(at, "SUM_VALUES", values)
+        found = list(at.span_sums(lists, [5, 6, 7]))
+        assert len(found) == calls and sorted(i for rows, _ in found for i in rows) == sorted(want)
+        for rows, by_length in found:
+            for r, i in enumerate(rows):
+                assert list(by_length) == list(want[i]) and all(np.allclose(s[r], want[i][n], atol=1e-9) for n, s in by_length.items())
+
+
 def test_spans_are_annotated(spark, motifs):
     spans = spark.createDataFrame([(1, 5, "ACT"), (1, 9, "GGG"), (2, 5, "A")], "id long, start long, span_seq string")
     table = mo.log_odds(motifs)
