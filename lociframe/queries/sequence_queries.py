@@ -98,12 +98,11 @@ def _(v):
         SELECT r.id, unnest(range(1, 33)) AS p, substr(s.seq, p, 1) AS a, substr(r.seq, p, 1) AS b
         FROM reads r JOIN seqs s ON s.id = r.id // 8) WHERE a <> b GROUP BY id""")
 def _(v):
-    strand = v.seqs.select(F.col("id").alias("template"), F.transform(
-        F.sequence(F.lit(1), F.lit(32)),
-        lambda p: F.struct(p.alias("resnum"), F.substring(F.col("seq"), p, F.lit(1)).alias("base"))).alias("bases"))
-    rows = v.reads.withColumn("template", F.expr("id div 8")).join(strand, "template")
-    out = rows.select("id", dna.substitution_list("bases", "seq", F.lit("C")).alias("mutations"))
-    return out.where("mutations <> ''")
+    # The templates grow with the data, and their size is not known beforehand: joined by a shuffle, as plain text.
+    strand = v.seqs.select(F.col("id").alias("template"), F.col("seq").alias("strand"))
+    rows = v.reads.select("id", "seq", F.expr("id div 8").alias("template")).join(strand.hint("merge"), "template").where("strand <> seq")
+    bases = F.transform(F.sequence(F.lit(1), F.lit(32)), lambda p: F.struct(p.alias("resnum"), F.substring(F.col("strand"), p, F.lit(1)).alias("base")))
+    return rows.select("id", dna.substitution_list(bases, "seq", F.lit("C")).alias("mutations"))
 
 
 @query("add_revcomp", "Q12", views="reads", sql="""

@@ -222,3 +222,9 @@ def test_a_shuffle_depends_on_its_code_alone():
     for a, b in zip(texts, whole):
         assert sorted(zip(a, a[1:])) == sorted(zip(b, b[1:])) and a[:1] == b[:1] and a[-1:] == b[-1:]
     assert sum(a != b for a, b in zip(texts, whole)) > 70
+
+
+def test_templates_of_unknown_size_are_not_broadcast(spark):
+    from lociframe.queries import QUERIES
+    plan = QUERIES["substitution_list"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
