@@ -464,3 +464,36 @@ def test_expressions_are_given_edited_sequences(spark):
     plain = FunctionScorer(lambda seqs: np.array([float(s.count("T")) ** 3 for s in seqs]))
     for fn in (ef.epistasis2, ef.epistasis3):
         assert sorted(fn(df, cube).collect()) == sorted(fn(df, plain).collect())
+
+
+def test_pairs_of_a_batch_are_scored_in_few_calls_and_triplets_share_their_changes(spark, monkeypatch):
+    from lociframe.operators import effects as ef
+    from lociframe.queries.views import pair_scorer
+    texts = [dna(12) for _ in range(6)] + ["ACGTNACGTACG", "acgtacgtacgt", "ACG", "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, seq string").coalesce(1)
+
+    def rows(out):
+        return sorted(tuple(round(x, 9) + 0.0 if isinstance(x, float) else str(x) for x in r) for r in out.collect())
+
+    class Plain:      # a scorer that is given the changed sequences
+        def __init__(self, scorer):
+            self.scorer = scorer
+
+        def __call__(self, col):
+            return self.scorer(col)
+
+        def over(self, col):
+            return self.scorer.over(col)
+    scorer = pair_scorer(12)
+    known = rows(ef.epistasis2(df, scorer))
+    assert known == rows(ef.epistasis2(df, Plain(scorer))) and len(known) > 6 * 66 * 9
+    assert "_edits" not in ef.epistasis2(df, scorer)._jdf.queryExecution().toString()
+    monkeypatch.setattr(ef, "EDITS", 100)
+    assert rows(ef.epistasis2(df, scorer)) == known
+    assert rows(ef.epistasis2(df, scorer, [0, 3, 3, 40])) == rows(ef.epistasis2(df, Plain(scorer), [0, 3, 3, 40]))
+    three = rows(ef.epistasis3(df, Plain(scorer), 0, 12, -1.0))
+    assert three == rows(ef.epistasis3(df, scorer, 0, 12, -1.0)) and len(three) > 6 * 220
+    monkeypatch.setattr(ef, "TRIPLETS", 7)
+    assert rows(ef.epistasis3(df, Plain(scorer), 0, 12, -1.0)) == three
+    triplets, at_, by, numbers = ef._triplet_block(9, 0)
+    assert len(triplets) == 7 and len(at_) < 7 * 64 and len({tuple(sorted((p, b) for p, b in zip(x, y) if b)) for x, y in zip(at_.tolist(), by.tolist())}) == len(at_)
