@@ -228,3 +228,13 @@ def test_templates_of_unknown_size_are_not_broadcast(spark):
     from lociframe.queries import QUERIES
     plan = QUERIES["substitution_list"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_regions_of_known_length_are_cut_in_one_pass(spark, tmp_path):
+    from lociframe.sources.packed import pack_genome
+    genome = spark.createDataFrame([("chr1", b, "ACGGT" * 102 + "AC") for b in range(6)], "chrom string, bin long, seq string")
+    packed = pack_genome(genome, str(tmp_path / "genome"), 512, slab_bins=8, halo=1024)
+    df = spark.createDataFrame([(i, "chr1", 37 * i, 37 * i + n) for i, n in enumerate([0, 1, 300, 600, 5, -4])], "id long, chrom string, start long, end long")
+    once = gn.extract_regions(df, packed, 512, "id", longest=600)
+    assert sorted(map(tuple, once.collect())) == sorted(map(tuple, gn.extract_regions(df, packed, 512, "id").select(*once.columns).collect()))
+    assert "Union" not in once._jdf.queryExecution().toString()
