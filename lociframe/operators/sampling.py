@@ -12,6 +12,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lociframe.operators.joins import join_few
+from lociframe.session import stored
+
 PREFIX = 4   # hex digits: 65,536 equal buckets, so a border's task ranks a 65,536th of a group
 
 
@@ -46,9 +49,10 @@ def hash_cuts(df: DataFrame, key, seed, quotas: DataFrame, names: Sequence[str],
     holds = F.lit(False)
     for q in names:
         holds = holds | ((F.col("_before") < quota(q)) & (quota(q) <= F.col("_upto")))
-    edges = upto.where(holds).select(*by, "_p", "_before", *(names if by else []))
+    # At most one row per group and quota: a shuffle on these keys would deal the rows to a task per group.
+    edges = stored(upto.where(holds).select(*by, "_p", "_before", *(names if by else [])))
     inside = Window.partitionBy(*by, "_p").orderBy("_h")
-    ranked = rows.join(edges, [*by, "_p"]).withColumn(
+    ranked = join_few(rows, edges, [*by, "_p"]).withColumn(
         "_rank", F.col("_before") + F.row_number().over(inside))
     found = ranked.groupBy(*by).agg(
         *[F.max(F.when(F.col("_rank") == quota(q), F.col("_h"))).alias(f"_cut_{q}") for q in names])
@@ -68,7 +72,7 @@ def take_by_hash(df: DataFrame, key, seed, quotas: DataFrame, quota: str = "quot
     cuts = hash_cuts(df, key, seed, quotas, [quota], by).withColumnRenamed(quota, "_cut")
     if not by:
         return df.where(hash_order(seed, key) <= cuts.scalar())
-    return df.join(cuts, by).where(hash_order(seed, key) <= F.col("_cut")).drop("_cut")
+    return join_few(df, stored(cuts), by).where(hash_order(seed, key) <= F.col("_cut")).drop("_cut")
 
 
 def sample_n(df: DataFrame, n: int, key, seed=42) -> DataFrame:

@@ -262,3 +262,18 @@ def test_negatives_are_drawn_from_the_gaps(spark, tmp_path, monkeypatch):
     peaks = spark.createDataFrame([("c", 90, 4000)], "chrom string, start long, end long")
     picked, _ = ng.gc_matched_negatives(packed, pos, peaks, 20, 512)
     assert [(r["seq"], r["end"] - r["start"]) for r in picked.collect()] == [(text[r["start"]:r["end"]], 20) for r in picked.collect()] and picked.count() == 1
+
+
+def test_draws_move_no_row_by_its_group(spark):
+    """The cut of a group is one row: neither the hashes nor the rows are shuffled by the few groups."""
+    from lociframe.operators.sampling import take_by_hash
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = spark.range(4000).withColumn("g", F.col("id") % 2)
+        quotas = spark.createDataFrame([(0, 10), (1, 700)], "g long, quota long")
+        out = take_by_hash(df, "id", 3, quotas, by=["g"])
+        plan = out._jdf.queryExecution().toString()
+        assert "SortMergeJoin" not in plan and "Exchange hashpartitioning(g" not in plan
+        assert {r["g"]: r["count"] for r in out.groupBy("g").count().collect()} == {0: 10, 1: 700}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(10 << 20))
