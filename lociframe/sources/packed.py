@@ -23,6 +23,7 @@ from lociframe.sources.lines import on_store
 
 SLAB_BINS = 512         # bins of a slab
 HALO = 1 << 14          # bases of the next slab that a slab repeats
+RUNS_A_TASK = 8         # runs, of a slab at most, that a task reads whole
 GAP, READ = 1 << 14, 4 << 20      # ranges closer than GAP are read together, up to READ bytes
 
 _RUNS = "chrom string, slab long, first long, length long, own long, file string, offset long"
@@ -57,7 +58,10 @@ class PackedGenome:
                             [pa.array([r["chrom"]] * len(part)), pa.array([(r["first"] + b) // width for b in part], pa.int64()),
                              pa.array([data[b:b + width + halo] if b + width <= r["own"] else data[b:] for b in part], pa.binary())],
                             names=["chrom", "bin", "bases"])
-        return self.runs.repartition("chrom", "slab", "first").mapInArrow(cut, "chrom string, bin long, bases binary")
+        # A number of tasks of its own, as the runs are some small rows, which adaptive execution would put into one task.
+        n = self.runs.count()
+        tasks = max(1, min(n, max(self.runs.sparkSession.sparkContext.defaultParallelism, -(-n // RUNS_A_TASK))))
+        return self.runs.repartition(tasks).mapInArrow(cut, "chrom string, bin long, bases binary")
 
     def cut(self, df: DataFrame, start: str, end: Column, out: str) -> DataFrame:
         """df with the bases of [start, end) as a column; NULL where some are missing. Ranges have at most `halo` + 1 bases."""

@@ -107,3 +107,9 @@ def test_negatives_equal_those_of_the_table(spark, genome, pack, rows):
         negatives, report = ng.gc_matched_negatives(g, positives, peaks, 8, WIDTH)
         out.append((rows(negatives, "chrom", "start", "seq"), rows(report, "gc_bin", "wanted", "found")))
     assert out[0] == out[1] and out[0][0]
+
+
+def test_all_bins_are_read_by_several_tasks(spark, pack):
+    """The runs are some small rows, which adaptive execution would read in one task."""
+    tasks = gn.with_halo(pack, 10, WIDTH).select(F.spark_partition_id().alias("t")).distinct().count()
+    assert tasks == min(pack.runs.count(), spark.sparkContext.defaultParallelism) > 1
