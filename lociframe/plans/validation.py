@@ -147,7 +147,7 @@ def peak_set_validation(peaks: DataFrame, genome: DataFrame, lengths: DataFrame,
     if max_positives is not None:
         strong = sample_n(strong, max_positives, key, seed)
     capped = iv.cap_region(strong.select(key, "chrom", "start", "end", "score"), max_region)
-    regions = gn.extract_regions(capped, genome, bin_width, key)
+    regions = gn.extract_regions(capped, genome, bin_width, key, longest=max_region)
     positives = stored(regions.where((F.translate("seq", "ACGTN", "") == "") & (F.col("seq") != "")))
     if mode == "shuffle":
         negatives = ng.dinuc_shuffle(positives, key, 1, seed).select(key, "seq")

@@ -113,3 +113,9 @@ def test_all_bins_are_read_by_several_tasks(spark, pack):
     """The runs are some small rows, which adaptive execution would read in one task."""
     tasks = gn.with_halo(pack, 10, WIDTH).select(F.spark_partition_id().alias("t")).distinct().count()
     assert tasks == min(pack.runs.count(), spark.sparkContext.defaultParallelism) > 1
+
+
+def test_no_region_of_a_packed_genome_is_joined_with_its_table(spark, pack):
+    df = spark.createDataFrame([("a", "chr1", 3, 40), ("b", "chr1", 5, 900)], "id string, chrom string, start long, end long")
+    plan = gn.extract_regions(df, pack, WIDTH, "id")._jdf.queryExecution().optimizedPlan().toString()
+    assert "bin#" in plan and "ExistingRDD[chrom" not in plan.replace("ExistingRDD[id", "") and "_bases" not in plan
