@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from lociframe.operators.joins import join_few
 from lociframe.operators.sampling import take_by_hash
 from lociframe.session import stored
 
@@ -353,10 +354,11 @@ def method_auc(df: DataFrame, key, least: int = 10, by: Sequence[str] = ("neg_se
     """AUC per negative set and method on balanced classes; NULL scores dropped, groups with fewer
     than `least` rows in a class left out."""
     by = list(by)
-    rows = scored(df)
+    rows = stored(scored(df).select(*by, key, label, "score"))      # read for the sizes, the cuts and the draw
     big = rows.groupBy(*by).agg(F.count_if(F.col(label).cast("int") == 1).alias("_p"),
                                 F.count_if(F.col(label).cast("int") != 1).alias("_n"))
-    kept = rows.join(big.where((F.col("_p") >= least) & (F.col("_n") >= least)).select(*by), by)
+    # One row per group: a shuffle on the groups would deal all rows to a few tasks.
+    kept = join_few(rows, stored(big.where((F.col("_p") >= least) & (F.col("_n") >= least)).select(*by)), by)
     return roc_auc(balance_scores(kept, key, "both", by, seed, label=label), by, label=label).select(
         *by, F.col("roc_auc").alias("auc"), "n_pos", "n_neg")
 

@@ -191,3 +191,17 @@ def test_effect_medians_and_auc(spark):
     for name, y in (("median_abs_path", 1), ("median_abs_benign", 0)):
         assert out[name] == pytest.approx(statistics.median(abs(s) for _, l, s in rows if l == y))
     assert out["auc_raw"] == pytest.approx(auc([(l, s) for _, l, s in rows])) and out["auc_abs"] == pytest.approx(auc([(l, abs(s)) for _, l, s in rows]))
+
+
+def test_method_auc_evaluates_its_rows_once(spark):
+    """Sizes, cuts and the draw read one stored table, so that a join or a scorer before it runs once."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def score(i):
+        seen.add(1)
+        return float(i % 7)
+    df = spark.range(300).select(F.col("id").cast("string").alias("id"), F.lit("A").alias("neg_set"), F.lit("m").alias("method"),
+                                 (F.col("id") % 3 == 0).cast("int").alias("label"), score.asNondeterministic()("id").alias("score"))
+    got = ev.method_auc(df, "id").collect()
+    assert (got[0]["n_pos"], got[0]["n_neg"], seen.value) == (100, 100, 300)
