@@ -76,8 +76,9 @@ def long_attribution(df: DataFrame, key: str = "id", col: str = "attribution") -
     return df.select(key, F.posexplode(col).alias("pos", "value")).withColumn("pos", F.col("pos").cast("long"))
 
 
-def attribution_sums(df: DataFrame, key: str = "id", col: str = "attribution") -> DataFrame:
-    return df.select(key, F.aggregate(col, F.lit(0.0), lambda a, x: a + x).alias("total"))
+def attribution_sums(df: DataFrame, key: str = "id", col: str = "attribution", keep: tuple[str, ...] = ()) -> DataFrame:
+    """The sum of each row's attributions, after the key and the columns to keep."""
+    return df.select(key, *keep, F.aggregate(col, F.lit(0.0), lambda a, x: a + x).alias("total"))
 
 
 SPAN_DIGITS = 9

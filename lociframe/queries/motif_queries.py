@@ -322,8 +322,8 @@ def _(v):
 def _(v):
     rows = at.with_shuffles(v.reads, "id", 5)
     out = at.attribute(rows, WeightScorer([[0.125, 0.5, -0.25, 0.75]] * 32))
-    sums = at.attribution_sums(out).withColumn("total", F.round("total", 6) + 0.0)
-    return out.select("id", F.size("attribution").cast("long").alias("n")).join(sums, "id")
+    out = at.attribution_sums(out.withColumn("n", F.size("attribution").cast("long")), keep=("n",))
+    return out.withColumn("total", F.round("total", 6) + 0.0)
 
 
 @query("input_x_weight", "M16", views="reads weights", sql="""
