@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lociframe.operators.intervals import track_intervals
 from lociframe.session import stored
+from lociframe.sources.lines import ESCAPE, MARK
 
 
 def number_rows(df: DataFrame, out: str = "k", bits: int = 16) -> DataFrame:
@@ -34,6 +35,21 @@ def write_bed(df: DataFrame, path: str, extra: tuple[str, ...] = (), compression
     (writer.option("compression", compression) if compression else writer).text(path)
 
 
+def write_bundles(df: DataFrame, path: str, file: str = "file", order: str = "line_no", value: str = "value") -> None:
+    """The lines of many small files, in order, as a few large ones that sources.lines.bundled_lines reads.
+
+    Each small file begins with a line of "==> " and its name. Lines and names that begin so or with a backslash, and empty ones, get a backslash. A file for each
+    of them would cost a file's opening, listing and task for some KB.
+    """
+    def escaped(c):
+        return F.when((c == "") | F.startswith(c, F.lit(MARK)) | F.startswith(c, F.lit(ESCAPE)), F.concat(F.lit(ESCAPE), c)).otherwise(c)
+    inside = Window.partitionBy("_file").orderBy("_order")
+    rows = df.select(F.col(file).cast("string").alias("_file"), F.col(order).alias("_order"), escaped(F.col(value)).alias("_line"))
+    numbered = rows.withColumn("_n", F.row_number().over(inside))
+    head = F.when(F.col("_n") == 1, F.concat(F.lit(MARK), escaped(F.col("_file")), F.lit("\n"))).otherwise("")
+    numbered.select(F.concat(head, "_line").alias("value")).write.text(path)
+
+
 def write_negatives(df: DataFrame, path: str) -> None:
     """Negative windows as BED: neg_1, neg_2, ... in genome order, with their GC share."""
     named = number_rows(df).withColumn("name", F.concat(F.lit("neg_"), F.col("k").cast("string")))

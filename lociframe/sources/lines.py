@@ -39,6 +39,28 @@ def numbered_lines(spark: SparkSession, path, line_sep: str | None = None) -> Da
         "file", (F.col("_before") + F.col("_at") - F.col("_first") + 1).alias("line_no"), "value")
 
 
+# What stands before the name of a small file, and before a line or a name that would be taken for one.
+MARK, ESCAPE = "==> ", "\\"
+
+
+def bundled_lines(spark: SparkSession, path) -> DataFrame:
+    """(file, line_no, value): the lines of small files that were put one after the other into a few large ones (sinks.write_bundles).
+
+    A small file begins with a line of "==> " and its name; a backslash before another line is dropped, and an empty line that
+    ends one is no line of it. Bundles are split as usual, but a small file is
+    one record, so it should hold some MB at most. A table of millions of small files thus costs no listing and no task for each.
+    """
+    text = F.make_valid_utf8("value")
+    raw = spark.read.option("lineSep", "\n" + MARK).text(path)
+    # Only a bundle's first record begins with the mark, as a name that does so has a backslash before it.
+    whole = raw.select(F.regexp_replace(text, rf"\A{MARK}|\r?\n\z", "").alias("_text")).where(F.col("_text") != "")
+    parts = whole.select(F.posexplode(F.split("_text", "\r?\n")).alias("_i", "_line"), F.substring_index("_text", "\n", 1).alias("_name")).where("_i > 0")
+
+    def plain(c):
+        return F.when(F.startswith(c, F.lit(ESCAPE)), F.substr(c, F.lit(2))).otherwise(c)
+    return parts.select(plain(F.rtrim(F.col("_name"), F.lit("\r"))).alias("file"), F.col("_i").cast("long").alias("line_no"), plain(F.col("_line")).alias("value"))
+
+
 class CompressedReadError(ValueError):
     """A file that cannot be decompressed; names the file and the reason."""
 

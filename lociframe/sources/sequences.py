@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from lociframe.sources.lines import numbered_lines, on_store, unpacked
+from lociframe.sources.lines import bundled_lines, numbered_lines, on_store, unpacked
 
 BIN_WIDTH = 8192
 
@@ -220,10 +220,13 @@ def variant_columns(lines: DataFrame, *keep: str) -> DataFrame:
         F.try_element_at("info", F.lit("MC")).alias("mc"), F.try_element_at("info", F.lit("GENEINFO")).alias("geneinfo"))
 
 
-def read_pdb_atoms(spark: SparkSession, path) -> DataFrame:
-    """file, line_no, chain, resname, resnum, residue (number and insertion code), bfactor, short (no room for one) of ATOM lines."""
+def read_pdb_atoms(spark: SparkSession, path, bundled: bool = False) -> DataFrame:
+    """file, line_no, chain, resname, resnum, residue (number and insertion code), bfactor, short (no room for one) of ATOM lines.
+
+    bundled: the structures stand one after the other in bundles (sources.lines.bundled_lines), as many files of some KB should.
+    """
     v = F.col("value")
-    return numbered_lines(spark, path).where(v.startswith("ATOM")).select(
+    return (bundled_lines if bundled else numbered_lines)(spark, path).where(v.startswith("ATOM")).select(
         "file", "line_no", F.substring(v, 22, 1).alias("chain"), F.trim(F.substring(v, 18, 3)).alias("resname"),
         F.trim(F.substring(v, 23, 4)).try_cast("int").alias("resnum"), F.substring(v, 23, 5).alias("residue"),
         F.when(F.length(v) >= 66, F.trim(F.substring(v, 61, 6)).try_cast("double")).alias("bfactor"),

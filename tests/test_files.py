@@ -207,6 +207,32 @@ def test_structures(spark, tmp_path):
     assert (d["fwd_chain"], d["rev_chain"]) == ("C", "D")
 
 
+def test_small_files_in_bundles_come_back(spark, tmp_path):
+    """Names and lines of any beginning, empty lines, and bundles that are cut into splits."""
+    from lociframe import sinks
+    from lociframe.sources.lines import bundled_lines
+    rows = [(f, n, text) for f in ("a-1", "==> b", "\\c", "d e") for n, text in enumerate(["==> no file", "\\x", "", "plain", " é ", ""], 1)]
+    rows += [(f"f{i}", n, f"line {n} of {i}") for i in range(300) for n in range(1, 1 + i % 5)]
+    sinks.write_bundles(spark.createDataFrame(rows, "file string, line_no long, value string"), str(tmp_path / "b"))
+    limit = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "97")
+    try:
+        got = bundled_lines(spark, str(tmp_path / "b"))
+        assert got.rdd.getNumPartitions() > 50 and sorted(map(tuple, got.collect())) == sorted(rows)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", limit)
+    (tmp_path / "crlf").write_bytes(b"==> x.csv\r\n1\r\n2\r\n")
+    assert [tuple(r) for r in bundled_lines(spark, str(tmp_path / "crlf")).collect()] == [("x.csv", 1, "1"), ("x.csv", 2, "2")]
+
+
+@pytest.mark.parametrize("name", ["read_pdb_atoms"])
+def test_many_small_files_are_written_as_few(spark, tmp_path, monkeypatch, name):
+    from lociframe.queries import QUERIES, file_queries
+    monkeypatch.setattr(file_queries, "folder", lambda v, kind: str(tmp_path / kind))
+    assert QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
+    assert 0 < len([p for p in tmp_path.rglob("part-*") if p.suffix != ".crc"]) <= 8
+
+
 def test_metric_logs_of_differing_columns(spark, tmp_path):
     (tmp_path / "a.csv").write_text("epoch,val_loss\n0,0.5\n1,\n")
     (tmp_path / "b.csv").write_text("val_auc,epoch,val_loss\n0.7,0,nan\n")
