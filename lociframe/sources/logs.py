@@ -5,18 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lociframe.sources.lines import numbered_lines
+from lociframe.sources.lines import bundled_lines, numbered_lines
 
 CALL_SCHEMA = ("timestamp string, tool string, arguments string, seconds double, is_error boolean, result string, "
                "_corrupt string")
 
 
-def read_metric_logs(spark: SparkSession, path, max_metrics: int = 10_000) -> DataFrame:
+def read_metric_logs(spark: SparkSession, path, max_metrics: int = 10_000, bundled: bool = False) -> DataFrame:
     """file, row_no (from 0) and the metrics of many CSV logs as text; a metric a log lacks is NULL, a blank one too.
 
-    Each line is joined with its own file's header, so logs of differing columns are read in one job.
+    Each line is joined with its own file's header, so logs of differing columns are read in one job. bundled: the logs stand one after the
+    other in bundles (sources.lines.bundled_lines), as many files of some KB should.
     """
-    lines = numbered_lines(spark, path).where(F.col("value") != "")
+    lines = (bundled_lines if bundled else numbered_lines)(spark, path).where(F.col("value") != "")
     header = lines.where(F.col("line_no") == 1).select("file", F.split("value", ",").alias("_h"))
     found = header.select(F.explode("_h").alias("name")).distinct().orderBy("name").limit(max_metrics + 1).collect()
     if len(found) > max_metrics:

@@ -225,7 +225,7 @@ def test_small_files_in_bundles_come_back(spark, tmp_path):
     assert [tuple(r) for r in bundled_lines(spark, str(tmp_path / "crlf")).collect()] == [("x.csv", 1, "1"), ("x.csv", 2, "2")]
 
 
-@pytest.mark.parametrize("name", ["read_pdb_atoms"])
+@pytest.mark.parametrize("name", ["read_pdb_atoms", "read_metric_logs"])
 def test_many_small_files_are_written_as_few(spark, tmp_path, monkeypatch, name):
     from lociframe.queries import QUERIES, file_queries
     monkeypatch.setattr(file_queries, "folder", lambda v, kind: str(tmp_path / kind))
