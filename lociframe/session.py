@@ -15,6 +15,10 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # A task of a shuffle gets at most about this much: many parts to begin with, put together up to the size. Parts are never cut
+    # for windows and groups, so with a fixed number of them a task's memory would grow with the input.
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "1024",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16m",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }

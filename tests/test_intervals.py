@@ -236,3 +236,10 @@ def test_exclusion_searches_dense_lists(spark):
                                   spark.createDataFrame(excluded, "chrom string, start long, end long"))
         want = [r for r in rows if not any(r[0] == c and s < r[2] and e > r[1] for c, s, e in excluded)]
         assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+
+
+def test_shuffles_begin_in_more_parts_than_the_session_has(spark):
+    """Parts are put together up to a size but never cut for a group or a window, so their number bounds a task's memory."""
+    df = spark.range(3).selectExpr("'c' AS chrom", "id AS start", "id + 5 AS end", "1L AS num")
+    plan = iv.merge_intervals(df)._jdf.queryExecution().executedPlan().toString()
+    assert ", 1024)" in plan and ", 4)" not in plan
