@@ -157,6 +157,19 @@ def cut(data, start, length) -> Column:
     return F.substring(_c(data), (start + 1).cast("int"), length).cast("string")
 
 
+def chunked(df: DataFrame, col: str, width: int, sizes: tuple[int, ...] = CHUNKS) -> DataFrame:
+    """The sequences as binary chunks (_at, _text), in place of the column, that overlap so that every window lies in just one as a start."""
+    rows = (df.where(F.length(F.col(col)) >= width).withColumn("_at", F.lit(0))
+            .withColumn("_text", as_bytes(col)).drop(col))
+    for size in sizes:
+        size = max(size, width)
+        last = F.octet_length("_text") - width
+        rows = (rows.withColumn("_off", F.explode(F.sequence(F.lit(0), last, F.lit(size))))
+                .withColumn("_text", F.substring(F.col("_text"), F.col("_off") + 1, F.lit(size + width - 1)))
+                .withColumn("_at", F.col("_at") + F.col("_off")))
+    return rows.drop("_off")
+
+
 def tile(df: DataFrame, col: str, width: int, step: int = 1, skip_n: bool = True,
          start: str = "win_start", out: str = "win") -> DataFrame:
     """One row per window of a sequence column; windows with another letter than A, C, G, T dropped.
@@ -165,14 +178,7 @@ def tile(df: DataFrame, col: str, width: int, step: int = 1, skip_n: bool = True
     cost grows with the length and not with its square. The sequence column itself is dropped
     from the rows.
     """
-    rows = (df.where(F.length(F.col(col)) >= width).withColumn("_at", F.lit(0))
-            .withColumn("_text", as_bytes(col)).drop(col))
-    for size in CHUNKS:
-        size = max(size, width)
-        last = F.octet_length("_text") - width
-        rows = (rows.withColumn("_off", F.explode(F.sequence(F.lit(0), last, F.lit(size))))
-                .withColumn("_text", F.substring(F.col("_text"), F.col("_off") + 1, F.lit(size + width - 1)))
-                .withColumn("_at", F.col("_at") + F.col("_off")))
+    rows = chunked(df, col, width)
     first = F.pmod(-F.col("_at"), F.lit(step))
     last = F.octet_length("_text") - width
     rows = (rows.where(first <= last)

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from lociframe.functions import dna
 from lociframe.operators.evaluation import scored, with_prefix
 from lociframe.operators.sampling import take_by_hash
-from lociframe.operators.scorers import CODES
+from lociframe.operators.scorers import CODES, ExpressionScorer
 
 PSEUDOCOUNT = 0.01
 SCALE = 100              # score units of a bit for p-values
@@ -217,16 +217,23 @@ def window_length_at(width: int, even: bool = False) -> int:
     return 2 * width - 2 if even else 2 * width - 1
 
 
+WINDOWS_A_ROW = 1 << 18     # that an expression scores in one array; the scores of a shorter sequence are added up in order
+
+
 def best_window(df: DataFrame, scorer, width: int, key: str = "id", col: str = "seq",
                 all_scores: bool = False) -> DataFrame:
     """Per sequence the best window: best_idx, best_seq, max_score, mean_score, n_windows, and optionally
     the scores of all windows in order. The first window wins a tie; NULLs when no window is valid.
 
-    A scorer that can slide (weights, pairs) takes whole sequences and nothing is shuffled. For any other
-    one, windows stream out of the sequences, are scored and reduced before the shuffle.
+    A scorer that can slide (weights, pairs) takes whole sequences and nothing is shuffled. An expression scores the windows of a chunk
+    of a sequence in the row, and a row per chunk is reduced. For any other one, windows stream out of the sequences, are scored and
+    reduced before the shuffle, which sorts them.
     """
     if getattr(scorer, "length", None) == width and hasattr(scorer, "sliding"):
         return _slide_best(df, scorer, width, col, all_scores)
+    if isinstance(scorer, ExpressionScorer):
+        chunks = dna.chunked(df.select(key, F.col(col).alias("_s")), "_s", width, (WINDOWS_A_ROW,))
+        return df.join(_best_of_chunks(chunks, scorer, width, key, all_scores), key, "left")
     wins = dna.tile(df.select(key, F.col(col).alias("_s")), "_s", width).withColumn("score", scorer(F.col("win")))
     wins = scored(wins)
     aggs = [F.min_by(F.struct("win_start", "win", "score"), F.struct((-F.col("score")).alias("s"), "win_start")).alias("b"),
@@ -241,6 +248,26 @@ def best_window(df: DataFrame, scorer, width: int, key: str = "id", col: str = "
     return df.join(out, key, "left")
 
 
+def _best_of_chunks(chunks: DataFrame, scorer: ExpressionScorer, width: int, key: str, all_scores: bool) -> DataFrame:
+    """best_window's columns per key out of dna.chunked: the scores of a chunk are an array, NULL for windows that are not valid."""
+    wins = F.transform(F.sequence(F.lit(0), F.octet_length("_text") - width), lambda i: dna.cut("_text", i, width))
+    scores = F.transform(wins, lambda w: F.when(dna.has_only_acgt(w), scorer(w)))
+    # Bound by generators, so that a chunk is cut once for its windows, and they are scored once for all that is taken from them.
+    bound = chunks.withColumn("_text", F.explode(F.array("_text"))).withColumn("_scores", F.explode(F.array(scores))).withColumn("_max", F.array_max("_scores")).where("_max is not null")
+    at = F.array_position("_scores", F.col("_max")) - 1
+    valid = F.array_compact("_scores")
+    rows = bound.select(key, F.col("_max").alias("score"), (F.col("_at") + at).cast("long").alias("best_idx"), dna.cut("_text", at, width).alias("win"),
+                        F.size(valid).cast("long").alias("_n"), F.aggregate(valid, F.lit(0.0), lambda a, x: a + x).alias("_sum"),
+                        *([F.col("_at"), valid.alias("_valid")] if all_scores else []))
+    aggs = [F.min_by(F.struct("best_idx", "win", "score"), F.struct((-F.col("score")).alias("s"), "best_idx")).alias("b"),
+            F.sum("_sum").alias("_sum"), F.sum("_n").alias("n_windows")]
+    if all_scores:
+        aggs.append(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("_at", "_valid"))), lambda x: x["_valid"])).alias("all_scores"))
+    return rows.groupBy(key).agg(*aggs).select(
+        key, "b.best_idx", F.col("b.win").alias("best_seq"), F.col("b.score").alias("max_score"), (F.col("_sum") / F.col("n_windows")).alias("mean_score"),
+        "n_windows", *(["all_scores"] if all_scores else []))
+
+
 def _slide_best(df: DataFrame, scorer, width: int, col: str, all_scores: bool) -> DataFrame:
     fields = "best_idx long, max_score double, mean_score double, n_windows long" + (
         ", all_scores array<double>" if all_scores else "")

@@ -137,6 +137,27 @@ def test_best_window_equals_a_loop(spark, kind):
         assert r["all_scores"] == [additive(x) for _, x in wins]
 
 
+@pytest.mark.parametrize("chunk", [512, 1 << 18])
+def test_best_window_of_an_expression_sorts_no_windows(spark, monkeypatch, chunk):
+    """Scored in the row, over the borders of chunks, as a loop; the first of equal windows wins, and NULL scores do not count."""
+    monkeypatch.setattr(mo, "WINDOWS_A_ROW", chunk, raising=False)
+    r = random.Random(12)
+    seqs = [(i, "".join(r.choices("ACGTNa", [9, 9, 9, 9, .2, .1], k=n))) for i, n in enumerate((0, 7, 8, 9, 511, 520, 17_000))] + [(50, "N" * 30), (51, None)]
+    df = spark.createDataFrame(seqs, "id long, seq string")
+    ex = ExpressionScorer(lambda c: F.when(c != "ACGTACGT", (F.length(c) - F.length(F.translate(c, "G", ""))) / 8.0))
+    for row in mo.best_window(df, ex, 8, all_scores=True).collect():
+        s = dict(seqs)[row["id"]] or ""
+        wins = [(s[k:k + 8].count("G") / 8, -k) for k in range(len(s) - 7) if not set(s[k:k + 8]) - set("ACGT") and s[k:k + 8] != "ACGTACGT"]
+        if not wins:
+            assert row["best_idx"] is None and row["n_windows"] is None
+            continue
+        top, k = max(wins)
+        assert (row["best_idx"], row["best_seq"], row["max_score"], row["n_windows"]) == (-k, s[-k:8 - k], top, len(wins))
+        assert row["all_scores"] == [x for x, _ in wins] and row["mean_score"] == pytest.approx(np.mean(row["all_scores"]))
+    plan = mo.best_window(df, ex, 8)._jdf.queryExecution().optimizedPlan().toString()
+    assert "transform(" in plan and "win_start" not in plan
+
+
 def test_pwm_scorer_takes_the_best_strand_and_window(spark):
     scorer = PwmScorer.from_probabilities(PROBS["m1"])
     s = dna(30)
