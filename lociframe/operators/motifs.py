@@ -145,6 +145,61 @@ def scan_motifs(seqs: DataFrame, matrices: dict[str, np.ndarray], keys: Sequence
     return src.mapInPandas(scan, schema)
 
 
+WORD = 6        # bases that are looked up at once
+
+
+def _words(codes: np.ndarray, length: int) -> np.ndarray:
+    """The words of a length from every place, as numbers in base 5."""
+    n = max(len(codes) - length + 1, 0)
+    out = np.zeros(n, np.int32)
+    for k in range(length):
+        out *= 5
+        out += codes[k:k + n]
+    return out
+
+
+def _word_tables(whole: np.ndarray) -> list[np.ndarray]:
+    """For every WORD columns of a matrix of whole numbers the sum of each word; far below all scores where a base is not A, C, G, T."""
+    tables = []
+    for at in range(0, len(whole), WORD):
+        table = np.zeros(1, np.int64)
+        for column in whole[at:at + WORD]:
+            table = (table[:, None] + np.append(column, -(1 << 40))[None, :]).ravel()
+        tables.append(table)
+    return tables
+
+
+def score_counts(seqs: DataFrame, matrices: dict[str, np.ndarray], seq: str = "seq", both: bool = True, scale: int = SCALE) -> DataFrame:
+    """(motif, iscore, n): how many windows of all sequences have a score, on both strands, as scan_motifs without a threshold finds them.
+
+    A task looks its windows up in words of bases and counts the scores of a motif in one array of their range; a row per task, motif and
+    score is added up.
+    """
+    matrices = {name: np.rint(np.asarray(m, dtype=float) * scale).astype(np.int64) for name, m in matrices.items()}
+
+    def count(batches):
+        kinds = [(name, len(m), int(m.min(axis=1).sum()) - 1, int(m.max(axis=1).sum()), _word_tables(strand))
+                 for name, m in matrices.items() for strand in ((m, m[::-1, ::-1]) if both else (m,))]
+        totals = {name: np.zeros(high - below + 1, np.int64) for name, _, below, high, _ in kinds}
+        for pdf in batches:
+            texts = pdf["_seq"].dropna().tolist()
+            for lo, hi in _chunks(texts):
+                codes = CODES[_joined(texts[lo:hi])[0]]
+                words = {n: _words(codes, n) for n in {min(WORD, w - at) for _, w, *_ in kinds for at in range(0, w, WORD)}}
+                for name, w, below, _, tables in kinds:
+                    n = max(len(codes) - w + 1, 0)
+                    score = np.zeros(n, np.int64)
+                    for k, table in enumerate(tables):
+                        score += table[words[min(WORD, w - k * WORD)][k * WORD:k * WORD + n]]
+                    totals[name] += np.bincount(np.maximum(score, below) - below, minlength=len(totals[name]))
+        for name, below in {name: below for name, _, below, *_ in kinds}.items():
+            found = np.flatnonzero(totals[name][1:]) + 1       # the first place holds the windows that are not valid
+            yield pd.DataFrame({"motif": name, "iscore": found + below, "n": totals[name][found]})
+
+    counted = seqs.select(F.upper(F.col(seq)).alias("_seq")).mapInPandas(count, "motif string, iscore long, n long")
+    return counted.groupBy("motif", "iscore").agg(F.sum("n").alias("n"))
+
+
 def best_strand(hits: DataFrame, keys: Sequence[str] = ("id",)) -> DataFrame:
     """One hit per motif, sequence and start: the better strand, the forward one on ties."""
     group = [*keys, "motif", "start"]

@@ -8,7 +8,7 @@ from lociframe.queries.motif_queries import genome_hits_sql, hits_sql, matrices,
 from lociframe.queries.registry import query
 from lociframe.queries.sequence_queries import gc_negatives_sql, region_negatives_sql
 from lociframe.queries.views import BIN, extraction_sql, has_only_acgt_sql, weight_scorer, weight_sum_sql
-from lociframe.operators.motifs import null_distribution, log_odds
+from lociframe.operators.motifs import null_distribution, log_odds, score_counts
 from lociframe.operators.clinical import CODING
 
 _CODING = ", ".join(f"'{c}'" for c in CODING)
@@ -239,7 +239,6 @@ def _(v):
     SELECT n.motif, iscore, n.n, round(p, 9) AS p_value FROM n JOIN null_table t ON n.motif = t.motif AND n.iscore = t.s""")
 def _(v):
     """P-values of the scores that the hits of all documents reach."""
-    from lociframe.operators.motifs import scan_motifs
-    hits = scan_motifs(v.texts, matrices(v), matched=False).groupBy("motif", "iscore").agg(F.count(F.lit(1)).alias("n"))
+    hits = score_counts(v.texts, matrices(v))
     return hits.join(null_distribution(log_odds(motif_table(v))), ["motif", "iscore"]).select(
         "motif", "iscore", "n", F.round("p_value", 9).alias("p_value"))

@@ -158,6 +158,16 @@ def test_best_window_of_an_expression_sorts_no_windows(spark, monkeypatch, chunk
     assert "transform(" in plan and "win_start" not in plan
 
 
+@pytest.mark.parametrize("both", [True, False])
+def test_scores_are_counted_as_the_scan_finds_them(spark, both):
+    r = random.Random(14)
+    seqs = [(i, "".join(r.choices("ACGTNa", [9, 9, 9, 9, 1, 1], k=n))) for i, n in enumerate((0, 3, 5, 6, 14, 15, 700, 33))] + [(60, None)]
+    df = spark.createDataFrame(seqs, "id long, seq string").repartition(3)
+    matrices = {f"m{w}": [[r.uniform(-4, 2) for _ in range(4)] for _ in range(w)] for w in (1, 5, 6, 7, 14)}
+    want = mo.scan_motifs(df, matrices, both=both, matched=False).groupBy("motif", "iscore").agg(F.count(F.lit(1)).alias("n"))
+    assert sorted(map(tuple, mo.score_counts(df, matrices, both=both).collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_pwm_scorer_takes_the_best_strand_and_window(spark):
     scorer = PwmScorer.from_probabilities(PROBS["m1"])
     s = dna(30)
