@@ -80,7 +80,7 @@ class Vocabulary:
         return Vocabulary, (self.pieces, self.byte_ids, self.unknown, self.kind)
 
     def forget(self) -> None:
-        """Drop what was remembered of words, which is of use within a task."""
+        """Drop what was remembered of words. A worker keeps it for its next task; it is bounded by WORDS and PAIRS, not by the texts."""
         for known in (self.words, self.older, self.heads, self.stable):
             known.clear()
 
@@ -258,7 +258,6 @@ def _encoder(shared):
             counts = pa.array(np.diff(ends).astype(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), counts, ids, pa.array(digests, pa.string()), pa.array(exact, pa.bool_())],
                                              names=["doc_id", "n_ids", "ids", "decoded_sha256", "exact"])
-        vocabulary.forget()
     return lambda batches: released(run(batches))
 
 

@@ -66,6 +66,18 @@ def test_awkward_rows(spark, docs, awkward, vocabulary):
     assert pieces.encode(docs([]), vocabulary).count() == 0
 
 
+def test_words_are_remembered_from_task_to_task(vocabulary):
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+    vocabulary.forget()
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["a task finds words"])], names=["doc_id", "text"])
+    first = list(pieces._encoder(SimpleNamespace(value=vocabulary))(iter([batch])))
+    assert vocabulary.words
+    known = dict(vocabulary.words)
+    assert list(pieces._encoder(SimpleNamespace(value=vocabulary))(iter([batch]))) == first and vocabulary.words == known
+
+
 def test_every_character_passes_the_search(vocabulary, prose, monkeypatch):
     """Once for each run that is not remembered; the remembered ids are those that the search gave."""
     vocabulary.forget()
