@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lociframe.operators.joins import HOT_ROWS, grid_join, join_few, spread_join
+from lociframe.session import stored
 
 MERGE_BITS = 16   # merge bins of 65,536 bp
 JOIN_BITS = 14    # overlap bins of 16,384 bp
@@ -50,6 +51,7 @@ def merge_intervals(df: DataFrame, by: Sequence[str] = ("chrom",), value: str |
                .withColumn("_island", F.sum("_opens").over(inside))
                .groupBy(*by, "_bin", "_island")
                .agg(F.min("start").alias("start"), F.max("end").alias("end"), *best))
+    islands = stored(islands.select(*by, "_bin", "start", "end", *([value] if value else [])))   # read twice below; else all intervals would be shuffled for both
 
     across = Window.partitionBy(*by).orderBy("_bin")
     earlier = across.rowsBetween(Window.unboundedPreceding, -1)

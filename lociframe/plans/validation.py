@@ -156,8 +156,9 @@ def peak_set_validation(peaks: DataFrame, genome: DataFrame, lengths: DataFrame,
         negatives = ng.matched_region_negatives(positives, genome, lengths, excluded, bin_width, key, seed, tries=tries, longest=max_region)
     else:
         raise ValueError(f"unknown mode {mode!r}: shuffle or genomic")
-    both = stored(positives.select(F.concat(F.lit("p"), F.col(key).cast("string")).alias("rid"), F.lit(1).alias("label"), "seq")
-                  .unionByName(negatives.select(F.concat(F.lit("n"), F.col(key).cast("string")).alias("rid"), F.lit(0).alias("label"), "seq")))
+    negatives = stored(negatives)       # the positives are stored already
+    both = (positives.select(F.concat(F.lit("p"), F.col(key).cast("string")).alias("rid"), F.lit(1).alias("label"), "seq")
+            .unionByName(negatives.select(F.concat(F.lit("n"), F.col(key).cast("string")).alias("rid"), F.lit(0).alias("label"), "seq")))
     parts = []
     for name, scorer in scorers.items():
         best = mo.best_window(both, scorer, window, "rid")

@@ -179,9 +179,10 @@ def _(v):
 
 # ---- N: negative sets --------------------------------------------------------------------------
 
-def positive_windows(v, width):
-    windows = iv.center_windows(v.intervals, width, v.contigs)
-    cut = gn.extract_windows(windows, v.packed, width, BIN, row_key=F.col("id"))
+def positive_windows(v, width, *keep):
+    """The windows of the peaks that hold only A, C, G, T, with the columns to keep, which alone are shuffled."""
+    windows = iv.center_windows(v.intervals, width, v.contigs).select(*keep, "chrom", "ws", "we")
+    cut = gn.extract_windows(windows, v.packed, width, BIN)
     return cut.where(dna.is_acgt("seq"))
 
 
@@ -217,7 +218,7 @@ def _phase_sql(width, k, bin_of, share):
 @query("gc_matched_negatives", "N1", views="intervals chroms contigs", sql=f"""
     WITH {gc_negatives_sql(24)} SELECT chrom, start, "end", seq, round(gc, 6) AS gc FROM picked""")
 def _(v):
-    positives = stored(positive_windows(v, 24).select("chrom", "ws", "we", "seq"))
+    positives = stored(positive_windows(v, 24))
     picked, _ = ng.gc_matched_negatives(v.packed, positives, v.intervals, 24, BIN)
     return picked.select("chrom", "start", "end", "seq", F.round("gc", 6).alias("gc"))
 
@@ -232,7 +233,7 @@ def _(v):
         round(avg(gc) FILTER (tf = 'A'), 6) AS negative_gc FROM g WHERE tf <> 'N' GROUP BY 1)
     SELECT gc_bin, wanted, found, greatest(wanted - found, 0) AS missing, positive_gc, negative_gc FROM b""")
 def _(v):
-    rows = positive_windows(v, 200)
+    rows = positive_windows(v, 200, "tf")
     report = ng.gc_report(rows.where("tf = 'R'"), rows.where("tf = 'A'"))
     return report.withColumns({c: F.round(c, 6) for c in ("positive_gc", "negative_gc")})
 

@@ -24,6 +24,7 @@ SETTINGS = {
 }
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _LOCAL_FOLDERS: dict[str, str] = {}
 
 
@@ -56,9 +57,15 @@ def stored(df: DataFrame) -> DataFrame:
     """df written once as Parquet to the shared folder and read back.
 
     For a table that several later steps read: it is computed once, later steps read only the
-    columns they need, and a lost executor costs no recomputation of what came before.
+    columns they need, and a lost executor costs no recomputation of what came before. What was shuffled for it is removed
+    once it is written; else the shuffles of all stored steps would stay until the driver collects garbage.
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/stored-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)      # bases take two bits, where snappy leaves a byte
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
