@@ -154,16 +154,18 @@ def _by_length(texts: list[str | None], most) -> list[tuple[int, list[int]]]:
     return [(n, rows[at:at + most(n)]) for n, rows in groups.items() for at in range(0, len(rows), most(n))]
 
 
-def _letters(data: np.ndarray) -> pa.Array:
-    """Bytes as texts of one letter."""
-    return pa.Array.from_buffers(pa.string(), len(data), [None, pa.py_buffer(np.arange(len(data) + 1, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(data, dtype=np.uint8))])
+def _letters(data: np.ndarray, n: int = 1) -> pa.Array:
+    """Bytes as texts of n letters."""
+    return pa.Array.from_buffers(pa.string(), len(data), [None, pa.py_buffer(np.arange(len(data) + 1, dtype=np.int32) * np.int32(n)), pa.py_buffer(np.ascontiguousarray(data, dtype=np.uint8))])
 
 
 def _pairs_by_difference(df: DataFrame, scorer, positions: Sequence[int] | None, key: str, col: str) -> DataFrame:
-    """epistasis2 for a scorer with edit_scores, inside the task that reads the sequences."""
+    """epistasis2 for a scorer with edit_scores, inside the task that reads the sequences.
+
+    Python gives a row per pair of places with the scores of its nine changes; they become rows of their own in the JVM, as a row costs far more than a score.
+    """
     asked = None if positions is None else np.array(sorted(set(int(p) for p in positions)), dtype=np.int64)
     letter = np.frombuffer(BASES.encode(), dtype=np.uint8)
-    turns = np.arange(9)
 
     def places_of(length):
         return np.arange(length) if asked is None else asked[(asked >= 0) & (asked < length)]
@@ -172,6 +174,18 @@ def _pairs_by_difference(df: DataFrame, scorer, positions: Sequence[int] | None,
         n = len(places_of(length))
         return max(1, EDITS // max(1, 9 * n * (n - 1) // 2))
 
+    def doubles(own, codes, places, first, second):
+        """Scores of the nine changes of each pair of each sequence."""
+        if hasattr(scorer, "double_scores"):
+            return scorer.double_scores(own, places, first, second).reshape(len(own), len(first), 9)
+        row, i, j = np.repeat(np.arange(len(own)), 9 * len(first)), np.tile(np.repeat(first, 9), len(own)), np.tile(np.repeat(second, 9), len(own))
+        t = np.tile(np.arange(9), len(own) * len(first))
+        bases = np.stack([(codes[row, i] + 1 + t // 3) % 4, (codes[row, j] + 1 + t % 3) % 4], axis=1)
+        return scorer.edit_scores(own, row, np.stack([places[i], places[j]], axis=1), bases).reshape(len(own), len(first), 9)
+
+    def numbers(values):
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1, dtype=np.int32) * np.int32(9)), pa.array(values.reshape(-1), from_pandas=True))
+
     def run(batches):
         for batch in batches:
             keys, texts = batch.column(0), batch.column(1).to_pylist()
@@ -185,26 +199,34 @@ def _pairs_by_difference(df: DataFrame, scorer, positions: Sequence[int] | None,
                 y = np.asarray(scorer.batch(own), dtype=float)
                 single = np.repeat(np.arange(m), 4 * n), np.tile(np.repeat(places, 4), m)[:, None], np.tile(np.arange(4), m * n)[:, None]
                 one = scorer.edit_scores(own, *single).reshape(m, n, 4)
+                other = (codes[:, :, None] + np.arange(1, 4)) % 4
+                one, other = np.take_along_axis(one, other, axis=2), letter[other]
                 before = np.concatenate([[0], np.cumsum(np.arange(n - 1, 0, -1))])       # pairs whose first place comes earlier
                 step = max(1, EDITS // (9 * m))
                 for lo in range(0, int(before[-1]), step):
                     pair = np.arange(lo, min(lo + step, int(before[-1])))
                     first = np.searchsorted(before, pair, side="right") - 1
                     second = first + 1 + pair - before[first]
+                    both = doubles(own, codes, places, first, second)
+                    change = (both.reshape(m, -1, 3, 3) - one[:, first][:, :, :, None] - one[:, second][:, :, None, :] + y[:, None, None, None]).reshape(m, -1, 9)
                     row, p = np.nonzero((codes[:, first] < 4) & (codes[:, second] < 4))
                     if not len(row):
                         continue
-                    row, i, j, t = np.repeat(row, 9), np.repeat(first[p], 9), np.repeat(second[p], 9), np.tile(turns, len(p))
-                    a, b = (codes[row, i] + 1 + t // 3) % 4, (codes[row, j] + 1 + t % 3) % 4
-                    both = scorer.edit_scores(own, row, np.stack([places[i], places[j]], axis=1), np.stack([a, b], axis=1))
-                    change = both - one[row, i, a] - one[row, j, b] + y[row]
+                    i, j = first[p], second[p]
+                    if len(row) == m * len(pair):
+                        both, change = both.reshape(-1, 9), change.reshape(-1, 9)
+                    else:
+                        both, change = both[row, p], change[row, p]
                     yield pa.RecordBatch.from_arrays(
-                        [keys.take(pa.array(np.array(some)[row])), pa.array(places[i]), _letters(raw[row, i]), _letters(letter[a]), pa.array(places[j]),
-                         _letters(raw[row, j]), _letters(letter[b]), pa.array(both, from_pandas=True), pa.array(change, from_pandas=True)], names=names)
-
-    names = [key, "pos_i", "ref_i", "base_i", "pos_j", "ref_j", "base_j", "prediction", "delta_delta"]
-    return df.select(key, col).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, pos_i long, ref_i string, base_i string, "
-                                               "pos_j long, ref_j string, base_j string, prediction double, delta_delta double")
+                        [keys.take(pa.array(np.array(some)[row])), pa.array(places[i]), _letters(raw[row, i]), _letters(other[row, i], 3), pa.array(places[j]),
+                         _letters(raw[row, j]), _letters(other[row, j], 3), numbers(both), numbers(change)], names=names)
+
+    names = [key, "pos_i", "ref_i", "_other_i", "pos_j", "ref_j", "_other_j", "_both", "_change"]
+    rows = df.select(key, col).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, pos_i long, ref_i string, _other_i string, "
+                                               "pos_j long, ref_j string, _other_j string, _both array<double>, _change array<double>")
+    rows = rows.select("*", F.posexplode("_change").alias("_t", "delta_delta"))
+    return rows.select(key, "pos_i", "ref_i", F.substring("_other_i", F.expr("int(_t div 3) + 1"), F.lit(1)).alias("base_i"), "pos_j", "ref_j",
+                       F.substring("_other_j", F.expr("_t % 3 + 1"), F.lit(1)).alias("base_j"), F.get("_both", F.col("_t")).alias("prediction"), "delta_delta")
 
 
 def top_interactions(pairs: DataFrame, n: int = 500, least: float = 1e-6, key: str = "id") -> DataFrame:

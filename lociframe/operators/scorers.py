@@ -102,6 +102,33 @@ class WeightScorer(Scorer):
         out[inside] = np.where(unknown[rows] == sum((old[:, k] > 3).astype(int) for k in range(old.shape[1])), self._rounded(total), np.nan)
         return out
 
+    def double_scores(self, seqs: Sequence[str], places: np.ndarray, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """Scores of every sequence with both places of a pair, places[first[p]] and places[second[p]], changed to another base: shape (sequences, pairs, 3, 3),
+        by how many steps less one the bases lie after the sequence's own. NaN for a sequence that cannot be scored or a place beyond the length.
+
+        The change of a base is found once for each place; a pair adds two of them and what its own terms change.
+        """
+        codes, ok = encode(seqs, self.length)
+        inside = places < self.length
+        at = np.where(inside, places, 0)
+        m, n, own = len(codes), len(at), codes[:, at].astype(np.int64)
+        other = (own[:, :, None] + np.arange(1, 4)) % 4
+        rows, flat = np.repeat(np.arange(m), 3 * n), np.tile(np.repeat(at, 3), m)[:, None]
+        change = self._change(codes, rows, flat, other.reshape(-1, 1), np.repeat(own.reshape(-1), 3)[:, None]).reshape(m, n, 3)
+        total = self._sum(lambda p: codes[:, p], m, other=0.0)
+        both = (total[:, None, None] + change[:, first])[:, :, :, None] + change[:, second][:, :, None, :]
+        for p, table in self._joint(at[first], at[second]):
+            a, b, x, y = own[:, first[p]], own[:, second[p]], other[:, first[p]], other[:, second[p]]
+            both[:, p] += (table[x[:, :, None], y[:, None, :]] - table[x, b[:, None]][:, :, None] - table[a[:, None], y][:, None, :] + table[a, b][:, None, None])
+        both = self._rounded(both)
+        both[~ok] = np.nan
+        both[:, ~(inside[first] & inside[second])] = np.nan
+        return both
+
+    def _joint(self, first: np.ndarray, second: np.ndarray):
+        """The pairs of places, by number, that have terms of their own, with the terms as a table of codes."""
+        return ()
+
     def _change(self, codes, rows, places, bases, old) -> np.ndarray:
         table = np.hstack([self.weights, np.zeros((self.length, 1))])
         return sum(table[places[:, k], bases[:, k]] - table[places[:, k], old[:, k]] for k in range(places.shape[1]))      # by columns, as few
@@ -148,6 +175,12 @@ class PairScorer(WeightScorer):
                 out.setdefault(p, {}).setdefault(q, np.zeros((5, 5)))[x, y] += value
         return out
 
+    def _joint(self, first, second):
+        partners = self._partners()
+        for p, (i, j) in enumerate(zip(first.tolist(), second.tolist())):
+            if i != j and j in partners.get(i, ()):
+                yield p, partners[i][j]
+
     def _change(self, codes, rows, places, bases, old):
         """A term changes only with an edit of one of its places; one whose places are both edited counts at the lower."""
         total = super()._change(codes, rows, places, bases, old)
