@@ -11,6 +11,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -363,15 +364,50 @@ def _slide_best(df: DataFrame, scorer, width: int, col: str, all_scores: bool) -
                       "_b.n_windows", *(["_b.all_scores"] if all_scores else []))
 
 
+def _groups(columns: list[pa.Array], rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """The number of each row's group, rows of equal values being one, and a row of each group."""
+    group = np.zeros(rows, np.int64)
+    for c in columns:
+        code = c.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        _, group = np.unique(group * (int(code.max()) + 1) + code, return_inverse=True)
+    _, first = np.unique(group, return_index=True)
+    return group, first
+
+
 def pfm(df: DataFrame, col: str = "seq", by: Sequence[str] = ()) -> DataFrame:
     """Counts and shares per position and base of sequences of one length; every base is listed.
 
-    Bases are counted within each task first: the shuffle holds length x 4 rows per task and group.
+    Bases are counted a batch at a time, so no letter becomes a row, and then within each task: the shuffle holds length x 4 rows per task and group.
     """
     by = list(by)
-    letters = F.posexplode(F.split(F.upper(F.col(col)), ""))
-    wide = (df.where(F.col(col) != "").select(*by, letters.alias("pos", "base")).where(F.col("base") != "")
-            .groupBy(*by, "pos").agg(*[F.count_if(F.col("base") == b).alias(b) for b in "ACGT"]))
+    names = [f"_by_{i}" for i in range(len(by))]
+    src = df.where(F.col(col) != "").select(*[F.col(c).alias(n) for c, n in zip(by, names)], F.upper(F.col(col)).alias("_seq"))
+    kinds = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in src.schema.fields[:-1])
+
+    def counted(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            group, first = _groups([batch.column(n) for n in names], batch.num_rows)
+            texts = batch.column("_seq").to_pylist()
+            sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+            data = np.frombuffer("".join(texts).encode("ascii", "replace"), np.uint8)
+            pos = np.arange(len(data)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            longest = int(sizes.max())
+            at = np.repeat(group, sizes) * longest + pos
+            if len(first) * longest <= len(data):
+                place = np.arange(len(first) * longest)
+            else:       # a long text among short ones makes no large table
+                place, at = np.unique(at, return_inverse=True)
+            n = np.bincount(at * 5 + CODES[data], minlength=5 * len(place)).reshape(-1, 5)
+            there = np.flatnonzero(n.any(axis=1))
+            place, n = place[there], n[there]
+            rows = pa.array(first[place // longest])
+            yield pa.RecordBatch.from_arrays([*[batch.column(x).take(rows) for x in names], pa.array(place % longest), *[pa.array(n[:, k]) for k in range(4)]],
+                                             names=[*names, "pos", *"ACGT"])
+
+    parts = src.mapInArrow(counted, f"{kinds}pos long, A long, C long, G long, T long")
+    wide = parts.groupBy(*[F.col(n).alias(c) for n, c in zip(names, by)], "pos").agg(*[F.sum(b).alias(b) for b in "ACGT"])
     total = F.col("A") + F.col("C") + F.col("G") + F.col("T")
     return (wide.withColumn("_t", total)
             .select(*by, F.col("pos").cast("long").alias("pos"), "_t", F.explode(F.create_map(
