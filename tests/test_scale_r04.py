@@ -83,6 +83,7 @@ def test_matched_regions_of_a_packed_genome_are_those_of_the_table(spark, tmp_pa
     lengths = spark.createDataFrame([(c, len(s)) for c, s in contigs.items()], "chrom string, length long")
     r = random.Random(6)
     peaks = [("chr1", a, a + r.randrange(5, 90)) for a in (r.randrange(9000) for _ in range(60))] + [("chr2", 100, 1900), ("chr3_x", 1, 50)]
+    peaks += [("chr1", 9400, None), ("chr1", None, 50), (None, 3, 9)]
     excluded = iv.exclusion_set(spark.createDataFrame(peaks, "chrom string, start long, end long"), 0)
     texts = [(f"p{i}", contigs["chr1"][100 * i:100 * i + r.randrange(20, 60)]) for i in range(40)] + [("p3", contigs["chr1"][300:350]), ("at", "AT" * 20), (None, "ACGT" * 6)]
     positives = spark.createDataFrame(texts, "id string, seq string")
